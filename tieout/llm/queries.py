@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import mixing, neardup, sharding
+from tieout.llm import decontaminate, mixing, neardup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_sharding": sharding.op8_sharding,
 }
