@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, mixing, neardup, sharding
+from tieout.llm import decontaminate, mixing, neardup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": quality.op2_quality,
     "op4_mixing": mixing.op4_mixing,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_near_duplicates": neardup.op7_near_duplicates,

@@ -83,9 +83,10 @@ def spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return np.searchsorted(at, start, side="right") - 1, start, np.flatnonzero(ends) + 1
 
 
-def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans; ``start`` ascends."""
-    table, out, i, n = _LOWER if lower else _TABLE, np.empty(len(start), np.uint64), 0, len(start)
+def hash_many(raw: np.ndarray, start: np.ndarray, end: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], lower: bool = True) -> list[np.ndarray]:
+    """64-bit hashes of spans inside words: ``parts`` are (start, end) arrays, one span in each word; word starts ascend."""
+    table, i, n = _LOWER if lower else _TABLE, 0, len(start)
+    out = [np.empty(n, np.uint64) for _ in parts]
     with np.errstate(over="ignore"):
         while i < n:
             j = max(i + 1, int(np.searchsorted(start, start[i] + _BLOCK)))
@@ -93,11 +94,16 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
             powers, inverse = _powers(high - low + 1)
             sums = np.zeros(high - low + 1, np.uint64)
             np.cumsum(table[raw[low:high]] * powers[: high - low], out=sums[1:])
-            s = start[i:j] - low
-            e = end[i:j] - low
-            out[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+            for held, (first, last) in zip(out, parts, strict=True):
+                s, e = first[i:j] - low, last[i:j] - low
+                held[i:j] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
             i = j
-        return mix(out)
+        return [mix(h) for h in out]
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of words."""
+    return hash_many(raw, start, end, [(start, end)], lower)[0]
 
 
 def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
