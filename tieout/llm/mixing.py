@@ -56,12 +56,15 @@ def schedule(spark: SparkSession, shares: list, slots: int) -> DataFrame:
         run += t
         bounds.append((s, int(run / whole * (1 << BITS))))
     point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long")
-    ends, names = F.array(*[F.lit(b).cast("long") for _, b in bounds]), F.array(*[F.lit(s) for s, _ in bounds])
+    if not bounds:
+        return spark.createDataFrame([], "__mx_src string, rank long, slot long")
+    source = F.lit(bounds[-1][0])
+    for s, end in reversed(bounds[:-1]):
+        source = F.when(F.col("point") < F.lit(end), F.lit(s)).otherwise(source)
     placed = (
         spark.range(slots)
         .select(F.col("id").alias("slot"), point.alias("point"), F.expr(f"id div {CHUNK}L").alias("__mx_b"))
-        .withColumn("__mx_src", F.get(names, F.size(F.filter(ends, lambda e: e <= F.col("point")))))
-        .filter(F.col("__mx_src").isNotNull())
+        .select("slot", source.alias("__mx_src"), "__mx_b")
     )
     offsets = ordering.before(placed, ["__mx_src"], "__mx_b", F.lit(1), "__mx_off", "__mx_c").drop("__mx_c")
     inside = Window.partitionBy("__mx_src", "__mx_b").orderBy("slot")
