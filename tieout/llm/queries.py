@@ -3,16 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tieout.llm import decontaminate, mixing, neardup, quality, sharding
+from tieout.session import ship_package
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality": quality.op2_quality,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def shipped(query: Query) -> Query:
+    """``query`` after the workers have the package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    "op2_quality": shipped(quality.op2_quality),
     "op4_mixing": mixing.op4_mixing,
-    "op6_decontamination": decontaminate.op6_decontamination,
-    "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op6_decontamination": shipped(decontaminate.op6_decontamination),
+    "op7_near_duplicates": shipped(neardup.op7_near_duplicates),
     "op8_sharding": sharding.op8_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
