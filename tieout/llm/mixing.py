@@ -140,12 +140,11 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, b
 def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:
     """``docs`` with a row for each epoch in which the mix takes at least half of the document's words; the others go.
 
-    Ids must be unique and not null for this form, as rows are found again by them; rows that share an id get the largest
-    number of epochs among them. Documents without words have nothing to take and go.
+    Rows are found again by their ids: rows that share an id (or have none) get as many copies as epochs take any of them. Documents without words have nothing to take and go.
     """
     pieces, _ = mixture(docs, id_column=id_column, source_column=source_column, **options)
     epochs = pieces.groupBy("__mx_src", "at", "id", "size", "epoch").agg(F.sum("words").alias("w")).filter("2 * w >= size").groupBy("id").agg(F.count_distinct("epoch").alias("__mx_times"))
-    return docs.join(epochs, docs[id_column] == epochs["id"]).withColumn("__mx_time", F.explode(F.expr("sequence(1, cast(__mx_times as int))"))).select(*[docs[c] for c in docs.columns])
+    return docs.join(epochs, docs[id_column].eqNullSafe(epochs["id"])).withColumn("__mx_time", F.explode(F.expr("sequence(1, cast(__mx_times as int))"))).select(*[docs[c] for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
