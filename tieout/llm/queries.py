@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, mixing, neardup, quality, sharding
+from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def shipped(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_kneser_ney": shipped(kneser_ney.op1_kneser_ney),
     "op2_quality": shipped(quality.op2_quality),
     "op4_mixing": mixing.op4_mixing,
     "op6_decontamination": shipped(decontaminate.op6_decontamination),
