@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding
+from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding, tokenstore
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,7 @@ QUERIES: dict[str, Query] = {
     "op1_kneser_ney": shipped(kneser_ney.op1_kneser_ney),
     "op2_quality": shipped(quality.op2_quality),
     "op4_mixing": mixing.op4_mixing,
+    "op5_token_store": shipped(tokenstore.op5_token_store),
     "op6_decontamination": shipped(decontaminate.op6_decontamination),
     "op7_near_duplicates": shipped(neardup.op7_near_duplicates),
     "op8_sharding": sharding.op8_sharding,
