@@ -3,13 +3,18 @@
 1. One pass gives each document the set of its word 5-shingles as a count, a 128-bit digest, 128 minima and 32 band keys of
    four minima each. At similarity 0.75 all bands miss a pair with probability (1 - 0.75^4)^32 = 5e-6.
 2. Documents with equal digests are one class; only its smallest id goes on, so copies cost one row each from here.
-3. In every band bucket with company each member is paired with one hub that a hash picks per bucket: linearly many pairs,
-   and as buckets differ in their hubs, a member of a large group meets many.
-4. Pairs are compared signature batch by signature batch. With a uniform prior the similarity given ``m`` of ``n`` agreeing
+3. Of the shingles of documents with company in a band bucket, those that one document alone has can be in no
+   intersection. The rest bounds every intersection from above, exactly: documents and pairs that the bound keeps below the
+   threshold go. So strangers that share a passage, and far edits of one original, cost no pairs.
+4. In every bucket each member is paired with one hub that a hash picks per bucket: linearly many pairs, and as buckets
+   differ in their hubs, a member of a large group meets many.
+5. Pairs are compared signature batch by signature batch. With a uniform prior the similarity given ``m`` of ``n`` agreeing
    minima is Beta(m + 1, n - m + 1); a pair goes when its chance of reaching the threshold is below ``miss_probability``.
-5. Survivors are verified on the full shingle sets; for each document its best partners first. Components of the links.
-6. What is left are pairs of a bucket in different components: each member outside the largest component of its bucket is
-   compared with all members of other components, again by batches and then exactly. No pair inside a component is made.
+6. Survivors are verified on the full shingle sets: the best partner of each document first, then those whose ends are still
+   in different components.
+7. What is left are pairs of a bucket in different components: each member outside the largest component of its bucket is
+   held against all members of other components, again by the bound, by batches and then exactly. No pair inside a component
+   is made.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.llm import words
@@ -151,6 +156,30 @@ def with_ids(docs: DataFrame, ids: DataFrame, id_column: str, how: str) -> DataF
     return docs.join(F.broadcast(right) if few else right, docs[id_column] == F.col("__id"), how)
 
 
+def _explode(size: int):
+    """Texts to (id, shingle) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in words.slices(whole, "text"):
+                row, h = sets_of(batch.column(1), size)
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64))], names=["id", "h"])
+
+    return run
+
+
+def _own_counts(texts: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``own``: how many of its shingles no other id among ``texts`` has."""
+    rows = texts.select("id", "text").mapInArrow(_explode(size), "id long, h long")
+    return rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _labelled(df: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``label_<column>``: the component of a node, which is itself where it has no link yet."""
+    own = groups.select(F.col("node").alias(column), F.col("component").alias("__label"))
+    return df.join(own, column, "left").withColumn(f"label_{column}", F.coalesce("__label", column)).drop("__label")
+
+
 class _Verifier:
     """Links among candidate pairs of class representatives."""
 
@@ -188,30 +217,46 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int =
     reps = profile.join(classes, ["d1", "d2"]).filter("id = rep").select("id", "n_shingles", "sig", "bands")
     reps = written(reps, "neardup-reps")
 
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by("id", F.xxhash64("key", "id")).alias("hub")).filter("c > 1").select("key", "hub")
-    company = written(keyed.join(hubs, "key"), "neardup-buckets")
+    every = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    company = written(every.join(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"), "neardup-company")
+    nodes = company.select("id").distinct()
+    own = _own_counts(with_ids(base, nodes, "id", "left_semi"), size)
+    able = company.join(own, "id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).filter(f"100 * shared >= {threshold} * n_shingles")
+    able = written(able.select("id", "n_shingles", "shared", "band", "key"), "neardup-able")
     verifier = _Verifier(base, reps, threshold, miss_probability, size)
 
-    pairs = company.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id").dropDuplicates(["a", "b"])
-    found = written(verifier.survivors(pairs.select("a", "b")), "neardup-survivors")
+    def reach(x: str, y: str) -> Column:
+        common = F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared"))
+        return 100 * common >= threshold * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - common)
+
+    hub = F.min_by(F.struct("id", "n_shingles", "shared"), F.xxhash64("key", "id")).alias("hub")
+    hubs = able.groupBy("key").agg(F.count("*").alias("c"), hub).filter("c > 1").select("key", "hub.*")
+    x, y = able.alias("x"), hubs.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & reach("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    found = written(verifier.survivors(pairs.distinct()), "neardup-found")
     ends = found.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("end"))
-    top = ends.groupBy("end").agg(F.max(F.struct("matches", "a", "b")).alias("one")).select(F.col("one.a").alias("a"), F.col("one.b").alias("b"))
-    links = verifier.links(top.distinct(), "first")
+    top = ends.groupBy("end").agg(F.max(F.struct("matches", "a", "b")).alias("one")).select(F.col("one.a").alias("a"), F.col("one.b").alias("b")).distinct()
+    links = verifier.links(top, "first")
     groups = components(links, "neardup-first")
-
-    labelled = company.select("key", "id").join(groups, company["id"] == groups["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    labelled = written(labelled, "neardup-labelled")
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-    open_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("component", "c").alias("largest")).filter("groups > 1").select("key", "largest")
-    open_members = written(labelled.join(open_, "key"), "neardup-open")
-    x, y = open_members.filter("component <> largest").alias("x"), open_members.alias("y")
-    across = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    across = across.join(top, ["a", "b"], "left_anti")
+    open_pairs = _labelled(_labelled(found.select("a", "b"), groups, "a"), groups, "b").filter("label_a <> label_b").select("a", "b").join(top, ["a", "b"], "left_anti")
+    links = links.unionByName(verifier.links(open_pairs, "second"))
+    groups = components(links, "neardup-second")
+
+    labelled = written(_labelled(able, groups, "id"), "neardup-labelled")
+    sizes = labelled.groupBy("key", "label_id").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label_id", "c").alias("largest")).filter("groups > 1").select("key", "largest")
+    members_left = written(labelled.join(open_, "key").join(reps.select("id", "bands"), "id"), "neardup-open")
+    x, y = members_left.filter("label_id <> largest").alias("x"), members_left.alias("y")
+    first_shared_band = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
+    across = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.label_id") != F.col("y.label_id"))
+        & ((F.col("y.label_id") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
+        & reach("x", "y")
+        & first_shared_band,
+    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    across = across.distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
     more = verifier.links(verifier.survivors(across), "rest")
     final = components(links.unionByName(more), "neardup-final")
     return (
