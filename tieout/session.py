@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, once for each application; a cluster that has it installed is not harmed."""
+    # small batches bound what a worker and the JVM's Arrow buffers hold of long texts at a time
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
