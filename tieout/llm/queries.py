@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding, tokenstore, toxicity
+from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding, tokenstore, toxicity, webp
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": shipped(decontaminate.op6_decontamination),
     "op7_near_duplicates": shipped(neardup.op7_near_duplicates),
     "op8_sharding": sharding.op8_sharding,
+    "op9_webp": shipped(webp.op9_webp),
     "op10_toxicity": shipped(toxicity.op10_toxicity),
 }
 ORACLE_SQL: dict[str, str] = {}
