@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, kneser_ney, mixing, neardup, quality, sharding, tokenstore, toxicity, webp
+from tieout.llm import decontaminate, kneser_ney, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_kneser_ney": shipped(kneser_ney.op1_kneser_ney),
     "op2_quality": shipped(quality.op2_quality),
+    "op3_personal_data": shipped(pii.op3_personal_data),
     "op4_mixing": mixing.op4_mixing,
     "op5_token_store": shipped(tokenstore.op5_token_store),
     "op6_decontamination": shipped(decontaminate.op6_decontamination),
