@@ -13,8 +13,9 @@
 6. Survivors are verified on the full shingle sets: the best partner of each document first, then those whose ends are still
    in different components.
 7. What is left are pairs of a bucket in different components: each member outside the largest component of its bucket is
-   held against all members of other components, again by the bound, by batches and then exactly. No pair inside a component
-   is made.
+   held against all members of other components, inside the join: by the bound of 3, by a second exact bound from bitmaps of
+   hashed shingles (a bit that one has and the other lacks is a shingle outside the intersection), by batches, and what is left
+   exactly. No pair inside a component is made.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.llm import words
-from tieout.llm.components import components
+from tieout.llm.components import components, extended, labelled
 from tieout.llm.storage import written
 
 SHINGLE = 5
@@ -40,7 +41,11 @@ MISS_PROBABILITY = 1e-6
 #: So many ids may be broadcast (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 
-_PROFILE = "id long, n_shingles long, d1 long, d2 long, sig binary, bands array<long>"
+#: A signature is kept as longs of three 15-bit minima in lanes of 16 bits, so that plain SQL can count agreeing lanes.
+LANES, PACKED = 3, -(-BANDS * ROWS // 3)
+#: Bits of the bitmap of a set; for sets of more than about so many shingles it bounds nothing, and harms nothing.
+BITS = 2048
+_PROFILE = "id long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -94,21 +99,51 @@ def _profile_batch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
         for k in range(ROWS):
             keys = keys * np.uint64(0x9E3779B97F4A7C15) + mixed[:, k::ROWS]
         keys = words.mix(keys + np.arange(BANDS, dtype=np.uint64))
-    sig = np.ascontiguousarray((mixed >> np.uint64(40)).astype(np.uint16))
-    width = sig.shape[1] * 2
+    lanes = np.zeros((rows, PACKED * LANES), np.uint64)
+    lanes[:, : BANDS * ROWS] = mixed >> np.uint64(49)
+    lanes = lanes.reshape(rows, PACKED, LANES)
+    sig = lanes[:, :, 0] | lanes[:, :, 1] << np.uint64(16) | lanes[:, :, 2] << np.uint64(32)
+    there = np.zeros((rows, BITS), bool)
+    there[row, (words.mix(h) >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = True
+    bits = np.packbits(there, axis=1).reshape(-1).view(np.int64)
     return pa.record_batch(
         [
             batch.column(0),
             pa.array(counts, pa.int64()),
             pa.array(d1.view(np.int64)),
             pa.array(d2.view(np.int64)),
-            pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * width).astype(np.int32)), pa.py_buffer(sig.tobytes())]),
+            pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * PACKED, pa.int32()), pa.array(sig.reshape(-1).view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (BITS // 64), pa.int32()), pa.array(bits)),
             pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
         ],
-        names=["id", "n_shingles", "d1", "d2", "sig", "bands"],
+        names=["id", "n_shingles", "d1", "d2", "sig", "bits", "bands"],
     )
 
 
+def _minima(column: pa.Array) -> np.ndarray:
+    """(rows x minima) of packed signatures."""
+    longs = np.asarray(column.flatten(), dtype=np.int64).reshape(len(column), PACKED)
+    return longs.view(np.uint16).reshape(len(column), PACKED, 4)[:, :, :LANES].reshape(len(column), -1)[:, : BANDS * ROWS]
+
+
+def agreeing(x: str, y: str, longs: int) -> str:
+    """SQL for how many of the minima in the first so many longs agree.
+
+    A lane of the exclusive or is at most 0x7FFF; adding 0x7FFF sets its high bit unless the lane is 0.
+    """
+    high, low = 0x800080008000, 0x7FFF7FFF7FFF
+    spare = PACKED * LANES - BANDS * ROWS if longs == PACKED else 0
+    differ = f"aggregate(zip_with(slice({x}, 1, {longs}), slice({y}, 1, {longs}), (p, q) -> bit_count(((p ^ q) + {low}L) & {high}L)), 0, (s, e) -> s + e)"
+    return f"({longs * LANES - spare} - {differ})"
+
+
+def _bits_reach(threshold: int) -> str:
+    """SQL for whether x and y can reach the threshold by their bitmaps: x lacks the bits that only y has, and so its shingles."""
+    lacks = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count({} & ~{})), 0, (s, e) -> s + e)"
+    common = f"least(x.n_shingles - {lacks.format('p', 'q')}, y.n_shingles - {lacks.format('q', 'p')})"
+    return f"100 * {common} >= {threshold} * (x.n_shingles + y.n_shingles - {common})"
+
+
 def _compare(threshold: int, miss: float):
     """Sequential comparison of signatures; columns a, b, n_a, n_b, sig_a, sig_b to a, b, matches."""
 
@@ -117,7 +152,7 @@ def _compare(threshold: int, miss: float):
         for batch in batches:
             n = batch.num_rows
             na, nb = (np.asarray(batch.column(k)) for k in (2, 3))
-            left, right = (words.text_bytes(batch.column(k))[0].view(np.uint16).reshape(n, width) for k in (4, 5))
+            left, right = _minima(batch.column(4)), _minima(batch.column(5))
             live = np.flatnonzero(100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb))
             matches = np.zeros(n, np.int64)
             for done in range(0, width, BATCH):
@@ -174,12 +209,6 @@ def _own_counts(texts: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last")).filter("id = last").groupBy("id").agg(F.count("*").alias("own"))
 
 
-def _labelled(df: DataFrame, groups: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``label_<column>``: the component of a node, which is itself where it has no link yet."""
-    own = groups.select(F.col("node").alias(column), F.col("component").alias("__label"))
-    return df.join(own, column, "left").withColumn(f"label_{column}", F.coalesce("__label", column)).drop("__label")
-
-
 class _Verifier:
     """Links among candidate pairs of class representatives."""
 
@@ -200,6 +229,15 @@ class _Verifier:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return written(both.mapInArrow(_verify(self.threshold, self.size), "a long, b long"), f"neardup-{name}-links")
 
+    def settled(self, pairs: DataFrame, groups: DataFrame | None, name: str) -> DataFrame:
+        """Components after the links among ``pairs`` (a, b, matches): each document's best pair first, then what is still apart."""
+        ends = pairs.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("end"))
+        best = ends.groupBy("end").agg(F.max(F.struct("matches", "a", "b")).alias("one")).select(F.col("one.a").alias("a"), F.col("one.b").alias("b")).distinct()
+        links = self.links(best, f"{name}-best")
+        groups = components(links, f"neardup-{name}-best") if groups is None else extended(groups, links, f"neardup-{name}-best")
+        apart = labelled(labelled(pairs.select("a", "b"), groups, "a"), groups, "b").filter("label_a <> label_b").select("a", "b").join(best, ["a", "b"], "left_anti")
+        return extended(groups, self.links(apart, f"{name}-apart"), f"neardup-{name}-apart")
+
 
 def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int = SHINGLE, miss_probability: float = MISS_PROBABILITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept``.
@@ -214,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int =
     profile = written(base.mapInArrow(_profile(size), _PROFILE), "neardup-profile")
     classes = profile.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     members = written(profile.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n_shingles", "rep"), "neardup-members")
-    reps = profile.join(classes, ["d1", "d2"]).filter("id = rep").select("id", "n_shingles", "sig", "bands")
+    reps = profile.join(classes, ["d1", "d2"]).filter("id = rep").select("id", "n_shingles", "sig", "bits", "bands")
     reps = written(reps, "neardup-reps")
 
     every = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -229,36 +267,37 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int =
         common = F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared"))
         return 100 * common >= threshold * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - common)
 
-    hub = F.min_by(F.struct("id", "n_shingles", "shared"), F.xxhash64("key", "id")).alias("hub")
+    # by even bands the member with the smallest share of shingles of its own, by odd bands any: the one is near to most members
+    # of a group of edits of one original, the others differ from bucket to bucket
+    chance = F.xxhash64("key", "id").cast("double") / float(1 << 63)
+    rank = F.when(F.col("band") % 2 == 0, F.col("n_shingles") - F.col("shared") + F.xxhash64("id").cast("double") / float(1 << 64)).otherwise(chance)
+    hub = F.min_by(F.struct("id", "n_shingles", "shared"), rank).alias("hub")
     hubs = able.groupBy("key").agg(F.count("*").alias("c"), hub).filter("c > 1").select("key", "hub.*")
     x, y = able.alias("x"), hubs.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & reach("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     found = written(verifier.survivors(pairs.distinct()), "neardup-found")
-    ends = found.select("a", "b", "matches", F.explode(F.array("a", "b")).alias("end"))
-    top = ends.groupBy("end").agg(F.max(F.struct("matches", "a", "b")).alias("one")).select(F.col("one.a").alias("a"), F.col("one.b").alias("b")).distinct()
-    links = verifier.links(top, "first")
-    groups = components(links, "neardup-first")
-    open_pairs = _labelled(_labelled(found.select("a", "b"), groups, "a"), groups, "b").filter("label_a <> label_b").select("a", "b").join(top, ["a", "b"], "left_anti")
-    links = links.unionByName(verifier.links(open_pairs, "second"))
-    groups = components(links, "neardup-second")
-
-    labelled = written(_labelled(able, groups, "id"), "neardup-labelled")
-    sizes = labelled.groupBy("key", "label_id").agg(F.count("*").alias("c"))
-    open_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label_id", "c").alias("largest")).filter("groups > 1").select("key", "largest")
-    members_left = written(labelled.join(open_, "key").join(reps.select("id", "bands"), "id"), "neardup-open")
+    groups = verifier.settled(found, None, "hubs")
+
+    def open_members(groups: DataFrame) -> DataFrame:
+        """Rows of ``able`` in buckets with more than one component, with their component and the bucket's largest."""
+        placed = written(labelled(able, groups, "id"), "neardup-placed")
+        sizes = placed.groupBy("key", "label_id").agg(F.count("*").alias("c"))
+        open_ = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("label_id", "c").alias("largest")).filter("groups > 1").select("key", "largest")
+        return written(placed.join(open_, "key").join(reps.select("id", "bands", "sig", "bits"), "id"), "neardup-open")
+
+    likely = F.lit(True)
+    for longs in (PACKED // 4, PACKED // 2, PACKED):  # batch after batch, as the comparison of hub pairs
+        seen = min(longs * LANES, BANDS * ROWS)
+        likely = likely & F.expr(f"{agreeing('x.sig', 'y.sig', longs)} >= {least_matches(seen, threshold, miss_probability)}")
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.expr(agreeing("x.sig", "y.sig", PACKED)).alias("matches")]
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label_id") != F.col("y.label_id")) & reach("x", "y")
+
+    members_left = open_members(groups)
     x, y = members_left.filter("label_id <> largest").alias("x"), members_left.alias("y")
     first_shared_band = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
-    across = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.label_id") != F.col("y.label_id"))
-        & ((F.col("y.label_id") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id")))
-        & reach("x", "y")
-        & first_shared_band,
-    ).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    across = across.distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
-    more = verifier.links(verifier.survivors(across), "rest")
-    final = components(links.unionByName(more), "neardup-final")
+    either = (F.col("y.label_id") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    across = written(x.join(y, apart & either & first_shared_band & F.expr(_bits_reach(threshold)) & likely).select(*pair).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "neardup-across")
+    final = verifier.settled(across, groups, "rest")
     return (
         members.join(final, members["rep"] == final["node"], "left")
         .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
