@@ -3,12 +3,464 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tieout.functions import columns as C
+from tieout.operators import checks, matching
+from tieout.plans import derive
+from tieout.session import cut
+
+DAYS, PERMILLE, TEXT, GROUP = 3, 850, 256, 4
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, ",")
+
+
+def _side(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view with the columns that the operators may read."""
+    df = derive.spark_view(spark, sf_dir, name)
+    nothing = F.lit(None).cast("string")
+    text = C.comparison_text(F.col("reference"), F.col("description"), nothing, nothing, TEXT, ascii_only=True)
+    empty = {n: nothing.alias(n) for n in ("payee", "memo", "transaction_code", "category")}
+    return df.select("*", text.alias("text"), F.lit(None).cast("date").alias("value_date"), *empty.values())
+
+
+class Cascade:
+    """The tiers in order over the derived views.
+
+    Every tier reads what the one before left over, so frames that several readers need are cut from their lineage; each is
+    computed when it is first asked for, and once.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def left(self) -> DataFrame:
+        return cut(_side(self.spark, self.sf_dir, "bank"), "left")
+
+    @cached_property
+    def right(self) -> DataFrame:
+        return cut(_side(self.spark, self.sf_dir, "ledger"), "right")
+
+    @cached_property
+    def strong_groups(self) -> DataFrame:
+        return cut(matching.strong(self.left, self.right), "strong")
+
+    @cached_property
+    def strong(self) -> DataFrame:
+        return matching.unique_pairs(self.strong_groups, "strongID")
+
+    @cached_property
+    def rest1(self) -> tuple[DataFrame, DataFrame]:
+        return self._less((self.left, self.right), self.strong, "rest1")
+
+    @cached_property
+    def composite_groups(self) -> DataFrame:
+        return cut(matching.composite(*self.rest1), "composite")
+
+    @cached_property
+    def composite(self) -> DataFrame:
+        return matching.unique_pairs(self.composite_groups, "exactComposite")
+
+    @cached_property
+    def rest2(self) -> tuple[DataFrame, DataFrame]:
+        return self._less(self.rest1, self.composite, "rest2")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return cut(matching.fuzzy_candidates(*self.rest2, DAYS, PERMILLE), "candidates")
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        return cut(matching.ranked(self.candidates), "ranks")
+
+    @cached_property
+    def fuzzy(self) -> DataFrame:
+        return matching.mutual_best(self.ranks)
+
+    @cached_property
+    def rest3(self) -> tuple[DataFrame, DataFrame]:
+        return self._less(self.rest2, self.fuzzy, "rest3")
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self.strong, self.composite, self.fuzzy))
+
+    @staticmethod
+    def _less(sides: tuple[DataFrame, DataFrame], matches: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(cut(matching.without(df, matches, f"{s}_locator"), f"{name}-{s}") for df, s in zip(sides, ("left", "right"), strict=True))
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        return cut(matching.split_merge(*self.rest3, DAYS, GROUP), "splits")
+
+    def unpaired(self, side: str) -> DataFrame:
+        """Unmatched rows of a side that no split or merge candidate has."""
+        df = self.rest3[side == "right"]
+        held = self.splits.select(F.explode(f"{side}_locators").alias("held")).distinct()
+        return df.join(held, df["locator"] == F.col("held"), "left_anti")
+
+    def exceptions(self) -> DataFrame:
+        """``kind`` of every exception that matching raises."""
+        many = lambda g: g.filter("n_l > 1 or n_r > 1").select(F.lit("ambiguousCandidate").alias("kind"))
+        of = lambda df, k: df.select(F.lit(k).alias("kind"))
+        parts = [
+            of(checks.duplicates(self.left), "duplicateInLeft"), of(checks.duplicates(self.right), "duplicateInRight"), many(self.strong_groups), many(self.composite_groups),
+            of(matching.fuzzy_ties(self.ranks), "ambiguousCandidate"), matching.mutations(self.matches, self.left, self.right).select("kind"), of(self.splits, "possibleSplitOrMerge"),
+            of(matching.cross_partition(*self.rest3), "currencyOrAccountMismatch"), of(self.unpaired("left"), "missingFromLedger"), of(self.unpaired("right"), "unexpectedLedgerItem"),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+
+# ---- the same tiers in DuckDB ----
+
+_CASCADE = [
+    ("l0", "select *, trim(regexp_replace(lower(concat_ws(' ', reference, description)), '[^a-z0-9]+', ' ', 'g')) txt from bank"),
+    ("r0", "select *, trim(regexp_replace(lower(concat_ws(' ', reference, description)), '[^a-z0-9]+', ' ', 'g')) txt from ledger"),
+    ("sk", """select account, currency, strong_id, count(*) filter (s='l') n_l, count(*) filter (s='r') n_r, min(locator) filter (s='l') l, min(locator) filter (s='r') r
+ from (select 'l' s, * from l0 union all by name select 'r' s, * from r0) where strong_id is not null group by all having n_l>0 and n_r>0"""),
+    ("strong", "select l, r from sk where n_l=1 and n_r=1"),
+    ("l1", "select * from l0 where locator not in (select l from strong)"),
+    ("r1", "select * from r0 where locator not in (select r from strong)"),
+    ("ck", """select account, currency, booking_date, amount, reference, count(*) filter (s='l') n_l, count(*) filter (s='r') n_r, min(locator) filter (s='l') l, min(locator) filter (s='r') r
+ from (select 'l' s, * from l1 union all by name select 'r' s, * from r1) where reference is not null group by all having n_l>0 and n_r>0"""),
+    ("composite", "select l, r from ck where n_l=1 and n_r=1"),
+    ("l2", "select * from l1 where locator not in (select l from composite)"),
+    ("r2", "select * from r1 where locator not in (select r from composite)"),
+    ("fc", f"""select * from (select a.locator l, b.locator r, abs(date_diff('day', a.booking_date, b.booking_date)) as days,
+ case when a.txt=b.txt then 1000 else (greatest(length(a.txt),length(b.txt))-levenshtein(a.txt,b.txt))*1000//greatest(length(a.txt),length(b.txt)) end permille
+ from l2 a join r2 b on a.account=b.account and a.currency=b.currency and a.amount=b.amount
+ where abs(date_diff('day', a.booking_date, b.booking_date))<={DAYS} and (a.strong_id is null or b.strong_id is null or a.strong_id=b.strong_id)) where permille>={PERMILLE}"""),
+    ("fr", """select *, rank() over (partition by l order by permille desc, days) lr, count(*) over (partition by l, permille, days) lt,
+ rank() over (partition by r order by permille desc, days) rr, count(*) over (partition by r, permille, days) rt from fc"""),
+    ("fuzzy", "select l, r from fr where lr=1 and lt=1 and rr=1 and rt=1"),
+    ("l3", "select * from l2 where locator not in (select l from fuzzy)"),
+    ("r3", "select * from r2 where locator not in (select r from fuzzy)"),
+    ("matches", "select l, r, 'strongID' kind from strong union all select l, r, 'exactComposite' from composite union all select l, r, 'fuzzy' from fuzzy"),
+    ("el", f"""select 'l' side, s.locator s, s.amount whole, c.locator c, c.amount a from l3 s join r3 c on s.account=c.account and s.currency=c.currency and (s.amount>0)=(c.amount>0)
+ and abs(date_diff('day', s.booking_date, c.booking_date))<={DAYS} where s.amount<>0
+ union all select 'r', s.locator, s.amount, c.locator, c.amount from r3 s join l3 c on s.account=c.account and s.currency=c.currency and (s.amount>0)=(c.amount>0)
+ and abs(date_diff('day', s.booking_date, c.booking_date))<={DAYS} where s.amount<>0"""),
+    ("e2", "select x.side, x.s, x.whole, [x.c, y.c] p, y.c last, x.a+y.a t from el x join el y on x.side=y.side and x.s=y.s and y.c>x.c"),
+    ("e3", "select x.side, x.s, x.whole, list_append(x.p, y.c) p, y.c last, x.t+y.a t from e2 x join el y on x.side=y.side and x.s=y.s and y.c>x.last"),
+    ("e4", "select x.side, x.s, x.whole, list_append(x.p, y.c) p, y.c last, x.t+y.a t from e3 x join el y on x.side=y.side and x.s=y.s and y.c>x.last"),
+    ("splits", """select distinct case when side='l' then s else array_to_string(list_sort(p), ',') end left_locators, case when side='l' then array_to_string(list_sort(p), ',') else s end right_locators
+ from (select side, s, p from e2 where t=whole union all select side, s, p from e3 where t=whole union all select side, s, p from e4 where t=whole)"""),
+    ("split_l", "select distinct unnest(string_split(left_locators, ',')) x from splits"),
+    ("split_r", "select distinct unnest(string_split(right_locators, ',')) x from splits"),
+    ("miss", "select * from l3 where locator not in (select x from split_l)"),
+    ("unexp", "select * from r3 where locator not in (select x from split_r)"),
+    ("mut", """select m.l, m.r, unnest(list_filter([case when a.amount<>b.amount then 'amountChanged' end, case when a.booking_date<>b.booking_date then 'dateChanged' end,
+ case when a.strong_id is distinct from b.strong_id or a.reference is distinct from b.reference or a.description is distinct from b.description then 'descriptionOrReferenceChanged' end,
+ case when a.cleared_status is distinct from b.cleared_status then 'statusOrCategoryChanged' end], lambda x: x is not null)) kind
+ from matches m join l0 a on a.locator=m.l join r0 b on b.locator=m.r"""),
+    ("dup", """select side, account, currency, count(*) n, string_agg(locator, ',' order by locator) locators from (select 'l' side, * from l0 union all by name select 'r' side, * from r0)
+ group by side, account, currency, strong_id, case when strong_id is null then booking_date end, case when strong_id is null then amount end, case when strong_id is null then reference end,
+ case when strong_id is null then description end having count(*)>1"""),
+    ("xp", """select a.strong_id, a.locs left_locators, b.locs right_locators from
+ (select strong_id, string_agg(locator, ',' order by locator) locs, list(distinct account||'|'||currency) ps from l3 where strong_id is not null group by 1) a join
+ (select strong_id, string_agg(locator, ',' order by locator) locs, list(distinct account||'|'||currency) ps from r3 where strong_id is not null group by 1) b using (strong_id) where not list_has_any(a.ps, b.ps)"""),
+    ("ex", """select 'duplicateInLeft' kind from dup where side='l' union all select 'duplicateInRight' from dup where side='r' union all select 'ambiguousCandidate' from sk where n_l>1 or n_r>1
+ union all select 'ambiguousCandidate' from ck where n_l>1 or n_r>1 union all (select 'ambiguousCandidate' from fr where lr=1 and lt>1 group by l) union all (select 'ambiguousCandidate' from fr where rr=1 and rt>1 group by r)
+ union all select kind from mut union all select 'possibleSplitOrMerge' from splits union all select 'currencyOrAccountMismatch' from xp union all select 'missingFromLedger' from miss union all select 'unexpectedLedgerItem' from unexp"""),
+    ("op", "select account, currency, min(amount) opening from balances where kind='opening' group by all having count(*)=1"),
+    ("pp", """select coalesce(a.account, b.account) account, coalesce(a.currency, b.currency) currency, coalesce(activity, 0) activity, coalesce(no, 0) no, coalesce(nc, 0) nc, o, c, od, cd
+ from (select account, currency, sum(amount) activity from bank group by all) a full join (select account, currency, count(*) filter (kind='opening') no, count(*) filter (kind='closing') nc,
+ min(amount) filter (kind='opening') o, min(amount) filter (kind='closing') c, min(date) filter (kind='opening') od, min(date) filter (kind='closing') cd from balances group by all) b
+ on a.account=b.account and a.currency=b.currency"""),
+]
+
+
+def _sql(select: str) -> str:
+    return derive.duck_ctes(*_CASCADE) + select
+
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _register(name: str, sql: str | None, cascade: bool = True):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = _sql(sql) if cascade else sql
+        return f
+
+    return add
+
+
+@_register("partition_totals", """select coalesce(a.account,b.account) account, coalesce(a.currency,b.currency) currency, cast(coalesce(l,0) as bigint) left_total, cast(coalesce(r,0) as bigint) right_total,
+ cast(coalesce(l,0)-coalesce(r,0) as bigint) difference from (select account, currency, sum(amount) l from bank group by all) a full join (select account, currency, sum(amount) r from ledger group by all) b
+ on a.account=b.account and a.currency=b.currency""")
+def partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = checks.partition_totals(*(derive.spark_view(spark, sf_dir, n) for n in ("bank", "ledger")))
+    return totals.select("account", "currency", F.col("left").alias("left_total"), F.col("right").alias("right_total"), "difference")
+
+
+@_register("duplicates_left", "select account, currency, n, locators from dup where side='l'")
+def duplicates_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.duplicates(_side(spark, sf_dir, "bank")).select("account", "currency", "n", _joined("locators").alias("locators"))
+
+
+def _pairs(tier: str) -> Query:
+    return lambda spark, sf_dir: getattr(Cascade(spark, sf_dir), tier).select("left_locator", "right_locator")
+
+
+for _name, _tier in (("match_strong", "strong"), ("match_composite", "composite"), ("match_fuzzy", "fuzzy")):
+    _register(_name, f"select l left_locator, r right_locator from {_tier}")(_pairs(_tier))
+
+
+@_register("ambiguous_strong", """select account, currency, strong_id, (select string_agg(locator, ',' order by locator) from l0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) left_locators,
+ (select string_agg(locator, ',' order by locator) from r0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) right_locators from sk where n_l>1 or n_r>1""")
+def ambiguous_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    found = matching.ambiguous(c.strong_groups, c.left, c.right, matching.STRONG_KEY, "strong_id")
+    return found.select("account", "currency", "strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
+
+
+@_register("ambiguous_composite", """select account, currency, booking_date, amount, reference, n_l, n_r, l left_locator, r right_locator from ck where n_l>1 or n_r>1""")
+def ambiguous_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).composite_groups.filter("n_l > 1 or n_r > 1")
+
+
+@_register("fuzzy_candidates", "select l left_locator, r right_locator, cast(permille as bigint) permille, days from fc")
+def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).candidates
+
+
+@_register("ambiguous_fuzzy", """select 'left' side, l locator, string_agg(r, ',' order by r) candidates from fr where lr=1 and lt>1 group by l union all select 'right', r, string_agg(l, ',' order by l) from fr where rr=1 and rt>1 group by r""")
+def ambiguous_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.fuzzy_ties(Cascade(spark, sf_dir).ranks).select("side", "locator", _joined("candidates").alias("candidates"))
+
+
+@_register("mutations", "select l left_locator, r right_locator, kind from mut")
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    return matching.mutations(c.matches, c.left, c.right)
+
+
+@_register("split_merge", "select left_locators, right_locators from splits")
+def split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).splits.select(_joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
+
+
+@_register("split_merge_budget", """select cast(coalesce(sum(n*(n-1)/2 + case when n>=3 then n*(n-1)*(n-2)/6 else 0 end + case when n>=4 then n*(n-1)*(n-2)*(n-3)/24 else 0 end),0) as bigint) evaluations
+ from (select side, s, count(*) n from el group by all having count(*)>=2)""")
+def split_merge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    return matching.split_merge_evaluations(*c.rest3, DAYS, GROUP)
+
+
+@_register("cross_partition_ids", "select strong_id, left_locators, right_locators from xp")
+def cross_partition_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    return matching.cross_partition(*c.rest3).select("strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
+
+
+@_register("missing_rows", "select locator, account, currency, amount from miss")
+def missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).unpaired("left").select("locator", "account", "currency", "amount")
+
+
+@_register("unexpected_rows", "select locator, account, currency, amount from unexp")
+def unexpected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).unpaired("right").select("locator", "account", "currency", "amount")
+
+
+@_register("running_balance_breaks", """select account, currency, locator, cast(expected as bigint) expected, running_balance as found from (
+ select w.*, coalesce(w.prev_rb, op.opening) + w.cum - coalesce(w.prev_cum, 0) expected from (
+ select *, last_value(case when running_balance is not null then running_balance end ignore nulls) over b prev_rb, last_value(case when running_balance is not null then cum end ignore nulls) over b prev_cum from
+ (select *, sum(amount) over (partition by account, currency order by booking_date, source_ordinal, locator rows unbounded preceding) cum from bank_rb)
+ window b as (partition by account, currency order by booking_date, source_ordinal, locator rows between unbounded preceding and 1 preceding)) w
+ left join op on op.account=w.account and op.currency=w.currency) where running_balance is not null and expected<>running_balance""")
+def running_balance_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, balances = (derive.spark_view(spark, sf_dir, n) for n in ("bank_rb", "balances"))
+    return checks.running_balance_breaks(rows, balances).select("account", "currency", "locator", "expected", "found")
+
+
+@_register("statement_arithmetic", """select account, currency, case when reason='sum' then 'balanceDifference' else 'periodGapOrOverlap' end kind, reason from (
+ select *, case when no<>1 or nc<>1 then 'count' when od<>date '1995-01-01' or cd<>date '2001-12-31' then 'dates' when o+activity<>c then 'sum' end reason from pp) where reason is not null""")
+def statement_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, balances = (derive.spark_view(spark, sf_dir, n) for n in ("bank", "balances"))
+    return checks.statement_arithmetic(rows, balances, derive.START, derive.END).select("account", "currency", "kind", "reason")
+
+
+@_register("statement_totals", """select account, currency, cast(case when no=1 then o else 0 end + activity as bigint) left_total, cast(case when nc=1 then c else 0 end as bigint) right_total,
+ cast(case when no=1 then o else 0 end + activity - case when nc=1 then c else 0 end as bigint) difference from pp""")
+def statement_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, balances = (derive.spark_view(spark, sf_dir, n) for n in ("bank", "balances"))
+    return checks.statement_totals(rows, balances).select("account", "currency", F.col("left").alias("left_total"), F.col("right").alias("right_total"), "difference")
+
+
+@_register("balance_comparison", """select account, currency, kind, case when coalesce(ln,0)>1 or coalesce(rn,0)>1 then 'periodGapOrOverlap' else 'balanceDifference' end outcome from (
+ select coalesce(a.account,b.account) account, coalesce(a.currency,b.currency) currency, coalesce(a.kind,b.kind) kind, a.n ln, b.n rn, a.amount la, b.amount ra, a.d ld, b.d rd from
+ (select account, currency, kind, count(*) n, min(amount) amount, min(date) d from balances group by all) a full join (select account, currency, kind, count(*) n, min(amount) amount, min(date) d from other_balances group by all) b
+ on a.account=b.account and a.currency=b.currency and a.kind=b.kind) where coalesce(ln,0)>1 or coalesce(rn,0)>1 or la is distinct from ra or ld is distinct from rd""")
+def balance_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.balance_comparison(*(derive.spark_view(spark, sf_dir, n) for n in ("balances", "other_balances"))).select("account", "currency", "kind", "outcome")
+
+
+@_register("validation_report", """select 'locators_unique' "check", count(*)-count(distinct locator) violations from bank union all select 'ordinals_unique', count(*)-count(distinct source_ordinal) from bank
+ union all select 'rows_in_period', count(*) filter (booking_date not between date '1995-01-01' and date '2001-12-31') from bank union all select 'locators_not_blank', count(*) filter (trim(locator)='') from bank
+ union all select 'accounts_not_blank', count(*) filter (trim(account)='') from bank union all select 'ordinals_not_negative', count(*) filter (source_ordinal<0) from bank
+ union all select 'balance_locators_unique', count(*)-count(distinct locator) from balances union all select 'balances_in_period', count(*) filter (date not between date '1995-01-01' and date '2001-12-31') from balances""")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.validation(*(derive.spark_view(spark, sf_dir, n) for n in ("bank", "balances")), derive.START, derive.END)
+
+
+def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _side(spark, sf_dir, "bank")
+    names = ("locator", "source_ordinal", "account", "currency", "booking_date", "value_date", "amount", "strong_id", "reference", "payee", "description", "memo", "transaction_code", "cleared_status", "category")
+    cols = {n: df[n] for n in names} | {"source_id": F.lit("source-x"), "running_balance": F.lit(None).cast("decimal(25,6)"), "original_values": F.create_map(F.lit("column:0"), F.col("locator")), "derived_fields": F.array(F.lit("currency"), F.lit("account"))}
+    cols["amount"] = (df["amount"].cast("decimal(25,6)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(25,6)")
+    return df.select("locator", C.fingerprint(cols).alias("fingerprint"))
+
+
+_FIELD = "strlen(coalesce(cast({0} as varchar),'<nil>'))||':'||coalesce(cast({0} as varchar),'<nil>')"
+_PARTS = ["'source-x'", "locator", "source_ordinal", "account", "currency", "booking_date", "null", "amt", "null", "strong_id", "reference", "null", "description", "null", "null", "cleared_status", "null", "orig", "'account'||chr(31)||'currency'"]
+_FP = " || '|' || ".join(_FIELD.format(p) for p in _PARTS)
+_FP_SQL = f"select locator, sha256({_FP}) fingerprint from (select *, regexp_replace(regexp_replace(cast(amount // 100 as varchar) || '.' || lpad(cast(amount % 100 as varchar), 2, '0'), '0+$', ''), '\\.$', '') amt, strlen('column:0')||':column:0'||strlen(locator)||':'||locator orig from bank)"
+_register("fingerprints", _FP_SQL)(_fingerprinted)
+
+
+@_register("exception_keys", "select locator, sha256('missingFromLedger|'||locator||'|||No ledger row') exception_key from miss")
+def exception_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return Cascade(spark, sf_dir).unpaired("left").select("locator", C.exception_key(F.lit("missingFromLedger"), F.array("locator"), none, none, F.lit("No ledger row")).alias("exception_key"))
+
+
+@_register("exceptions_summary", "select kind, count(*) n from ex group by 1")
+def exceptions_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Cascade(spark, sf_dir).exceptions().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_register("result_state", """select case when count(*) filter (kind in ('invalidRow','periodGapOrOverlap','ambiguousCandidate'))>0 then 'cannotConclude' when count(*)=0 then 'reconciled' else 'differenceFound' end state, count(*) exceptions,
+ (select count(*) from matches) matches from ex""")
+def result_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    open_ = F.count_if(F.col("kind").isin("invalidRow", "periodGapOrOverlap", "ambiguousCandidate"))
+    state = F.when(open_ > 0, "cannotConclude").when(F.count("*") == 0, "reconciled").otherwise("differenceFound")
+    return c.exceptions().agg(state.alias("state"), F.count("*").alias("exceptions")).crossJoin(c.matches.agg(F.count("*").alias("matches")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Matches and exceptions by kind: the whole cascade."""
+    c = Cascade(spark, sf_dir)
+    return c.matches.select("kind").unionByName(c.exceptions()).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+QUERIES["reconcile_summary"] = flagship
+ORACLE_SQL["reconcile_summary"] = _sql("select kind, count(*) n from (select kind from matches union all select kind from ex) group by 1")
+
+
+@_register("comparison_rows", """select m.l left_locator, m.r right_locator, m.kind, a.amount left_amount, b.amount right_amount, a.description left_text, b.description right_text from matches m join l0 a on a.locator=m.l join r0 b on b.locator=m.r
+ union all select locator, null, 'missingFromLedger', amount, null, description, null from miss union all select null, locator, 'unexpectedLedgerItem', null, amount, null, description from unexp""")
+def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Cascade(spark, sf_dir)
+    one = lambda side, kind: c.unpaired(side).select(*[(F.col("locator") if s == side else F.lit(None)).cast("string").alias(f"{s}_locator") for s in ("left", "right")], F.lit(kind).alias("kind"))
+    shown = c.matches.unionByName(one("left", "missingFromLedger")).unionByName(one("right", "unexpectedLedgerItem"))
+    l, r = (df.select(F.col("locator").alias(f"{s}_locator"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text")) for df, s in ((c.left, "left"), (c.right, "right")))
+    return shown.join(l, "left_locator", "left").join(r, "right_locator", "left").select("left_locator", "right_locator", "kind", "left_amount", "right_amount", "left_text", "right_text")
+
+
+@_register("report_rows", """select 'match' section, kind, l left_key, r right_key, '"'||replace(l, '"', '""')||'","'||replace(r, '"', '""')||'"' line from matches
+ union all select 'total', 'sourceActivityComparison', account, currency, '"'||account||'","'||currency||'"' from bank group by account, currency""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    c = Cascade(spark, sf_dir)
+    pairs = c.matches.select(F.lit("match").alias("section"), "kind", F.col("left_locator").alias("left_key"), F.col("right_locator").alias("right_key"))
+    totals = c.left.select(F.lit("total").alias("section"), F.lit("sourceActivityComparison").alias("kind"), F.col("account").alias("left_key"), F.col("currency").alias("right_key")).distinct()
+    return pairs.unionByName(totals).withColumn("line", F.concat(quote("left_key"), F.lit(","), quote("right_key")))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.col("o_orderdate").cast("date").alias("d"))
+
+
+@_register("amount_parse", """with t as (select o_orderkey k, cast(round(o_totalprice*100) as bigint) c from orders), x as (select k, case k%5 when 0 then (c//100)||'.'||lpad((c%100)::varchar,2,'0') when 1 then '-'||(c//100)||'.5' when 2 then (c//100)||'e3' when 3 then ' '||(c//100) else '+'||(c//100) end raw, c from t)
+ select k, raw, case k%5 when 0 then regexp_replace(regexp_replace((c//100)||'.'||lpad((c%100)::varchar,2,'0'),'0+$',''),'\\.$','') when 1 then raw when 4 then (c//100)::varchar end amount_text from x""", cascade=False)
+def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, whole = _orders(spark, sf_dir), F.expr("cast(cents div 100 as string)")
+    kind = F.col("k") % 5
+    raw = F.when(kind == 0, F.concat(whole, F.lit("."), F.lpad(F.expr("cast(cents % 100 as string)"), 2, "0"))).when(kind == 1, F.concat(F.lit("-"), whole, F.lit(".5"))).when(kind == 2, F.concat(whole, F.lit("e3"))).when(kind == 3, F.concat(F.lit(" "), whole)).otherwise(F.concat(F.lit("+"), whole))
+    return o.select("k", raw.alias("raw")).withColumn("amount_text", C.amount_text(C.amount(F.col("raw"))))
+
+
+@_register("date_parse", """select o_orderkey k, case when o_orderkey%7=0 then null else cast(o_orderdate as date) end iso, case when o_orderkey%7=1 then null else cast(o_orderdate as date) end dmy, cast(o_orderdate as date) lenient from orders""", cascade=False)
+def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _orders(spark, sf_dir)
+    iso = F.when(F.col("k") % 7 == 0, F.date_format("d", "yyyy-M-d-")).otherwise(F.date_format("d", "yyyy-MM-dd"))
+    dmy = F.when(F.col("k") % 7 == 1, F.date_format("d", "'x'dd/MM/yyyy")).otherwise(F.date_format("d", "dd/MM/yyyy"))
+    return o.select("k", C.iso_date(iso).alias("iso"), C.delimited_date(dmy, "dmy").alias("dmy"), C.lenient_date(F.date_format("d", "M/d/yy"), "mdy").alias("lenient"))
+
+
+@_register("excel_date", "select o_orderkey k, case when o_orderkey%90000=60 or o_orderkey%90000=0 then null else date '1899-12-31' + cast(o_orderkey%90000 - case when o_orderkey%90000>60 then 1 else 0 end as integer) end d1900, date '1904-01-01' + cast(o_orderkey%90000 as integer) d1904 from orders", cascade=False)
+def excel_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    serial = F.col("k") % 90000
+    return _orders(spark, sf_dir).select("k", C.excel_date(serial).alias("d1900"), C.excel_date(serial, True).alias("d1904"))
+
+
+@_register("implied_amount", """select o_orderkey k, c, case c when 'JPY' then cast(v as varchar) when 'KWD' then regexp_replace(regexp_replace((v//1000)||'.'||lpad((v%1000)::varchar,3,'0'),'0+$',''),'\\.$','') else regexp_replace(regexp_replace((v//100)||'.'||lpad((v%100)::varchar,2,'0'),'0+$',''),'\\.$','') end amount_text
+ from (select *, cast(round(o_totalprice*100) as bigint) v, case o_orderkey%3 when 0 then 'JPY' when 1 then 'KWD' else 'USD' end c from orders)""", cascade=False)
+def implied_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("k") % 3 == 0, "JPY").when(F.col("k") % 3 == 1, "KWD").otherwise("USD")
+    return _orders(spark, sf_dir).withColumn("c", c).select("k", "c", C.amount_text(C.implied_amount(F.col("cents").cast("string"), F.col("c"))).alias("amount_text"))
+
+
+@_register("signed_amount", """select o_orderkey k, case when o_orderkey%5=4 then null else cast(round(o_totalprice*100) as bigint) * case when o_orderkey%2=0 then 1 else -1 end * case when o_orderkey%3=0 then -1 else 1 end end signed_cents from orders""", cascade=False)
+def signed_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ind = F.when(F.col("k") % 5 == 4, "XXXX").when(F.col("k") % 2 == 0, "CRDT").otherwise("DBIT")
+    return _orders(spark, sf_dir).select("k", C.signed(F.col("cents"), ind, F.col("k") % 3 == 0).alias("signed_cents"))
+
+
+@_register("control_totals", """select level, g, cast(sum(c) as bigint) total, count(*) records from (select l_orderkey, o_custkey, cast(round(l_extendedprice*100) as bigint) c from lineitem join orders on l_orderkey=o_orderkey) t,
+ (values ('account'),('group'),('file')) v(level), lateral (select case level when 'account' then l_orderkey when 'group' then o_custkey end g) group by all""", cascade=False)
+def control_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and record counts of three nested levels in one rollup: account (order) in group (customer) in file."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    rolled = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).rollup("o_custkey", "l_orderkey").agg(F.sum("c").alias("total"), F.count("*").alias("records"), F.grouping_id().alias("gid"))
+    level = F.when(F.col("gid") == 0, "account").when(F.col("gid") == 1, "group").otherwise("file")
+    return rolled.select(level.alias("level"), F.when(F.col("gid") == 0, F.col("l_orderkey")).when(F.col("gid") == 1, F.col("o_custkey")).alias("g"), "total", "records")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.element_at(F.array(*[F.lit(x) for x in ("_bank", "_ledger", "_statement", "_old", "_new", "")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".csv", ".OFX", ".sta", ".bai2", ".txt")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("f"), F.expr("o_orderkey div 2").cast("string"), role, suffix).alias("filename"))
+
+
+_NAMES_SQL = "select 'f'||(o_orderkey//2)||['_bank','_ledger','_statement','_old','_new',''][o_orderkey%6+1]||['.csv','.OFX','.sta','.bai2','.txt'][o_orderkey%5+1] filename from orders"
+
+
+@_register("format_detect", f"""select filename, case lower(regexp_extract(filename,'\\.([^.]*)$',1)) when 'csv' then 'csv' when 'ofx' then 'ofx' when 'sta' then 'mt940' when 'bai2' then 'bai2' end format from ({_NAMES_SQL})""", cascade=False)
+def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.sources.detect import format_by_name
+
+    return _names(spark, sf_dir).select("filename", format_by_name(F.col("filename")).alias("format"))
+
+
+@_register("batch_pairing", f"""select base, case when roles in ('bank,ledger') then 'bankVsLedger' when roles='newerExport,olderExport' then 'exportVsExport' when roles='statement' then 'singleStatement' else 'unassigned' end mode, files from (
+ select base, string_agg(role, ',' order by role) roles, string_agg(filename, ',' order by filename) files from (select filename, case when s='' then regexp_replace(filename,'\\.[^.]*$','') else regexp_replace(filename,'_[a-z]+\\.[^.]*$','') end base,
+ case s when 'bank' then 'bank' when 'ledger' then 'ledger' when 'statement' then 'statement' when 'old' then 'olderExport' when 'new' then 'newerExport' else 'none' end as role from (select filename, regexp_extract(filename,'_([a-z]+)\\.[^.]*$',1) s from ({_NAMES_SQL}))) group by base)""", cascade=False)
+def batch_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.sources.batch import paired
+
+    return paired(_names(spark, sf_dir)).select("base", "mode", _joined("files").alias("files"))
+
+
+@_register("revision_chain", """select user_id, event_id, case when rn<>rev then 'gap' end problem from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) rn,
+ row_number() over (partition by user_id order by ts, event_id) + case when event_id%97=0 then 1 else 0 end rev from events) where rn<>rev""", cascade=False)
+def revision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.operators.revisions import broken_revisions
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    revised = e.select("user_id", "event_id", "ts", (n + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).alias("revision"))
+    return broken_revisions(revised, "user_id", ["ts", "event_id"], "revision").select("user_id", "event_id", "problem")

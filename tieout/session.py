@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -35,3 +36,20 @@ def local_session(name: str = "tieout", cores: str = "*", partitions: int = 8) -
         SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.sql.adaptive.enabled", "true").config("spark.driver.memory", "8g").getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where nothing is set (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tieout-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what follows neither recomputes it nor plans it again, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
