@@ -16,12 +16,13 @@ One pass encodes; one shuffle by name makes chunks unique. Copies share a root a
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,27 +31,28 @@ from tieout.llm.storage import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-WINDOW, AVERAGE_CHUNK, MAX_CHUNK = 16, 1024, 8192
+WINDOW, AVERAGE_CHUNK, MAX_CHUNK = 16, 2048, 16384
 NAME_BYTES = 16
-#: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 200_000
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+"
-#: Texts of these characters alone are cut by the pattern above as by the tokenizer's own; others go to it whole.
-_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ɏ]*")
+#: Units that a worker remembers; then it forgets them all.
+REMEMBERED = 1_200_000
+#: Bytes that texts must not hold to be encoded by units: control bytes but line feed, and leads of letters beyond U+024F.
+_OTHER = np.ones(256, bool)
+_OTHER[[10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = False
 _GEAR = np.random.Generator(np.random.PCG64(505)).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OUT = "kind int, name binary, id long, n long, body binary"
 _ENCODERS: dict = {}
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library, whose results for pieces of text are remembered.
+    """A tokenizer of the tokenizers library, whose results for units of text are remembered.
 
-    Byte-level BPE encodes each piece that its pre-tokenizer cuts by itself, so the ids of a text are those of its pieces.
+    A unit is a word with the one white-space byte before it. Byte-level BPE encodes each piece that its pre-tokenizer cuts
+    by itself; where white space stands in single spaces and line feeds between words, a space always begins a piece and a line
+    feed is one, so the ids of a text are those of its units. Other texts, and those with a special token's string or with
+    characters whose class may differ between libraries, are encoded whole. Units are told apart by 64-bit hashes.
     """
 
     def __init__(self, name: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,33 +62,130 @@ class Encoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        byte_level = '"ByteLevel"' in (self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer is not None else "")
-        self.by_piece = byte_level and self.tokenizer.normalizer is None
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.pieces, self.young, self.old = re.compile(_PIECES), {}, {}
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.by_piece and not self.special.search(t) and _PLAIN.fullmatch(t) is not None for t in texts]
-        cut = {k: self.pieces.findall(t) for k, t in enumerate(texts) if plain[k]}
-        fresh = set()
-        for found in cut.values():
-            fresh.update(found)
-        fresh.difference_update(self.young)
-        known = {p: self.old[p] for p in fresh if p in self.old}
-        self.young.update(known)
-        fresh = [p for p in fresh if p not in known]
-        self.young.update(zip(fresh, self._ids(fresh), strict=True))
-        get = self.young.__getitem__
-        whole = [k for k in range(len(texts)) if not plain[k]]
-        out = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        out.update((k, b"".join(map(get, found))) for k, found in cut.items())
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return [np.frombuffer(out[k], self.kind) for k in range(len(texts))]
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        own = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer is not None else b""
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_unit = b'"ByteLevel"' in own and b'"add_prefix_space":false' in own and self.tokenizer.normalizer is None and len(feed) == 1
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = np.array(feed[:1], self.kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, self.kind), 0
+        self.begin, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, units: list[str], together: int = 50) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units end to end, and how many each has; many units go in one text, a line each."""
+        bare = [u.removeprefix("\n") for u in units]
+        flat, count = [], []
+        starts = range(0, len(bare), together)
+        for begin, ids in zip(starts, self._whole(["\n".join(bare[k : k + together]) for k in starts]), strict=True):
+            own = bare[begin : begin + together]
+            feeds = np.flatnonzero(ids == self.feed[0])
+            if len(feeds) == len(own) - 1:
+                flat.append(np.delete(ids, feeds))
+                count.append(np.diff(np.concatenate([[-1], feeds, [len(ids)]])) - 1)
+            else:
+                each = self._whole(own)
+                flat.extend(each)
+                count.append(np.array([len(x) for x in each]))
+        flat, count = np.concatenate(flat), np.concatenate(count)
+        fed = np.array([u[0] == "\n" for u in units])
+        return np.insert(flat, (np.cumsum(count) - count)[fed], self.feed[0]), count + fed
+
+    def _remember(self, keys: list[int], units: list[str]) -> None:
+        ids, count = self._encoded(units)
+        first, n = len(self.known), len(keys)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + n > len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.count, np.zeros_like(self.count)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first : first + n] = self.used + np.cumsum(count) - count
+        self.count[first : first + n] = count
+        self.used += len(ids)
+        self.known.update(zip(keys, range(first, first + n), strict=True))
+
+    def _safe(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which rows can be encoded by units."""
+        rows = len(at) - 1
+        if not self.by_unit:
+            return np.zeros(rows, bool)
+        if not len(raw):
+            return np.ones(rows, bool)
+        space, bad = (raw == 32) | (raw == 10), _OTHER[raw]
+        bad[1:] |= space[1:] & space[:-1]
+        bad[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC9) & (raw[1:] > 0x8F)
+        full = np.flatnonzero(np.diff(at))
+        bad[at[full]] |= space[at[full]]
+        bad[at[full + 1] - 1] |= space[at[full + 1] - 1]
+        text = raw.tobytes()
+        for special in self.special:
+            k = text.find(special)
+            while k >= 0:
+                bad[k] = True
+                k = text.find(special, k + 1)
+        seen = np.concatenate([[0], np.cumsum(bad)])
+        return seen[at[1:]] == seen[at[:-1]]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each with ``end_id`` behind it, and where each begins and all end."""
+        raw, at = words.text_bytes(texts)
+        rows, safe = len(texts), self._safe(raw, at)
+        row, start, end = words.spans(raw, at)
+        kept = safe[row]
+        row, start, end = row[kept], start[kept], end[kept]
+        start = start - (start > at[row])
+        # a full stop or comma behind a letter or digit is a piece by itself, so words with and without one share a unit
+        row, start, end = _apart(raw, row, start, end)
+        hashes = words.hash_spans(raw, start, end, lower=False)
+        keys, first, index = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(keys) > REMEMBERED:
+            self._forget()
+        numbers = keys.tolist()
+        missing = [k for k, x in enumerate(numbers) if x not in self.known]
+        if missing:
+            text = raw.tobytes()
+            where = first[missing]
+            self._remember([numbers[k] for k in missing], [text[b:e].decode() for b, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+        places = np.array([self.known[x] for x in numbers], np.int64)[index] if numbers else np.zeros(0, np.int64)
+        begin, count, flat = self.begin[places], self.count[places].astype(np.int64), self.flat[: self.used]
+        other = np.flatnonzero(~safe)
+        if len(other):
+            ids = self._whole([raw[at[k] : at[k + 1]].tobytes().decode() for k in other.tolist()])
+            size = np.array([len(x) for x in ids])
+            begin = np.concatenate([begin, len(flat) + np.cumsum(size) - size])
+            count, row, flat = np.concatenate([count, size]), np.concatenate([row, other]), np.concatenate([flat, *ids])
+            order = np.argsort(row, kind="stable")
+            begin, count, row = begin[order], count[order], row[order]
+        total = int(count.sum())
+        source = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row, count, rows).astype(np.int64) + 1)])
+        out = np.full(total + rows, end_id, self.kind)
+        out[np.arange(total) + np.repeat(row, count)] = flat[source]
+        return out, bounds
+
+
+_STOP, _BEFORE_STOP = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[44, 46]] = True
+_BEFORE_STOP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _apart(raw: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units whose last byte is a stop behind a letter or digit become two."""
+    if not len(start):
+        return row, start, end
+    split = _STOP[raw[end - 1]] & _BEFORE_STOP[raw[np.maximum(end - 2, 0)]] & (end - 2 >= start)
+    place = np.arange(len(start)) + np.cumsum(split) - split
+    more = place[split] + 1
+    out = [np.empty(len(start) + len(more), np.int64) for _ in range(3)]
+    out[0][place], out[1][place], out[2][place] = row, start, end - split
+    out[0][more], out[1][more], out[2][more] = row[split], end[split] - 1, end[split]
+    return out[0], out[1], out[2]
 
 
 def encoder(name: str) -> Encoder:
@@ -95,29 +194,32 @@ def encoder(name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def cuts(ids: np.ndarray, average: int = AVERAGE_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
-    """Ends of chunks, the last one included; a power of two ``average``."""
+def cuts(ids: np.ndarray, at: np.ndarray, average: int = AVERAGE_CHUNK, most: int = MAX_CHUNK) -> list[int]:
+    """Ends of the chunks of texts laid end to end, ``at`` being where each begins and all end; ``average``: a power of two.
+
+    The hash covers the last ``WINDOW`` ids of the text, so no chunk but a text's last is shorter, and equal texts cut alike.
+    """
     n = len(ids)
     with np.errstate(over="ignore"):
-        gear = _GEAR[ids & np.uint32(0xFFFF) if ids.dtype != np.uint16 else ids]
-        rolled = gear.copy()
+        rolled = _GEAR[ids & np.uint32(0xFFFF) if ids.dtype != np.uint16 else ids]
         # sum of gear * M^age over the window, by doubling: M^(2^k) shifts a window of 2^k ids
         factor, span = 0x9E3779B97F4A7C15, 1
         while span < WINDOW:
-            shifted = np.zeros_like(rolled)
-            shifted[span:] = rolled[:-span] if n > span else 0
-            rolled = rolled + shifted * np.uint64(factor)
+            older = rolled[:-span] * np.uint64(factor)
+            rolled = rolled.copy()
+            rolled[span:] += older
             factor, span = factor * factor % (1 << 64), span * 2
-    ends = np.flatnonzero(words.mix(rolled) & np.uint64(average - 1) == 0) + 1
-    ends = ends[ends < n]
+        ends = np.flatnonzero(words.mix(rolled) & np.uint64(average - 1) == 0) + 1
+    begin = at[np.searchsorted(at, ends - 1, side="right") - 1]
+    ends = np.unique(np.concatenate([ends[(ends - begin >= WINDOW) & (ends < n)], at[1:]]))
     out, last = [], 0
-    for end in [*ends.tolist(), n]:
+    for end in ends.tolist():
         while end - last > most:
             last += most
             out.append(last)
         out.append(end)
         last = end
-    return np.array(out)
+    return out
 
 
 def name_of(body: bytes) -> bytes:
@@ -135,23 +237,25 @@ def merkle(names: list[bytes]) -> bytes:
 def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
+        size, pack = own.kind.itemsize, zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
             for batch in words.slices(whole, "text"):
-                ids = batch.column(0).to_pylist()
-                rows, here = [], set()
-                for doc, found in zip(ids, own.encode(batch.column(1).to_pylist()), strict=True):
-                    found = np.append(found, own.kind(end_id))
-                    names, last = [], 0
-                    for end in cuts(found).tolist():
-                        body = found[last:end].astype(found.dtype.newbyteorder("<")).tobytes()
-                        name = name_of(body)
-                        names.append(name)
-                        if name not in here:
-                            here.add(name)
-                            rows.append((0, name, None, end - last, zlib.compress(body, 1)))
-                        last = end
-                    recipe = b"".join(names)
-                    rows.append((1, name_of(repr(doc).encode() + recipe), doc, len(found), recipe))
+                stream, at = own.encode(batch.column(1), end_id)
+                raw, ends = stream.tobytes(), cuts(stream, at)
+                rows, here, names, last, k = [], set(), [], 0, 0
+                ids, begins = batch.column(0).to_pylist(), at.tolist()
+                for e in ends:
+                    body = raw[last * size : e * size]
+                    name = name_of(body)
+                    names.append(name)
+                    if name not in here:
+                        here.add(name)
+                        rows.append((0, name, None, e - last, pack(body)))
+                    last = e
+                    if e == begins[k + 1]:
+                        recipe = b"".join(names)
+                        rows.append((1, name_of(repr(ids[k]).encode() + recipe), ids[k], e - begins[k], recipe))
+                        names, k = [], k + 1
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["kind", "name", "id", "n", "body"])
 
     return run
@@ -218,74 +322,79 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     return level.groupBy("part").agg(*up, node("above", "leaf").alias("root"))
 
 
-_CRC_POWERS: dict[int, np.ndarray] = {}
-
-
-def _crc_shift(n_bytes: int) -> np.ndarray:
-    """The linear map on CRC-32 registers of ``n_bytes`` zero bytes, as the images of the 32 bits."""
-    if n_bytes not in _CRC_POWERS:
-        base = np.array([(1 << k >> 1) ^ (0xEDB88320 if k == 0 else 0) for k in range(32)], np.uint64)  # one zero bit
-        out, square, left = np.array([1 << k for k in range(32)], np.uint64), base, n_bytes * 8
-        while left:
-            if left & 1:
-                out = _crc_compose(square, out)
-            square, left = _crc_compose(square, square), left >> 1
-        if len(_CRC_POWERS) > 20_000:
-            _CRC_POWERS.clear()
-        _CRC_POWERS[n_bytes] = out
-    return _CRC_POWERS[n_bytes]
-
-
-def _crc_apply(images: np.ndarray, value: int) -> int:
-    out, k = 0, 0
-    while value:
-        if value & 1:
-            out ^= int(images[k])
-        value >>= 1
-        k += 1
+_CRC_TABLES: list[np.ndarray] = []
+
+
+def _crc_tables(bits: int) -> list[np.ndarray]:
+    """By ``k``: four tables of 256 that apply to a CRC-32 register what 2^k zero bytes do to it, a linear map."""
+
+    def applied(images: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(values)
+        for k in range(32):
+            out ^= np.where(values >> np.uint32(k) & np.uint32(1), images[k], np.uint32(0))
+        return out
+
+    if not _CRC_TABLES:
+        byte = np.arange(256, dtype=np.uint32)
+        _CRC_TABLES.append(None)
+        images = np.array([0xEDB88320, *[1 << k for k in range(31)]], np.uint32)  # one zero bit
+        for _ in range(3):
+            images = applied(images, images)
+        _CRC_TABLES[0] = (images, np.stack([applied(images, byte << np.uint32(8 * j)) for j in range(4)]))
+    while len(_CRC_TABLES) < bits:
+        images = _CRC_TABLES[-1][0]
+        images = applied(images, images)
+        byte = np.arange(256, dtype=np.uint32)
+        _CRC_TABLES.append((images, np.stack([applied(images, byte << np.uint32(8 * j)) for j in range(4)])))
+    return [t for _, t in _CRC_TABLES[:bits]]
+
+
+def crc32_shifted(sums: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """crc32 values moved on by so many bytes: crc32(a + b) is crc32(a) moved on by len(b), xor crc32(b)."""
+    out = sums.astype(np.uint32)
+    for k, table in enumerate(_crc_tables(int(zeros.max(initial=0)).bit_length())):
+        own = np.flatnonzero(zeros >> k & 1)
+        v = out[own]
+        out[own] = table[0][v & 255] ^ table[1][v >> 8 & 255] ^ table[2][v >> 16 & 255] ^ table[3][v >> 24]
     return out
 
 
-def _crc_compose(outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    return np.array([_crc_apply(outer, int(x)) for x in inner], np.uint64)
-
-
-def crc32_joined(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two byte strings end to end, from the crc32 of each and the length of the second."""
-    return _crc_apply(_crc_shift(second_bytes), first) ^ second
-
-
 def _read_chunks(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            names, counts, sums = batch.column(0).to_pylist(), [], []
-            for name, n, body in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                body = zlib.decompress(body)
+            sums = []
+            for name, n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                body = unpack(body)
                 ids = np.frombuffer(body, kind)
                 if name_of(body) != name or len(ids) != n:
                     raise ValueError(f"chunk {name.hex()} does not hold what its name says")
-                counts.append(n)
-                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.record_batch([pa.array(names, pa.binary()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["name", "n", "crc"])
+                sums.append(zlib.crc32(ids.astype("<u4")))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["name", "n", "crc"])
 
     return run
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, chunk names, counts and checksums in order) to (root, tokens, checksum), the root being folded again."""
+    """(root, chunks' places, names, counts and checksums) to (root, tokens, checksum), the root being folded again."""
     for batch in batches:
-        roots, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        totals, sums = [], []
-        for root, own in zip(roots, parts, strict=True):
-            own.sort(key=lambda x: x["seq"])
-            if merkle([x["name"] for x in own]) != root:
+        roots, lists = batch.column(0).to_pylist(), batch.column(1)
+        bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        parts = lists.flatten()
+        owner = np.repeat(np.arange(len(roots)), np.diff(bounds))
+        seq, n, crc = (np.asarray(parts.field(k)) for k in ("seq", "n", "crc"))
+        names = parts.field("name").to_pylist()
+        order = np.lexsort((seq, owner))
+        n, crc = n[order], crc[order]
+        totals = np.add.reduceat(n, bounds[:-1]) if len(roots) else n
+        after = np.repeat(np.cumsum(totals), np.diff(bounds)) - np.cumsum(n)
+        moved = crc32_shifted(crc, 4 * after)
+        sums = np.bitwise_xor.reduceat(moved, bounds[:-1]) if len(roots) else moved
+        place = order.tolist()
+        for k, root in enumerate(roots):
+            if merkle([names[x] for x in place[bounds[k] : bounds[k + 1]]]) != root:
                 raise ValueError(f"recipe {root.hex()} does not fold to its root")
-            total, crc = 0, 0
-            for x in own:
-                total, crc = total + x["n"], crc32_joined(crc, x["crc"], 4 * x["n"])
-            totals.append(total)
-            sums.append(crc)
-        yield pa.record_batch([pa.array(roots, pa.binary()), pa.array(totals, pa.int64()), pa.array(sums, pa.int64())], names=["root", "tokens", "crc"])
+        yield pa.record_batch([pa.array(roots, pa.binary()), pa.array(totals, pa.int64()), pa.array(sums.astype(np.int64))], names=["root", "tokens", "crc"])
 
 
 def _split_recipe():
@@ -321,7 +430,7 @@ def restore(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(zlib.decompress(x["body"]) for x in own), kind).astype(np.int32) for own in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(b"".join(zstandard.decompress(x["body"]) for x in own), kind).astype(np.int32) for own in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return joined.select("id", "parts").mapInArrow(run, "doc_id long, ids array<int>")
