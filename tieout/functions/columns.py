@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tieout.model import AMOUNT
 
@@ -122,7 +123,7 @@ def date_distance(a: Column, b: Column) -> Column:
     return F.abs(F.datediff(a, b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     def one(x):
         if x is None or x.isascii():
