@@ -115,10 +115,12 @@ class Index:
         row, h = words.words(pa.array([t for _, t in items], pa.string()))
         bounds = words.row_bounds(row, len(items))
         groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        numbers: dict = {}  # items are told apart by a number here, as an id may be null
         for k, (item, _) in enumerate(items):
             text = h[bounds[k] : bounds[k + 1]]
             if len(text) >= MIN_ITEM_WORDS:
-                groups.setdefault(len(text), []).append((item, text))
+                groups.setdefault(len(text), []).append((numbers.setdefault(item, len(numbers)), text))
+        self.ids = pa.array(list(numbers), pa.int64())
         self.classes = [_Class(n, [i for i, _ in g], [t for _, t in g]) for n, g in sorted(groups.items())]
         pairs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for c, group in enumerate(self.classes):
@@ -133,7 +135,7 @@ class Index:
         self.there[(self.pairs >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def search(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
-        """``(row, item id, n, start, distance)``: the nearest, then first, window of each item in each text."""
+        """``(row, number of the item, n, start, distance)`` of the windows within reach of an item."""
         row, h = words.words(texts)
         if len(h) < 2 or not self.classes:
             return
@@ -195,7 +197,7 @@ def _searcher(shared):
                 best = np.ones(len(r), bool)
                 best[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1])
                 yield pa.record_batch(
-                    [ids.take(pa.array(r[best])), pa.array(item[best], pa.int64()), pa.array(n[best].astype(np.int32)), pa.array(s[best].astype(np.int64)), pa.array(d[best].astype(np.int32))],
+                    [ids.take(pa.array(r[best])), index.ids.take(pa.array(item[best])), pa.array(n[best].astype(np.int32)), pa.array(s[best].astype(np.int64)), pa.array(d[best].astype(np.int32))],
                     names=["id", "item_id", "item_words", "start", "distance"],
                 )
 

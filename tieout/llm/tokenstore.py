@@ -275,6 +275,11 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), place, *batch.columns[1:4], pa.array(roots, pa.binary())], names=["part", "seq", "id", "n", "recipe", "root"])
 
 
+def _objects(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks (kind 0) and recipes as encoded (kind 1) of a store; an empty store has no files to tell their columns."""
+    return spark.read.schema("name binary, id long, n long, body binary, times long, kind int").parquet(f"{path}/objects")
+
+
 def write_store(docs: DataFrame, path: str | None = None, *, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> str:
     """Encode every row of ``docs`` into a store at ``path`` (the shared folder if None) and return the path.
 
@@ -289,7 +294,7 @@ def write_store(docs: DataFrame, path: str | None = None, *, tokenizer: str = TO
     # recipes of equal rows have equal names: how many there were is counted, and they are spread out again below
     unique = encoded.groupBy("kind", "name").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("body").alias("body"), F.count("*").alias("times"))
     unique.write.partitionBy("kind").parquet(f"{path}/objects")
-    objects = spark.read.schema(unique.select("name", "id", "n", "body", "times", "kind").schema).parquet(f"{path}/objects")
+    objects = _objects(spark, path)
     rows = objects.filter("kind = 1").select("id", "n", F.col("body").alias("recipe"), F.explode(F.expr("sequence(1, cast(times as int))")).alias("copy"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), "recipe", "copy").sortWithinPartitions(F.col("id").asc_nulls_first(), "recipe", "copy")
@@ -406,7 +411,7 @@ def read_store(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFram
 
     Raises where a chunk, a recipe or the manifest does not hold what it says. ``kind``: the ids' form, two or four bytes.
     """
-    objects, recipes, manifest = (spark.read.parquet(f"{path}/{x}") for x in ("objects", "recipes", "manifest"))
+    objects, recipes, manifest = _objects(spark, path), *(spark.read.parquet(f"{path}/{x}") for x in ("recipes", "manifest"))
     again = _manifest(recipes)
     differ = manifest.join(again, [manifest[c].eqNullSafe(again[c]) for c in manifest.columns], "left_anti").count()
     if differ:
@@ -424,7 +429,7 @@ def read_store(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFram
 
 def restore(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFrame:
     """``doc_id`` and ``ids`` of every document, put together again from its chunks."""
-    objects, recipes = spark.read.parquet(f"{path}/objects"), spark.read.parquet(f"{path}/recipes")
+    objects, recipes = _objects(spark, path), spark.read.parquet(f"{path}/recipes")
     refs = recipes.withColumn("row", F.monotonically_increasing_id()).select("row", "id", F.explode(_split_recipe()).alias("ref")).select("row", "id", "ref.seq", "ref.name")
     joined = refs.join(objects.filter("kind = 0").select("name", "body"), "name").groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("parts"))
 
