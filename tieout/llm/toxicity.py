@@ -207,15 +207,15 @@ def _parts(column: pa.Array, toxic: np.ndarray, most: int = 2 << 20) -> Iterator
         begin += part.num_rows
 
 
-def fit(texts: list[str | None], toxic: np.ndarray) -> Field:
+def fit(column: pa.Array, toxic: np.ndarray) -> Field:
     """Deterministic; without toxic tokens every score is the share of toxic documents."""
-    column, rows = pa.array(texts, pa.large_string()), len(texts)
+    rows = len(column)
     prior = (toxic.sum() + 0.5) / (len(toxic) + 1)
     field = Field(np.zeros(1 << BITS), -20.0, np.zeros((2, 2)), np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
     marked = marked_features((row, slots, own) for _, row, slots, own in _parts(column, toxic))
     if not marked.any():
         return field
-    size, picked = np.array([len(t.encode()) if t else 0 for t in texts]), np.zeros(rows, bool)
+    size, picked = np.diff(words.text_bytes(column)[1]), np.zeros(rows, bool)
     for y in (0, 1):
         own = np.flatnonzero(toxic == y)
         picked[own[np.cumsum(size[own]) <= FIELD_BYTES]] = True
@@ -330,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_b
     wanted = docs.sparkSession.createDataFrame(sorted(fits), "id long, y int")
     rows = texts.join(F.broadcast(wanted), "id").select("id", "y", "text").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("y", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").to_pylist(), np.asarray(rows.column("y"), dtype=np.float64))
+    return fit(rows.column("text").cast(pa.large_string()).combine_chunks(), np.asarray(rows.column("y"), dtype=np.float64))
 
 
 def toxicity(docs: DataFrame, field: Field, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
