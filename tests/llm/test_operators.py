@@ -92,6 +92,19 @@ def test_field_messages_against_enumeration():
     assert pair.shape == (147, 2, 2) and np.allclose(pair.sum(axis=(1, 2)), 1)
 
 
+def test_field_learns_from_the_whole_sample(spark):
+    """A labelled text of 4 MB with the smallest id neither ends its label's part of the field's texts nor the sample."""
+    large = next(i for i in range(-9, 0) if crc(i, 4) != 2)
+    for y, options in ((1, {}), (0, {}), (1, {"max_bytes": 1 << 20})):
+        rows = [(large, "plain word here " * 250_000, y)] + [(i, f"plain word {'vile' if i % 2 else 'kind'} here and there", i % 2) for i in range(80)]
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+        field = toxicity.train(docs, labels, **options)
+        assert field.weights.any()
+        scores = {r["id"]: r["score"] for r in toxicity.toxicity(docs.filter("doc_id >= 0"), field).collect()}
+        assert min(scores[i] for i in range(1, 80, 2)) > max(scores[i] for i in range(0, 80, 2))
+
+
 def test_personal_data(spark, docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

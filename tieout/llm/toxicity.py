@@ -17,6 +17,7 @@ these, fitted to the labelled documents, is the score of a document. Spans are t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from tieout.llm import words
 from tieout.llm.quality import remainder
 
-#: Labelled documents that are learnt from at most, and bytes of their texts. The field itself is fitted on a part of them,
-#: ``FIELD_BYTES`` of text for each label; token labels and the document model see them all.
-MAX_DOCS, MAX_BYTES, FIELD_BYTES = 12_000, 32 << 20, 3 << 20
+#: Labelled documents that are learnt from at most, and bytes of their texts. Token labels, field and document model see them all.
+MAX_DOCS, MAX_BYTES = 12_000, 32 << 20
+#: Text whose messages are in memory at once while the field is fitted, and stretches of it that are worked on side by side.
+FIT_PART, FIT_THREADS = 1 << 20, 4
 MIN_DOCS, MIN_SHARE = 4, 0.8
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 8), (4, 6)
 BITS = 18
@@ -74,22 +76,23 @@ def _prefix_messages(step: np.ndarray) -> np.ndarray:
             out[t] = v
         return out
     blocks = -(-n // _BLOCK)
-    padded = np.concatenate([step, np.tile(np.eye(2), (blocks * _BLOCK - n, 1, 1))]).reshape(blocks, _BLOCK, 4)
+    # (entry, place in its block, block): the loop reads and writes stretches that lie side by side
+    padded = np.ascontiguousarray(np.concatenate([step, np.tile(np.eye(2), (blocks * _BLOCK - n, 1, 1))]).reshape(blocks, _BLOCK, 4).transpose(2, 1, 0))
     inside = np.empty_like(padded)
-    a, b, c, d = (padded[:, 0, k] for k in range(4))
+    a, b, c, d = padded[:, 0]
     for t in range(_BLOCK):
         if t:
-            e, f, g, h = (padded[:, t, k] for k in range(4))
+            e, f, g, h = padded[:, t]
             a, b, c, d = a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h
         scale = 1 / (a + b + c + d)
         a, b, c, d = a * scale, b * scale, c * scale, d * scale
-        inside[:, t, 0], inside[:, t, 1], inside[:, t, 2], inside[:, t, 3] = a, b, c, d
-    carried = _prefix_messages(inside[:, -1].reshape(blocks, 2, 2))
-    before = np.concatenate([[[0.5, 0.5]], carried[:-1]])
-    x = before[:, 0:1] * inside[:, :, 0] + before[:, 1:2] * inside[:, :, 2]
-    y = before[:, 0:1] * inside[:, :, 1] + before[:, 1:2] * inside[:, :, 3]
+        inside[0, t], inside[1, t], inside[2, t], inside[3, t] = a, b, c, d
+    carried = _prefix_messages(inside[:, -1].T.reshape(blocks, 2, 2))
+    before = np.concatenate([[[0.5, 0.5]], carried[:-1]]).T
+    x = before[0] * inside[0] + before[1] * inside[2]
+    y = before[0] * inside[1] + before[1] * inside[3]
     total = x + y
-    return np.stack([x / total, y / total], axis=2).reshape(-1, 2)[:n]
+    return np.stack([(x / total).T, (y / total).T], axis=2).reshape(-1, 2)[:n]
 
 
 def marginals(emission: np.ndarray, row: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +108,28 @@ def marginals(emission: np.ndarray, row: np.ndarray, change: np.ndarray) -> tupl
     begins = np.concatenate([[True], row[1:] != row[:-1]])
     ends = np.concatenate([begins[1:], [True]])
     forward = np.empty((n, 2, 2))
-    source = np.where(begins[:, None, None], 1.0, moves)
-    forward[:, :, 0], forward[:, :, 1] = source[:, :, 0], source[:, :, 1] * e[:, None]
+    for i in (0, 1):
+        for j in (0, 1):
+            forward[:, i, j] = np.where(begins, 1.0, moves[i, j]) * (e if j else 1.0)
     alpha = _prefix_messages(forward)
     # b_t(i) = sum_j moves(i, j) e_(t+1)(j) b_(t+1)(j), as row vectors from the end: b_t = b_(t+1) diag(e_(t+1)) moves^T
     backward = np.empty((n, 2, 2))
     nxt = np.concatenate([e[1:], [1.0]])
-    target = np.where(ends[:, None, None], 1.0, moves.T)
-    backward[:, 0, :], backward[:, 1, :] = target[:, 0, :], target[:, 1, :] * np.where(ends, 1.0, nxt)[:, None]
+    for i in (0, 1):
+        for j in (0, 1):
+            backward[:, j, i] = np.where(ends, 1.0, moves[i, j] * (nxt if j else 1.0))
     beta = _prefix_messages(backward[::-1])[::-1]
-    both = alpha * beta
-    chance = both[:, 1] / both.sum(axis=1)
-    pair = alpha[:-1, :, None] * moves * (np.stack([np.ones(n - 1), e[1:]], axis=1) * beta[1:])[:, None, :]
-    pair = pair[~begins[1:]]
-    return chance, pair / pair.sum(axis=(1, 2), keepdims=True)
+    toxic = alpha[:, 1] * beta[:, 1]
+    chance = toxic / (alpha[:, 0] * beta[:, 0] + toxic)
+    inner = np.flatnonzero(~begins[1:])
+    before, after = alpha[inner], beta[inner + 1]
+    after[:, 1] *= e[inner + 1]
+    pair = np.empty((len(inner), 2, 2))
+    for i in (0, 1):
+        for j in (0, 1):
+            pair[:, i, j] = before[:, i] * moves[i, j] * after[:, j]
+    pair /= (pair[:, 0, 0] + pair[:, 0, 1] + pair[:, 1, 0] + pair[:, 1, 1])[:, None, None]
+    return chance, pair
 
 
 @dataclass
@@ -215,11 +226,7 @@ def fit(column: pa.Array, toxic: np.ndarray) -> Field:
     marked = marked_features((row, slots, own) for _, row, slots, own in _parts(column, toxic))
     if not marked.any():
         return field
-    size, picked = np.diff(words.text_bytes(column)[1]), np.zeros(rows, bool)
-    for y in (0, 1):
-        own = np.flatnonzero(toxic == y)
-        picked[own[np.cumsum(size[own]) <= FIELD_BYTES]] = True
-    _fit_field(field, column.filter(pa.array(picked)), toxic[picked], marked)
+    _fit_field(field, column, toxic, marked)
     shown = np.zeros((rows, len(field.document)))
     for begin, row, slots, own in _parts(column, toxic):
         chance, _ = marginals(field.emissions(slots), row, field.change)
@@ -229,24 +236,34 @@ def fit(column: pa.Array, toxic: np.ndarray) -> Field:
 
 
 def _fit_field(field: Field, column: pa.Array, toxic: np.ndarray, marked: np.ndarray) -> None:
-    """Set the field's weights to those most likely for the token labels of these texts."""
-    row, _, _, slots = token_features(column)
-    label = np.zeros(len(row), bool)
-    for k in range(slots.shape[1]):
-        label |= marked[k][slots[:, k]]
-    label &= toxic[row] > 0
-    if not label.any():
-        return
+    """Set the field's weights to those most likely for the token labels of all texts, read part by part."""
+
+    def labelled() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for _, row, slots, own in _parts(column, toxic, FIT_PART):
+            label = np.zeros(len(row), bool)
+            for k in range(slots.shape[1]):
+                label |= marked[k][slots[:, k]]
+            yield row, slots, label & (own[row] > 0)
+
     # only features of labelled tokens can gain weight; the rest stay 0
-    used = np.unique(slots[label])
-    place = np.full(1 << BITS, -1, np.int64)
-    place[used] = np.arange(len(used))
-    local = place[slots]
-    token, feature = np.nonzero(local >= 0)
-    slot, n = local[token, feature], len(used)
-    inner = row[1:] == row[:-1]
-    pair_truth = np.bincount((label[:-1] * 2 + label[1:])[inner], minlength=4).astype(np.float64)
-    seen = np.bincount(slot, label[token], n)
+    there = np.zeros(1 << BITS, bool)
+    for _, slots, label in labelled():
+        there[slots[label]] = True
+    used = np.flatnonzero(there)
+    n = len(used)
+    if not n:
+        return
+    place = np.full(1 << BITS, -1, np.int32)
+    place[used] = np.arange(n)
+    parts, truth = [], np.zeros(n + 4)
+    for row, slots, label in labelled():
+        local = place[slots]
+        token, feature = np.nonzero(local >= 0)
+        slot, inner = local[token, feature], row[1:] == row[:-1]
+        parts.append((row.astype(np.int32), label, token.astype(np.int32), slot))
+        truth[:n] += np.bincount(slot, label[token], n)
+        truth[n] += label.sum()
+        truth[n + 1 :] += np.bincount((label[:-1] * 2 + label[1:])[inner], minlength=4)[1:]
 
     def unpacked(x: np.ndarray) -> np.ndarray:
         change = np.zeros((2, 2))
@@ -254,14 +271,21 @@ def _fit_field(field: Field, column: pa.Array, toxic: np.ndarray, marked: np.nda
         return change
 
     def value_and_slope(x: np.ndarray):
-        emission = x[n] + np.bincount(token, x[slot], len(row))
-        chance, pair = marginals(emission, row, unpacked(x))
-        slope = np.concatenate([seen - np.bincount(slot, chance[token], n), [label.sum() - chance.sum()], (pair_truth - pair.sum(axis=0).ravel())[1:]])
-        return -_log_likelihood(label, chance, pair, inner) + RIDGE / 2 * (x @ x), -slope + RIDGE * x
+        def expected(part):
+            row, label, token, slot = part
+            chance, pair = marginals(x[n] + np.bincount(token, x[slot], len(row)), row, unpacked(x))
+            mean = np.concatenate([np.bincount(slot, chance[token], n), [chance.sum()], pair.sum(axis=0).ravel()[1:]])
+            return _log_likelihood(label, chance, pair, row[1:] == row[:-1]), mean
+
+        value, mean = 0.0, np.zeros(n + 4)
+        for v, m in pool.map(expected, parts):  # in the order of the parts, so that sums do not depend on threads
+            value, mean = value + v, mean + m
+        return -value + RIDGE / 2 * (x @ x), mean - truth + RIDGE * x
 
     x = np.zeros(n + 4)
     x[n] = -4.0
-    x = _minimise(value_and_slope, x, STEPS)
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        x = _minimise(value_and_slope, x, STEPS)
     field.weights[used], field.bias, field.change = x[:n], float(x[n]), unpacked(x)
 
 
@@ -315,18 +339,19 @@ def _scorer(shared):
 
 def train(docs: DataFrame, labels: DataFrame, *, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, fold: int = 4, held_out: int = 2, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Field:
     """A field fitted on labelled rows outside the held-out fold: at most ``max_docs`` of them, those with the smallest hash of
-    the id, and of these as many in that order as have ``max_bytes`` of text. Null ids, texts and labels are left out.
+    the id, and of these in that order all whose texts fit what is left of ``max_bytes``; one that does not is passed over. Null
+    ids, texts and labels are left out.
     """
     known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     some = known.filter(remainder("id", fold) != held_out).orderBy(F.xxhash64("id"), "id", "y").limit(max_docs)
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")).filter("text is not null")
     # the sample has a fixed bound, so its ids may be broadcast, and its texts come from one filtered scan
-    sizes = texts.join(F.broadcast(some), "id").select(F.xxhash64("id").alias("h"), "id", "y", F.octet_length("text").alias("size"))
-    fits, total = set(), 0
-    for _, i, y, size in sorted(tuple(r) for r in sizes.collect()):
-        total += size
-        if total <= max_bytes:
+    sizes = texts.join(F.broadcast(some.distinct()), "id").groupBy("id", "y").agg(F.sum(F.octet_length("text")).alias("size"))
+    fits, left = set(), max_bytes
+    for _, i, y, size in sorted(tuple(r) for r in sizes.select(F.xxhash64("id"), "id", "y", "size").collect()):
+        if size <= left:
             fits.add((i, y))
+            left -= size
     wanted = docs.sparkSession.createDataFrame(sorted(fits), "id long, y int")
     rows = texts.join(F.broadcast(wanted), "id").select("id", "y", "text").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("y", "ascending"), ("text", "ascending")])
