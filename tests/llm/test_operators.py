@@ -290,6 +290,25 @@ def test_decontamination_recall(spark):
         assert len(found) >= decontaminate.RECALL * len(wanted)
 
 
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_recall_of_long_items(n):
+    """As many edits as are allowed: replacements, deletions at a text's end, insertions (a window of n words loses as many)."""
+    rng, k, cases = np.random.default_rng(n), n // 5, []
+    for i in range(24):
+        item, kind = [f"w{i}x{j}" for j in range(n)], i % 3
+        own = [[w] for w in item]
+        for at in rng.choice(n - 1, size=k // 2 if kind == 2 else k, replace=False):
+            own[at] = [["Q"], [], [own[at][0], "Q"]][kind]
+        cases.append((item, ["before"] * 30 + [w for p in own for w in p] + ([] if kind == 1 else ["after"] * 30)))
+    index = decontaminate.Index([(i, " ".join(item)) for i, (item, _) in enumerate(cases)])
+    found = {}
+    for r, item, words, start, distance in index.search(pa.array([" ".join(t) for _, t in cases])):
+        for x in zip(r.tolist(), item.tolist(), distance.tolist()):
+            found[x[:2]] = min(x[2], found.get(x[:2], n))
+    assert all(a == b and d <= k for (a, b), d in found.items())
+    assert len(found) >= decontaminate.RECALL * len(cases)
+
+
 def test_sharding(spark, docs):
     rows = QUERIES["op8_sharding"](spark, DIR).collect()
     for r in rows:

@@ -9,7 +9,10 @@ A document is contaminated by an item of ``n`` words when some window of ``n`` o
    what it sees in ``3n`` steps is the embedding. Edit distance ``d`` becomes a Hamming distance that depends on ``d`` alone.
 3. *LSH.* Tables of one walk each sample positions of the embedding; a window and an item that agree on a table's sample are a
    candidate. Walks repeat until a pair at the largest distance is missed with a chance below 1 - ``RECALL``.
-4. *Verification.* Candidates are aligned exactly.
+4. *Pieces.* Drift grows with length, so items of more than ``PIECE_WORDS`` words are embedded in pieces of at most that many: of
+   ``n // 5`` edits in all, some piece of ``m`` words has ``m // 5`` or fewer. A piece that is found within so many edits proposes
+   the windows that can hold its item around it.
+5. *Verification.* Candidates are aligned exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ MIN_ITEM_WORDS = 3
 #: Recall that the walks and tables were chosen for at the largest distance; tests measure it.
 RECALL = 0.99
 WALKS, TABLES, SAMPLED = 12, 8, 3
+#: Words up to which the walks and tables have that recall; longer items are searched for by pieces.
+PIECE_WORDS = 60
 #: Text of items that one broadcast index may hold; more items are searched in blocks of that size.
 INDEX_BYTES = 16 << 20
 _PAD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,15 +101,57 @@ class _Class:
         return pairs // len(self.ids), pairs % len(self.ids)
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Row-wise edit distances of ``a`` (pairs x n) and the first ``length`` of ``b`` (pairs x m)."""
-    steps = np.arange(b.shape[1] + 1)
+class _Long:
+    """The items of one length above ``PIECE_WORDS``, and their pieces by length."""
+
+    def __init__(self, n: int, ids: list[int], texts: list[np.ndarray]):
+        self.n, self.edits, self.ids = n, edits_for(n), np.array(ids, np.int64)
+        self.words = np.concatenate(texts)
+        bounds = np.arange(-(-n // PIECE_WORDS) + 1) * n // -(-n // PIECE_WORDS)
+        self.pieces = []  # a class of pieces, and the item and the offset of each
+        for m in sorted({int(x) for x in np.diff(bounds)}):
+            own = [(k, int(at), t[at : at + m]) for k, t in enumerate(texts) for at in bounds[:-1][np.diff(bounds) == m]]
+            self.pieces.append((_Class(m, [i for i, _, _ in own], [t for _, _, t in own]), np.array([i for i, _, _ in own]), np.array([at for _, at, _ in own])))
+
+    def candidates(self, h: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs in which a piece lies near its place with its share of the edits; ``start`` ascends."""
+        fresh = np.maximum(start, np.concatenate([[0], (start + length)[:-1]]))  # every word of the windows once
+        many = np.maximum(start + length - fresh, 0)
+        at = np.repeat(fresh - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        # words that a piece at a place may read: up to the end of the last window that holds the place
+        stop = (start + length)[np.searchsorted(start, at, side="right") - 1]
+        found = [np.zeros(0, np.int64)]
+        for group, item, offset in self.pieces:
+            for begin in range(0, len(at), max(1, (1 << 22) // (group.n * WALKS))):
+                a = at[begin : begin + max(1, (1 << 22) // (group.n * WALKS))]
+                left = stop[begin : begin + len(a)] - a
+                place, piece = group.candidates(h, a, np.minimum(group.n, left))
+                for lo in range(0, len(place), max(1, (1 << 21) // group.n)):
+                    p, i = place[lo : lo + max(1, (1 << 21) // group.n)], piece[lo : lo + max(1, (1 << 21) // group.n)]
+                    reach = group.n + group.edits
+                    text = h[np.minimum(a[p][:, None] + np.arange(reach), len(h) - 1)]
+                    near = edit_distances(group.words.reshape(-1, group.n)[i], text, np.minimum(reach, left[p]), open_end=True) <= group.edits
+                    found.append(np.unique((a[p[near]] - offset[i[near]] + self.n) * len(self.ids) + item[i[near]]))
+        begins = np.unique(np.concatenate(found))  # where items would begin if nothing before the piece were edited
+        centre, own = begins // len(self.ids) - self.n, begins % len(self.ids)
+        first, last = np.searchsorted(start, centre - self.edits, "left"), np.searchsorted(start, centre + self.edits, "right")
+        each = last - first
+        window = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        pairs = np.unique(window * len(self.ids) + np.repeat(own, each))
+        return pairs // len(self.ids), pairs % len(self.ids)
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, length: np.ndarray, open_end: bool = False) -> np.ndarray:
+    """Row-wise edit distances of ``a`` (pairs x n) and the first ``length`` of ``b`` (pairs x m), or the nearest beginning of them."""
+    steps = np.arange(b.shape[1] + 1, dtype=np.int32)
     row = np.tile(steps, (len(a), 1))
     for i in range(a.shape[1]):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, :-1] + (b != a[:, i : i + 1]), row[:, 1:] + 1)
         row = np.minimum.accumulate(new - steps, axis=1) + steps
+    if open_end:
+        return np.where(steps <= length[:, None], row, a.shape[1] + b.shape[1]).min(axis=1)
     return row[np.arange(len(a)), length]
 
 
@@ -121,7 +168,7 @@ class Index:
             if len(text) >= MIN_ITEM_WORDS:
                 groups.setdefault(len(text), []).append((numbers.setdefault(item, len(numbers)), text))
         self.ids = pa.array(list(numbers), pa.int64())
-        self.classes = [_Class(n, [i for i, _ in g], [t for _, t in g]) for n, g in sorted(groups.items())]
+        self.classes = [(_Class if n <= PIECE_WORDS else _Long)(n, [i for i, _ in g], [t for _, t in g]) for n, g in sorted(groups.items())]
         pairs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for c, group in enumerate(self.classes):
             own = np.unique(np.concatenate([_pairs(t) for _, t in groups[group.n]]))
@@ -164,7 +211,7 @@ class Index:
             start = np.unique(np.repeat(low - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum()))
             yield from self._match(group, h, row, bounds, start)
 
-    def _match(self, group: _Class, h, row, bounds, start):
+    def _match(self, group: _Class | _Long, h, row, bounds, start):
         n = group.n
         block = max(1, (1 << 22) // (n * WALKS))
         for begin in range(0, len(start), block):
