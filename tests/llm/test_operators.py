@@ -290,6 +290,13 @@ def test_decontamination_recall(spark):
         assert len(found) >= decontaminate.RECALL * len(wanted)
 
 
+def test_items_of_one_and_two_words(spark):
+    docs = spark.createDataFrame([(0, "an Answer here"), (1, "an answers"), (2, "no"), (3, "here an answer"), (None, "forty two"), (5, "forty")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "answer"), (1, "forty two"), (2, "an answer"), (3, "No"), (3, "no")], "item_id long, text string")
+    found = {(r["id"], r["item_id"], r["item_words"], r["start"], r["distance"]) for r in decontaminate.contaminations(docs, bench).collect()}
+    assert found == {(0, 0, 1, 1, 0), (3, 0, 1, 2, 0), (None, 1, 2, 0, 0), (0, 2, 2, 0, 0), (3, 2, 2, 1, 0), (2, 3, 1, 0, 0)}
+
+
 @pytest.mark.parametrize("n", [200, 400, 800])
 def test_recall_of_long_items(n):
     """As many edits as are allowed: replacements, deletions at a text's end, insertions (a window of n words loses as many)."""

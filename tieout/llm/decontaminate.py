@@ -30,8 +30,6 @@ from tieout.llm.storage import written
 
 #: One edit is allowed for so many words of an item.
 WORDS_PER_EDIT = 5
-#: Items with fewer words say nothing about their source and are not searched for.
-MIN_ITEM_WORDS = 3
 #: Recall that the walks and tables were chosen for at the largest distance; tests measure it.
 RECALL = 0.99
 WALKS, TABLES, SAMPLED = 12, 8, 3
@@ -162,12 +160,17 @@ class Index:
         row, h = words.words(pa.array([t for _, t in items], pa.string()))
         bounds = words.row_bounds(row, len(items))
         groups: dict[int, list[tuple[int, np.ndarray]]] = {}
+        single: list[tuple[int, int]] = []  # items of one word, found by equality
         numbers: dict = {}  # items are told apart by a number here, as an id may be null
         for k, (item, _) in enumerate(items):
             text = h[bounds[k] : bounds[k + 1]]
-            if len(text) >= MIN_ITEM_WORDS:
+            if len(text) == 1:
+                single.append((int(text[0]), numbers.setdefault(item, len(numbers))))
+            elif len(text):
                 groups.setdefault(len(text), []).append((numbers.setdefault(item, len(numbers)), text))
         self.ids = pa.array(list(numbers), pa.int64())
+        single.sort()
+        self.single, self.single_ids = np.array([w for w, _ in single], np.uint64), np.array([i for _, i in single], np.int64)
         self.classes = [(_Class if n <= PIECE_WORDS else _Long)(n, [i for i, _ in g], [t for _, t in g]) for n, g in sorted(groups.items())]
         pairs, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for c, group in enumerate(self.classes):
@@ -184,9 +187,15 @@ class Index:
     def search(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
         """``(row, number of the item, n, start, distance)`` of the windows within reach of an item."""
         row, h = words.words(texts)
+        bounds = words.row_bounds(row, len(texts))
+        if len(self.single):
+            low, high = np.searchsorted(self.single, h, "left"), np.searchsorted(self.single, h, "right")
+            many = high - low
+            at = np.repeat(np.arange(len(h)), many)
+            place = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(at))
+            yield row[at], self.single_ids[place], 1, at - bounds[row[at]], np.zeros(len(at), np.int64)
         if len(h) < 2 or not self.classes:
             return
-        bounds = words.row_bounds(row, len(texts))
         pair = _pairs(h)
         maybe = np.flatnonzero(self.there[(pair >> np.uint64(64 - self.bits)).astype(np.int64)] & (row[1:] == row[:-1]))
         low, high = np.searchsorted(self.pairs, pair[maybe], "left"), np.searchsorted(self.pairs, pair[maybe], "right")
@@ -256,7 +265,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "d
     every document row and item within reach.
 
     Items are a stated query set, searched for in blocks of at most ``index_bytes`` of text: the broadcast never grows with
-    either table. Null or empty texts and items of fewer than three words match nothing. Null ids are kept as null.
+    either table. Null or empty texts and items match nothing. Null ids are kept as null.
     Repeated rows give repeated results; items that share an id are reported once per document, at the nearest of them. Very
     long texts are searched whole. Extra columns play no part, whatever their names. Empty tables give an empty result.
     """
