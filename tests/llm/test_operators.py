@@ -179,6 +179,39 @@ def test_token_store(spark, docs):
     assert len(names) == len(set(names))
 
 
+@pytest.mark.parametrize("kind", ["chunk", "recipe", "manifest", "file and manifest", "top"])
+def test_a_store_that_lost_a_row_raises(spark, kind):
+    docs = spark.createDataFrame([(k, f"text {k % 7} of a store " * (k % 5 + 1)) for k in range(40)] + [(99, None)], "doc_id long, text string")
+    path = tokenstore.write_store(docs)
+    assert tokenstore.read_store(spark, path).count() == 41
+
+    def less(name, condition):
+        df = spark.read.parquet(f"{path}/{name}")
+        rows, schema = [r for r in df.collect() if not condition(r)], df.schema
+        assert len(rows) < df.count()
+        writer = spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite")
+        (writer.partitionBy("kind") if name == "objects" else writer).parquet(f"{path}/{name}")
+
+    if kind == "chunk":
+        name = spark.read.parquet(f"{path}/objects").filter("kind = 0").first()["name"]
+        less("objects", lambda r: r["kind"] == 0 and r["name"] == name)
+    else:
+        part = spark.read.parquet(f"{path}/manifest").agg({"part": "min"}).first()[0]
+        if kind == "recipe":
+            less("recipes", lambda r: r["id"] == 5)
+        if "file" in kind:
+            less("recipes", lambda r: r["part"] == part)
+        if "manifest" in kind:
+            less("manifest", lambda r: r["part"] == part)
+        if kind == "top":
+            less("top", lambda r: True)
+    with pytest.raises(Exception, match="chunk|manifest|top"):
+        tokenstore.read_store(spark, path).collect()
+    if kind in ("chunk", "manifest"):
+        with pytest.raises(Exception, match="chunk|manifest|top"):
+            tokenstore.restore(spark, path).collect()
+
+
 @pytest.mark.parametrize("text", ["", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "don't we'll", "<|endoftext|> x", "é × ü", "日本 語", "a\tb", "a\x1cb", "... ,a.b,c. 1,2.", "x" * 5000, "a. b, c"])
 def test_encoder_is_the_tokenizer(text):
     own = tokenstore.encoder(tokenstore.TOKENIZER)

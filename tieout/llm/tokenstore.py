@@ -5,12 +5,15 @@ Encoding. A text's ids, and an end id, are cut into chunks where a rolling hash
 
 Store. ``chunks/`` holds every distinct chunk once, ``recipes/`` one row per document in ascending id order (its length, the
 names of its chunks in order, and their Merkle root), ``manifest/`` one row per recipe file: first and last id, documents,
-tokens and the Merkle root of its documents' roots. All are Parquet.
+tokens and the Merkle root of its documents' roots, ``top/`` one row: files, documents, tokens and the root over the manifest.
+All are Parquet.
 
-Reading. Every chunk is read once: its bytes must have its name. Every distinct recipe must fold to its root, every file's
-roots to its manifest. The checksum of a document comes from those of its chunks by CRC combination, so ids never move again.
+Reading. Every chunk is read once: its bytes must have its name, and every name in a recipe must have a chunk. Every distinct
+recipe must fold to its root, every file's roots to its manifest, the manifest to the top; what is missing raises as what was
+changed does. The checksum of a document comes from those of its chunks by CRC combination, so ids never move again.
 
-One pass encodes; one shuffle by name makes chunks unique. Copies share a root and cost one recipe when read.
+One pass encodes; one shuffle by name makes chunks unique. When read, copies share a root and cost one recipe in each recipe
+file; joins are by file and root, or file and name, so a text or a passage that a third of all rows hold is dealt over all files.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieout.llm import words
@@ -43,6 +47,41 @@ _OUT = "kind int, name binary, id long, n long, body binary"
 _ENCODERS: dict = {}
 
 
+class Known:
+    """A hash table of 64-bit keys other than 0 to their order of arrival; whole arrays are looked up and added at a time."""
+
+    def __init__(self, most: int):
+        bits = (4 * most).bit_length()
+        self.keys, self.places, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The order of each key, -1 where it is not there."""
+        at = (keys >> self.shift).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == keys, self.places[at], np.int32(-1))
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            there = self.keys[at[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.places[at[left[hit]]]
+            left = left[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that are not there, in their order."""
+        at, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]  # of several at one place the last stays
+            won = free[self.keys[at[free]] == keys[free]]
+            self.places[at[won]] = self.size + won
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.size += len(keys)
+
+
 class Encoder:
     """A tokenizer of the tokenizers library, whose results for units of text are remembered.
 
@@ -70,10 +109,10 @@ class Encoder:
         self.feed = np.array(feed[:1], self.kind)
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+    def _forget(self, room: int = 0) -> None:
+        self.known = Known(max(REMEMBERED, room))
         self.flat, self.used = np.zeros(1 << 20, self.kind), 0
-        self.begin, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.begin, self.count = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,9 +136,9 @@ class Encoder:
         fed = np.array([u[0] == "\n" for u in units])
         return np.insert(flat, (np.cumsum(count) - count)[fed], self.feed[0]), count + fed
 
-    def _remember(self, keys: list[int], units: list[str]) -> None:
+    def _remember(self, keys: np.ndarray, units: list[str]) -> None:
         ids, count = self._encoded(units)
-        first, n = len(self.known), len(keys)
+        first, n = self.known.size, len(keys)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + n > len(self.begin):
@@ -108,7 +147,7 @@ class Encoder:
         self.begin[first : first + n] = self.used + np.cumsum(count) - count
         self.count[first : first + n] = count
         self.used += len(ids)
-        self.known.update(zip(keys, range(first, first + n), strict=True))
+        self.known.add(keys)
 
     def _safe(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which rows can be encoded by units."""
@@ -142,31 +181,32 @@ class Encoder:
         start = start - (start > at[row])
         # a full stop or comma behind a letter or digit is a piece by itself, so words with and without one share a unit
         row, start, end = _apart(raw, row, start, end)
-        hashes = words.hash_spans(raw, start, end, lower=False)
-        keys, first, index = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > REMEMBERED:
-            self._forget()
-        numbers = keys.tolist()
-        missing = [k for k, x in enumerate(numbers) if x not in self.known]
-        if missing:
-            text = raw.tobytes()
-            where = first[missing]
-            self._remember([numbers[k] for k in missing], [text[b:e].decode() for b, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-        places = np.array([self.known[x] for x in numbers], np.int64)[index] if numbers else np.zeros(0, np.int64)
-        begin, count, flat = self.begin[places], self.count[places].astype(np.int64), self.flat[: self.used]
+        hashes = np.maximum(words.hash_spans(raw, start, end, lower=False), np.uint64(1))
+        places = self.known.find(hashes)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            keys, first = np.unique(hashes[new], return_index=True)
+            if self.known.size + len(keys) > REMEMBERED:
+                self._forget(len(hashes))
+                keys, first, new = *np.unique(hashes, return_index=True), np.arange(len(hashes))
+            text, where = raw.tobytes(), new[first]
+            self._remember(keys, [text[b:e].decode() for b, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            places[new] = self.known.find(hashes[new])
+        begin, count, flat = self.begin[places], self.count[places], self.flat[: self.used]
         other = np.flatnonzero(~safe)
         if len(other):
             ids = self._whole([raw[at[k] : at[k + 1]].tobytes().decode() for k in other.tolist()])
-            size = np.array([len(x) for x in ids])
-            begin = np.concatenate([begin, len(flat) + np.cumsum(size) - size])
+            size = np.array([len(x) for x in ids], np.int32)
+            begin = np.concatenate([begin, (len(flat) + np.cumsum(size) - size).astype(np.int32)])
             count, row, flat = np.concatenate([count, size]), np.concatenate([row, other]), np.concatenate([flat, *ids])
             order = np.argsort(row, kind="stable")
             begin, count, row = begin[order], count[order], row[order]
         total = int(count.sum())
-        source = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
+        source = np.repeat(begin - (np.cumsum(count, dtype=np.int32) - count), count) + np.arange(total, dtype=np.int32)
         bounds = np.concatenate([[0], np.cumsum(np.bincount(row, count, rows).astype(np.int64) + 1)])
-        out = np.full(total + rows, end_id, self.kind)
-        out[np.arange(total) + np.repeat(row, count)] = flat[source]
+        out, own = np.full(total + rows, end_id, self.kind), np.ones(total + rows, bool)
+        own[bounds[1:] - 1] = False
+        out[own] = flat[source]
         return out, bounds
 
 
@@ -302,6 +342,7 @@ def write_store(docs: DataFrame, path: str | None = None, *, tokenizer: str = TO
     placed.write.parquet(f"{path}/recipes")
     recipes = spark.read.schema(placed.schema).parquet(f"{path}/recipes")
     _manifest(recipes).write.parquet(f"{path}/manifest")
+    _top(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")).write.parquet(f"{path}/top")
     return path
 
 
@@ -327,6 +368,29 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     return level.groupBy("part").agg(*up, node("above", "leaf").alias("root"))
 
 
+_MANIFEST = "part int, first_id long, last_id long, documents long, tokens long, root string"
+_TOP = "files long, documents long, tokens long, root string"
+
+
+def _top(manifest: DataFrame) -> DataFrame:
+    """One row, also where there are no files; the manifest has a row for each partition of a shuffle, never more."""
+    line = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in manifest.columns])
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", line.alias("line")))), lambda x: x["line"]), "\n")
+    return manifest.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "tokens")], F.sha2(lines, 256).alias("root"))
+
+
+def _whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Recipes and manifest of a store, after they were found to agree with each other and the top."""
+    recipes, manifest, top = (spark.read.schema(kind).parquet(f"{path}/{x}") for x, kind in (("recipes", _RECIPES), ("manifest", _MANIFEST), ("top", _TOP)))
+    if top.collect() != _top(manifest).collect():
+        raise ValueError("the manifest is not what the store's top says")
+    a, b = manifest.alias("a"), _manifest(recipes).alias("b")
+    differ = ~reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in manifest.columns])
+    if n := a.join(b, F.col("a.part") == F.col("b.part"), "full_outer").filter(differ).count():
+        raise ValueError(f"{n} recipe files do not agree with the manifest")
+    return recipes, manifest
+
+
 _CRC_TABLES: list[np.ndarray] = []
 
 
@@ -381,25 +445,28 @@ def _read_chunks(kind: str):
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, chunks' places, names, counts and checksums) to (root, tokens, checksum), the root being folded again."""
+    """(part, root, chunks' places, names, counts and checksums) to (part, root, tokens, checksum), the root being folded again."""
     for batch in batches:
-        roots, lists = batch.column(0).to_pylist(), batch.column(1)
+        if not batch.num_rows:
+            continue
+        roots, lists = batch.column(1).to_pylist(), batch.column(2)
         bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
         parts = lists.flatten()
+        if missing := parts.field("crc").null_count:
+            raise ValueError(f"the store lacks {missing} chunks that recipes name")
         owner = np.repeat(np.arange(len(roots)), np.diff(bounds))
         seq, n, crc = (np.asarray(parts.field(k)) for k in ("seq", "n", "crc"))
         names = parts.field("name").to_pylist()
         order = np.lexsort((seq, owner))
         n, crc = n[order], crc[order]
-        totals = np.add.reduceat(n, bounds[:-1]) if len(roots) else n
+        totals = np.add.reduceat(n, bounds[:-1])
         after = np.repeat(np.cumsum(totals), np.diff(bounds)) - np.cumsum(n)
-        moved = crc32_shifted(crc, 4 * after)
-        sums = np.bitwise_xor.reduceat(moved, bounds[:-1]) if len(roots) else moved
+        sums = np.bitwise_xor.reduceat(crc32_shifted(crc, 4 * after), bounds[:-1])
         place = order.tolist()
         for k, root in enumerate(roots):
             if merkle([names[x] for x in place[bounds[k] : bounds[k + 1]]]) != root:
                 raise ValueError(f"recipe {root.hex()} does not fold to its root")
-        yield pa.record_batch([pa.array(roots, pa.binary()), pa.array(totals, pa.int64()), pa.array(sums.astype(np.int64))], names=["root", "tokens", "crc"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(sums.astype(np.int64))], names=["part", "root", "tokens", "crc"])
 
 
 def _split_recipe():
@@ -409,33 +476,42 @@ def _split_recipe():
 def read_store(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids_crc32`` of every document, all verified.
 
-    Raises where a chunk, a recipe or the manifest does not hold what it says. ``kind``: the ids' form, two or four bytes.
+    Raises where a chunk, a recipe, a row of the manifest or the top is missing or does not hold what it says. ``kind``: the ids'
+    form, two or four bytes.
     """
-    objects, recipes, manifest = _objects(spark, path), *(spark.read.parquet(f"{path}/{x}") for x in ("recipes", "manifest"))
-    again = _manifest(recipes)
-    differ = manifest.join(again, [manifest[c].eqNullSafe(again[c]) for c in manifest.columns], "left_anti").count()
-    if differ:
-        raise ValueError(f"{differ} recipe files do not agree with the manifest")
-    chunks = objects.filter("kind = 0").select("name", "n", "body").mapInArrow(_read_chunks(kind), "name binary, n long, crc long")
-    distinct = recipes.select("root", "recipe").dropDuplicates(["root"])
-    refs = distinct.select("root", F.explode(_split_recipe()).alias("ref")).select("root", "ref.seq", "ref.name")
-    joined = refs.join(chunks, "name").groupBy("root").agg(F.collect_list(F.struct("seq", "name", "n", "crc")).alias("parts"))
-    facts = joined.mapInArrow(_fold, "root binary, tokens long, crc long")
+    recipes, manifest = _whole(spark, path)
+    chunks = _objects(spark, path).filter("kind = 0").select("name", "n", "body").mapInArrow(_read_chunks(kind), "name binary, n long, crc long")
+    distinct = recipes.select("part", "root", "recipe").dropDuplicates(["part", "root"])
+    refs = distinct.select("part", "root", F.explode(_split_recipe()).alias("ref")).select("part", "root", "ref.seq", "ref.name")
+    # a name has at most one row for each file here, however many recipes hold it
+    facts = refs.select("part", "name").distinct().join(chunks, "name", "left")
+    joined = refs.join(facts, ["part", "name"], "left").groupBy("part", "root").agg(F.collect_list(F.struct("seq", "name", "n", "crc")).alias("parts"))
+    folded = joined.mapInArrow(_fold, "part int, root binary, tokens long, crc long")
     offsets = manifest.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = recipes.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, "part")
-    return starts.join(facts, "root").select(F.col("id").alias("doc_id"), (F.col("before") + F.col("own")).alias("start"), F.col("tokens").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    starts = recipes.select("part", "seq", "id", "n", "root").withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, "part", "left")
+    there = F.col("crc").isNotNull() & F.col("before").isNotNull() & (F.col("n") == F.col("tokens"))
+    crc = F.when(there, F.col("crc")).otherwise(F.raise_error(F.lit("a document has lost its chunks or its place")).cast("long"))
+    return starts.join(folded, ["part", "root"], "left").select(F.col("id").alias("doc_id"), (F.col("before") + F.col("own")).alias("start"), F.col("tokens").alias("n_tokens"), crc.alias("ids_crc32"))
 
 
 def restore(spark: SparkSession, path: str, *, kind: str = "<u2") -> DataFrame:
-    """``doc_id`` and ``ids`` of every document, put together again from its chunks."""
-    objects, recipes = _objects(spark, path), spark.read.parquet(f"{path}/recipes")
-    refs = recipes.withColumn("row", F.monotonically_increasing_id()).select("row", "id", F.explode(_split_recipe()).alias("ref")).select("row", "id", "ref.seq", "ref.name")
-    joined = refs.join(objects.filter("kind = 0").select("name", "body"), "name").groupBy("row", "id").agg(F.array_sort(F.collect_list(F.struct("seq", "body"))).alias("parts"))
+    """``doc_id`` and ``ids`` of every document, put together again from its chunks; raises where one is missing or changed."""
+    recipes, _ = _whole(spark, path)
+    refs = recipes.select("part", "seq", "id", F.explode(_split_recipe()).alias("ref")).select("part", F.col("seq").alias("row"), "id", "ref.seq", "ref.name")
+    chunks = _objects(spark, path).filter("kind = 0").select("name", "body")
+    facts = refs.select("part", "name").distinct().join(chunks, "name", "left")
+    joined = refs.join(facts, ["part", "name"], "left").groupBy("part", "row", "id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "body"))).alias("parts"))
+
+    def unpacked(x: dict) -> bytes:
+        body = zstandard.decompress(x["body"]) if x["body"] is not None else b""
+        if name_of(body) != x["name"]:
+            raise ValueError(f"chunk {x['name'].hex()} is missing or does not hold what its name says")
+        return body
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(zstandard.decompress(x["body"]) for x in own), kind).astype(np.int32) for own in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(b"".join(map(unpacked, own)), kind).astype(np.int32) for own in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return joined.select("id", "parts").mapInArrow(run, "doc_id long, ids array<int>")
