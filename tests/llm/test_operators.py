@@ -68,6 +68,29 @@ def test_language_model(spark, docs):
         assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w)))
 
 
+@pytest.mark.parametrize("lost", ["pairs-0.0", "pairs-3.1", "words-1.0", "words-0.3"])
+def test_a_model_that_lost_a_file_raises(spark, lost):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 50}" for j in range(40))) for k in range(30)], "doc_id long, text string")
+    model = kneser_ney.train(docs, grid=2)
+    whole = {r["id"]: r["score"] for r in kneser_ney.scores(docs, model).collect()}
+    one = {r["id"]: r["score"] for r in kneser_ney.scores(docs, kneser_ney.train(docs)).collect()}
+    assert whole == pytest.approx(one)  # whatever the grid
+    again = kneser_ney.train(docs, grid=2)
+    path = Path(again.folder) / lost
+    path.write_bytes(path.read_bytes()[:-8])
+    with pytest.raises(Exception, match="not whole"):
+        kneser_ney.scores(docs, again).collect()
+    path.unlink()
+    with pytest.raises(Exception, match="missing"):
+        kneser_ney.scores(docs, again).collect()
+
+
+def test_the_grid_follows_the_corpus():
+    assert [kneser_ney.grid_for(n) for n in (0, 1, kneser_ney.CELL_TOKENS, kneser_ney.CELL_TOKENS + 1, 100 * kneser_ney.CELL_TOKENS)] == [1, 1, 1, 2, 10]
+
+
 @pytest.mark.parametrize("name,label,by,out,least", [("op2_quality", "quality", 5, 0, 0.95), ("op10_toxicity", "toxic", 4, 2, 0.9)])
 def test_classifiers_on_held_out_rows(spark, name, label, by, out, least):
     folder = "/root/testdata/sf0.01"

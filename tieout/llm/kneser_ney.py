@@ -21,6 +21,7 @@ Words are told apart by 64-bit hashes: among a billion distinct words fewer than
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 import zlib
@@ -42,8 +43,12 @@ START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _STEP = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_STEP, -1, 1 << 64))
 _STEP = np.uint64(_STEP)
-#: Tokens that a worker packs at a time.
-PACK_TOKENS = 1 << 20
+#: Tokens that a worker packs at a time: more where the grid is wide, so that a cell's part of a pack stays worth its head.
+PACK_TOKENS, MOST_PACK_TOKENS = 1 << 20, 8 << 20
+#: Tokens for each cell of the grid, about; the merge of a cell holds so many pairs at most in one task.
+CELL_TOKENS = 4 << 20
+#: Tables that a worker keeps mapped; the longest unused go first.
+MAPPED = 4096
 ADD = 0.1
 
 
@@ -108,8 +113,14 @@ def _merged(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[heads], *[np.add.reduceat(v[order], heads) for v in values]]
 
 
+def grid_for(tokens: int) -> int:
+    """Rows of the square grid whose cells see about ``CELL_TOKENS`` each."""
+    return max(1, math.isqrt(max(0, tokens - 1) // CELL_TOKENS) + 1)
+
+
 def _counter(grid: int):
     """Texts to packed pairs of each cell."""
+    pack = min(max(PACK_TOKENS, grid * grid * 256), MOST_PACK_TOKENS)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         pair, word = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -139,7 +150,7 @@ def _counter(grid: int):
                 _, previous, token = tokens(batch.column(0))
                 held.append((pair_hash(previous, token), token))
                 n += len(token)
-                if n >= PACK_TOKENS:
+                if n >= pack:
                     yield from flush(held)
                     held, n = [], 0
         if n:
@@ -181,8 +192,8 @@ def _cell_merger(folder: str, grid: int):
         first = _merged(before, one, two, np.uint64(1) - one - two)
         second = _merged(name, count, np.ones(len(name), np.uint64))
         seen = [int((count == k).sum()) for k in (1, 2, 3, 4)]
-        rows = [(int(key[0]) // grid, 0, _packed(*first), *seen), (int(key[0]) % grid, 1, _packed(*second), 0, 0, 0, 0)]
-        return pd.DataFrame(rows, columns=["band", "kind", "blob", "n1", "n2", "n3", "n4"])
+        rows = [(int(key[0]) // grid, 0, _packed(*first), int(key[0]), len(pair), *seen), (int(key[0]) % grid, 1, _packed(*second), None, 0, 0, 0, 0, 0)]
+        return pd.DataFrame(rows, columns=["band", "kind", "blob", "cell", "pairs", "n1", "n2", "n3", "n4"]).astype({"cell": "Int64"})
 
     return run
 
@@ -202,8 +213,8 @@ def _word_merger(folder: str):
         key_, count, before, one, two, more = _merged(np.concatenate(keys), *np.concatenate(sums, axis=1))
         _save(folder, f"words-{key[0]}", key_, count, before.astype(np.uint32), one.astype(np.uint32), two.astype(np.uint32), more.astype(np.uint32))
         seen = [int((before == k).sum()) for k in (1, 2, 3, 4)]
-        out = (int(count.sum()), int((count > 0).sum()), int(before.sum()), *seen)
-        return pd.DataFrame([out], columns=["tokens", "words", "befores", "n1", "n2", "n3", "n4"])
+        out = (int(key[0]), len(key_), int(count.sum()), int((count > 0).sum()), int(before.sum()), *seen)
+        return pd.DataFrame([out], columns=["band", "rows", "tokens", "words", "befores", "n1", "n2", "n3", "n4"])
 
     return run
 
@@ -219,7 +230,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """Where the arrays are, and the sums that scoring needs; as small at any size of the corpus."""
+    """Where the arrays are, how long each must be, and the sums that scoring needs: a number for each cell and band, about
+    ``CELL_TOKENS`` tokens, and nothing else that grows with the corpus."""
 
     folder: str
     grid: int
@@ -230,24 +242,36 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_left: float
-
-    def table(self, name: str, kinds: list) -> list[np.ndarray]:
+    cell_rows: np.ndarray
+    band_rows: np.ndarray
+
+    def table(self, kind: str, at: int, kinds: list) -> list[np.ndarray]:
+        """The arrays of a cell (``pairs``) or band (``words``); raises where a file is missing or has another length."""
+        rows, name = int((self.cell_rows if kind == "pairs" else self.band_rows)[at]), f"{kind}-{at}"
+        if not rows:
+            return [np.zeros(0, k) for k in kinds]
         key = (self.folder, name)
         if key not in _MAPPED:
             paths = [Path(self.folder) / f"{name}.{k}" for k in range(len(kinds))]
-            full = paths[0].exists() and paths[0].stat().st_size > 0
-            _MAPPED[key] = [np.memmap(p, kind, "r") for p, kind in zip(paths, kinds, strict=True)] if full else [np.zeros(0, k) for k in kinds]
+            for path, k in zip(paths, kinds, strict=True):
+                if not path.exists() or path.stat().st_size != rows * np.dtype(k).itemsize:
+                    raise FileNotFoundError(f"the model's file {path} is missing here or is not whole: the shared folder must be mounted on every worker")
+            while len(_MAPPED) >= MAPPED:
+                _MAPPED.pop(next(iter(_MAPPED)))
+            _MAPPED[key] = [np.memmap(p, k, "r") for p, k in zip(paths, kinds, strict=True)]
+        else:
+            _MAPPED[key] = _MAPPED.pop(key)
         return _MAPPED[key]
 
-    def look_up(self, name: str, kinds: list, keys: np.ndarray) -> np.ndarray:
+    def look_up(self, kind: str, at: int, kinds: list, keys: np.ndarray) -> np.ndarray:
         """(values x keys), 0 for what is not there; keys are looked up in ascending order."""
-        table = self.table(name, kinds)
+        table = self.table(kind, at, kinds)
         out = np.zeros((len(kinds) - 1, len(keys)))
         if len(table[0]) and len(keys):
-            at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-            there = table[0][at] == keys
+            place = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+            there = table[0][place] == keys
             for k, column in enumerate(table[1:]):
-                out[k] = np.where(there, column[at], 0)
+                out[k] = np.where(there, column[place], 0)
         return out
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
@@ -255,7 +279,7 @@ class Model:
         out, band = np.zeros((5, len(h))), _band(h, self.grid)
         for b in np.unique(band):
             own = np.flatnonzero(band == b)
-            out[:, own] = self.look_up(f"words-{b}", [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32], h[own])
+            out[:, own] = self.look_up("words", int(b), [np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32], h[own])
         return out
 
     def pair_counts(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -265,7 +289,7 @@ class Model:
         out = np.zeros(len(pair))
         for c in np.flatnonzero(np.diff(edges)):
             own = order[edges[c] : edges[c + 1]]
-            out[own] = self.look_up(f"pairs-{c}", [np.uint64, np.uint64], pair[own])[0]
+            out[own] = self.look_up("pairs", int(c), [np.uint64, np.uint64], pair[own])[0]
         return out
 
     def log10(self, previous: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,23 +319,32 @@ _MAPPED: dict = {}
 def train(docs: DataFrame, *, text_column: str = "text", grid: int | None = None) -> Model:
     """A model of the texts of ``docs``; null texts count as empty ones, of which the end mark alone is learnt.
 
-    ``grid`` squared is the number of cells: as many as the session has shuffle partitions, about, so that a cell fits a task.
+    ``grid`` squared is the number of cells; by default it follows from the number of tokens, so that a cell fits a task at any size.
     """
     spark = docs.sparkSession
-    grid = grid or max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     folder = posix_path(fresh_path(spark, "kneser-ney"))
     os.makedirs(folder)
     texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    # words are about as many as separators; this only sizes the grid
+    rows, breaks = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") - F.octet_length(F.translate("text", " \n", ""))), F.lit(0))).first()
+    grid = grid or grid_for(rows + breaks)
     packed = texts.mapInArrow(_counter(grid), "cell int, blob binary")
-    cells = written(packed.groupBy("cell").applyInPandas(_cell_merger(folder, grid), "band int, kind int, blob binary, n1 long, n2 long, n3 long, n4 long"), "kneser-ney-cells")
+    merged = packed.groupBy("cell").applyInPandas(_cell_merger(folder, grid), "band int, kind int, blob binary, cell long, pairs long, n1 long, n2 long, n3 long, n4 long")
+    cells = written(merged, "kneser-ney-cells")
     pair_seen = cells.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)]).first()
-    bands = cells.groupBy("band").applyInPandas(_word_merger(folder), "tokens long, words long, befores long, n1 long, n2 long, n3 long, n4 long")
-    total = bands.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in bands.columns]).first()
+    cell_rows, band_rows = np.zeros(grid * grid, np.int64), np.zeros(grid, np.int64)
+    for cell, n in cells.filter("kind = 0").select("cell", "pairs").collect():
+        cell_rows[cell] = n
+    bands = cells.select("band", "kind", "blob").groupBy("band").applyInPandas(_word_merger(folder), "band long, rows long, tokens long, words long, befores long, n1 long, n2 long, n3 long, n4 long").collect()
+    for r in bands:
+        band_rows[r["band"]] = r["rows"]
+    total = [sum(r[k] for r in bands) for k in range(2, 9)]
     word_discounts = discounts(*total[3:])
     # what the discounts take from the words: their number at 1, 2, and 3 or more distinct previous words
     more = total[1] - total[3] - total[4]
     taken = word_discounts[0] * total[3] + word_discounts[1] * total[4] + word_discounts[2] * more
-    return Model(folder, grid, texts.count(), total[0], total[1], total[2], discounts(*pair_seen), word_discounts, taken / total[2] if total[2] else 1.0)
+    left = taken / total[2] if total[2] else 1.0
+    return Model(folder, grid, rows, total[0], total[1], total[2], discounts(*pair_seen), word_discounts, left, cell_rows, band_rows)
 
 
 def _scorer(shared):
@@ -353,5 +386,3 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.filter(remainder("doc_id", 10) != 0))
     return scores(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
-
-
