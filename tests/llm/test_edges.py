@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tieout.llm import decontaminate, kneser_ney, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
 
@@ -18,10 +19,10 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.fixture
 def docs(spark):
     """Rows with further columns whose names the operators use within."""
-    names = ("key", "id", "rep", "size", "score", "component", "epoch", "blob")
+    names = ("key", "id", "rep", "size", "score", "component", "epoch", "blob", "__id", "__mx_times", "__mx_time", "__MX_own", "h1", "a.b")
     df = spark.createDataFrame(ROWS, DDL.format("key string"))
     for name in names[1:]:
-        df = df.withColumn(name, df["key"])
+        df = df.withColumn(name, F.col("key"))
     return df.repartition(3)
 
 

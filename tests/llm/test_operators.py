@@ -177,14 +177,44 @@ def test_targets_reshare_what_is_above():
 
 
 def test_schedule_is_even(spark):
-    from fractions import Fraction
-
-    rows = mixing.schedule(spark, [("a", Fraction(5)), ("b", Fraction(2)), ("c", Fraction(1))], 4096).orderBy("slot").collect()
+    rows = mixing.schedule(spark, [("a", 2560), ("b", 1024), ("c", 512)]).orderBy("slot").collect()
     seen = Counter()
     for k, r in enumerate(rows, start=1):
         assert r["rank"] == seen[r["__mx_src"]]
         seen[r["__mx_src"]] += 1
-        assert all(abs(seen[s] - k * w / 8) <= 1 + math.log2(k + 1) for s, w in (("a", 5), ("b", 2), ("c", 1)))
+        if k <= 4096:
+            assert all(abs(seen[s] - k * w / 8) <= 1 + math.log2(k + 1) for s, w in (("a", 5), ("b", 2), ("c", 1)))
+    assert seen == {"a": 2560, "b": 1024, "c": 512}
+
+
+def test_points_against_the_sequence():
+    points = [int(f"{i:0{mixing.BITS}b}"[::-1], 2) for i in range(3000)]
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        n, (first, end) = int(rng.integers(0, 1000)), sorted(int(x) for x in rng.integers(0, 1 << mixing.BITS, 2))
+        end += 1
+        assert mixing.points_below(n, first) == sum(p < first for p in points[:n])
+        inside = [i for i in range(n, 3000) if first <= points[i] < end]
+        assert mixing.next_points(n, first, end, 5)[: len(inside)] == inside[:5]
+    assert mixing.points_below(7, 1 << mixing.BITS) == 7 and mixing.next_points(9, 0, 1 << mixing.BITS, 3) == [9, 10, 11]
+
+
+@pytest.mark.parametrize("due", [[("big", 5000), ("one", 1), ("two", 2), ("none", 0)], [(f"s{k:05}", 1 + k % 3) for k in range(5000)]])
+def test_every_source_gets_its_due(spark, due):
+    rows = mixing.schedule(spark, due).collect()
+    ranks = defaultdict(list)
+    for r in rows:
+        ranks[r["__mx_src"]].append(r["rank"])
+    assert {s: sorted(v) for s, v in ranks.items()} == {s: list(range(n)) for s, n in due if n}
+    assert len({r["slot"] for r in rows}) == len(rows)
+
+
+def test_a_mix_of_many_sources(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('w', id, ' x y z') as text", "concat('s', id % 2000) as source")
+    pieces, documents = mixing.mixture(docs, block_tokens=4)
+    taken = {r["__mx_src"]: r["w"] for r in pieces.groupBy("__mx_src").agg({"words": "sum"}).withColumnRenamed("sum(words)", "w").collect()}
+    for r in documents.select("__mx_src", "target").distinct().collect():
+        assert abs(taken.get(r["__mx_src"], 0) - r["target"]) <= 4
 
 
 def test_token_store(spark, docs):
@@ -385,7 +415,8 @@ def test_sharding(spark, docs):
         here = Counter(r["source"] for r in own if r["shard"] == shard)
         assert all(abs(here[s] - n / 6) <= 2 for s, n in share.items())
     # by brute force: ranks by key within the source, then the order of fractional ranks
-    key = lambda d: hashlib.md5(f"17:{d['doc_id']}".encode()).hexdigest()
+    rest = {r["doc_id"]: r["rest"] for r in spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("doc_id", "xxhash64(text, lang, n_chars) rest").collect()}
+    key = lambda d: hashlib.md5(f"17:{d['doc_id']}:{rest[d['doc_id']]}".encode()).hexdigest()
     ranks = {}
     for s in share:
         for k, d in enumerate(sorted((d for d in docs.values() if d["source"] == s), key=key), start=1):

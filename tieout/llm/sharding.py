@@ -1,6 +1,6 @@
 """Sharding by proportional stratified interleaving, with DataFrame functions only.
 
-Rows of each source are put in a seeded random order (``md5`` of seed and id). The fractional rank of a row is
+Rows of each source are put in a seeded random order (``md5`` of seed, id and a hash of the other columns). The fractional rank of a row is
 ``(2 * rank - 1) / (2 * rows of its source)``; sorting all rows by it interleaves the sources in proportion, and cutting
 that order into runs whose lengths differ by one at most gives every shard the mixture of the whole.
 
@@ -21,13 +21,13 @@ SHARDS = 24
 SEED = 17
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_column: str = "doc_id", source_column: str = "source", range_rows: int = ordering.RANGE_ROWS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_column: str = "doc_id", source_column: str = "source", range_rows: int | None = None) -> DataFrame:
     """``docs`` with ``shard`` (int, 0 to ``shards - 1``) and ``slot`` (long, gapless from 0 within the shard).
 
     Law ``rows``: row counts of shards differ by one at most. The result depends on the rows alone, never on how they are
     partitioned. Null sources are a stratum of their own; null and repeated ids, null, empty and very long texts are rows
-    as any other. Rows that tie in key and id are ordered by their other plain columns; rows that are equal in all of them
-    take neighbouring slots in any order. An empty table gives an empty result. Columns ``shard`` and ``slot`` of the
+    as any other. The order of rows follows from their ids and a hash of their other plain columns, so rows that share an id, or
+    have none, are dealt as evenly as others; rows that are equal in all of them take neighbouring slots in any order. An empty table gives an empty result. Columns ``shard`` and ``slot`` of the
     input are replaced; names beginning with ``__il_`` are reserved and refused.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
@@ -41,9 +41,9 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     rows = per_source.agg(F.sum("__il_n")).first()[0] or 0
     ranges = ordering.ranges_for(rows, range_rows)
 
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], ordering.shuffle_key(id_column, seed).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], ordering.shuffle_key(id_column, seed, *ties).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
     keyed = keyed.withColumn("__il_b", ordering.key_range(F.col("__il_key"), ranges))
-    slim = docs.select(ordering.key_range(ordering.shuffle_key(id_column, seed), ranges).alias("__il_b"), ordering.stratum(source_column).alias("__il_src"))
+    slim = docs.select(ordering.key_range(ordering.shuffle_key(id_column, seed, *ties), ranges).alias("__il_b"), ordering.stratum(source_column).alias("__il_src"))
     cells = ordering.before(slim, ["__il_src"], "__il_b", F.lit(1), "__il_off", "__il_c").join(per_source, "__il_src")
 
     # range of rank r of n: ((2r - 1) * R) div 2n; the last rank of range g: ((2n(g + 1) + R - 1) div R) div 2
