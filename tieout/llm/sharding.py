@@ -7,7 +7,7 @@ that order into runs whose lengths differ by one at most gives every shard the m
 No window spans a source or the table. The order of a source is cut into ranges of its uniform key; rows are counted per
 range, a running sum over the counts gives each range its offset, and ``row_number`` runs only inside a range. The order
 across sources is cut into ranges of the fractional rank; how many rows fall into each follows by integer arithmetic from
-the first counts, so the rows themselves pass through the windows once.
+the first counts. Only keys pass through these windows; whole rows are shuffled once, to meet their places.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieout.llm import ordering
+from tieout.llm.storage import written
 
 SHARDS = 24
 SEED = 17
@@ -41,9 +42,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     rows = per_source.agg(F.sum("__il_n")).first()[0] or 0
     ranges = ordering.ranges_for(rows, range_rows)
 
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], ordering.shuffle_key(id_column, seed, *ties).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
-    keyed = keyed.withColumn("__il_b", ordering.key_range(F.col("__il_key"), ranges))
-    slim = docs.select(ordering.key_range(ordering.shuffle_key(id_column, seed, *ties), ranges).alias("__il_b"), ordering.stratum(source_column).alias("__il_src"))
+    slim = docs.select(ordering.shuffle_key(id_column, seed, *ties).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
+    slim = slim.withColumn("__il_b", ordering.key_range(F.col("__il_key"), ranges))
     cells = ordering.before(slim, ["__il_src"], "__il_b", F.lit(1), "__il_off", "__il_c").join(per_source, "__il_src")
 
     # range of rank r of n: ((2r - 1) * R) div 2n; the last rank of range g: ((2n(g + 1) + R - 1) div R) div 2
@@ -55,9 +55,9 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     counts = spread.groupBy("__il_g").agg(F.sum(F.expr(f"least(__il_off + __il_c, {high}) - greatest(__il_off, {low})")).alias("__il_m"))
     starts = counts.select("__il_g", F.coalesce(F.sum("__il_m").over(Window.orderBy("__il_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__il_start"))
 
-    inside = Window.partitionBy("__il_src", "__il_b").orderBy("__il_key", F.col(f"`{id_column}`"), *ties)
+    inside = Window.partitionBy("__il_src", "__il_b").orderBy("__il_key")
     ranked = (
-        keyed.withColumn("__il_i", F.row_number().over(inside))
+        slim.withColumn("__il_i", F.row_number().over(inside))
         .join(cells.drop("__il_c"), ["__il_src", "__il_b"])
         .withColumn("__il_r", F.col("__il_off") + F.col("__il_i"))
         .withColumn("__il_g", F.expr(f"((2 * __il_r - 1) * {ranges}L) div (2 * __il_n)"))
@@ -68,7 +68,12 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     total = max(1, int(rows))
     placed = placed.withColumn("shard", F.expr(f"cast((__il_p * {shards}L) div {total}L as int)"))
     first = F.expr(f"(cast(shard as bigint) * {total}L + {shards - 1}L) div {shards}L")
-    return placed.select(*[F.col(f"`{c}`") for c in kept], "shard", (F.col("__il_p") - first).cast("long").alias("slot"))
+    # keys and places went through the windows; the rows themselves meet their places in one join, equal rows one by one
+    turn = Window.partitionBy("__il_key", "__il_src")
+    placed = placed.select("__il_key", "__il_src", "shard", (F.col("__il_p") - first).cast("long").alias("slot")).withColumn("__il_t", F.row_number().over(turn.orderBy("shard", "slot")))
+    whole = docs.select(*[F.col(f"`{c}`") for c in kept], ordering.shuffle_key(id_column, seed, *ties).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
+    whole = whole.withColumn("__il_t", F.row_number().over(turn.orderBy(F.col(f"`{id_column}`"))))
+    return whole.join(placed, ["__il_key", "__il_src", "__il_t"]).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +85,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    placed = interleave(digests)
+    placed = interleave(written(digests, "shard-digests"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
