@@ -63,10 +63,30 @@ def test_stages_keep_columns(spark, docs, labels, benchmark):
     for out in (quality.good_documents(docs, labels), neardup.one_of_each(docs), decontaminate.without_contaminated(docs, benchmark), mixing.mixed_documents(docs)):
         assert out.columns == docs.columns
         out.collect()
-    assert sorted(r["doc_id"] or 0 for r in neardup.one_of_each(docs).collect()) == [0, 1, 1, 3, 4, 5, 6, 7, 8]
+    assert sorted(r["doc_id"] or 0 for r in neardup.one_of_each(docs).collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
     assert sharding.interleave(docs, 4).columns == [*docs.columns, "shard", "slot"]
 
 
+def test_rows_go_by_themselves(spark):
+    """Null and repeated ids: what one row's text decides does not touch its namesakes."""
+    bad, item, good = "beta gamma delta epsilon zeta", "one two three four five six seven", "the quiet river runs past the old stone mill every day"
+    rows = [(None, item, "a"), (None, good, "a"), (1, item, "b"), (1, bad, "b"), (2, good, "c"), (2, good, "c"), (None, good, "d"), (None, bad, "e"), (None, bad, "e"), (3, "", "f"), (3, "", "f"), (None, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = [tuple(r) for r in decontaminate.without_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1] != item], key=str)
+    kept = [tuple(r) for r in neardup.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, item, "b"), (1, bad, "b"), (2, good, "c"), (3, "", "f"), (3, "", "f"), (None, None, "g")], key=str)
+    facts = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()}
+    assert (None, 7, 2, False) in facts and (None, 3, 1, False) in facts and (None, 0, None, True) in facts
+    alone = docs.filter("doc_id is null")
+    assert sorted((r["text"] or "") for r in neardup.one_of_each(alone).collect()) == sorted(["", item, good, bad])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    learn = spark.createDataFrame([(k, ["!!! $$$ ||| 1 2 3", good][k % 2], "s") for k in range(100)], docs.schema)
+    mixed = learn.unionByName(spark.createDataFrame([(None, "!!! $$$ ||| 1 2 3", "x"), (None, good, "x"), (1, "!!! $$$ ||| 1 2 3", "x")], docs.schema))
+    kept = quality.good_documents(mixed, labels).collect()
+    assert len(kept) == 51 and all(r["text"] == good for r in kept)
+
+
 def test_empty_tables(spark, labels, benchmark):
     none = spark.createDataFrame([], DDL.format("extra string"))
     for name, df in results(spark, none, labels.limit(0), benchmark.limit(0)).items():

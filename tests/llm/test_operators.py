@@ -315,6 +315,28 @@ def test_a_large_group_of_edits(spark):
     assert [found[i] for i in range(250)] == root
 
 
+def test_hot_groups_against_brute_force(spark, monkeypatch):
+    """Six of ten documents in one bucket of edits that the threshold splits, three of ten without words, copies: blocks of two members."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 2)
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for i in range(120):
+        w = list(base)
+        for at in rng.choice(60, size=rng.integers(0, 5), replace=False):
+            w[at] = f"x{i % 40}_{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, ["", None, " "][i % 3]) for i in range(60)] + [(300 + i, rows[5][1]) for i in range(20)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} if (t or "").split() else set() for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if x == high else x for i, x in root.items()}
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == root
+
+
 def test_posterior_bound():
     for n in (32, 64, 128):
         m = neardup.least_matches(n, 75, 1e-6)

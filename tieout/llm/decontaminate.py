@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.llm import words
-from tieout.llm.neardup import with_ids
-from tieout.llm.storage import written
+from tieout.llm.storage import row_keys, without_rows, written
 
 #: One edit is allowed for so many words of an item.
 WORDS_PER_EDIT = 5
@@ -39,7 +38,7 @@ PIECE_WORDS = 60
 INDEX_BYTES = 16 << 20
 _PAD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_COLUMNS = "id long, item_id long, item_words int, start long, distance int"
+_COLUMNS = "id long, k1 long, k2 long, item_id long, item_words int, start long, distance int"
 
 
 def edits_for(n: int) -> int:
@@ -243,8 +242,7 @@ def _searcher(shared):
         index = shared.value
         for whole in batches:
             for batch in words.slices(whole, "text"):
-                ids = batch.column(0)
-                parts = [(r, i, np.full(len(r), n), s, d) for r, i, n, s, d in index.search(batch.column(1))]
+                parts = [(r, i, np.full(len(r), n), s, d) for r, i, n, s, d in index.search(batch.column(3))]
                 if not parts:
                     continue
                 r, item, n, s, d = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -253,8 +251,8 @@ def _searcher(shared):
                 best = np.ones(len(r), bool)
                 best[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1])
                 yield pa.record_batch(
-                    [ids.take(pa.array(r[best])), index.ids.take(pa.array(item[best])), pa.array(n[best].astype(np.int32)), pa.array(s[best].astype(np.int64)), pa.array(d[best].astype(np.int32))],
-                    names=["id", "item_id", "item_words", "start", "distance"],
+                    [*[c.take(pa.array(r[best])) for c in batch.columns[:3]], index.ids.take(pa.array(item[best])), pa.array(n[best].astype(np.int32)), pa.array(s[best].astype(np.int64)), pa.array(d[best].astype(np.int32))],
+                    names=["id", "k1", "k2", "item_id", "item_words", "start", "distance"],
                 )
 
     return run
@@ -262,7 +260,7 @@ def _searcher(shared):
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``id``, ``item_id``, ``item_words``, ``start`` (word of the text, from 0) and ``distance`` of the nearest, then first, window for
-    every document row and item within reach.
+    every document row and item within reach, with the row's keys ``k1`` and ``k2``.
 
     Items are a stated query set, searched for in blocks of at most ``index_bytes`` of text: the broadcast never grows with
     either table. Null or empty texts and items match nothing. Null ids are kept as null.
@@ -273,7 +271,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "d
     items = benchmark.select(F.col(f"`{item_column}`").cast("long").alias("item_id"), F.col(f"`{item_text_column}`").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-int(total) // index_bytes) or 1
-    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), *row_keys(id_column, text_column), F.col(f"`{text_column}`").cast("string").alias("text"))
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -283,13 +281,18 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "d
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id is contaminated by any item."""
-    found = contaminations(docs, benchmark, id_column=id_column, **options)
-    return with_ids(docs, written(found.select("id").distinct(), "contaminated"), id_column, "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that any item contaminates.
+
+    Each row goes or stays by its own text: rows with a null id too, and rows that share an id with a row that goes. Null and empty
+    texts stay. Equal texts go or stay together, so there are no ties. Very long texts are searched whole. Columns may have any name.
+    Empty tables give back ``docs``.
+    """
+    found = contaminations(docs, benchmark, id_column=id_column, text_column=text_column, **options)
+    return without_rows(docs, written(found.select("k1", "k2").distinct(), "contaminated"), id_column, text_column)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) within reach."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contaminations(docs, benchmark).withColumnRenamed("id", "doc_id")
+    return contaminations(docs, benchmark).drop("k1", "k2").withColumnRenamed("id", "doc_id")

@@ -2,7 +2,8 @@
 
 1. One pass gives each document the set of its word 5-shingles as a count, a 128-bit digest, 128 minima and 32 band keys of
    four minima each. At similarity 0.75 all bands miss a pair with probability (1 - 0.75^4)^32 = 5e-6.
-2. Documents with equal digests are one class; only its smallest id goes on, so copies cost one row each from here.
+2. Documents with equal digests are one class; only its smallest id goes on, so copies cost one row each from here. Copies meet
+   their class dealt by hash over as many parts as a shuffle has; texts without words have no class and stay out.
 3. Of the shingles of documents with company in a band bucket, those that one document alone has can be in no
    intersection. The rest bounds every intersection from above, exactly: documents and pairs that the bound keeps below the
    threshold go. So strangers that share a passage, and far edits of one original, cost no pairs.
@@ -15,7 +16,7 @@
 7. What is left are pairs of a bucket in different components: each member outside the largest component of its bucket is
    held against all members of other components, inside the join: by the bound of 3, by a second exact bound from bitmaps of
    hashed shingles (a bit that one has and the other lacks is a shingle outside the intersection), by batches, and what is left
-   exactly. No pair inside a component is made.
+   exactly. No pair inside a component is made. Large buckets are cut into blocks, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tieout.llm import words
 from tieout.llm.components import components, extended, labelled
-from tieout.llm.storage import written
+from tieout.llm.storage import row_keys, without_rows, written
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -43,9 +44,11 @@ BROADCAST_IDS = 1_000_000
 
 #: A signature is kept as longs of three 15-bit minima in lanes of 16 bits, so that plain SQL can count agreeing lanes.
 LANES, PACKED = 3, -(-BANDS * ROWS // 3)
+#: Members of a bucket that one task holds against as many others.
+BLOCK_MEMBERS = 512
 #: Bits of the bitmap of a set; for sets of more than about so many shingles it bounds nothing, and harms nothing.
 BITS = 2048
-_PROFILE = "id long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"
+_PROFILE = "id long, k1 long, k2 long, n_shingles long, d1 long, d2 long, sig array<long>, bits array<long>, bands array<long>"
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,7 +82,7 @@ def _profile(size: int):
 
 def _profile_batch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     rows = batch.num_rows
-    row, h = sets_of(batch.column(1), size)
+    row, h = sets_of(batch.column(3), size)
     counts = np.bincount(row, minlength=rows)
     full = np.flatnonzero(counts)
     starts = np.searchsorted(row, full)
@@ -108,7 +111,7 @@ def _profile_batch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
     bits = np.packbits(there, axis=1).reshape(-1).view(np.int64)
     return pa.record_batch(
         [
-            batch.column(0),
+            *batch.columns[:3],
             pa.array(counts, pa.int64()),
             pa.array(d1.view(np.int64)),
             pa.array(d2.view(np.int64)),
@@ -116,7 +119,7 @@ def _profile_batch(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
             pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (BITS // 64), pa.int32()), pa.array(bits)),
             pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
         ],
-        names=["id", "n_shingles", "d1", "d2", "sig", "bits", "bands"],
+        names=["id", "k1", "k2", "n_shingles", "d1", "d2", "sig", "bits", "bands"],
     )
 
 
@@ -187,8 +190,8 @@ def _verify(threshold: int, size: int):
 def with_ids(docs: DataFrame, ids: DataFrame, id_column: str, how: str) -> DataFrame:
     """``docs`` with (``left_semi``) or without (``left_anti``) the ids in column ``id``; few ids are broadcast, many shuffled."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    right = ids.select(F.col("id").alias("__id"))
-    return docs.join(F.broadcast(right) if few else right, docs[id_column] == F.col("__id"), how)
+    right = ids.select("id").alias("own")
+    return docs.join(F.broadcast(right) if few else right, docs[f"`{id_column}`"] == F.col("own.id"), how)
 
 
 def _explode(size: int):
@@ -245,14 +248,35 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int =
     Two documents are linked when their sets of distinct word shingles have ``100 * intersection >= threshold * union``.
     A text with fewer words than a shingle has one shingle, the whole sequence; null, empty and white-space texts have none,
     are linked with nothing and kept. Rows of equal sets are always together. Rows that share an id are one document to
-    the links (the id of a component is theirs); a null id is never linked but by an equal set. Very long texts are read
-    whole. Extra columns play no part, whatever their names. An empty table gives an empty result.
+    the links (the id of a component is theirs); a null id is never linked but by an equal set, whose id is then its component,
+    and is kept where no row with an id has its set. Very long texts are read whole. Extra columns play no part, whatever their names. An empty table gives an empty result.
     """
+    profile = _profiled(docs, size, id_column, text_column)
+    return _components(docs, profile, threshold, size, miss_probability, id_column, text_column).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _profiled(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
+    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), *row_keys(id_column, text_column), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return written(base.mapInArrow(_profile(size), _PROFILE), "neardup-profile")
+
+
+def _components(docs: DataFrame, profile: DataFrame, threshold: int, size: int, miss_probability: float, id_column: str, text_column: str) -> DataFrame:
+    """``id``, ``k1``, ``k2``, ``n_shingles``, ``d1``, ``d2``, ``rep`` (smallest id of equal sets, null without words) and ``component`` of every row."""
+    spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    profile = written(base.mapInArrow(_profile(size), _PROFILE), "neardup-profile")
-    classes = profile.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    members = written(profile.select("id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", "n_shingles", "rep"), "neardup-members")
-    reps = profile.join(classes, ["d1", "d2"]).filter("id = rep").select("id", "n_shingles", "sig", "bits", "bands")
+    slim = profile.select("id", "k1", "k2", "n_shingles", "d1", "d2")
+    full = slim.filter("n_shingles > 0")
+    classes = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.withColumn("part", F.pmod(F.col("k1"), F.lit(parts)))
+    # a class has at most one row for each part here, however many copies it has
+    places = dealt.select("part", "d1", "d2").distinct().join(classes, ["d1", "d2"])
+    members = dealt.join(places, ["part", "d1", "d2"]).select("id", "k1", "k2", "n_shingles", "d1", "d2", "rep")
+    members = written(members.unionByName(slim.filter("n_shingles = 0").withColumn("rep", F.lit(None).cast("long"))), "neardup-members")
+    heads = classes.filter("rep is not null").select("d1", "d2", F.col("rep").alias("id"))
+    reps = profile.filter("n_shingles > 0").join(heads, ["d1", "d2", "id"]).dropDuplicates(["d1", "d2", "id"]).select("id", "n_shingles", "sig", "bits", "bands")
     reps = written(reps, "neardup-reps")
 
     every = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
@@ -293,22 +317,53 @@ def near_duplicates(docs: DataFrame, *, threshold: int = THRESHOLD, size: int =
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.label_id") != F.col("y.label_id")) & reach("x", "y")
 
     members_left = open_members(groups)
-    x, y = members_left.filter("label_id <> largest").alias("x"), members_left.alias("y")
+    outside = members_left.filter("label_id <> largest")
+    # a bucket as a grid: rows are blocks of members outside the largest component, columns blocks of all members
+    many = lambda c: F.ceil(c / F.lit(BLOCK_MEMBERS)).cast("int")
+    grid = members_left.groupBy("key").agg(many(F.count_if(F.col("label_id") != F.col("largest"))).alias("down"), many(F.count("*")).alias("across"))
+    cell = lambda df, own, n, other, m: df.join(grid, "key").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    x = cell(outside, "i", "down", "j", "across").alias("x")
+    y = cell(members_left, "j", "across", "i", "down").alias("y")
     first_shared_band = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
     either = (F.col("y.label_id") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
-    across = written(x.join(y, apart & either & first_shared_band & F.expr(_bits_reach(threshold)) & likely).select(*pair).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "neardup-across")
+    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & apart & either
+    across = written(x.join(y, same & first_shared_band & F.expr(_bits_reach(threshold)) & likely).select(*pair).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti"), "neardup-across")
     final = verifier.settled(across, groups, "rest")
-    return (
-        members.join(final, members["rep"] == final["node"], "left")
-        .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    # rows of large components are dealt over parts, as copies were
+    dealt = members.withColumn("part", F.pmod(F.col("k1"), F.lit(parts)))
+    labels = dealt.filter("rep is not null").select("part", "rep").distinct().join(final, F.col("rep") == F.col("node"), "left").select("part", "rep", "component")
+    return dealt.join(labels, ["part", "rep"], "left").drop("part")
+
 
+def one_of_each(docs: DataFrame, *, threshold: int = THRESHOLD, size: int = SHINGLE, miss_probability: float = MISS_PROBABILITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep, and with one of each set of rows equal in id and text.
 
-def one_of_each(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep; of rows that share an id and are kept, all stay."""
-    gone = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).filter("not kept").select(F.col("doc_id").alias("id"))
-    return with_ids(docs, written(gone.distinct(), "neardup-gone"), id_column, "left_anti")
+    Each row goes or stays by its own id and text. Of rows that share an id, those with different sets are all kept if one is; those
+    of equal sets leave one. Texts without words (null, empty, white space) are linked with nothing and stay, also where they
+    repeat. A row with a null id goes where its set, or one linked with it, has an id; of null-id rows of equal sets one stays.
+    Which of rows that tie stays follows from a hash of their plain columns. Very long texts are read whole. Columns may have
+    any name. An empty table gives an empty result.
+    """
+    profile = _profiled(docs, size, id_column, text_column)
+    rows = written(_components(docs, profile, threshold, size, miss_probability, id_column, text_column), "neardup-rows")
+    target = F.coalesce("component", "rep")
+    copies = rows.filter((F.col("n_shingles") > 0) & target.isNotNull() & ~F.col("id").eqNullSafe(target)).select("k1", "k2").distinct()
+    # rows that tie in id and set: one pair of keys stays, and of its rows one
+    ties = rows.filter(F.col("n_shingles") > 0).groupBy("id", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2")).alias("first")).filter("c > 1")
+    ties = written(ties.select("id", "d1", "d2", "first.*"), "neardup-ties")
+    if not ties.limit(1).count():
+        return without_rows(docs, written(copies, "neardup-gone"), id_column, text_column)
+    a, b = rows.alias("a"), ties.alias("b")
+    tied = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") == F.col("b.d2"))).select("a.k1", "a.k2", F.struct("a.k1", "a.k2").eqNullSafe(F.struct("b.k1", "b.k2")).alias("stays")).distinct()
+    tied = written(tied, "neardup-tied")
+    gone = written(copies.unionByName(tied.select("k1", "k2")).distinct(), "neardup-gone")
+    heads = tied.filter("stays").select("k1", "k2").join(copies, ["k1", "k2"], "left_anti").alias("own")
+    k1, k2 = row_keys(id_column, text_column)
+    repeated = docs.join(heads, (k1 == F.col("own.k1")) & (k2 == F.col("own.k2")), "left_semi")
+    plain = [F.col(f"`{c}`") for c, kind in repeated.dtypes if not kind.startswith(("map", "variant"))]
+    one = repeated.groupBy(k1, k2).agg(F.min_by(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)]), F.xxhash64(*plain)).alias("one"))
+    one = one.select(*[F.col(f"one.c{n}").alias(c) for n, c in enumerate(docs.columns)])
+    return without_rows(docs, gone, id_column, text_column).unionByName(one)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.llm import words
-from tieout.llm.storage import written
+from tieout.llm.storage import row_keys, without_rows, written
 
 #: Labelled rows that the model is fitted on at most.
 MAX_ROWS = 20_000
@@ -32,7 +32,7 @@ FEATURES = (
     "log_words", "log_bytes", "word_length", "distinct_words", "top_word", "longest_run", "repeat_next", "distinct_pairs", "upper", "symbols", "digits",
     "bangs", "bars", "symbol_tail", "line_length", "distinct_lines", "stops", "commas", "short_words", "long_words", "one_letter", "title_words",
 )
-_SCHEMA = "id long, features array<float>"
+_SCHEMA = "id long, k1 long, k2 long, features array<float>"
 _UPPER, _LETTER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -211,8 +211,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in words.slices(whole, "text"):
-            x = features_of(batch.column(1)).astype(np.float32)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))], names=["id", "features"])
+            x = features_of(batch.column(3)).astype(np.float32)
+            yield pa.record_batch([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))], names=["id", "k1", "k2", "features"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -222,7 +222,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(_matrix(batch.column(1))))], names=["id", "score"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(shared.value.scores(_matrix(batch.column(3))))], names=["id", "k1", "k2", "score"])
 
     return run
 
@@ -233,29 +233,33 @@ def remainder(column: str, by: int) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, fold: int = 5, held_out: int = 0, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
-    """``id`` and ``score`` (0 to 1, higher: label 1 likelier) of every row of ``docs``.
+    """``id`` and ``score`` (0 to 1, higher: label 1 likelier) of every row of ``docs``, with the row's keys ``k1`` and ``k2``.
 
     Labels are learnt from rows whose id has another remainder than ``held_out``, at most ``max_rows`` of them, those with the
     smallest hash of the id. Inputs of a score are computed from the text alone. Null and empty texts have all features 0 and
-    get a score like any other. Null ids and null labels are not learnt from. Repeated ids are scored row by row. Very long
+    get a score like any other. Null ids and labels other than 0 and 1 are not learnt from. Repeated ids are scored row by row. Very long
     texts are read whole. Other columns play no part. Without labels all scores are 0.5; an empty table gives an empty one.
     """
-    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    base = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), *row_keys(id_column, text_column), F.col(f"`{text_column}`").cast("string").alias("text"))
     features = written(base.mapInArrow(_featurise, _SCHEMA), "quality-features")
-    known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull())
+    known = labels.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     known = known.filter(remainder("id", fold) != held_out)
-    sample = features.join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(max_rows).select("features", "y").toArrow()
+    sample = features.join(known, "id").orderBy(F.xxhash64("id"), "id", "y", "k1", "k2").limit(max_rows).select("features", "y").toArrow()
     x = np.concatenate([_matrix(c) for c in sample.column(0).chunks]) if sample.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     model = fit(x, np.asarray(sample.column(1), dtype=np.float64))
-    return features.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "id long, score double")
+    return features.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), "id long, k1 long, k2 long, score double")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id has a row that scores below ``cut``."""
-    from tieout.llm.neardup import with_ids
+def good_documents(docs: DataFrame, labels: DataFrame, *, cut: float = CUT, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that score below ``cut``.
 
-    low = quality_scores(docs, labels, id_column=id_column, **options).filter(F.col("score") < cut).select("id").distinct()
-    return with_ids(docs, written(low, "quality-low"), id_column, "left_anti")
+    Each row goes or stays by its own text: rows with a null id too, and rows that share an id with a row that goes. Null and empty
+    texts go where their score is low. Equal texts have equal scores, so there are no ties to break, and repeated rows go or
+    stay together. Very long texts are read whole. Columns may have any name. An empty table gives an empty result; without
+    labels all rows score 0.5 and stay.
+    """
+    low = quality_scores(docs, labels, id_column=id_column, text_column=text_column, **options).filter(F.col("score") < cut).select("k1", "k2").distinct()
+    return without_rows(docs, written(low, "quality-low"), id_column, text_column)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
