@@ -149,6 +149,83 @@ def test_personal_data(spark, docs):
     assert luhn_card_in_loose_grouping()
 
 
+def test_personal_data_in_linear_time():
+    import time
+
+    text, seconds = "call 555-123-4567 or a.b@c.de now, ", []
+    for n in (4000, 16000):
+        began = time.process_time()
+        found = pii.candidates(text * n)
+        seconds.append(time.process_time() - began)
+        assert len(found) == 2 * n
+    assert seconds[1] < 8 * seconds[0] + 0.5
+
+
+def test_loose_spans_stand_clear_of_strict_ones():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        held = sorted((int(b), int(b + n)) for b, n in zip(rng.integers(0, 60, 8), rng.integers(1, 9, rng.integers(0, 8))))
+        ends = sorted(int(x) for x in rng.choice(70, 2 * rng.integers(0, 9), replace=False))
+        spans = list(zip(ends[::2], ends[1::2]))
+        assert pii._free(spans, held) == [s for s in spans if not any(b < s[1] and s[0] < e for b, e in held)]
+
+
+def test_reliabilities_against_plain_steps():
+    """Expectation-maximisation by loops over rows, and labelers of known reliability found again."""
+    rng = np.random.default_rng(12)
+    right = (0.95, 0.8, 0.7, 0.55)
+    truth = rng.random(20000) < 0.4
+    rows = Counter()
+    for t in truth:
+        rows[tuple(0 if rng.random() < 0.2 else (1 if (rng.random() < p) == t else -1) for p in right)] += 1
+    votes, counts = np.array(list(rows)), np.array(list(rows.values()), float)
+    prior, table, posterior = pii.reliabilities(votes, counts)
+    own = [min(max(0.5 + 0.45 * math.tanh(sum(v)), 0.02), 0.98) for v in rows]
+    for _ in range(200):
+        share = (sum(p * c for p, c in zip(own, rows.values())) + 1) / (sum(rows.values()) + 2)
+        chance = [[{v: (sum((p if k else 1 - p) * c for p, (w, c) in zip(own, rows.items()) if w[j] == v) + 1) for v in (-1, 0, 1)} for j in range(4)] for k in (0, 1)]
+        for k in (0, 1):
+            for j in range(4):
+                whole = sum(chance[k][j].values())
+                chance[k][j] = {v: x / whole for v, x in chance[k][j].items()}
+        new = []
+        for w in rows:
+            a, b = (1 - share) * math.prod(chance[0][j][v] for j, v in enumerate(w)), share * math.prod(chance[1][j][v] for j, v in enumerate(w))
+            new.append(b / (a + b))
+        done = max(abs(x - y) for x, y in zip(new, own)) < 1e-6
+        own = new
+        if done:
+            break
+    assert prior == pytest.approx(share) and posterior == pytest.approx(np.array(own), abs=1e-6)
+    assert abs(prior - 0.4) < 0.05
+    for j, p in enumerate(right):
+        assert abs(table[1, j, 2] / (table[1, j, 2] + table[1, j, 0]) - p) < 0.06
+
+
+def test_span_classifier(spark):
+    """The classifier follows the posteriors, and decides which loose spans are added."""
+    patterns = [("phone", "0++++++", 50), ("phone", "0++--++", 40), ("phone", "--+00-0", 30), ("card", "+++00++", 20)]
+    model = pii.fit(patterns)
+    assert pii.fit(patterns[::-1]).weights.tolist() == model.weights.tolist()
+    x, target = pii.features([p[0] for p in patterns], [p[1] for p in patterns]), np.zeros(4)
+    for kind in ("phone", "card"):
+        own = [k for k, p in enumerate(sorted(patterns)) if p[0] == kind]
+        target[own] = pii.reliabilities(np.array([["-0+".index(c) - 1 for c in sorted(patterns)[k][1]] for k in own]), np.array([sorted(patterns)[k][2] for k in own], float))[2]
+    x, counts = pii.features([p[0] for p in sorted(patterns)], [p[1] for p in sorted(patterns)]), np.array([p[2] for p in sorted(patterns)])
+    p = 1 / (1 + np.exp(-(x @ model.weights)))
+    assert np.allclose(x.T @ (counts * (target - p)), model.weights, atol=1e-5)  # the slope of the penalised likelihood is 0
+    rows = [(k, ["please call 555-123-4567 today, or mail a.b@c.de", "tel (555) 123-4567 ring", "order 555 123 4567 and +1 555", "+49 30 1234567 fax", "build 1.2.3.400", None][k % 6]) for k in range(120)]
+    seen = Counter((c[0], c[4]) for _, text in rows for c in pii.candidates(text))
+    own, added = pii.fit([(k, v, n) for (k, v), n in seen.items()]), 0
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found = pii.candidates(rows[r["doc_id"]][1])
+        want = [c[:3] for c in found if c[3] or (c[4][0] == "0" and own.chance([c[0]], [c[4]])[0] >= pii.CUT)]
+        assert r["spans"] == pii.joined(want)
+        added += len(want) - sum(c[3] for c in found)
+    assert added > 0 and not pii.candidates("x555-123-4567y") and not pii.candidates("4111/1111/1111/1112")
+    assert pii.masked("please call 555-123-4567 today", "phone:12:24") == "please call <phone> today"
+
+
 def luhn_card_in_loose_grouping():
     found = pii.candidates("my visa card is 4111/1111/1111/1111 ok")
     return [(c[0], c[3]) for c in found] == [("card", False)]

@@ -5,7 +5,8 @@ emails, IPv6 addresses, cards in other groupings, phones without a country code)
 at all: the pattern, the checks of its kind, gazetteers (domains, network ranges, issuer digits, calling codes) and the
 words before it. How often each pattern of votes occurs is counted over all documents; a two-class model of independent labelers
 is fitted to the counts by expectation-maximisation, so no labels are needed. Its posteriors train a logistic classifier
-on votes and shape, which decides on the looser candidates. Strict spans always stay.
+on votes and shape, which decides on the looser candidates. Strict spans always stay; a loose match that fails the check of its
+kind, or stands inside a longer word, is no candidate, as a strict one that fails is none.
 
 One pass reads the texts; everything after works on the few candidates.
 """
@@ -30,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 CUT = 0.9
 #: Distinct patterns of votes that are fitted at most; there are 3^7 * 4 * 5 in all, so none is ever left out.
 LABELERS = ("strict", "check", "gazetteer", "near_words", "far_words", "bounds", "shape")
+CHECK, BOUNDS = LABELERS.index("check"), LABELERS.index("bounds")
 CONTEXT_NEAR, CONTEXT_FAR = 24, 80
 
 # Gazetteers and context words.
@@ -129,20 +131,35 @@ def _votes(text: str, kind: str, begin: int, end: int, strict: bool, passes: boo
     return (1 if strict and passes else -1 if strict else 0, check, gazetteer, *context, bounds, shape)
 
 
+def _free(spans: list[tuple[int, int]], held: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of ``held``; both ascend, ``spans`` are apart, those of ``held`` may overlap: one sweep."""
+    out, at, reach = [], 0, 0
+    for begin, end in spans:
+        while at < len(held) and held[at][0] < end:
+            reach = max(reach, held[at][1])
+            at += 1
+        if reach <= begin:
+            out.append((begin, end))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, str]]:
-    """``(kind, start, end, strict span, votes)``; code points, ends exclusive. Loose ones do not overlap strict spans."""
+    """``(kind, start, end, strict span, votes)``; code points, ends exclusive. Loose ones do not overlap strict spans.
+
+    Time is that of the patterns, linear in the text, and of sorting the strict spans.
+    """
     if not text or not _ANY.search(text):
         return []
-    found = list(strict_matches(text))
-    held = [(b, e) for _, b, e, passes in found if passes]
-    out = [(k, b, e, passes, True) for k, b, e, passes in found]
+    out = [(k, b, e, passes, _votes(text, k, b, e, True, passes)) for k, b, e, passes in strict_matches(text)]
+    held = sorted((b, e) for _, b, e, passes, _ in out if passes)
     for kind, pattern in _LOOSE.items():
         if kind == "email" and "at" not in text:
             continue
-        for m in pattern.finditer(text):
-            if not any(b < m.end() and m.start() < e for b, e in held):
-                out.append((kind, m.start(), m.end(), False, False))
-    return [(k, b, e, passes, "".join("-0+"[v + 1] for v in _votes(text, k, b, e, strict, passes))) for k, b, e, passes, strict in out]
+        for begin, end in _free([m.span() for m in pattern.finditer(text)], held):
+            votes = _votes(text, kind, begin, end, False, False)
+            if votes[CHECK] == votes[BOUNDS] == 1:
+                out.append((kind, begin, end, False, votes))
+    return [(k, b, e, passes, "".join("-0+"[v + 1] for v in votes)) for k, b, e, passes, votes in out]
 
 
 _FOUND = "id long, found array<struct<kind: string, start: int, end: int, strict: boolean, votes: string>>"
@@ -212,7 +229,6 @@ def fit(patterns: list[tuple[str, str, int]]) -> Classifier:
             votes = np.array([["-0+".index(c) - 1 for c in patterns[k][1]] for k in own])
             target[own] = reliabilities(votes, counts[own])[2]
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
-    counts = counts / max(1.0, counts.mean()) if len(counts) else counts
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (counts * (target - p)) - w)
@@ -238,7 +254,7 @@ def _decide(shared):
                 taken = list(strict)
                 if loose:
                     chance = model.chance([c["kind"] for c in loose], [c["votes"] for c in loose])
-                    taken += [(c["kind"], c["start"], c["end"]) for c, p in zip(loose, chance, strict=True) if p >= CUT and c["votes"][1] == "+" and c["votes"][5] == "+"]
+                    taken += [(c["kind"], c["start"], c["end"]) for c, p in zip(loose, chance, strict=True) if p >= CUT]
                 rows.append((*[sum(s[0] == k for s in strict) for k in KINDS], sha256(joined(strict).encode()).hexdigest(), joined(taken)))
             columns = zip(*rows, strict=True) if rows else [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
