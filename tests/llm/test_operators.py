@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -539,14 +540,53 @@ def test_media(spark, docs):
         text = (docs[r["doc_id"]]["text"] or "").encode()
         payload = text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = webp.encode([payload])[0]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+        count = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in count.values())
+        contrast = sum(abs(a - b) for row in rows for a, b in zip(row, row[1:])) / (63 * len(rows))
+        assert r["feature"] == f"rows={len(rows)};mean={sum(payload) / len(payload):.4f};entropy={abs(entropy):.4f};contrast={contrast:.4f}"
 
 
-def test_stored_images_are_plain_webp():
-    payload = webp.payload_of(bytes(range(256)) * 30)
-    media = webp.encode([payload, webp.payload_of(b"")])
-    assert webp.read_media(media) == [payload, b"\0" * 64]
-    image = webp.decode(media[1])
-    assert image.shape == (1, 64, 4) and image[0, 0].tolist() == [255, 0, 0, 0]
+def test_stored_images():
+    rng = np.random.default_rng(3)
+    payloads = [webp.payload_of(x) for x in (b"", b"a", b"\0" * 200, b"ab" * 3000, bytes(range(256)) * 30, rng.bytes(9000), ("the quiet river " * 40 + "\n" + "naïve 日本 ").encode() * 20, bytes(rng.integers(97, 101, 700, dtype=np.uint8)))]
+    payloads += [webp.payload_of(bytes(rng.choice(list(b"abc def\n"), size=n).astype(np.uint8))) for n in rng.integers(1, 20000, 30)]
+    media = webp.encode(payloads)
+    assert webp.read_media(media) == payloads and webp.encode(payloads[::-1])[::-1] == media  # whatever stands beside them
+    for p, m in zip(payloads, media):
+        assert struct.unpack_from("<I", m, 4)[0] == len(m) - 8
+        frames = webp.streams_of(m)
+        images = [webp.decode_streams([s])[0] for s in frames]
+        assert all((i[:, :, 1] == i[:, :, 2]).all() and (i[:, :, 3] == i[:, :, 2]).all() and (i[:, :, 0] == 255).all() and i.shape[1] == 64 for i in images)
+        assert len(frames) == -(-len(p) // webp.TILE) and (len(frames) == 1) == (m[12:16] == b"VP8L")
+    kinds = [{step[0] for s in webp.streams_of(m) for step in webp._layout(s).steps} for m in media]
+    assert kinds[0] == kinds[1] == {webp.SUBTRACT_GREEN, webp.PALETTE} and webp.SUBTRACT_GREEN in set.intersection(*kinds)
+    assert len(media[3]) < 300 and len(media[6]) < len(payloads[6]) / 4  # repeats are references
+
+
+def test_damaged_media_raise():
+    media = webp.encode([webp.payload_of(b"some words of a text that are stored " * 30)])[0]
+    for broken in (media[:-40], b"RIFF" + media[4:8] + b"WAVE" + media[12:], media[:20]):
+        with pytest.raises(ValueError):
+            webp.read_media([broken])
+    changed = bytearray(media)
+    changed[20] = 0
+    with pytest.raises(ValueError):
+        webp.decode(bytes(changed))
+
+
+def test_references_against_plain_search():
+    rng = np.random.default_rng(5)
+    sizes = np.array([64, 512, 64 * 64, 128])
+    flat = rng.integers(97, 100, sizes.sum(), dtype=np.uint8)
+    place, n, d = webp._references(flat, sizes, np.cumsum(sizes) - sizes)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    assert len(place) and (np.diff(place) >= n[:-1]).all() and (n >= webp.MIN_MATCH).all()
+    for p, k, far in zip(place.tolist(), n.tolist(), d.tolist()):
+        image = np.searchsorted(edges, p, side="right") - 1
+        assert edges[image] <= p - far and p + k <= edges[image + 1] and all(flat[p + i] == flat[p - far + i] for i in range(k))
 
 
 def test_quality_features_of_odd_texts():
