@@ -30,13 +30,15 @@ def amount(c: Column, decimal: str = ".", grouping: str | None = None) -> Column
     six decimals, groups of exactly three, at most 19 digits in all, at most 64 bytes, no exponent, no white space."""
     point = _literal(decimal)
     whole = rf"[0-9]{{1,3}}(?:{_literal(grouping)}[0-9]{{3}})+|[0-9]*" if grouping else "[0-9]*"
-    shape = c.rlike(rf"^[+-]?(?:{whole})(?:{point}[0-9]{{0,6}})?$") & (F.octet_length(c) <= 64)
+    shape = c.rlike(rf"\A[+-]?(?:{whole})(?:{point}[0-9]{{0,6}})?\z") & (F.octet_length(c) <= 64)
     plain = F.replace(c, F.lit(grouping), F.lit("")) if grouping else c
     plain = F.replace(plain, F.lit(decimal), F.lit(".")) if decimal != "." else plain
     digits = F.length(F.regexp_replace(plain, "[^0-9]", ""))
     unsigned = F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)\.", "$10.")
     value = F.regexp_replace(unsigned, r"\.$", "").try_cast(AMOUNT)
-    return F.when(shape & (digits >= 1) & (digits <= 19), value)
+    # the mantissa without the fraction's trailing zeros must fit a signed 64-bit number
+    mantissa = F.regexp_replace(F.regexp_replace(amount_text(value), r"[.-]", ""), "^$", "0").try_cast("decimal(25,0)")
+    return F.when(shape & (digits >= 1) & (digits <= 19) & (mantissa <= F.lit(2**63 - 1)), value)
 
 
 def amount_text(c: Column) -> Column:
@@ -46,7 +48,7 @@ def amount_text(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """Exactly ten bytes, year-month-day, a real day; else null."""
-    return F.when(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), c.try_cast("date"))
+    return F.when(c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), c.try_cast("date"))
 
 
 def _from_parts(year: Column, month: Column, day: Column) -> Column:
@@ -55,7 +57,7 @@ def _from_parts(year: Column, month: Column, day: Column) -> Column:
 
 def delimited_date(c: Column, order: str = "ymd") -> Column:
     """Ten bytes, separated by - or /, padded with zeros, in the declared order."""
-    place = {"ymd": r"^([0-9]{4})([-/])([0-9]{2})\2([0-9]{2})$", "dmy": r"^([0-9]{2})([-/])([0-9]{2})\2([0-9]{4})$", "mdy": r"^([0-9]{2})([-/])([0-9]{2})\2([0-9]{4})$"}[order]
+    place = {"ymd": r"\A([0-9]{4})([-/])([0-9]{2})\2([0-9]{2})\z", "dmy": r"\A([0-9]{2})([-/])([0-9]{2})\2([0-9]{4})\z", "mdy": r"\A([0-9]{2})([-/])([0-9]{2})\2([0-9]{4})\z"}[order]
     a, b, d = (F.regexp_extract(c, place, k) for k in (1, 3, 4))
     year, month, day = {"ymd": (a, b, d), "dmy": (d, b, a), "mdy": (d, a, b)}[order]
     return F.when(c.rlike(place), _from_parts(year, month, day))
@@ -69,7 +71,7 @@ def pivoted_year(two_digits: Column) -> Column:
 
 def compact_date(c: Column) -> Column:
     """Six digits, year-month-day."""
-    shape = r"^([0-9]{2})([0-9]{2})([0-9]{2})$"
+    shape = r"\A([0-9]{2})([0-9]{2})([0-9]{2})\z"
     y, m, d = (F.regexp_extract(c, shape, k) for k in (1, 2, 3))
     return F.when(c.rlike(shape), _from_parts(pivoted_year(F.nullif(y, F.lit(""))).cast("string"), m, d))
 
@@ -105,7 +107,7 @@ def minor_units(currency: Column) -> Column:
 
 def implied_amount(c: Column, currency: Column) -> Column:
     """An integer text in minor units."""
-    n = F.when(c.rlike("^[+-]?[0-9]{1,18}$"), c.try_cast("decimal(19,0)"))
+    n = F.when(c.rlike(r"\A[+-]?[0-9]{1,18}\z"), c.try_cast("decimal(19,0)"))
     return F.when(minor_units(currency) == 0, n).when(minor_units(currency) == 3, n / F.lit(1000).cast("decimal(4,0)")).otherwise(n / F.lit(100).cast("decimal(3,0)")).cast(AMOUNT)
 
 
@@ -116,7 +118,7 @@ def signed(value: Column, indicator: Column, reversed_: Column) -> Column:
 
 
 def currency(c: Column) -> Column:
-    return F.when(F.upper(c).rlike("^[A-Z]{3}$"), F.upper(c))
+    return F.when(F.upper(c).rlike(r"\A[A-Z]{3}\z"), F.upper(c))
 
 
 def date_distance(a: Column, b: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
@@ -13,14 +14,19 @@ PARTITION = ("account", "currency")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
-    """Groups of more than one row of equal strong id, or without one of equal date, amount, reference and description."""
+    """Groups of more than one row of equal strong id, or without one of equal date, amount, reference and description.
+
+    Groups are counted before any locator is collected, so rows that stand alone never make an array.
+    """
     sid = C.cleaned(F.col("strong_id"))
     sign = lambda c: F.when(sid.isNull(), c)
     keyed = rows.select(
         "locator", *PARTITION, sid.alias("k_id"), sign(F.col("booking_date")).alias("k_date"), sign(F.col("amount")).alias("k_amount"), sign(C.cleaned(F.col("reference"))).alias("k_reference"), sign(C.cleaned(F.col("description"))).alias("k_description")
     )
     keys = ("k_id", "k_date", "k_amount", "k_reference", "k_description")
-    return keyed.groupBy(*PARTITION, *keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("locator")).alias("locators")).filter("n > 1")
+    several = keyed.groupBy(*PARTITION, *keys).agg(F.count("*").alias("n")).filter("n > 1").alias("g")
+    same = reduce(Column.__and__, [F.col(f"k.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*PARTITION, *keys)])
+    return keyed.alias("k").join(several, same, "left_semi").groupBy(*PARTITION, *keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("locator")).alias("locators"))
 
 
 def openings(balances: DataFrame) -> DataFrame:
@@ -28,29 +34,39 @@ def openings(balances: DataFrame) -> DataFrame:
     return balances.filter("kind = 'opening'").groupBy(*PARTITION).agg(F.count("*").alias("n"), F.min("amount").alias("opening"), F.min("locator").alias("opening_locator")).filter("n = 1").drop("n")
 
 
+def _walked(rows: DataFrame) -> DataFrame:
+    """Rows with the running sum (``cum``), the last reported balance before them (``anchor``) and how many were reported before (``island``).
+
+    Windows run inside a day of a partition; days are summed up and joined back, so no task sorts a whole partition.
+    """
+    reported, day = F.col("running_balance").isNotNull(), [*PARTITION, "booking_date"]
+    place = F.struct("source_ordinal", "locator")
+    order = Window.partitionBy(*day).orderBy("source_ordinal", "locator")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(reported, F.struct(F.col("running_balance").alias("balance"), F.col("inner").alias("cum"), "locator"))
+    inner = rows.select("locator", *day, "source_ordinal", "amount", "running_balance").withColumn("inner", F.sum("amount").over(so_far)).withColumn("at", seen)
+    inner = inner.withColumn("own", F.last("at", ignorenulls=True).over(before)).withColumn("count", F.coalesce(F.count_if(reported).over(before), F.lit(0)))
+    days = inner.groupBy(*day).agg(F.sum("amount").alias("total"), F.count_if(reported).alias("many"), F.max_by("at", F.when(reported, place)).alias("end"))
+    earlier = Window.partitionBy(*PARTITION).orderBy("booking_date").rowsBetween(Window.unboundedPreceding, -1)
+    moved = lambda a: F.when(a.isNotNull(), F.struct(a["balance"].alias("balance"), (a["cum"] + F.col("off")).alias("cum"), a["locator"].alias("locator")))
+    days = days.withColumn("off", F.coalesce(F.sum("total").over(earlier), F.lit(0))).withColumn("done", F.coalesce(F.sum("many").over(earlier), F.lit(0)))
+    days = days.withColumn("end", moved(F.col("end"))).select(*day, "off", "done", F.last("end", ignorenulls=True).over(earlier).alias("prior"))
+    return inner.join(days, day).select("locator", *day, "source_ordinal", "running_balance", (F.col("off") + F.col("inner")).alias("cum"), F.coalesce(moved(F.col("own")), F.col("prior")).alias("anchor"), (F.col("done") + F.col("count")).alias("island"))
+
+
 def running_balance_breaks(rows: DataFrame, balances: DataFrame) -> DataFrame:
     """Rows whose reported balance is not the last one plus the activity since: ``expected``, ``found``, the anchor and all rows since.
 
-    One sort per partition. A break does not carry on: the reported balance is the next anchor.
+    A break does not carry on: the reported balance is the next anchor. Only stretches that end in a break are listed.
     """
-    order = Window.partitionBy(*PARTITION).orderBy("booking_date", "source_ordinal", "locator")
-    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    reported = F.col("running_balance").isNotNull()
-    walked = (
-        rows.select("locator", *PARTITION, "booking_date", "source_ordinal", "amount", "running_balance")
-        .withColumn("cum", F.sum("amount").over(so_far))
-        .withColumn("anchor", F.last(F.when(reported, F.struct(F.col("running_balance").alias("balance"), "cum", "locator")), ignorenulls=True).over(before))
-        .withColumn("island", F.coalesce(F.count_if(reported).over(before), F.lit(0)))
-    )
-    members = walked.groupBy(*PARTITION, "island").agg(F.sort_array(F.collect_list(F.struct("booking_date", "source_ordinal", "locator"))).alias("since"))
-    checked = walked.filter(reported).join(openings(balances), list(PARTITION), "left")
+    walked = _walked(rows)
+    checked = walked.filter("running_balance is not null").join(openings(balances), list(PARTITION), "left")
     base = F.coalesce(F.col("anchor.balance"), F.col("opening"))
-    expected = base + F.col("cum") - F.coalesce(F.col("anchor.cum"), F.lit(0))
-    broken = checked.withColumn("expected", expected).filter(base.isNotNull() & (F.col("expected") != F.col("running_balance")))
-    anchor = F.coalesce(F.col("anchor.locator"), F.col("opening_locator"))
-    return broken.select(*PARTITION, "island", "locator", "expected", F.col("running_balance").alias("found"), anchor.alias("anchor_locator")).join(members, [*PARTITION, "island"]).select(
-        *PARTITION, "locator", "expected", "found", F.concat(F.array("anchor_locator"), F.transform("since", lambda s: s["locator"])).alias("locators")
-    )
+    broken = checked.withColumn("expected", base + F.col("cum") - F.coalesce(F.col("anchor.cum"), F.lit(0))).filter(base.isNotNull() & (F.col("expected") != F.col("running_balance")))
+    broken = broken.select(*PARTITION, "island", "locator", "expected", F.col("running_balance").alias("found"), F.coalesce(F.col("anchor.locator"), F.col("opening_locator")).alias("anchor_locator"))
+    held = walked.join(broken.select(*PARTITION, "island"), [*PARTITION, "island"], "left_semi")
+    members = held.groupBy(*PARTITION, "island").agg(F.sort_array(F.collect_list(F.struct("booking_date", "source_ordinal", "locator"))).alias("since"))
+    return broken.join(members, [*PARTITION, "island"]).select(*PARTITION, "locator", "expected", "found", F.concat(F.array("anchor_locator"), F.transform("since", lambda s: s["locator"])).alias("locators"))
 
 
 def _per_partition(rows: DataFrame, balances: DataFrame) -> DataFrame:

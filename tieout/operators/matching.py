@@ -7,7 +7,7 @@ Rows have ``locator``, ``account``, ``currency``, ``booking_date``, ``amount``,
 from __future__ import annotations
 
 from functools import reduce
-from math import comb
+from math import factorial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,59 +99,79 @@ def mutual_best(ranks: DataFrame) -> DataFrame:
 
 
 def fuzzy_ties(ranks: DataFrame) -> DataFrame:
-    """One row per row with several best candidates: ``side``, its locator and those of the candidates."""
+    """One row per row with several best candidates: ``side``, its locator, those of the candidates, and what they tie at."""
     out = []
     for side, other in (("left", "right"), ("right", "left")):
-        tied = ranks.filter(f"{side}_rank = 1 and {side}_ties > 1").groupBy(f"{side}_locator").agg(F.array_sort(F.collect_list(f"{other}_locator")).alias("candidates"))
-        out.append(tied.select(F.lit(side).alias("side"), F.col(f"{side}_locator").alias("locator"), "candidates"))
+        tied = ranks.filter(f"{side}_rank = 1 and {side}_ties > 1").groupBy(f"{side}_locator").agg(F.array_sort(F.collect_list(f"{other}_locator")).alias("candidates"), F.min("permille").alias("permille"), F.min("days").alias("days"))
+        out.append(tied.select(F.lit(side).alias("side"), F.col(f"{side}_locator").alias("locator"), "candidates", "permille", "days"))
     return out[0].unionByName(out[1])
 
 
+POOL = ("account", "currency", "positive")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("positive", F.col("amount") > 0)
+
+
+def _near(singles: DataFrame, components: DataFrame, days: int) -> DataFrame:
+    """Singles with the components of their partition and sign at most ``days`` apart: an equi-join on buckets of dates too.
+
+    Singles have ``s_date``, components ``c_date``. A single looks into three buckets and a component is in one, so what meets in a
+    task is bounded by what is near in time, however many rows a partition has.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    s = singles.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bucket(F.col("s_date")) + k)))
+    c = components.withColumn("bucket", bucket(F.col("c_date")))
+    return s.join(c, [*POOL, "bucket"]).filter(C.date_distance(F.col("s_date"), F.col("c_date")) <= days)
+
+
 def _eligible(singles: DataFrame, components: DataFrame, days: int) -> DataFrame:
     """Components that a single may be made of; zero singles have none."""
-    s = singles.filter("amount <> 0").select(F.col("locator").alias("single"), F.col("amount").alias("whole"), "account", "currency", F.col("booking_date").alias("s_date"), (F.col("amount") > 0).alias("positive"))
-    c = components.select("locator", "amount", "account", "currency", "booking_date", (F.col("amount") > 0).alias("positive"))
-    return s.join(c, ["account", "currency", "positive"]).filter(C.date_distance(F.col("booking_date"), F.col("s_date")) <= days).select("single", "whole", "locator", "amount", "account", "currency")
+    s = _signed(singles.filter("amount <> 0")).select(F.col("locator").alias("single"), F.col("amount").alias("whole"), F.col("booking_date").alias("s_date"), *POOL)
+    c = _signed(components).select("locator", "amount", F.col("booking_date").alias("c_date"), *POOL)
+    return _near(s, c, days).select("single", "whole", "locator", "amount", "account", "currency")
 
 
 def split_merge_evaluations(left: DataFrame, right: DataFrame, days: int, size: int) -> DataFrame:
-    """``evaluations``: how many combinations both directions have, from the number of components of each single alone."""
-    counts = []
+    """``evaluations``: how many combinations both directions have.
+
+    Rows are counted by partition, sign and date first, and only these counts are joined: what decides whether the enumeration may
+    run costs one row for each date of a partition, not for each pair.
+    """
+    parts = []
     for singles, components in ((left, right), (right, left)):
-        counts.append(_eligible(singles, components, days).groupBy("single").agg(F.count("*").alias("n")).filter("n >= 2"))
-    n = F.col("n").cast("decimal(38,0)")
-    choose = {2: n * (n - 1) / 2, 3: n * (n - 1) * (n - 2) / 6}
-    total = F.lit(0).cast("decimal(38,0)")
+        s = _signed(singles.filter("amount <> 0")).groupBy(*POOL, F.col("booking_date").alias("s_date")).agg(F.count("*").alias("m"))
+        c = _signed(components).groupBy(*POOL, F.col("booking_date").alias("c_date")).agg(F.count("*").alias("c"))
+        parts.append(_near(s, c, days).groupBy(*POOL, "s_date", "m").agg(F.sum("c").cast("double").alias("n")).filter("n >= 2"))
+    n, total = F.col("n"), F.lit(0.0)
     for k in range(2, size + 1):
-        term = choose[k] if k in choose else reduce(lambda x, j: x * (F.col("n").cast("double") - j), range(1, k), F.col("n").cast("double")) / float(_factorial(k))
-        total = total + F.when(F.col("n") >= k, term).otherwise(0)
-    return counts[0].unionByName(counts[1]).agg(F.coalesce(F.sum(total), F.lit(0)).cast("bigint").alias("evaluations"))
-
-
-def _factorial(k: int) -> int:
-    return comb(k, 1) * _factorial(k - 1) if k > 1 else 1
+        total = total + F.when(n >= k, reduce(lambda x, j: x * (n - j), range(1, k), n) / float(factorial(k))).otherwise(0.0)
+    # exact below 2^53, and beyond any policy where it is not
+    return parts[0].unionByName(parts[1]).agg(F.least(F.round(F.coalesce(F.sum(F.col("m") * total), F.lit(0.0))), F.lit(9e18)).cast("bigint").alias("evaluations"))
 
 
 def split_merge(left: DataFrame, right: DataFrame, days: int, size: int) -> DataFrame:
-    """``left_locators`` and ``right_locators`` (sorted) of a row on one side whose amount is the sum of 2 to ``size`` on the other.
+    """``left_locators`` and ``right_locators`` (sorted) of a row on one side whose amount is the sum of 2 to ``size`` on the other, with
+    the partition and the ``whole`` amount.
 
     The last component of a combination is found by an equi-join on the amount that is still missing, so pairs are never
     enumerated. Run it only within the evaluations that the policy allows.
     """
     out = []
     for singles, components, single_left in ((left, right, True), (right, left, False)):
-        pool = _eligible(singles, components, days).select("single", "whole", "locator", "amount")
-        prefix = pool.select("single", "whole", F.array("locator").alias("parts"), F.col("locator").alias("last"), F.col("amount").alias("sum"))
+        pool = _eligible(singles, components, days).select("single", F.struct("account", "currency", "whole").alias("of"), "whole", "locator", "amount")
+        prefix = pool.select("single", "of", "whole", F.array("locator").alias("parts"), F.col("locator").alias("last"), F.col("amount").alias("sum"))
         for k in range(2, size + 1):
             nxt = pool.select(F.col("single").alias("s"), F.col("locator").alias("n_locator"), F.col("amount").alias("n_amount"))
             grows = (F.col("single") == F.col("s")) & (F.col("n_locator") > F.col("last"))
             done = prefix.join(nxt, grows & (F.col("n_amount") == F.col("whole") - F.col("sum")))
-            out.append(done.select(F.col("single"), F.array_append("parts", F.col("n_locator")).alias("parts"), F.lit(single_left).alias("single_left")))
+            out.append(done.select(F.col("single"), "of", F.array_append("parts", F.col("n_locator")).alias("parts"), F.lit(single_left).alias("single_left")))
             if k < size:
-                prefix = prefix.join(nxt, grows).select("single", "whole", F.array_append("parts", F.col("n_locator")).alias("parts"), F.col("n_locator").alias("last"), (F.col("sum") + F.col("n_amount")).alias("sum"))
+                prefix = prefix.join(nxt, grows).select("single", "of", "whole", F.array_append("parts", F.col("n_locator")).alias("parts"), F.col("n_locator").alias("last"), (F.col("sum") + F.col("n_amount")).alias("sum"))
     found = reduce(DataFrame.unionByName, out)
     one, many = F.array("single"), F.array_sort("parts")
-    return found.select(F.when(F.col("single_left"), one).otherwise(many).alias("left_locators"), F.when(F.col("single_left"), many).otherwise(one).alias("right_locators")).distinct()
+    return found.select(F.when(F.col("single_left"), one).otherwise(many).alias("left_locators"), F.when(F.col("single_left"), many).otherwise(one).alias("right_locators"), "of.*").distinct()
 
 
 def cross_partition(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -165,14 +185,17 @@ def cross_partition(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def mutations(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left_locator``, ``right_locator`` and ``kind`` for each kind of difference between matched rows."""
+    """``left_locator``, ``right_locator``, ``kind`` and ``detail`` for each kind of difference between matched rows."""
     l, r = left.alias("l"), right.alias("r")
     m = matches.join(l, F.col("left_locator") == F.col("l.locator")).join(r, F.col("right_locator") == F.col("r.locator"))
     differ = lambda *names: reduce(Column.__or__, [~C.cleaned(F.col(f"l.{n}")).eqNullSafe(C.cleaned(F.col(f"r.{n}"))) for n in names])
     raw = lambda *names: reduce(Column.__or__, [~F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
+    told = F.concat(C.amount_text(F.col("l.amount")), F.lit(" \u2192 "), C.amount_text(F.col("r.amount")))
+    # fixed values: the texts are part of exception keys
     kinds = {
-        "amountChanged": raw("amount"), "dateChanged": raw("booking_date", "value_date"),
-        "descriptionOrReferenceChanged": differ("strong_id", "reference", "description", "memo", "payee", "transaction_code"), "statusOrCategoryChanged": differ("cleared_status", "category"),
+        "amountChanged": (raw("amount"), told), "dateChanged": (raw("booking_date", "value_date"), F.lit("Booking or value date changed")),
+        "descriptionOrReferenceChanged": (differ("strong_id", "reference", "description", "memo", "payee", "transaction_code"), F.lit("Strong ID, reference, description, memo, payee or transaction code changed")),
+        "statusOrCategoryChanged": (differ("cleared_status", "category"), F.lit("Cleared status or category changed")),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
-    return m.select("left_locator", "right_locator", F.explode(found).alias("kind"))
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("kind"), d.alias("detail"))) for k, (c, d) in kinds.items()]))
+    return m.select("left_locator", "right_locator", F.explode(found).alias("x")).select("left_locator", "right_locator", "x.*")

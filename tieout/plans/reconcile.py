@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +75,34 @@ def _structural(spark: SparkSession, s: Source, left: bool) -> DataFrame:
     return _sided(rows, "invalidRow", F.array("locator"), "Source reported an invalid record", left)
 
 
+def _bytes(c: str) -> Column:
+    """The length of a cleaned text in bytes; identities tell lengths, not contents."""
+    return F.coalesce(F.octet_length(C.cleaned(F.col(c))), F.lit(0)).cast("string")
+
+
+def _part() -> Column:
+    return F.concat_ws("|", "account", "currency")
+
+
+def _identity(day: str, amount: str, *texts: tuple[str, str]) -> Column:
+    told = [F.concat(F.lit(f" {name}["), _bytes(c), F.lit("]")) for name, c in texts]
+    return F.concat(_part(), F.lit(" "), F.col(day).cast("string"), F.lit(" "), C.amount_text(F.col(amount)), *told)
+
+
+def _strong_identity(c: str) -> Column:
+    return F.concat(_part(), F.lit(" strong-id["), _bytes(c), F.lit("]"))
+
+
 def _side_checks(spark: SparkSession, s: Source, rows: DataFrame, left: bool, period: Period, arithmetic: bool) -> list[DataFrame]:
-    part = F.concat_ws("|", "account", "currency")
-    out = [_structural(spark, s, left), _sided(checks.duplicates(rows), "duplicateInLeft" if left else "duplicateInRight", F.col("locators"), F.concat(part, F.lit(": duplicate identity")), left)]
-    told = F.concat(part, F.lit(": expected "), C.amount_text(F.col("expected")), F.lit(", found "), C.amount_text(F.col("found")))
+    own = F.when(F.col("k_id").isNotNull(), _strong_identity("k_id")).otherwise(_identity("k_date", "k_amount", ("reference", "k_reference"), ("description", "k_description")))
+    out = [_structural(spark, s, left), _sided(checks.duplicates(rows), "duplicateInLeft" if left else "duplicateInRight", F.col("locators"), F.concat(F.lit("Repeated identity: "), own), left)]
+    text = lambda c: C.amount_text(F.col(c))
+    told = F.concat(_part(), F.lit(": expected "), text("expected"), F.lit(", found "), text("found"))
     out.append(_sided(checks.running_balance_breaks(rows, s.balances), "runningBalanceBreak", F.array_compact("locators"), told, left))
     if arithmetic:
-        why = {"count": ": expected exactly one opening and one closing balance", "dates": ": balance dates do not bound the selected period", "sum": ": opening and activity do not make closing"}
-        detail = F.concat(part, F.element_at(F.create_map(*[F.lit(x) for kv in why.items() for x in kv]), F.col("reason")))
-        out.append(_sided(checks.statement_arithmetic(rows, s.balances, period.start, period.end), F.col("kind"), F.col("locators"), detail, left))
+        sums = F.concat(F.lit(": opening "), text("opening_amount"), F.lit(" + activity "), text("activity"), F.lit(" = "), C.amount_text(F.col("opening_amount") + F.col("activity")), F.lit(", not "), text("closing_amount"))
+        why = F.when(F.col("reason") == "count", ": expected exactly one opening and one closing balance").when(F.col("reason") == "dates", ": balance dates do not bound the selected period").otherwise(sums)
+        out.append(_sided(checks.statement_arithmetic(rows, s.balances, period.start, period.end), F.col("kind"), F.col("locators"), F.concat(_part(), why), left))
     return out
 
 
@@ -110,13 +129,16 @@ def run(job: Job) -> Result:
         found += _side_checks(spark, s, df, k == 0, job.period, single or bool(s.balances.limit(1).count()))
     if single:
         matches, totals = spark.createDataFrame([], MATCHES), checks.statement_totals(rows[0], sources[0].balances)
-        totals, kind = totals, "statementBalanceEquation"
+        kind = "statementBalanceEquation"
     else:
         compared = checks.balance_comparison(*(s.balances for s in sources))
-        none = F.array().cast("array<string>")
-        found.append(_exception(compared, F.col("outcome"), F.coalesce("left_locators", none), F.coalesce("right_locators", none), F.concat_ws("|", "account", "currency", F.concat(F.col("kind"), F.lit(" balances differ")))))
-        matches, more = _match(job, rows[0], rows[1])
-        found += more
+        none, key = F.array().cast("array<string>"), F.concat(_part(), F.lit(" "), F.col("kind"))
+        several = F.col("outcome") == "periodGapOrOverlap"
+        sides = [F.when(several, none).otherwise(F.coalesce(f"{side}_locators", none)) for side in ("left", "right")]
+        found.append(_exception(compared, F.col("outcome"), *sides, F.concat(F.when(several, "Multiple balance markers for ").otherwise("Balance amount or date differs for "), key)))
+        tiers = Tiers(*rows, job.policy, _manual(job, *rows) if job.manual_matches is not None else None)
+        matches = tiers.checked
+        found += tiers.exceptions(job.mode)
         totals, kind = checks.partition_totals(*rows), "sourceActivityComparison"
     totals = totals.withColumn("kind", F.lit(kind))
     exceptions = cut(_bound(reduce(DataFrame.unionByName, found), rows), "exceptions")
@@ -124,48 +146,132 @@ def run(job: Job) -> Result:
     return Result(_state(job, exceptions, totals, incomplete, single), matches.orderBy("left_locator", "right_locator", "kind"), ordered(exceptions), totals.orderBy("account", "currency"))
 
 
-def _match(job: Job, left: DataFrame, right: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    policy, missing, extra = job.policy, *(("missingFromLedger", "unexpectedLedgerItem") if job.mode == "bankVsLedger" else ("deletedFromNewerExport", "addedToNewerExport"))
-    text = C.comparison_text(*(F.col(n) for n in ("reference", "description", "payee", "memo")), policy.maximum_text_scalars)
-    l, r = (cut(df.withColumn("text", text), "texts") for df in (left, right))
-    tiers, found = [], []
-
-    def less(pairs: DataFrame) -> None:
-        nonlocal l, r
-        pairs = cut(pairs, "matches")
-        tiers.append(pairs)
-        l, r = cut(matching.without(l, pairs, "left_locator"), "rest"), cut(matching.without(r, pairs, "right_locator"), "rest")
-
-    if job.manual_matches is not None:
-        less(_manual(job, left, right))
-    for tier, key, column, kind, what in ((matching.strong, matching.STRONG_KEY, "strong_id", "strongID", "strong identifier"), (matching.composite, matching.COMPOSITE_KEY, "reference", "exactComposite", "exact composite key")):
-        groups = cut(tier(l, r), kind)
-        found.append(_exception(matching.ambiguous(groups, l, r, key, column), "ambiguousCandidate", F.col("left_locators"), F.col("right_locators"), f"More than one row has the same {what}"))
-        less(matching.unique_pairs(groups, kind))
-    if policy.fuzzy:
-        candidates = cut(matching.fuzzy_candidates(l, r, policy.maximum_date_distance_days, policy.minimum_similarity_permille), "candidates")
-        if candidates.limit(policy.maximum_fuzzy_candidate_pairs + 1).count() > policy.maximum_fuzzy_candidate_pairs:
+class Tiers:
+    """The matching tiers in order. Each reads what the one before left over; frames that several readers need are cut from their
+    lineage when they are first asked for, once. What goes from tier to tier is keys; texts to compare are made for the rows that
+    reach the fuzzy tier."""
+
+    KEYS = ("locator", "account", "currency", "booking_date", "amount", "strong_id", "reference")
+
+    def __init__(self, left: DataFrame, right: DataFrame, policy: MatchingPolicy, manual: DataFrame | None = None):
+        self.left, self.right, self.policy, self.manual = left, right, policy, manual
+
+    def _less(self, sides: tuple[DataFrame, DataFrame], pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(cut(matching.without(df, pairs, f"{s}_locator"), f"{name}-{s}") for df, s in zip(sides, ("left", "right"), strict=True))
+
+    @cached_property
+    def rest0(self) -> tuple[DataFrame, DataFrame]:
+        sides = tuple(df.select(*self.KEYS) for df in (self.left, self.right))
+        return sides if self.manual is None else self._less(sides, self.manual, "rest0")
+
+    @cached_property
+    def strong_groups(self) -> DataFrame:
+        return cut(matching.strong(*self.rest0), "strong")
+
+    @cached_property
+    def strong(self) -> DataFrame:
+        return matching.unique_pairs(self.strong_groups, "strongID")
+
+    @cached_property
+    def rest1(self) -> tuple[DataFrame, DataFrame]:
+        return self._less(self.rest0, self.strong, "rest1")
+
+    @cached_property
+    def composite_groups(self) -> DataFrame:
+        return cut(matching.composite(*self.rest1), "composite")
+
+    @cached_property
+    def composite(self) -> DataFrame:
+        return matching.unique_pairs(self.composite_groups, "exactComposite")
+
+    @cached_property
+    def rest2(self) -> tuple[DataFrame, DataFrame]:
+        return self._less(self.rest1, self.composite, "rest2")
+
+    def _texts(self, rest: DataFrame, whole: DataFrame) -> DataFrame:
+        """What is left with the text to compare; only texts beyond ASCII go through Python."""
+        parts = ("reference", "description", "payee", "memo")
+        full = rest.drop("reference").join(whole.select("locator", *parts), "locator")
+        plain = F.concat_ws("", *parts).rlike(r"\A[\x00-\x7F]*\z")
+        made = [df.withColumn("text", C.comparison_text(*(F.col(n) for n in parts), self.policy.maximum_text_scalars, ascii_only=k)) for k, df in ((True, full.filter(plain)), (False, full.filter(~plain)))]
+        return made[0].unionByName(made[1])
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        sides = [self._texts(df, whole) for df, whole in zip(self.rest2, (self.left, self.right), strict=True)]
+        found = cut(matching.fuzzy_candidates(*sides, self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
+        if found.limit(self.policy.maximum_fuzzy_candidate_pairs + 1).count() > self.policy.maximum_fuzzy_candidate_pairs:
             raise ResourceLimit("fuzzy candidate pairs")
-        ranks = cut(matching.ranked(candidates), "ranks")
-        ties, at_left = matching.fuzzy_ties(ranks), F.col("side") == "left"
-        found.append(_exception(ties, "ambiguousCandidate", F.when(at_left, F.array("locator")).otherwise(F.col("candidates")), F.when(at_left, F.col("candidates")).otherwise(F.array("locator")), "Several candidates are equally good"))
-        less(matching.mutual_best(ranks))
-    matches = cut(reduce(DataFrame.unionByName, tiers), "all-matches")
-    found.append(_exception(matching.mutations(matches, left, right), F.col("kind"), F.array("left_locator"), F.array("right_locator"), "Matched rows differ"))
-    held_l, held_r = None, None
-    if policy.split_merge:
-        work = matching.split_merge_evaluations(l, r, policy.maximum_date_distance_days, policy.maximum_split_merge_group_size).first()[0]
-        if work > policy.maximum_split_merge_evaluations:
+        return found
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        return cut(matching.ranked(self.candidates), "ranks")
+
+    @cached_property
+    def fuzzy(self) -> DataFrame:
+        return matching.mutual_best(self.ranks)
+
+    @cached_property
+    def rest3(self) -> tuple[DataFrame, DataFrame]:
+        return self._less(self.rest2, self.fuzzy, "rest3") if self.policy.fuzzy else self.rest2
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        tiers = [*([self.manual] if self.manual is not None else []), self.strong, self.composite, *([self.fuzzy] if self.policy.fuzzy else [])]
+        return cut(reduce(DataFrame.unionByName, tiers), "matches")
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        """The matches, after it was seen that no row is in two and none crosses a partition, nor a fuzzy one an amount."""
+        of = lambda df, s: df.select(F.col("locator").alias(f"{s}_locator"), F.struct("account", "currency").alias(f"{s}_part"), F.col("amount").alias(f"{s}_amount"))
+        m = self.matches.join(of(self.left, "left"), "left_locator", "left").join(of(self.right, "right"), "right_locator", "left")
+        held = F.col("left_part").eqNullSafe(F.col("right_part")) & ((F.col("kind") != "fuzzy") | F.col("left_amount").eqNullSafe(F.col("right_amount")))
+        n, l, r, ok = m.agg(F.count("*"), F.count_distinct("left_locator"), F.count_distinct("right_locator"), F.count_if(held)).first()
+        if not n == l == r == ok:
+            raise IntegrityFailure("a match crossed a hard gate or used a row twice")
+        return self.matches
+
+    @cached_property
+    def splits(self) -> DataFrame:
+        days, size = self.policy.maximum_date_distance_days, self.policy.maximum_split_merge_group_size
+        if matching.split_merge_evaluations(*self.rest3, days, size).first()[0] > self.policy.maximum_split_merge_evaluations:
             raise ResourceLimit("split/merge evaluations")
-        splits = cut(matching.split_merge(l, r, policy.maximum_date_distance_days, policy.maximum_split_merge_group_size), "splits")
-        found.append(_exception(splits, "possibleSplitOrMerge", F.col("left_locators"), F.col("right_locators"), "Amounts on one side sum to one on the other"))
-        held_l, held_r = (splits.select(F.explode(f"{s}_locators").alias("held")).distinct() for s in ("left", "right"))
-    crossed = matching.cross_partition(l, r)
-    found.append(_exception(crossed, "currencyOrAccountMismatch", F.col("left_locators"), F.col("right_locators"), F.concat(F.lit("Strong identifier appears only in different account/currency partitions: "), F.col("strong_id"))))
-    for df, held, kind, is_left in ((l, held_l, missing, True), (r, held_r, extra, False)):
-        open_ = df.join(held, df["locator"] == held["held"], "left_anti") if held is not None else df
-        found.append(_sided(open_, kind, F.array("locator"), "No counterpart", is_left))
-    return matches, found
+        return cut(matching.split_merge(*self.rest3, days, size), "splits")
+
+    def unpaired(self, side: str) -> DataFrame:
+        """Unmatched rows of a side that no split or merge candidate has."""
+        df = self.rest3[side == "right"]
+        if not self.policy.split_merge:
+            return df
+        held = self.splits.select(F.explode(f"{side}_locators").alias("held")).distinct()
+        return df.join(held, df["locator"] == F.col("held"), "left_anti")
+
+    def ambiguous(self, tier: str) -> DataFrame:
+        """Keys of a tier (``strong`` or ``composite``) that several rows of a side have, with the locators of all."""
+        if tier == "strong":
+            return matching.ambiguous(self.strong_groups, *self.rest0, matching.STRONG_KEY, "strong_id")
+        return matching.ambiguous(self.composite_groups, *self.rest1, matching.COMPOSITE_KEY, "reference")
+
+    def exceptions(self, mode: str) -> list[DataFrame]:
+        """What matching cannot settle, without fingerprints."""
+        missing, extra = ("missingFromLedger", "unexpectedLedgerItem") if mode == "bankVsLedger" else ("deletedFromNewerExport", "addedToNewerExport")
+        l, r = F.col("left_locators"), F.col("right_locators")
+        out = [
+            _exception(self.ambiguous("strong"), "ambiguousCandidate", l, r, F.concat(F.lit("Strong identifier has multiple candidates: "), _strong_identity("strong_id"))),
+            _exception(self.ambiguous("composite"), "ambiguousCandidate", l, r, F.concat(F.lit("Composite identity has multiple candidates: "), _identity("booking_date", "amount", ("reference", "reference")))),
+            _exception(matching.mutations(self.matches, self.left, self.right), F.col("kind"), F.array("left_locator"), F.array("right_locator"), F.col("detail")),
+            _exception(matching.cross_partition(*self.rest3), "currencyOrAccountMismatch", l, r, F.concat(F.lit("Strong identifier appears only in different account/currency partitions: "), F.col("strong_id"))),
+        ]
+        if self.policy.fuzzy:
+            ties, at_left, own = matching.fuzzy_ties(self.ranks), F.col("side") == "left", F.array("locator")
+            told = F.concat(F.lit("Fuzzy candidates tie at "), F.col("permille").cast("string"), F.lit("/1000 similarity and "), F.col("days").cast("string"), F.lit(" day distance"))
+            out.append(_exception(ties, "ambiguousCandidate", F.when(at_left, own).otherwise(F.col("candidates")), F.when(at_left, F.col("candidates")).otherwise(own), told))
+        if self.policy.split_merge:
+            out.append(_exception(self.splits, "possibleSplitOrMerge", l, r, F.concat(F.lit("Possible split/merge in "), _part(), F.lit(": exact combined amount "), C.amount_text(F.col("whole")))))
+        for side, kind in (("left", missing), ("right", extra)):
+            out.append(_sided(self.unpaired(side), kind, F.array("locator"), "No deterministic counterpart", side == "left"))
+        return out
 
 
 def _bound(exceptions: DataFrame, rows: list[DataFrame]) -> DataFrame:
@@ -174,9 +280,9 @@ def _bound(exceptions: DataFrame, rows: list[DataFrame]) -> DataFrame:
     parts = []
     for k, (df, letter) in enumerate(zip(rows, "LR")):
         prints = df.select(F.col("locator").alias("at"), C.fingerprint({n: df[n] for n in ROW}).alias("print"))
-        named = tagged.select("n", F.posexplode("left_locators" if k == 0 else "right_locators").alias("place", "at")).distinct()
-        parts.append(named.join(prints, "at").select("n", F.struct(F.lit(k).alias("side"), "place", F.concat_ws(":", F.lit(letter), "at", "print").alias("text")).alias("one")))
-    prints = reduce(DataFrame.unionByName, parts).groupBy("n").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["text"]).alias("source_fingerprints"))
+        named = tagged.select("n", F.explode("left_locators" if k == 0 else "right_locators").alias("at")).distinct()
+        parts.append(named.join(prints, "at").select("n", F.concat_ws(":", F.lit(letter), "at", "print").alias("one")))
+    prints = reduce(DataFrame.unionByName, parts).groupBy("n").agg(F.array_sort(F.collect_list("one")).alias("source_fingerprints"))
     return tagged.join(prints, "n", "left").select("kind", "left_locators", "right_locators", F.coalesce("source_fingerprints", F.array().cast("array<string>")).alias("source_fingerprints"), "detail")
 
 
@@ -196,7 +302,7 @@ def _state(job: Job, exceptions: DataFrame, totals: DataFrame, incomplete: bool,
         keyed = keyed.join(approved, "exception_key", "left")
     else:
         keyed = keyed.withColumn("explained", F.lit(None).cast("boolean"))
-    n, open_, unexplained, balances = keyed.agg(F.count("*"), F.count_if(F.col("kind").isin(*INCONCLUSIVE_KINDS)), F.count_if(F.col("explained").isNull()), F.count_if(F.col("kind") == "balanceDifference")).first()
+    n, open_, unexplained, balances = keyed.agg(F.count("*"), F.count_if(F.col("kind").isin(*INCONCLUSIVE_KINDS)), F.count_if(F.col("explained").isNull()), F.count_if(F.col("kind").isin("balanceDifference", "runningBalanceBreak"))).first()
     if incomplete or open_:
         return "cannotConclude"
     if not n:
@@ -205,4 +311,4 @@ def _state(job: Job, exceptions: DataFrame, totals: DataFrame, incomplete: bool,
     return "reconciledWithExplanations" if closes and not unexplained else "differenceFound"
 
 
-__all__ = ["DECISIONS", "MANUAL_MATCHES", "Job", "Result", "Source", "ordered", "run", "with_keys"]
+__all__ = ["DECISIONS", "MANUAL_MATCHES", "Job", "Result", "Source", "Tiers", "ordered", "run", "with_keys"]

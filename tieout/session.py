@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tieout.model import InvalidConfiguration
+
 _SHIPPED: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -39,9 +41,11 @@ def local_session(name: str = "tieout", cores: str = "*", partitions: int = 8) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where nothing is set (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where nothing is set and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidConfiguration("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tieout-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
