@@ -112,6 +112,10 @@ def review_queue(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("state") == "draft") | F.col("result_state").isin("differenceFound", "cannotConclude"))
 
 
+def locked_records(jobs: DataFrame) -> DataFrame:
+    return jobs.filter("state = 'locked'")
+
+
 def with_decision(decisions: DataFrame, new: DataFrame) -> DataFrame:
     """The last decision on an exception stands."""
     return decisions.join(new.select("exception_key"), "exception_key", "left_anti").unionByName(new)

@@ -178,3 +178,9 @@ def display_name(c: Column) -> Column:
 
 def normalized_header(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]", "")
+
+
+def whole_second(c: Column) -> Column:
+    """Whether a text is a real whole second in UTC, like 2026-01-31T23:59:59Z."""
+    shape = c.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z")
+    return F.coalesce(shape & F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).isNotNull(), F.lit(False))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
+from tieout.model import BALANCES, MatchingPolicy, Period
 from tieout.operators import checks, matching
-from tieout.plans import derive
-from tieout.session import cut
+from tieout.plans import derive, reconcile
 
 DAYS, PERMILLE, TEXT, GROUP = 3, 850, 256, 4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,107 +22,33 @@ def _joined(c: str) -> Column:
     return F.array_join(c, ",")
 
 
-def _side(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view with the columns that the operators may read."""
-    df = derive.spark_view(spark, sf_dir, name)
-    nothing = F.lit(None).cast("string")
-    text = C.comparison_text(F.col("reference"), F.col("description"), nothing, nothing, TEXT, ascii_only=True)
-    empty = {n: nothing.alias(n) for n in ("payee", "memo", "transaction_code", "category")}
-    return df.select("*", text.alias("text"), F.lit(None).cast("date").alias("value_date"), *empty.values())
+def _rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view as canonical rows; amounts are cents."""
+    df, nothing = derive.spark_view(spark, sf_dir, name), F.lit(None).cast("string")
+    made = {
+        "source_id": F.lit(f"source-{name}"), "value_date": F.lit(None).cast("date"), "running_balance": F.col("running_balance") if "running_balance" in df.columns else F.lit(None).cast("bigint"),
+        "original_values": F.create_map().cast("map<string,string>"), "derived_fields": F.array().cast("array<string>"), **{n: nothing for n in ("payee", "memo", "transaction_code", "category")},
+    }
+    return df.select(*[made.get(c, F.col(c)).alias(c) for c in reconcile.ROW])
 
 
-class Cascade:
-    """The tiers in order over the derived views.
+POLICY = MatchingPolicy(maximum_fuzzy_candidate_pairs=100_000, maximum_split_merge_evaluations=1_000_000)
 
-    Every tier reads what the one before left over, so frames that several readers need are cut from their lineage; each is
-    computed when it is first asked for, and once.
-    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+def _tiers(spark: SparkSession, sf_dir: str) -> reconcile.Tiers:
+    return reconcile.Tiers(_rows(spark, sf_dir, "bank_rb"), _rows(spark, sf_dir, "ledger"), POLICY)
 
-    @cached_property
-    def left(self) -> DataFrame:
-        return cut(_side(self.spark, self.sf_dir, "bank"), "left")
 
-    @cached_property
-    def right(self) -> DataFrame:
-        return cut(_side(self.spark, self.sf_dir, "ledger"), "right")
-
-    @cached_property
-    def strong_groups(self) -> DataFrame:
-        return cut(matching.strong(self.left, self.right), "strong")
-
-    @cached_property
-    def strong(self) -> DataFrame:
-        return matching.unique_pairs(self.strong_groups, "strongID")
-
-    @cached_property
-    def rest1(self) -> tuple[DataFrame, DataFrame]:
-        return self._less((self.left, self.right), self.strong, "rest1")
-
-    @cached_property
-    def composite_groups(self) -> DataFrame:
-        return cut(matching.composite(*self.rest1), "composite")
-
-    @cached_property
-    def composite(self) -> DataFrame:
-        return matching.unique_pairs(self.composite_groups, "exactComposite")
-
-    @cached_property
-    def rest2(self) -> tuple[DataFrame, DataFrame]:
-        return self._less(self.rest1, self.composite, "rest2")
-
-    @cached_property
-    def candidates(self) -> DataFrame:
-        return cut(matching.fuzzy_candidates(*self.rest2, DAYS, PERMILLE), "candidates")
-
-    @cached_property
-    def ranks(self) -> DataFrame:
-        return cut(matching.ranked(self.candidates), "ranks")
-
-    @cached_property
-    def fuzzy(self) -> DataFrame:
-        return matching.mutual_best(self.ranks)
-
-    @cached_property
-    def rest3(self) -> tuple[DataFrame, DataFrame]:
-        return self._less(self.rest2, self.fuzzy, "rest3")
-
-    @cached_property
-    def matches(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (self.strong, self.composite, self.fuzzy))
-
-    @staticmethod
-    def _less(sides: tuple[DataFrame, DataFrame], matches: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(cut(matching.without(df, matches, f"{s}_locator"), f"{name}-{s}") for df, s in zip(sides, ("left", "right"), strict=True))
-
-    @cached_property
-    def splits(self) -> DataFrame:
-        return cut(matching.split_merge(*self.rest3, DAYS, GROUP), "splits")
-
-    def unpaired(self, side: str) -> DataFrame:
-        """Unmatched rows of a side that no split or merge candidate has."""
-        df = self.rest3[side == "right"]
-        held = self.splits.select(F.explode(f"{side}_locators").alias("held")).distinct()
-        return df.join(held, df["locator"] == F.col("held"), "left_anti")
-
-    def exceptions(self) -> DataFrame:
-        """``kind`` of every exception that matching raises."""
-        many = lambda g: g.filter("n_l > 1 or n_r > 1").select(F.lit("ambiguousCandidate").alias("kind"))
-        of = lambda df, k: df.select(F.lit(k).alias("kind"))
-        parts = [
-            of(checks.duplicates(self.left), "duplicateInLeft"), of(checks.duplicates(self.right), "duplicateInRight"), many(self.strong_groups), many(self.composite_groups),
-            of(matching.fuzzy_ties(self.ranks), "ambiguousCandidate"), matching.mutations(self.matches, self.left, self.right).select("kind"), of(self.splits, "possibleSplitOrMerge"),
-            of(matching.cross_partition(*self.rest3), "currencyOrAccountMismatch"), of(self.unpaired("left"), "missingFromLedger"), of(self.unpaired("right"), "unexpectedLedgerItem"),
-        ]
-        return reduce(DataFrame.unionByName, parts)
+def _result(spark: SparkSession, sf_dir: str) -> reconcile.Result:
+    """Mode A over the views: validation, both sides' proofs, all tiers within their budgets, fingerprints and the conclusion."""
+    sources = [reconcile.Source(role, _rows(spark, sf_dir, rows), derive.spark_view(spark, sf_dir, balances)) for role, rows, balances in (("bank", "bank_rb", "balances"), ("ledger", "ledger", "other_balances"))]
+    return reconcile.run(reconcile.Job("bankVsLedger", Period(derive.START, derive.END), sources, POLICY))
 
 
 # ---- the same tiers in DuckDB ----
 
 _CASCADE = [
-    ("l0", "select *, trim(regexp_replace(lower(concat_ws(' ', reference, description)), '[^a-z0-9]+', ' ', 'g')) txt from bank"),
+    ("l0", "select *, trim(regexp_replace(lower(concat_ws(' ', reference, description)), '[^a-z0-9]+', ' ', 'g')) txt from bank_rb"),
     ("r0", "select *, trim(regexp_replace(lower(concat_ws(' ', reference, description)), '[^a-z0-9]+', ' ', 'g')) txt from ledger"),
     ("sk", """select account, currency, strong_id, count(*) filter (s='l') n_l, count(*) filter (s='r') n_r, min(locator) filter (s='l') l, min(locator) filter (s='r') r
  from (select 'l' s, * from l0 union all by name select 'r' s, * from r0) where strong_id is not null group by all having n_l>0 and n_r>0"""),
@@ -150,33 +77,76 @@ _CASCADE = [
     ("e2", "select x.side, x.s, x.whole, [x.c, y.c] p, y.c last, x.a+y.a t from el x join el y on x.side=y.side and x.s=y.s and y.c>x.c"),
     ("e3", "select x.side, x.s, x.whole, list_append(x.p, y.c) p, y.c last, x.t+y.a t from e2 x join el y on x.side=y.side and x.s=y.s and y.c>x.last"),
     ("e4", "select x.side, x.s, x.whole, list_append(x.p, y.c) p, y.c last, x.t+y.a t from e3 x join el y on x.side=y.side and x.s=y.s and y.c>x.last"),
-    ("splits", """select distinct case when side='l' then s else array_to_string(list_sort(p), ',') end left_locators, case when side='l' then array_to_string(list_sort(p), ',') else s end right_locators
- from (select side, s, p from e2 where t=whole union all select side, s, p from e3 where t=whole union all select side, s, p from e4 where t=whole)"""),
+    ("splits", """select distinct case when side='l' then s else array_to_string(list_sort(p), ',') end left_locators, case when side='l' then array_to_string(list_sort(p), ',') else s end right_locators, account, currency, whole
+ from (select side, s, p, whole from e2 where t=whole union all select side, s, p, whole from e3 where t=whole union all select side, s, p, whole from e4 where t=whole) x
+ join (select locator, account, currency from l3 union all select locator, account, currency from r3) o on o.locator=x.s"""),
     ("split_l", "select distinct unnest(string_split(left_locators, ',')) x from splits"),
     ("split_r", "select distinct unnest(string_split(right_locators, ',')) x from splits"),
     ("miss", "select * from l3 where locator not in (select x from split_l)"),
     ("unexp", "select * from r3 where locator not in (select x from split_r)"),
-    ("mut", """select m.l, m.r, unnest(list_filter([case when a.amount<>b.amount then 'amountChanged' end, case when a.booking_date<>b.booking_date then 'dateChanged' end,
- case when a.strong_id is distinct from b.strong_id or a.reference is distinct from b.reference or a.description is distinct from b.description then 'descriptionOrReferenceChanged' end,
- case when a.cleared_status is distinct from b.cleared_status then 'statusOrCategoryChanged' end], lambda x: x is not null)) kind
+    ("mut", """select m.l, m.r, unnest(list_filter([case when a.amount<>b.amount then {'kind': 'amountChanged', 'detail': a.amount||' → '||b.amount} end,
+ case when a.booking_date<>b.booking_date then {'kind': 'dateChanged', 'detail': 'Booking or value date changed'} end,
+ case when a.strong_id is distinct from b.strong_id or a.reference is distinct from b.reference or a.description is distinct from b.description then {'kind': 'descriptionOrReferenceChanged', 'detail': 'Strong ID, reference, description, memo, payee or transaction code changed'} end,
+ case when a.cleared_status is distinct from b.cleared_status then {'kind': 'statusOrCategoryChanged', 'detail': 'Cleared status or category changed'} end], lambda x: x is not null)) what
  from matches m join l0 a on a.locator=m.l join r0 b on b.locator=m.r"""),
-    ("dup", """select side, account, currency, count(*) n, string_agg(locator, ',' order by locator) locators from (select 'l' side, * from l0 union all by name select 'r' side, * from r0)
+    ("dup", """select side, account, currency, count(*) n, string_agg(locator, ',' order by locator) locators, 'Repeated identity: '||account||'|'||currency||min(case when strong_id is not null then ' strong-id['||strlen(strong_id)||']'
+ else ' '||booking_date||' '||amount||' reference['||coalesce(strlen(reference),0)||'] description['||coalesce(strlen(description),0)||']' end) detail from (select 'l' side, * from l0 union all by name select 'r' side, * from r0)
  group by side, account, currency, strong_id, case when strong_id is null then booking_date end, case when strong_id is null then amount end, case when strong_id is null then reference end,
  case when strong_id is null then description end having count(*)>1"""),
     ("xp", """select a.strong_id, a.locs left_locators, b.locs right_locators from
  (select strong_id, string_agg(locator, ',' order by locator) locs, list(distinct account||'|'||currency) ps from l3 where strong_id is not null group by 1) a join
  (select strong_id, string_agg(locator, ',' order by locator) locs, list(distinct account||'|'||currency) ps from r3 where strong_id is not null group by 1) b using (strong_id) where not list_has_any(a.ps, b.ps)"""),
-    ("ex", """select 'duplicateInLeft' kind from dup where side='l' union all select 'duplicateInRight' from dup where side='r' union all select 'ambiguousCandidate' from sk where n_l>1 or n_r>1
- union all select 'ambiguousCandidate' from ck where n_l>1 or n_r>1 union all (select 'ambiguousCandidate' from fr where lr=1 and lt>1 group by l) union all (select 'ambiguousCandidate' from fr where rr=1 and rt>1 group by r)
- union all select kind from mut union all select 'possibleSplitOrMerge' from splits union all select 'currencyOrAccountMismatch' from xp union all select 'missingFromLedger' from miss union all select 'unexpectedLedgerItem' from unexp"""),
     ("op", "select account, currency, min(amount) opening from balances where kind='opening' group by all having count(*)=1"),
     ("pp", """select coalesce(a.account, b.account) account, coalesce(a.currency, b.currency) currency, coalesce(activity, 0) activity, coalesce(no, 0) no, coalesce(nc, 0) nc, o, c, od, cd
  from (select account, currency, sum(amount) activity from bank group by all) a full join (select account, currency, count(*) filter (kind='opening') no, count(*) filter (kind='closing') nc,
  min(amount) filter (kind='opening') o, min(amount) filter (kind='closing') c, min(date) filter (kind='opening') od, min(date) filter (kind='closing') cd from balances group by all) b
  on a.account=b.account and a.currency=b.currency"""),
+    ("rpp", """select coalesce(a.account, b.account) account, coalesce(a.currency, b.currency) currency, coalesce(activity, 0) activity, coalesce(no, 0) no, coalesce(nc, 0) nc, o, c, od, cd, ol, cl, side
+ from (select 'l' side, account, currency, sum(amount) activity from bank group by all union all select 'r', account, currency, sum(amount) from ledger group by all) a
+ full join (select side, account, currency, count(*) filter (kind='opening') no, count(*) filter (kind='closing') nc, min(amount) filter (kind='opening') o, min(amount) filter (kind='closing') c,
+ min(date) filter (kind='opening') od, min(date) filter (kind='closing') cd, min(locator) filter (kind='opening') ol, min(locator) filter (kind='closing') cl
+ from (select 'l' side, * from balances union all select 'r', * from other_balances) group by all) b using (side, account, currency)"""),
+    ("arith", """select side, account||'|'||currency part, case when no<>1 or nc<>1 then 'count' when od<>date '1995-01-01' or cd<>date '2001-12-31' then 'dates' when o+activity<>c then 'sum' end reason, o, c, activity, ol, cl from rpp"""),
+    ("walk", """select w.*, op.opening, ob.locator opening_locator from (select *, last_value(case when running_balance is not null then running_balance end ignore nulls) over b prev_rb,
+ last_value(case when running_balance is not null then cum end ignore nulls) over b prev_cum, last_value(case when running_balance is not null then locator end ignore nulls) over b prev_locator, count(running_balance) over b isl
+ from (select *, sum(amount) over (partition by account, currency order by booking_date, source_ordinal, locator rows unbounded preceding) cum from bank_rb)
+ window b as (partition by account, currency order by booking_date, source_ordinal, locator rows between unbounded preceding and 1 preceding)) w
+ left join op using (account, currency) left join (select account, currency, min(locator) locator from balances where kind='opening' group by all) ob using (account, currency)"""),
+    ("breaks", """select account, currency, isl, coalesce(prev_rb, opening)+cum-coalesce(prev_cum, 0) expected, running_balance found, coalesce(prev_locator, opening_locator) anchor from walk
+ where running_balance is not null and coalesce(prev_rb, opening)+cum-coalesce(prev_cum, 0)<>running_balance"""),
+    ("bcmp", """select part, kind, coalesce(ln,0)>1 or coalesce(rn,0)>1 several, ll, rl from (select coalesce(a.account,b.account)||'|'||coalesce(a.currency,b.currency) part, coalesce(a.kind,b.kind) kind, a.n ln, b.n rn, a.amount la, b.amount ra, a.d ld, b.d rd, a.l ll, b.l rl from
+ (select account, currency, kind, count(*) n, min(amount) amount, min(date) d, list(locator order by locator) l from balances group by all) a full join (select account, currency, kind, count(*) n, min(amount) amount, min(date) d, list(locator order by locator) l from other_balances group by all) b
+ on a.account=b.account and a.currency=b.currency and a.kind=b.kind) where coalesce(ln,0)>1 or coalesce(rn,0)>1 or la is distinct from ra or ld is distinct from rd"""),
+    ("ex", """select case side when 'l' then 'duplicateInLeft' else 'duplicateInRight' end kind, case side when 'l' then string_split(locators, ',') else [] end ls, case side when 'r' then string_split(locators, ',') else [] end rs, detail from dup
+ union all select 'runningBalanceBreak', list_sort(list_append(list(w.locator), b.anchor)), [], b.account||'|'||b.currency||': expected '||b.expected||', found '||b.found from breaks b join walk w using (account, currency, isl) group by b.account, b.currency, b.isl, b.anchor, b.expected, b.found
+ union all select case reason when 'sum' then 'balanceDifference' else 'periodGapOrOverlap' end, case when reason<>'count' and side='l' then list_sort([ol, cl]) else [] end, case when reason<>'count' and side='r' then list_sort([ol, cl]) else [] end,
+ part||case reason when 'count' then ': expected exactly one opening and one closing balance' when 'dates' then ': balance dates do not bound the selected period' else ': opening '||o||' + activity '||activity||' = '||(o+activity)||', not '||c end from arith where reason is not null
+ union all select case when several then 'periodGapOrOverlap' else 'balanceDifference' end, case when several then [] else coalesce(ll, []) end, case when several then [] else coalesce(rl, []) end, case when several then 'Multiple balance markers for ' else 'Balance amount or date differs for ' end||part||' '||kind from bcmp
+ union all select 'ambiguousCandidate', (select list(locator order by locator) from l0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id), (select list(locator order by locator) from r0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id),
+ 'Strong identifier has multiple candidates: '||account||'|'||currency||' strong-id['||strlen(strong_id)||']' from sk where n_l>1 or n_r>1
+ union all select 'ambiguousCandidate', (select list(locator order by locator) from l1 x where x.account=ck.account and x.currency=ck.currency and x.booking_date=ck.booking_date and x.amount=ck.amount and x.reference=ck.reference),
+ (select list(locator order by locator) from r1 x where x.account=ck.account and x.currency=ck.currency and x.booking_date=ck.booking_date and x.amount=ck.amount and x.reference=ck.reference),
+ 'Composite identity has multiple candidates: '||account||'|'||currency||' '||booking_date||' '||amount||' reference['||strlen(reference)||']' from ck where n_l>1 or n_r>1
+ union all select 'ambiguousCandidate', [l], list(r order by r), 'Fuzzy candidates tie at '||min(permille)||'/1000 similarity and '||min(days)||' day distance' from fr where lr=1 and lt>1 group by l
+ union all select 'ambiguousCandidate', list(l order by l), [r], 'Fuzzy candidates tie at '||min(permille)||'/1000 similarity and '||min(days)||' day distance' from fr where rr=1 and rt>1 group by r
+ union all select what.kind, [l], [r], what.detail from mut
+ union all select 'possibleSplitOrMerge', string_split(left_locators, ','), string_split(right_locators, ','), 'Possible split/merge in '||account||'|'||currency||': exact combined amount '||whole from splits
+ union all select 'currencyOrAccountMismatch', string_split(left_locators, ','), string_split(right_locators, ','), 'Strong identifier appears only in different account/currency partitions: '||strong_id from xp
+ union all select 'missingFromLedger', [locator], [], 'No deterministic counterpart' from miss union all select 'unexpectedLedgerItem', [], [locator], 'No deterministic counterpart' from unexp"""),
+    ("prints", "select 'L' side, locator, sha256(%s) fp from (select *, 'source-bank_rb' source_id from bank_rb) union all select 'R', locator, sha256(%s) from (select *, null running_balance, 'source-ledger' source_id from ledger)"),
+    ("exid", "select md5(kind||'|'||array_to_string(ls, ',')||'|'||array_to_string(rs, ',')||'|'||detail) id, * from ex"),
+    ("exfp", """select id, string_agg(x, ',' order by x) fps from (select id, n.side||':'||n.locator||':'||fp x from (select distinct id, 'L' side, unnest(ls) locator from exid union all select distinct id, 'R', unnest(rs) from exid) n
+ join prints p on p.side=n.side and p.locator=n.locator) group by id"""),
+    ("exk", """select kind, array_to_string(ls, ',') left_locators, array_to_string(rs, ',') right_locators, ls, rs, detail, sha256(kind||'|'||array_to_string(ls, ',')||'|'||array_to_string(rs, ',')||'|'||coalesce(fps, '')||'|'||detail) exception_key from exid left join exfp using (id)"""),
 ]
 
 
+_FIELD = "strlen(coalesce(cast({0} as varchar),'<nil>'))||':'||coalesce(cast({0} as varchar),'<nil>')"
+_ROW_PARTS = ["source_id", "locator", "source_ordinal", "account", "currency", "booking_date", "null", "amount", "running_balance", "strong_id", "reference", "null", "description", "null", "null", "cleared_status", "null", "''", "''"]
+_ROW_PRINT = " || '|' || ".join(_FIELD.format(p) for p in _ROW_PARTS)
+_CASCADE = [(n, q % (_ROW_PRINT, _ROW_PRINT) if n == "prints" else q) for n, q in _CASCADE]
+
+
 def _sql(select: str) -> str:
     return derive.duck_ctes(*_CASCADE) + select
 
@@ -205,11 +175,11 @@ def partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("duplicates_left", "select account, currency, n, locators from dup where side='l'")
 def duplicates_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.duplicates(_side(spark, sf_dir, "bank")).select("account", "currency", "n", _joined("locators").alias("locators"))
+    return checks.duplicates(_rows(spark, sf_dir, "bank")).select("account", "currency", "n", _joined("locators").alias("locators"))
 
 
 def _pairs(tier: str) -> Query:
-    return lambda spark, sf_dir: getattr(Cascade(spark, sf_dir), tier).select("left_locator", "right_locator")
+    return lambda spark, sf_dir: getattr(_tiers(spark, sf_dir), tier).select("left_locator", "right_locator")
 
 
 for _name, _tier in (("match_strong", "strong"), ("match_composite", "composite"), ("match_fuzzy", "fuzzy")):
@@ -219,58 +189,56 @@ for _name, _tier in (("match_strong", "strong"), ("match_composite", "composite"
 @_register("ambiguous_strong", """select account, currency, strong_id, (select string_agg(locator, ',' order by locator) from l0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) left_locators,
  (select string_agg(locator, ',' order by locator) from r0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) right_locators from sk where n_l>1 or n_r>1""")
 def ambiguous_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
-    found = matching.ambiguous(c.strong_groups, c.left, c.right, matching.STRONG_KEY, "strong_id")
-    return found.select("account", "currency", "strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
+    return _tiers(spark, sf_dir).ambiguous("strong").select("account", "currency", "strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
 
 
 @_register("ambiguous_composite", """select account, currency, booking_date, amount, reference, n_l, n_r, l left_locator, r right_locator from ck where n_l>1 or n_r>1""")
 def ambiguous_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).composite_groups.filter("n_l > 1 or n_r > 1")
+    return _tiers(spark, sf_dir).composite_groups.filter("n_l > 1 or n_r > 1")
 
 
 @_register("fuzzy_candidates", "select l left_locator, r right_locator, cast(permille as bigint) permille, days from fc")
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).candidates
+    return _tiers(spark, sf_dir).candidates
 
 
 @_register("ambiguous_fuzzy", """select 'left' side, l locator, string_agg(r, ',' order by r) candidates from fr where lr=1 and lt>1 group by l union all select 'right', r, string_agg(l, ',' order by l) from fr where rr=1 and rt>1 group by r""")
 def ambiguous_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fuzzy_ties(Cascade(spark, sf_dir).ranks).select("side", "locator", _joined("candidates").alias("candidates"))
+    return matching.fuzzy_ties(_tiers(spark, sf_dir).ranks).select("side", "locator", _joined("candidates").alias("candidates"))
 
 
-@_register("mutations", "select l left_locator, r right_locator, kind from mut")
+@_register("mutations", "select l left_locator, r right_locator, what.kind kind, what.detail detail from mut")
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
+    c = _tiers(spark, sf_dir)
     return matching.mutations(c.matches, c.left, c.right)
 
 
-@_register("split_merge", "select left_locators, right_locators from splits")
+@_register("split_merge", "select left_locators, right_locators, account, currency, cast(whole as bigint) whole from splits")
 def split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).splits.select(_joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
+    return _tiers(spark, sf_dir).splits.select(_joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"), "account", "currency", "whole")
 
 
 @_register("split_merge_budget", """select cast(coalesce(sum(n*(n-1)/2 + case when n>=3 then n*(n-1)*(n-2)/6 else 0 end + case when n>=4 then n*(n-1)*(n-2)*(n-3)/24 else 0 end),0) as bigint) evaluations
  from (select side, s, count(*) n from el group by all having count(*)>=2)""")
 def split_merge_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
+    c = _tiers(spark, sf_dir)
     return matching.split_merge_evaluations(*c.rest3, DAYS, GROUP)
 
 
 @_register("cross_partition_ids", "select strong_id, left_locators, right_locators from xp")
 def cross_partition_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
+    c = _tiers(spark, sf_dir)
     return matching.cross_partition(*c.rest3).select("strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
 
 
 @_register("missing_rows", "select locator, account, currency, amount from miss")
 def missing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).unpaired("left").select("locator", "account", "currency", "amount")
+    return _tiers(spark, sf_dir).unpaired("left").select("locator", "account", "currency", "amount")
 
 
 @_register("unexpected_rows", "select locator, account, currency, amount from unexp")
 def unexpected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).unpaired("right").select("locator", "account", "currency", "amount")
+    return _tiers(spark, sf_dir).unpaired("right").select("locator", "account", "currency", "amount")
 
 
 @_register("running_balance_breaks", """select account, currency, locator, cast(expected as bigint) expected, running_balance as found from (
@@ -315,68 +283,107 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _side(spark, sf_dir, "bank")
+    df = _rows(spark, sf_dir, "bank")
     names = ("locator", "source_ordinal", "account", "currency", "booking_date", "value_date", "amount", "strong_id", "reference", "payee", "description", "memo", "transaction_code", "cleared_status", "category")
     cols = {n: df[n] for n in names} | {"source_id": F.lit("source-x"), "running_balance": F.lit(None).cast("decimal(25,6)"), "original_values": F.create_map(F.lit("column:0"), F.col("locator")), "derived_fields": F.array(F.lit("currency"), F.lit("account"))}
     cols["amount"] = (df["amount"].cast("decimal(25,6)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(25,6)")
     return df.select("locator", C.fingerprint(cols).alias("fingerprint"))
 
 
-_FIELD = "strlen(coalesce(cast({0} as varchar),'<nil>'))||':'||coalesce(cast({0} as varchar),'<nil>')"
 _PARTS = ["'source-x'", "locator", "source_ordinal", "account", "currency", "booking_date", "null", "amt", "null", "strong_id", "reference", "null", "description", "null", "null", "cleared_status", "null", "orig", "'account'||chr(31)||'currency'"]
 _FP = " || '|' || ".join(_FIELD.format(p) for p in _PARTS)
 _FP_SQL = f"select locator, sha256({_FP}) fingerprint from (select *, regexp_replace(regexp_replace(cast(amount // 100 as varchar) || '.' || lpad(cast(amount % 100 as varchar), 2, '0'), '0+$', ''), '\\.$', '') amt, strlen('column:0')||':column:0'||strlen(locator)||':'||locator orig from bank)"
 _register("fingerprints", _FP_SQL)(_fingerprinted)
 
 
-@_register("exception_keys", "select locator, sha256('missingFromLedger|'||locator||'|||No ledger row') exception_key from miss")
+@_register("exception_keys", "select kind, left_locators, right_locators, detail, exception_key from exk")
 def exception_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    return Cascade(spark, sf_dir).unpaired("left").select("locator", C.exception_key(F.lit("missingFromLedger"), F.array("locator"), none, none, F.lit("No ledger row")).alias("exception_key"))
+    """All exceptions of the whole run with their texts and keys, which bind the fingerprints of the rows that they name."""
+    found = reconcile.with_keys(_result(spark, sf_dir).exceptions)
+    return found.select("kind", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"), "detail", "exception_key")
 
 
 @_register("exceptions_summary", "select kind, count(*) n from ex group by 1")
 def exceptions_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Cascade(spark, sf_dir).exceptions().groupBy("kind").agg(F.count("*").alias("n"))
+    return _result(spark, sf_dir).exceptions.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @_register("result_state", """select case when count(*) filter (kind in ('invalidRow','periodGapOrOverlap','ambiguousCandidate'))>0 then 'cannotConclude' when count(*)=0 then 'reconciled' else 'differenceFound' end state, count(*) exceptions,
- (select count(*) from matches) matches from ex""")
+ (select count(*) from matches) matches, (select count(*) from (select distinct account, currency from (select account, currency from bank union all select account, currency from ledger))) partitions from ex""")
 def result_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
-    open_ = F.count_if(F.col("kind").isin("invalidRow", "periodGapOrOverlap", "ambiguousCandidate"))
-    state = F.when(open_ > 0, "cannotConclude").when(F.count("*") == 0, "reconciled").otherwise("differenceFound")
-    return c.exceptions().agg(state.alias("state"), F.count("*").alias("exceptions")).crossJoin(c.matches.agg(F.count("*").alias("matches")))
+    """The conclusion and its metrics."""
+    r = _result(spark, sf_dir)
+    return spark.createDataFrame([(r.state, r.exceptions.count(), r.matches.count(), r.totals.count())], "state string, exceptions long, matches long, partitions long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches and exceptions by kind: the whole cascade."""
-    c = Cascade(spark, sf_dir)
-    return c.matches.select("kind").unionByName(c.exceptions()).groupBy("kind").agg(F.count("*").alias("n"))
+    """Matches and exceptions by kind: the whole run."""
+    r = _result(spark, sf_dir)
+    return r.matches.select("kind").unionByName(r.exceptions.select("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 QUERIES["reconcile_summary"] = flagship
 ORACLE_SQL["reconcile_summary"] = _sql("select kind, count(*) n from (select kind from matches union all select kind from ex) group by 1")
 
 
-@_register("comparison_rows", """select m.l left_locator, m.r right_locator, m.kind, a.amount left_amount, b.amount right_amount, a.description left_text, b.description right_text from matches m join l0 a on a.locator=m.l join r0 b on b.locator=m.r
- union all select locator, null, 'missingFromLedger', amount, null, description, null from miss union all select null, locator, 'unexpectedLedgerItem', null, amount, null, description from unexp""")
+_STATEMENT = "(select kind, ls from ex where kind in ('duplicateInLeft','runningBalanceBreak') union all select case reason when 'sum' then 'balanceDifference' else 'periodGapOrOverlap' end, [] from arith where side='l' and reason is not null)"
+
+
+@_register("statement_state", f"select case when count(*) filter (kind='periodGapOrOverlap')>0 then 'cannotConclude' when count(*)=0 then 'reconciled' else 'differenceFound' end state, count(*) exceptions from {_STATEMENT}")
+def statement_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conclusion of a single statement (mode C)."""
+    source = reconcile.Source("statement", _rows(spark, sf_dir, "bank_rb"), derive.spark_view(spark, sf_dir, "balances"))
+    r = reconcile.run(reconcile.Job("singleStatement", Period(derive.START, derive.END), [source]))
+    return spark.createDataFrame([(r.state, r.exceptions.count())], "state string, exceptions long")
+
+
+@_register("explained_state", """select count(*) changes, 'differenceFound' "before", 'reconciledWithExplanations' "after", 'differenceFound' unapproved from orders where o_orderkey%29=0 and o_orderkey%4<2 and o_orderstatus<>'X'""", cascade=False)
+def explained_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports (mode B) that differ in the status of some rows: the conclusion before and after all differences were explained
+    and approved, and where the approvals are withheld."""
+    older = _rows(spark, sf_dir, "bank").filter("(strong_id is not null or reference is not null) and not endswith(locator, 'D')")
+    changed = (F.col("source_ordinal") / 2).cast("long") % 29 == 0
+    newer = older.withColumn("cleared_status", F.when(changed, "X").otherwise(F.col("cleared_status")))
+    none = spark.createDataFrame([], BALANCES)
+    job = reconcile.Job("exportVsExport", Period(derive.START, derive.END), [reconcile.Source("olderExport", older, none), reconcile.Source("newerExport", newer, none)], POLICY)
+    first = reconcile.run(job)
+    keys = reconcile.with_keys(first.exceptions)
+    states = [reconcile.run(replace(job, decisions=keys.select("exception_key", F.lit("checked").alias("explanation"), F.lit(ok).alias("approved")))).state for ok in (True, False)]
+    return spark.createDataFrame([(first.exceptions.count(), first.state, *states)], "changes long, before string, after string, unapproved string")
+
+
+@_register("comparison_rows", """select kind, l left_locator, r right_locator, a.amount left_amount, b.amount right_amount, a.description left_text, b.description right_text from
+ (select kind, l, r from matches union all select kind, unnest(list_resize(ls, n)), unnest(list_resize(rs, n)) from (select *, greatest(len(ls), len(rs)) n from ex)) x
+ left join l0 a on a.locator=x.l left join r0 b on b.locator=x.r where a.locator is not null or b.locator is not null""")
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Cascade(spark, sf_dir)
-    one = lambda side, kind: c.unpaired(side).select(*[(F.col("locator") if s == side else F.lit(None)).cast("string").alias(f"{s}_locator") for s in ("left", "right")], F.lit(kind).alias("kind"))
-    shown = c.matches.unionByName(one("left", "missingFromLedger")).unionByName(one("right", "unexpectedLedgerItem"))
-    l, r = (df.select(F.col("locator").alias(f"{s}_locator"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text")) for df, s in ((c.left, "left"), (c.right, "right")))
-    return shown.join(l, "left_locator", "left").join(r, "right_locator", "left").select("left_locator", "right_locator", "kind", "left_amount", "right_amount", "left_text", "right_text")
+    """Matches as pairs, then the rows that exceptions name, side by side."""
+    r = _result(spark, sf_dir)
+    zipped = r.exceptions.select("kind", F.explode(F.arrays_zip("left_locators", "right_locators")).alias("x")).select("kind", F.col("x.left_locators").alias("left_locator"), F.col("x.right_locators").alias("right_locator"))
+    shown = r.matches.select("kind", "left_locator", "right_locator").unionByName(zipped)
+    of = lambda view, s: _rows(spark, sf_dir, view).select(F.col("locator").alias(f"{s}_locator"), F.lit(True).alias(f"{s}_there"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text"))
+    joined = shown.join(of("bank_rb", "left"), "left_locator", "left").join(of("ledger", "right"), "right_locator", "left").filter("left_there or right_there")
+    return joined.select("kind", "left_locator", "right_locator", "left_amount", "right_amount", "left_text", "right_text")
+
+
+_CELLS = ("section", "type", "account", "currency", "left", "right", "difference", "details")
 
 
-@_register("report_rows", """select 'match' section, kind, l left_key, r right_key, '"'||replace(l, '"', '""')||'","'||replace(r, '"', '""')||'"' line from matches
- union all select 'total', 'sourceActivityComparison', account, currency, '"'||account||'","'||currency||'"' from bank group by account, currency""")
+@_register("report_rows", """select section, type, array_to_string(list_transform(cells, lambda x: '"'||replace(x, '"', '""')||'"'), ',') line from (
+ select 'match' section, kind as type, ['match', kind, '', '', l, r, '', ''] cells from matches
+ union all select 'exception', kind, ['exception', kind, '', '', array_to_string(ls, ' | '), array_to_string(rs, ' | '), '', detail] from ex
+ union all select 'total', 'sourceActivityComparison', ['total', 'sourceActivityComparison', account, currency, l::varchar, r::varchar, (l-r)::varchar, ''] from (select account, currency, cast(sum(l) as bigint) l, cast(sum(r) as bigint) r from (select account, currency, amount l, 0 r from bank union all select account, currency, 0, amount from ledger) group by all))""")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's lines of totals, matches and exceptions, eight quoted cells each."""
+    r, empty = _result(spark, sf_dir), F.lit("")
+    row = lambda df, section, **cells: df.select(*[cells.get(c, F.lit(section) if c == "section" else empty).alias(c) for c in _CELLS])
+    money, shown = (lambda c: C.amount_text(F.col(c))), (lambda c: F.array_join(c, " | "))
+    parts = [
+        row(r.totals, "total", type=F.col("kind"), account=F.col("account"), currency=F.col("currency"), left=money("left"), right=money("right"), difference=money("difference")),
+        row(r.matches, "match", type=F.col("kind"), left=F.col("left_locator"), right=F.col("right_locator")),
+        row(r.exceptions, "exception", type=F.col("kind"), left=shown("left_locators"), right=shown("right_locators"), details=F.col("detail")),
+    ]
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    c = Cascade(spark, sf_dir)
-    pairs = c.matches.select(F.lit("match").alias("section"), "kind", F.col("left_locator").alias("left_key"), F.col("right_locator").alias("right_key"))
-    totals = c.left.select(F.lit("total").alias("section"), F.lit("sourceActivityComparison").alias("kind"), F.col("account").alias("left_key"), F.col("currency").alias("right_key")).distinct()
-    return pairs.unionByName(totals).withColumn("line", F.concat(quote("left_key"), F.lit(","), quote("right_key")))
+    return reduce(DataFrame.unionByName, parts).select("section", "type", F.concat_ws(",", *map(quote, _CELLS)).alias("line"))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,3 +471,134 @@ def revision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     revised = e.select("user_id", "event_id", "ts", (n + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).alias("revision"))
     return broken_revisions(revised, "user_id", ["ts", "event_id"], "revision").select("user_id", "event_id", "problem")
+
+
+# ---- functions and job tables over texts made of keys ----
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("d"), F.col("o_orderpriority").alias("p"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("st"))
+
+
+_TEXTS = "(select o_orderkey k, cast(o_orderdate as date) d, o_orderpriority p, o_custkey c, o_orderstatus st from orders)"
+
+
+@_register("ofx_dates", f"select k, case when k%6=5 then null else d end found from {_TEXTS}", cascade=False)
+def ofx_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.when(F.col("k") % 6 == 5, F.date_format("d", "yyyy-MM-dd")).when(F.col("k") % 2 == 0, F.date_format("d", "yyyyMMdd'120000[-5:EST]'")).otherwise(F.date_format("d", "yyyyMMdd"))
+    return _texts(spark, sf_dir).select("k", C.ofx_date(shown).alias("found"))
+
+
+@_register("compact_dates", f"select k, case when k%5=4 then null else make_date(case when k%100>=70 then 1900 else 2000 end + (k%100)::int, month(d), day(d)) end found from (select * from {_TEXTS} where day(d)<29)", cascade=False)
+def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.concat(F.lpad((F.col("k") % 100).cast("string"), 2, "0"), F.date_format("d", "MMdd"), F.when(F.col("k") % 5 == 4, "x").otherwise(""))
+    return _texts(spark, sf_dir).filter("day(d) < 29").select("k", C.compact_date(shown).alias("found"))
+
+
+@_register("source_ids", f"select k, 'source-'||sha256('file '||k||' of '||p) source_id from {_TEXTS}", cascade=False)
+def source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(F.lit("file "), F.col("k").cast("string"), F.lit(" of "), F.col("p")).cast("binary")
+    return _texts(spark, sf_dir).select("k", F.concat(F.lit("source-"), F.sha2(content, 256)).alias("source_id"))
+
+
+@_register("clean_texts", f"select k, case k%4 when 0 then null when 1 then p when 2 then p||'  '||st else p end found, regexp_replace(lower(p||' No. '||st), '[^a-z0-9]', '', 'g') header from {_TEXTS}", cascade=False)
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("k") % 4
+    raw = F.when(kind == 0, " \t\u00a0\n").when(kind == 1, F.concat(F.lit("\u2003\t"), "p", F.lit("\r\n"))).when(kind == 2, F.concat(F.lit(" "), "p", F.lit("  "), "st", F.lit("\u00a0"))).otherwise(F.col("p"))
+    return _texts(spark, sf_dir).select("k", C.cleaned(raw).alias("found"), C.normalized_header(F.concat("p", F.lit(" No. "), "st")).alias("header"))
+
+
+@_register("display_names", f"select k, case k%3 when 0 then 'Amount Changed' when 1 then 'Duplicate In Left' else 'Reconciled' end shown from {_TEXTS}", cascade=False)
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("amountChanged"), F.lit("duplicateInLeft"), F.lit("reconciled")), (F.col("k") % 3 + 1).cast("int"))
+    return _texts(spark, sf_dir).select("k", C.display_name(kind).alias("shown"))
+
+
+@_register("timestamps", f"select k, k%5 in (0, 1) fits from {_TEXTS}", cascade=False)
+def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole seconds in UTC: real ones, and others of the same or nearly the same shape."""
+    kind, day = F.col("k") % 5, F.date_format("d", "yyyy-MM-dd")
+    raw = F.when(kind == 0, F.concat(day, F.lit("T00:00:00Z"))).when(kind == 1, F.concat(day, F.lit("T23:59:59Z"))).when(kind == 2, F.concat(day, F.lit("T24:61:00Z"))).when(kind == 3, F.concat(day, F.lit("T12:00:00.5Z"))).otherwise(F.concat(F.lit("2026-99-99T"), F.lit("10:00:00Z")))
+    return _texts(spark, sf_dir).select("k", C.whole_second(raw).alias("fits"))
+
+
+@_register("tier_permits", f"""select k, k%3=2 or k%3=1 or k%5<2 lock_, k%3=2 or k%5<1 entity, k%3>=1 or k%5<1 profile, k%3=2 brand from {_TEXTS}""", cascade=False)
+def tier_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import permits
+
+    tier = F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("accountant")), (F.col("k") % 3 + 1).cast("int"))
+    return _texts(spark, sf_dir).select("k", *[permits(tier, what, F.col("k") % 5).alias("lock_" if what == "lock" else what) for what in ("lock", "entity", "profile", "brand")])
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as revisions of jobs, one job for each customer."""
+    state = F.when(F.col("k") % 3 == 0, "locked").otherwise("draft")
+    result = F.element_at(F.array(*[F.lit(x) for x in ("reconciled", "differenceFound", "cannotConclude", "reconciledWithExplanations")]), (F.col("k") % 4 + 1).cast("int"))
+    return _texts(spark, sf_dir).select(F.col("c").alias("job"), F.col("k").alias("revision"), state.alias("state"), result.alias("result_state"), (F.col("k") % 7 == 0).alias("sample"), (F.col("c") % 11).alias("entity"))
+
+
+_JOBS = f"(select c job, k revision, case when k%3=0 then 'locked' else 'draft' end state, ['reconciled','differenceFound','cannotConclude','reconciledWithExplanations'][k%4+1] result_state, k%7=0 sample, c%11 entity from {_TEXTS})"
+
+
+@_register("current_heads", f"select distinct on (job) job, revision, state, result_state, sample, entity from {_JOBS} order by job, revision desc", cascade=False)
+def current_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.operators.revisions import current_heads as heads
+
+    return heads(_jobs(spark, sf_dir), "job", "revision")
+
+
+@_register("review_queue", f"select job, revision, state, result_state from {_JOBS} where state='draft' or result_state in ('differenceFound','cannotConclude')", cascade=False)
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import review_queue as queue
+
+    return queue(_jobs(spark, sf_dir)).select("job", "revision", "state", "result_state")
+
+
+@_register("locked_records", f"select job, revision, sample from {_JOBS} where state='locked'", cascade=False)
+def locked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import locked_records as locked
+
+    return locked(_jobs(spark, sf_dir)).select("job", "revision", "sample")
+
+
+@_register("free_lock_usage", f"select count(*) filter (state='locked' and not sample) used from {_JOBS}", cascade=False)
+def free_lock_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jobs(spark, sf_dir).agg(F.count_if((F.col("state") == "locked") & ~F.col("sample")).alias("used"))
+
+
+@_register("job_entities", f"select job, revision, case when entity<9 then 'Entity '||entity else 'Unassigned' end entity_name from {_JOBS}", cascade=False)
+def job_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import entity_names
+
+    entities = spark.range(9).select("id", F.concat(F.lit("Entity "), F.col("id").cast("string")).alias("name"))
+    return entity_names(_jobs(spark, sf_dir), entities).select("job", "revision", "entity_name")
+
+
+@_register("state_violations", f"""select 'ids_unique' "check", 0::bigint violations union all select 'names_not_blank', 1 union all select 'jobs_have_entities', count(*) filter (entity>=9) from {_JOBS}""", cascade=False)
+def state_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import violations
+
+    entities = spark.range(9).select("id", F.when(F.col("id") == 4, " ").otherwise("name").alias("name"))
+    return violations(entities, _jobs(spark, sf_dir).select("job", "entity"))
+
+
+_DECISIONS = f"(select sha256('exception '||k) exception_key, case k%4 when 0 then ' ' else 'checked' end explanation, k%3<>0 approved from {_TEXTS})"
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.concat(F.lit("exception "), F.col("k").cast("string")), 256)
+    return _texts(spark, sf_dir).select(key.alias("exception_key"), F.when(F.col("k") % 4 == 0, " ").otherwise("checked").alias("explanation"), (F.col("k") % 3 != 0).alias("approved"), "k")
+
+
+@_register("approved_decisions", f"select exception_key from {_DECISIONS} where approved and trim(explanation)<>''", cascade=False)
+def approved_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.approved(_decisions(spark, sf_dir)).select("exception_key")
+
+
+@_register("decision_upsert", f"select sha256('exception '||k) exception_key, case when k%5=0 then 'again' when k%4=0 then ' ' else 'checked' end explanation, case when k%5=0 then true else k%3<>0 end approved from {_TEXTS}", cascade=False)
+def decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tieout.application import with_decision
+
+    d = _decisions(spark, sf_dir)
+    new = d.filter("k % 5 = 0").select("exception_key", F.lit("again").alias("explanation"), F.lit(True).alias("approved"))
+    return with_decision(d.drop("k"), new)

@@ -294,12 +294,17 @@ def with_keys(exceptions: DataFrame) -> DataFrame:
     return exceptions.withColumn("exception_key", C.exception_key(*(F.col(c) for c in ("kind", "left_locators", "right_locators", "source_fingerprints", "detail"))))
 
 
+def approved(decisions: DataFrame) -> DataFrame:
+    """Decisions that explain: approved, and with a text."""
+    return decisions.filter(F.col("approved") & C.cleaned(F.col("explanation")).isNotNull())
+
+
 def _state(job: Job, exceptions: DataFrame, totals: DataFrame, incomplete: bool, single: bool) -> str:
     """Nothing that is inconclusive can be explained away; explained differences also need arithmetic that closes."""
     keyed = with_keys(exceptions)
     if job.decisions is not None:
-        approved = job.decisions.filter(F.col("approved") & C.cleaned(F.col("explanation")).isNotNull()).select("exception_key", F.lit(True).alias("explained")).distinct()
-        keyed = keyed.join(approved, "exception_key", "left")
+        explained = approved(job.decisions).select("exception_key", F.lit(True).alias("explained")).distinct()
+        keyed = keyed.join(explained, "exception_key", "left")
     else:
         keyed = keyed.withColumn("explained", F.lit(None).cast("boolean"))
     n, open_, unexplained, balances = keyed.agg(F.count("*"), F.count_if(F.col("kind").isin(*INCONCLUSIVE_KINDS)), F.count_if(F.col("explained").isNull()), F.count_if(F.col("kind").isin("balanceDifference", "runningBalanceBreak"))).first()
