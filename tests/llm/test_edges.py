@@ -98,7 +98,9 @@ def test_empty_tables(spark, labels, benchmark):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_partitioning_does_not_matter(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_partitioning_does_not_matter(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", most)
     docs = spark.createDataFrame(ROWS, DDL.format("extra string"))
     both = [sorted(map(str, sharding.interleave(d, 3).collect())) for d in (docs.coalesce(1), docs.repartition(5))]
     assert both[0] == both[1]

@@ -20,6 +20,9 @@ from tieout.llm.storage import written
 
 SHARDS = 24
 SEED = 17
+#: Rows equal in all plain columns whose places may be one list; where more are, rows are numbered and joined one by one, with one
+#: more shuffle and the same outcome.
+EQUAL_ROWS = 1_000
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_column: str = "doc_id", source_column: str = "source", range_rows: int | None = None) -> DataFrame:
@@ -28,8 +31,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     Law ``rows``: row counts of shards differ by one at most. The result depends on the rows alone, never on how they are
     partitioned. Null sources are a stratum of their own; null and repeated ids, null, empty and very long texts are rows
     as any other. The order of rows follows from their ids and a hash of their other plain columns, so rows that share an id, or
-    have none, are dealt as evenly as others; rows that are equal in all of them take neighbouring slots in any order. An empty table gives an empty result. Columns ``shard`` and ``slot`` of the
-    input are replaced; names beginning with ``__il_`` are reserved and refused.
+    have none, are dealt as evenly as others; rows that are equal in all of them take neighbouring slots in any order. An empty table gives an empty
+    result. Columns ``shard`` and ``slot`` of the input are replaced; names beginning with ``__il_`` are reserved and refused.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
     if taken := [c for c in kept if c.startswith("__il_")]:
@@ -68,12 +71,19 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     total = max(1, int(rows))
     placed = placed.withColumn("shard", F.expr(f"cast((__il_p * {shards}L) div {total}L as int)"))
     first = F.expr(f"(cast(shard as bigint) * {total}L + {shards - 1}L) div {shards}L")
-    # keys and places went through the windows; the rows themselves meet their places in one join, equal rows one by one
-    turn = Window.partitionBy("__il_key", "__il_src")
-    placed = placed.select("__il_key", "__il_src", "shard", (F.col("__il_p") - first).cast("long").alias("slot")).withColumn("__il_t", F.row_number().over(turn.orderBy("shard", "slot")))
+    # keys and places went through the windows; the rows themselves meet their places in one join
+    keys, turn = ["__il_key", "__il_src"], Window.partitionBy("__il_key", "__il_src")
+    placed = placed.select(*keys, "shard", (F.col("__il_p") - first).cast("long").alias("slot"))
     whole = docs.select(*[F.col(f"`{c}`") for c in kept], ordering.shuffle_key(id_column, seed, *ties).alias("__il_key"), ordering.stratum(source_column).alias("__il_src"))
-    whole = whole.withColumn("__il_t", F.row_number().over(turn.orderBy(F.col(f"`{id_column}`"))))
-    return whole.join(placed, ["__il_key", "__il_src", "__il_t"]).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
+    in_turn = F.row_number().over(turn.orderBy(F.col(f"`{id_column}`")))
+    most = slim.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= EQUAL_ROWS:
+        # the places of equal rows are one short list, of which each takes its own; the join's partitioning serves the window too
+        spots = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__il_spots"))
+        found = whole.join(spots, keys).withColumn("__il_t", in_turn).withColumn("__il_spot", F.element_at("__il_spots", F.col("__il_t")))
+        return found.select(*[F.col(f"`{c}`") for c in kept], "__il_spot.shard", "__il_spot.slot")
+    placed = placed.withColumn("__il_t", F.row_number().over(turn.orderBy("shard", "slot")))
+    return whole.withColumn("__il_t", in_turn).join(placed, [*keys, "__il_t"]).select(*[F.col(f"`{c}`") for c in kept], "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
