@@ -102,6 +102,27 @@ def test_explained_differences_need_closing_arithmetic(spark):
     assert pair(spark, left, right, decisions=blank).state == "differenceFound"
 
 
+def test_approvals_do_not_close_a_broken_balance(spark):
+    rows = [row("a", 1, 10, running_balance=Decimal(999), strong_id="T")]
+    def job(decisions=None):
+        left = source(spark, "bank", rows, [("opening", day(1), 100), ("closing", day(31), 110)])
+        right = source(spark, "ledger", [row("b", 1, 10, strong_id="T")], [("opening", day(1), 100), ("closing", day(31), 110)])
+        return run(Job("bankVsLedger", PERIOD, [left, right], decisions=decisions))
+
+    first = job()
+    keys = [r["exception_key"] for r in with_keys(first.exceptions).collect()]
+    assert kinds(first) == ["runningBalanceBreak"] and first.exceptions.first()["detail"] == "A|USD: expected 110, found 999"
+    assert job(spark.createDataFrame([(k, "seen", True) for k in keys], "exception_key string, explanation string, approved boolean")).state == "differenceFound"
+
+
+def test_details_tell_lengths_and_amounts(spark):
+    result = pair(spark, [row("L1", 2, "10.50", strong_id="Té", reference="r")], [row("R1", 2, 10, strong_id="Té", reference="r"), row("R2", 3, 10, strong_id="Té", reference="r")])
+    told = {r["kind"]: r["detail"] for r in result.exceptions.collect()}
+    assert told["ambiguousCandidate"] == "Strong identifier has multiple candidates: A|USD strong-id[3]" and told["duplicateInRight"] == "Repeated identity: A|USD strong-id[3]"
+    changed = pair(spark, [row("L1", 2, "10.50", strong_id="T")], [row("R1", 2, 10, strong_id="T")]).exceptions.collect()
+    assert [(r["kind"], r["detail"]) for r in changed] == [("amountChanged", "10.5 \u2192 10")]
+
+
 def test_refusals(spark):
     with pytest.raises(RoleMismatch):
         run(Job("singleStatement", PERIOD, [source(spark, "bank", []), source(spark, "ledger", [])]))

@@ -18,7 +18,7 @@ def locked(spark):
 
 
 def test_sample_is_reconciled_and_verifies(spark, locked):
-    assert locked["manifest"]["result"]["state"] == "reconciled" and len(locked["manifest"]["result"]["matches"]) == 2
+    assert locked["manifest"]["result"]["state"] == "reconciled" and len(locked["manifest"]["result"]["matches"]) == 3
     evidence.verify(spark, locked, sample.files())
     changed = sample.files()
     changed[0] = replace(changed[0], data=changed[0].data + b" ")

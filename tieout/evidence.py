@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import SparkSession
@@ -18,6 +18,14 @@ from tieout.sources.router import Replay, frames, parse
 _TIMESTAMP = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z")
 
 
+def is_whole_second(text: str) -> bool:
+    """A real second in UTC, as text of twenty bytes."""
+    try:
+        return bool(_TIMESTAMP.fullmatch(text)) and bool(datetime.strptime(text, "%Y-%m-%dT%H:%M:%SZ"))
+    except ValueError:
+        return False
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, explicit nulls, no spaces and no escapes that are not needed; amounts are exact text."""
     def plain(x):
@@ -60,7 +68,7 @@ def result_value(result: Result) -> dict:
 
 def lock(spark: SparkSession, mode: str, period: Period, files: list[File], locked_at: str, policy: MatchingPolicy | None = None) -> dict:
     """A manifest of sources and result. The job is run from the bytes themselves, which is what the lock attests."""
-    if not _TIMESTAMP.fullmatch(locked_at):
+    if not is_whole_second(locked_at):
         raise IntegrityFailure("a lock needs a whole second in UTC")
     result = result_value(run(job_of(spark, mode, period, files, policy)))
     sources = [{"role": f.role, "filename": f.filename, "bytes": len(f.data), "sha256": hashlib.sha256(f.data).hexdigest()} for f in sorted(files, key=lambda f: f.role)]

@@ -12,27 +12,38 @@ def quoted(text: object) -> str:
     return '"' + str("" if text is None else text).replace('"', '""') + '"'
 
 
-def rows(evidence: dict) -> list[list[object]]:
-    m = evidence["manifest"]
-    out: list[list[object]] = [["summary", m["mode"], m["result"]["state"], m["locked_at"]], ["metadata", *m["period"], evidence["sha256"]]]
-    out += [["source", s["role"], s["filename"], s["sha256"]] for s in m["sources"]]
-    out += [["total", t["account"], t["currency"], t["difference"]] for t in m["result"]["totals"]]
-    out += [["match", x["left_locator"], x["right_locator"], x["kind"]] for x in m["result"]["matches"]]
-    out += [["exception", x["kind"], ";".join(x["left_locators"]) + "|" + ";".join(x["right_locators"]), x["detail"]] for x in m["result"]["exceptions"]]
+CELLS = ("section", "type", "account", "currency", "left", "right", "difference", "details")
+LIMITATION = "Supplied files and recorded decisions only; not bank, accounting, tax, legal or audit assurance."
+LINE = 105
+
+
+def rows(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> list[dict[str, str]]:
+    """The report line by line: summary, metadata, sources, totals, matches, exceptions, decisions, by the names of ``CELLS``."""
+    m, many = evidence["manifest"], " | ".join
+    out = [{"section": "summary", "type": m["result"]["state"], "details": entity}]
+    facts = {"mode": m["mode"], "period": " to ".join(m["period"]), "lockedAt": m["locked_at"], "evidence": evidence["sha256"], "limitation": LIMITATION}
+    out += [{"section": "metadata", "type": k, "details": v} for k, v in facts.items()]
+    out += [{"section": "source", "type": s["role"], "details": many([s["filename"], s["sha256"], f"{s['bytes']} bytes"])} for s in m["sources"]]
+    out += [{"section": "total", "type": t["kind"], **{k: t[k] for k in ("account", "currency", "left", "right", "difference")}} for t in m["result"]["totals"]]
+    out += [{"section": "match", "type": x["kind"], "left": x["left_locator"], "right": x["right_locator"]} for x in m["result"]["matches"]]
+    out += [{"section": "exception", "type": x["kind"], "left": many(x["left_locators"]), "right": many(x["right_locators"]), "details": x["detail"]} for x in m["result"]["exceptions"]]
+    out += [{"section": "decision", "type": "approved" if d["approved"] else "unresolved", "details": many([d["exception_key"], d["explanation"]])} for d in sorted(decisions, key=lambda d: d["exception_key"])]
     return out
 
 
-def csv_report(evidence: dict) -> str:
-    return "".join(",".join(map(quoted, r)) + "\r\n" for r in [["section", "a", "b", "c"], *rows(evidence)])
+def csv_report(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> str:
+    lines = [dict(zip(CELLS, CELLS, strict=True)), *rows(evidence, entity, decisions)]
+    return "".join(",".join(quoted(r.get(c)) for c in CELLS) + "\r\n" for r in lines)
 
 
 def json_report(evidence: dict) -> str:
     return canonical(evidence["manifest"])
 
 
-def pdf_report(evidence: dict) -> bytes:
-    """52 lines a page; what is not printable ASCII shows as a question mark."""
-    lines = ["".join(c if " " <= c <= "~" else "?" for c in " ".join(str(x) for x in r))[:110] for r in rows(evidence)]
+def pdf_report(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> bytes:
+    """52 lines a page, long ones wrapped; what is not printable ASCII shows as a question mark."""
+    texts = ["".join(c if " " <= c <= "~" else "?" for c in " ".join(str(r[c]) for c in CELLS if r.get(c) not in (None, ""))) for r in rows(evidence, entity, decisions)]
+    lines = [("    " if k else "") + t[k : k + LINE] for t in texts for k in range(0, max(1, len(t)), LINE)]
     pages = [lines[k : k + LINES_PER_PAGE] for k in range(0, len(lines), LINES_PER_PAGE)] or [[]]
     escape = lambda t: t.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)")
     kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(pages)))

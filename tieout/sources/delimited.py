@@ -10,16 +10,16 @@ from dataclasses import dataclass
 from tieout.model import InvalidConfiguration, MalformedInput, Period, ResourceLimit
 from tieout.sources.records import Limits, Statement, amount_of, clean, currency_of, decoded, delimited_date, source_id
 
-#: Headers that name a field, after lower-casing and dropping all but letters, marks and digits.
+# Headers that name a field, after lower-casing and dropping all but letters, marks and digits.
 ALIASES = {
-    "date": "date bookingdate transactiondate posteddate postingdate fecha datum buchungstag dateoperation".split(),
-    "amount": "amount value importe betrag montant monto".split(),
-    "account": "account accountnumber accountid cuenta konto compte iban".split(),
-    "currency": "currency ccy moneda wahrung waehrung devise".split(),
-    "strong_id": "id transactionid fitid uniqueid".split(),
-    "reference": "reference ref referencia referenz checknumber".split(),
-    "description": "description details descripcion narrative verwendungszweck libelle".split(),
-    "balance": "balance runningbalance saldo solde".split(),
+    "date": "date transactiondate bookingdate posteddate datum buchungsdatum fecha fechacontable data".split(),
+    "amount": "amount transactionamount montant betrag importe valor valore".split(),
+    "account": "account accountid accountnumber compte konto cuenta conta".split(),
+    "currency": "currency currencycode devise wahrung moneda moeda".split(),
+    "strong_id": "id transactionid fitid uniqueid identifiant belegnummer".split(),
+    "reference": "reference ref checknumber endtoendid referenz referencia".split(),
+    "description": "description memo payee narrative libelle beschreibung descripcion descricao".split(),
+    "balance": "balance runningbalance solde saldo kontostand".split(),
 }
 
 
@@ -43,9 +43,10 @@ class Mapping:
     date_order: str = "ymd"
     decimal: str = "."
     grouping: str | None = None
+    header: bool = True
 
     def __post_init__(self):
-        used = [v for k, v in self.__dict__.items() if isinstance(v, int)]
+        used = [v for v in self.__dict__.values() if isinstance(v, int) and not isinstance(v, bool)]
         if len(set(used)) != len(used) or min(used) < 0:
             raise InvalidConfiguration("each column is mapped once")
 
@@ -108,16 +109,17 @@ def tokenize(text: str, delimiter: str, limits: Limits = Limits()) -> Iterator[t
 
 
 def parse(data: bytes, period: Period, mapping: Mapping, *, delimiter: str = ",", balances: tuple = (), limits: Limits = Limits()) -> Statement:
-    """The rows of a file. Blank lines are skipped before widths are compared and take no ordinal; the first row is the header."""
+    """The rows of a file. Blank lines are skipped before widths are compared and take no ordinal; the first row is the header,
+    if there is one, and says how wide all rows are."""
     limits.check_size(data)
     out = Statement(source_id(data), period)
     rows = [(line, cells) for line, cells in tokenize(decoded(data, "the file"), delimiter, limits) if any(c.strip() for c in cells)]
-    if len(rows) - 1 > limits.records:
-        raise ResourceLimit(f"{len(rows) - 1} records")
     if not rows:
-        raise MalformedInput("no header")
-    width = len(rows[0][1])
-    for line, cells in rows[1:]:
+        raise MalformedInput("no rows")
+    width, body = len(rows[0][1]), rows[mapping.header :]
+    if len(body) > limits.records:
+        raise ResourceLimit(f"{len(body)} records")
+    for line, cells in body:
         if len(cells) != width:
             raise MalformedInput(f"line {line} has {len(cells)} cells, not {width}")
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names that must select the same formats.
 EXTENSIONS = {
     "csv": "csv", "tsv": "tsv", "tab": "tsv", "xlsx": "xlsx", "ofx": "ofx", "qfx": "qfx", "qbo": "qbo", "qif": "qif", "qmtf": "qmtf",
-    "sta": "mt940", "mt940": "mt940", "940": "mt940", "bai": "bai2", "bai2": "bai2",
+    "mt940": "mt940", "sta": "mt940", "swift": "mt940", "bai": "bai2", "bai2": "bai2",
 }
 
 
+#: Bytes that are looked at, and what tells XML messages apart; notifications first.
+XML_SNIFF, SNIFF = 128 << 10, 8 << 10
+MESSAGES = {"camt054": (b"camt.054.", b"bktocstmrdbtcdtntfctn"), "camt053": (b"camt.053.", b"bktocstmrstmt")}
+
+
 def format_by_name(filename: Column) -> Column:
     """By extension, whatever its case; null where only the content can tell."""
     known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
@@ -22,11 +28,12 @@ def detect(data: bytes, filename: str) -> str | None:
     extension = filename.rpartition(".")[2].lower()
     if extension in EXTENSIONS:
         return EXTENSIONS[extension]
-    head = data[: 1 << 16]
     if extension == "xml":
-        return "camt054" if b"camt.054" in head else "camt053" if b"camt.053" in head else None
-    if b"<OFX" in head.upper():
+        head = data[:XML_SNIFF].lower()
+        return next((kind for kind, marks in MESSAGES.items() if any(m in head for m in marks)), None)
+    head = data[:SNIFF].upper()
+    if b"OFXHEADER:" in head or b"<OFX" in head:
         return "ofx"
-    if head.lstrip().startswith(b":20:") or b"\n:20:" in head:
+    if b":20:" in head and b":25:" in head:
         return "mt940"
-    return "bai2" if head.lstrip().startswith(b"01,") else None
+    return "bai2" if head.startswith(b"01,") else None

@@ -6,12 +6,13 @@ import html
 import re
 from xml.etree.ElementTree import Element, SubElement
 
-from tieout.model import InvalidDate, MalformedInput, Period
+from tieout.model import InvalidDate, MalformedInput, Period, ResourceLimit
 from tieout.sources import xmltree as X
 from tieout.sources.records import Limits, Profile, Statement, amount_of, currency_of, iso_date, source_id
 
+# Tags that hold others; every other tag is a leaf.
 CONTAINERS = frozenset(
-    "OFX SIGNONMSGSRSV1 SONRS STATUS BANKMSGSRSV1 STMTTRNRS STMTRS BANKACCTFROM BANKTRANLIST STMTTRN LEDGERBAL AVAILBAL CREDITCARDMSGSRSV1 CCSTMTTRNRS CCSTMTRS CCACCTFROM CURRENCY".split()
+    "OFX SIGNONMSGSRSV1 SONRS STATUS BANKMSGSRSV1 STMTTRNRS STMTRS BANKACCTFROM BANKTRANLIST STMTTRN LEDGERBAL AVAILBAL CREDITCARDMSGSRSV1 CCSTMTTRNRS CCSTMTRS CCACCTFROM CCBANKTRANLIST".split()
 )
 _ENTITY = re.compile(r"&([^;&\s]*);?")
 
@@ -25,11 +26,13 @@ def _unescaped(text: str) -> str:
     return _ENTITY.sub(one, text)
 
 
-def sgml(text: str) -> Element:
+def sgml(text: str, limits: Limits = Limits()) -> Element:
     """Tags of the known containers nest; every other tag is a leaf with the text behind it."""
-    root, stack = None, []
+    root, stack, nodes = None, [], 0
     for close, name, value in re.findall(r"<(/?)([A-Za-z0-9.]+)>([^<]*)", text):
-        name = name.upper()
+        name, nodes = name.upper(), nodes + (not close)
+        if nodes > limits.xml_nodes or len(stack) > limits.xml_depth or len(value.strip().encode()) > limits.field_bytes:
+            raise ResourceLimit("tags, depth or a field of the document")
         if close:
             if name in CONTAINERS:
                 if not stack or stack[-1].tag != name:
@@ -81,7 +84,7 @@ def parse(data: bytes, period: Period, profile: Profile = Profile(), *, balances
     else:
         kind = "utf-8" if re.search(rb"ENCODING:\s*(UTF-8|UNICODE)", head) else "cp1252" if b"CHARSET:1252" in head else "ascii"
         try:
-            root = sgml(data[begin.start() :].decode(kind))
+            root = sgml(data[begin.start() :].decode(kind), limits)
         except UnicodeDecodeError as e:
             raise MalformedInput("text in another character set than declared") from e
     statements = X.descendants(root, "STMTRS") + X.descendants(root, "CCSTMTRS")
@@ -93,7 +96,7 @@ def parse(data: bytes, period: Period, profile: Profile = Profile(), *, balances
             out.add(locator=f"statement:{s}:transaction:{k}", account=account, currency=currency, booking_date=ofx_date(_required(t, "DTPOSTED")), amount=amount_of(_required(t, "TRNAMT")), strong_id=_optional(t, "FITID"), reference=_optional(t, "REFNUM") or _optional(t, "CHECKNUM"), payee=_optional(t, "NAME"), description=_optional(t, "MEMO"), memo=_optional(t, "MEMO"), transaction_code=_optional(t, "TRNTYPE"))
         if (ledger := X.at(statement, "LEDGERBAL")) is not None:
             out.balance("closing", account, currency, ofx_date(_required(ledger, "DTASOF")), amount_of(_required(ledger, "BALAMT")), f"statement:{s}:ledger")
-        listed = X.at(statement, "BANKTRANLIST")
+        listed = next((x for x in (X.at(statement, t) for t in ("BANKTRANLIST", "CCBANKTRANLIST")) if x is not None), None)
         if listed is not None and (ofx_date(_required(listed, "DTSTART")) > period.start or ofx_date(_required(listed, "DTEND")) < period.end):
             out.completeness = "incomplete"
             out.warnings.append("the listed range does not span the period")
