@@ -11,14 +11,16 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.evidence import canonical, digest
+from tieout.evidence import File, canonical, digest, job_of, job_value, result_value
 from tieout.functions.columns import cleaned
-from tieout.model import IntegrityFailure, InvalidCurrency
+from tieout.model import MODES, EntitlementRequired, IntegrityFailure, InvalidCurrency, Period
+from tieout.plans.reconcile import run
+from tieout.sources.batch import role_of, safe_path
 from tieout.sources.records import currency_of
-from tieout.store import FREE_LOCKS, TIERS
+from tieout.store import FREE_LOCKS, TIERS, Store
 
 SCHEMA = 3
 _DEFAULTS = {"profiles": [], "folders": [], "imported_at": {}, "entity_of_job": {}, "date_order": "ymd", "currency": "USD"}
@@ -130,3 +132,17 @@ def permits(tier: Column | str, what: str, existing: Column | int = 0) -> Column
     """Whether a tier may lock, add an entity or a profile, or put its brand on a report, given how many there are."""
     n, rank = existing if isinstance(existing, Column) else F.lit(existing), _rank(tier)
     return {"lock": (rank >= 1) | (n < FREE_LOCKS), "entity": (rank == 2) | (n < 1), "profile": (rank >= 1) | (n < 1), "brand": rank == 2}[what]
+
+
+def import_batch(spark: SparkSession, store: Store, job: str, folder: str, mode: str, filenames: list[str], period: Period) -> dict:
+    """A pair or statement of a batch folder (:func:`tieout.sources.batch.paired`) run and stored as a draft; its result. Needs the
+    tier ``accountant`` and exactly the roles of the mode."""
+    if store.tier != "accountant":
+        raise EntitlementRequired("accountant")
+    files = [File(role_of(n) or "", n, safe_path(folder, n).read_bytes()) for n in filenames]
+    if sorted(f.role for f in files) != sorted(MODES.get(mode, ())):
+        raise IntegrityFailure("the files are not those that the mode needs")
+    value = job_value(mode, period, files, job=job)
+    result = result_value(run(job_of(spark, value, {s["sha256"]: f.data for s, f in zip(value["sources"], sorted(files, key=lambda f: (f.role, f.filename)), strict=True)})))
+    store.save(job, value, 0)
+    return result

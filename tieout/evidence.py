@@ -1,19 +1,24 @@
-"""Evidence: canonical JSON, digests, and locks that replay source bytes."""
+"""Evidence: canonical JSON, digests, and locks that hold the source bytes and all that is needed to run them again."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import SparkSession
 
-from tieout.model import IntegrityFailure, MatchingPolicy, Period
+from tieout.model import DECISIONS, MANUAL_MATCHES, IntegrityFailure, MatchingPolicy, Period
 from tieout.plans.reconcile import Job, Result, Source, run
-from tieout.sources.router import Replay, frames, parse
+from tieout.sources.delimited import Mapping
+from tieout.sources.records import Profile
+from tieout.sources.router import Replay, frames, parse, planned
+
+SCHEMA, ENGINE = 1, "2"
 
 _TIMESTAMP = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z")
 
@@ -53,35 +58,96 @@ class File:
     replay: Replay = Replay()
 
 
-def job_of(spark: SparkSession, mode: str, period: Period, files: list[File], policy: MatchingPolicy | None = None) -> Job:
-    sources = []
-    for f in files:
-        s = parse(f.data, f.filename, period, f.replay)
-        sources.append(Source(f.role, *frames(spark, s), s.completeness))
-    return Job(mode, period, sources, policy or MatchingPolicy())
+def with_source(files: list[File], new: File) -> list[File]:
+    """One source a role: the last import stands. In the order of the roles' names."""
+    return sorted([*(f for f in files if f.role != new.role), new], key=lambda f: f.role)
+
+
+def _sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def _plain(value):
+    """The value as its canonical JSON reads back."""
+    return json.loads(canonical(value))
+
+
+def job_value(mode: str, period: Period, files: list[File], policy: MatchingPolicy | None = None, decisions=(), manual_matches=(), job: str = "job") -> dict:
+    """All that a run depends on, as plain JSON: what is inferred from the bytes (format, columns, sheet) is stated."""
+    sources = [
+        {"role": f.role, "filename": f.filename, "source_id": f"source-{_sha(f.data)}", "sha256": _sha(f.data), "bytes": len(f.data), "replay": asdict(planned(f.data, f.filename, f.replay))}
+        for f in sorted(files, key=lambda f: (f.role, f.filename))
+    ]
+    by_key, by_pair = sorted(decisions, key=lambda d: d["exception_key"]), sorted(manual_matches, key=lambda m: (m["left_locator"], m["right_locator"]))
+    return _plain({"id": job, "mode": mode, "period": [period.start, period.end], "policy": asdict(policy or MatchingPolicy()), "sources": sources, "decisions": by_key, "manual_matches": by_pair})
+
+
+def _replay_of(value: dict) -> Replay:
+    mapping = Mapping(**value["mapping"]) if value["mapping"] else None
+    balances = tuple(b | {"date": date.fromisoformat(b["date"]), "amount": Decimal(b["amount"])} for b in value["balances"])
+    return Replay(**value | {"mapping": mapping, "profile": Profile(**value["profile"]), "balances": balances})
+
+
+def job_of(spark: SparkSession, value: dict, blobs: dict[str, bytes]) -> Job:
+    """The job that ``value`` states, its sources parsed from their bytes."""
+    period, sources = Period(*(date.fromisoformat(x) for x in value["period"])), []
+    for s in value["sources"]:
+        parsed = parse(blobs[s["sha256"]], s["filename"], period, _replay_of(s["replay"]))
+        sources.append(Source(s["role"], *frames(spark, parsed), parsed.completeness))
+
+    def table(rows: list[dict], ddl: str):
+        names = [c.split()[0] for c in ddl.split(", ")]
+        return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ddl) if rows else None
+
+    return Job(value["mode"], period, sources, MatchingPolicy(**value["policy"]), table(value["manual_matches"], MANUAL_MATCHES), table(value["decisions"], DECISIONS))
 
 
 def result_value(result: Result) -> dict:
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    return {"state": result.state, "matches": rows(result.matches), "exceptions": rows(result.exceptions), "totals": rows(result.totals)}
+    return _plain({"state": result.state, "matches": rows(result.matches), "exceptions": rows(result.exceptions), "totals": rows(result.totals)})
 
 
-def lock(spark: SparkSession, mode: str, period: Period, files: list[File], locked_at: str, policy: MatchingPolicy | None = None) -> dict:
-    """A manifest of sources and result. The job is run from the bytes themselves, which is what the lock attests."""
-    if not is_whole_second(locked_at):
-        raise IntegrityFailure("a lock needs a whole second in UTC")
-    result = result_value(run(job_of(spark, mode, period, files, policy)))
-    sources = [{"role": f.role, "filename": f.filename, "bytes": len(f.data), "sha256": hashlib.sha256(f.data).hexdigest()} for f in sorted(files, key=lambda f: f.role)]
-    manifest = {"mode": mode, "period": [period.start, period.end], "locked_at": locked_at, "sources": sources, "result": result, "result_sha256": digest(result)}
-    return {"manifest": json.loads(canonical(manifest)), "sha256": digest(json.loads(canonical(manifest)))}
+def sealed(job: dict, result: dict, locked_at: str, blobs: dict[str, bytes]) -> dict:
+    """Manifest, its digests and the bytes it speaks of, each once. Does not run anything: see :func:`lock`."""
+    manifest = {"schema": SCHEMA, "engine": ENGINE, "locked_at": locked_at, "job": job, "result": result}
+    sha = digest(manifest)
+    kept = {k: base64.b64encode(v).decode() for k, v in blobs.items()}
+    return {"id": f"evidence-{sha[:24]}", "manifest": manifest, "sha256": sha, "job_sha256": digest(job), "result_sha256": digest(result), "blobs": kept}
 
 
-def verify(spark: SparkSession, evidence: dict, files: list[File], policy: MatchingPolicy | None = None) -> None:
-    """Raises unless the manifest is whole and the same bytes give the same result again."""
-    manifest = evidence["manifest"]
-    if digest(manifest) != evidence["sha256"] or digest(manifest["result"]) != manifest["result_sha256"]:
+def lock(spark: SparkSession, mode: str, period: Period, files: list[File], locked_at: str, policy: MatchingPolicy | None = None, *, decisions=(), manual_matches=(), job: str = "job", expected: dict | None = None) -> dict:
+    """Evidence of a job: policy, decisions, manual matches, how files are read, their bytes, and the result, which is run from these
+    bytes. ``expected`` is the result that a user saw; another one refuses the lock."""
+    if not is_whole_second(locked_at):
+        raise IntegrityFailure("a lock needs a whole second in UTC")
+    value, blobs = job_value(mode, period, files, policy, decisions, manual_matches, job), {_sha(f.data): f.data for f in files}
+    result = result_value(run(job_of(spark, value, blobs)))
+    if expected is not None and _plain(expected) != result:
+        raise IntegrityFailure("the result is not reproducible")
+    return sealed(value, result, locked_at, blobs)
+
+
+def check(evidence: dict) -> dict[str, bytes]:
+    """Raises unless the evidence agrees with itself; its source bytes by digest. Runs nothing."""
+    m = evidence["manifest"]
+    sums = {"sha256": digest(m), "job_sha256": digest(m["job"]), "result_sha256": digest(m["result"])}
+    if m["schema"] != SCHEMA or m["engine"] != ENGINE or not is_whole_second(m["locked_at"]):
+        raise IntegrityFailure("evidence of another schema or engine")
+    if any(evidence[k] != v for k, v in sums.items()) or evidence["id"] != f"evidence-{sums['sha256'][:24]}":
         raise IntegrityFailure("the manifest was changed")
-    period = Period(*(date.fromisoformat(x) for x in manifest["period"]))
-    again = lock(spark, manifest["mode"], period, files, manifest["locked_at"], policy)
-    if again != evidence:
+    blobs = {k: base64.b64decode(v, validate=True) for k, v in evidence["blobs"].items()}
+    stated = {s["sha256"]: s["bytes"] for s in m["job"]["sources"]}
+    if {k: len(v) for k, v in blobs.items()} != stated or any(_sha(v) != k for k, v in blobs.items()):
+        raise IntegrityFailure("the retained bytes are not those of the manifest")
+    return blobs
+
+
+def verify(spark: SparkSession, evidence: dict, files: list[File] | None = None) -> None:
+    """Raises unless the evidence is whole and its own bytes give its result again; with ``files``, also unless it is about them."""
+    blobs, value = check(evidence), evidence["manifest"]["job"]
+    if files is not None:
+        told = sorted((s["role"], s["filename"], s["sha256"]) for s in value["sources"])
+        if told != sorted((f.role, f.filename, _sha(f.data)) for f in files):
+            raise IntegrityFailure("the evidence is about other files")
+    if result_value(run(job_of(spark, value, blobs))) != evidence["manifest"]["result"]:
         raise IntegrityFailure("the sources do not give this result")

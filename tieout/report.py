@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tieout.evidence import canonical
-from tieout.model import ResourceLimit
+from tieout.model import EntitlementRequired, InvalidConfiguration, ResourceLimit
 
 LINES_PER_PAGE, PDF_BYTES = 52, 32 << 20
 
@@ -17,22 +17,55 @@ LIMITATION = "Supplied files and recorded decisions only; not bank, accounting,
 LINE = 105
 
 
-def rows(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> list[dict[str, str]]:
+def mapping_text(replay: dict) -> str:
+    """How a source was read, in one line."""
+    parts, m, profile = [f"format {replay['format']}", f"parser {replay['parser_version']}"], replay["mapping"], replay["profile"]
+    if m:
+        at = lambda name: "default" if m[name] is None else m[name]
+        parts += [f"date[{m['date']}] amount[{m['amount']}]", f"account[{at('account')}] currency[{at('currency')}]", f"dateOrder {m['date_order']} decimal {m['decimal']}"]
+    else:
+        parts += [f"dateOrder {profile['date_order']} decimal {profile['decimal']}"]
+        parts += [f"{label} {profile[k]}" for label, k in (("defaultAccount", "account"), ("defaultCurrency", "currency")) if profile[k]]
+    if replay["worksheet"]:
+        parts.append(f"worksheet {replay['worksheet']}")
+    if replay["balances"]:
+        parts.append(f"balanceOverrides {len(replay['balances'])}")
+    return "; ".join(parts)
+
+
+def rows(evidence: dict, entity: str, imported_at: dict[str, str] | None = None) -> list[dict[str, str]]:
     """The report line by line: summary, metadata, sources, totals, matches, exceptions, decisions, by the names of ``CELLS``."""
-    m, many = evidence["manifest"], " | ".join
-    out = [{"section": "summary", "type": m["result"]["state"], "details": entity}]
-    facts = {"mode": m["mode"], "period": " to ".join(m["period"]), "lockedAt": m["locked_at"], "evidence": evidence["sha256"], "limitation": LIMITATION}
+    m, many, when = evidence["manifest"], " | ".join, imported_at or {}
+    job, result = m["job"], m["result"]
+    out = [{"section": "summary", "type": result["state"], "details": entity}]
+    facts = {"job": job["id"], "mode": job["mode"], "period": " to ".join(job["period"]), "lockedAt": m["locked_at"], "engineVersion": m["engine"], "limitation": LIMITATION}
     out += [{"section": "metadata", "type": k, "details": v} for k, v in facts.items()]
-    out += [{"section": "source", "type": s["role"], "details": many([s["filename"], s["sha256"], f"{s['bytes']} bytes"])} for s in m["sources"]]
-    out += [{"section": "total", "type": t["kind"], **{k: t[k] for k in ("account", "currency", "left", "right", "difference")}} for t in m["result"]["totals"]]
-    out += [{"section": "match", "type": x["kind"], "left": x["left_locator"], "right": x["right_locator"]} for x in m["result"]["matches"]]
-    out += [{"section": "exception", "type": x["kind"], "left": many(x["left_locators"]), "right": many(x["right_locators"]), "details": x["detail"]} for x in m["result"]["exceptions"]]
-    out += [{"section": "decision", "type": "approved" if d["approved"] else "unresolved", "details": many([d["exception_key"], d["explanation"]])} for d in sorted(decisions, key=lambda d: d["exception_key"])]
+    for s in sorted(job["sources"], key=lambda s: s["filename"]):
+        told = [s["filename"], s["sha256"], f"{s['bytes']} bytes", mapping_text(s["replay"]), when.get(s["source_id"], "not recorded")]
+        out.append({"section": "source", "type": s["role"], "details": many(told)})
+    out += [{"section": "total", "type": t["kind"], **{k: t[k] for k in ("account", "currency", "left", "right", "difference")}} for t in result["totals"]]
+    out += [{"section": "match", "type": x["kind"], "left": x["left_locator"], "right": x["right_locator"]} for x in result["matches"]]
+    out += [{"section": "exception", "type": x["kind"], "left": many(x["left_locators"]), "right": many(x["right_locators"]), "details": x["detail"]} for x in result["exceptions"]]
+    out += [{"section": "decision", "type": "approved" if d["approved"] else "unresolved", "details": many([d["exception_key"], d["explanation"]])} for d in job["decisions"]]
     return out
 
 
-def csv_report(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> str:
-    lines = [dict(zip(CELLS, CELLS, strict=True)), *rows(evidence, entity, decisions)]
+def pack(record: dict, entity: str, imported_at: dict[str, str] | None = None, header: str | None = None, tier: str = "free") -> dict[str, object]:
+    """The reports of a locked revision of the store; a header of one's own needs the tier ``accountant``."""
+    entity, header = entity.strip(), (header or "").strip()
+    if record["state"] != "locked":
+        raise InvalidConfiguration("reports need a locked job")
+    if not entity:
+        raise InvalidConfiguration("reports need the entity's name")
+    if header and tier != "accountant":
+        raise EntitlementRequired("accountant")
+    evidence = record["content"]
+    base = f"reconciliation-{evidence['manifest']['job']['period'][1]}-{evidence['manifest']['job']['id'][:8]}"
+    return {"base": base, "pdf": pdf_report(evidence, entity, imported_at, header), "csv": csv_report(evidence, entity, imported_at), "json": json_report(evidence)}
+
+
+def csv_report(evidence: dict, entity: str, imported_at: dict[str, str] | None = None) -> str:
+    lines = [dict(zip(CELLS, CELLS, strict=True)), *rows(evidence, entity, imported_at)]
     return "".join(",".join(quoted(r.get(c)) for c in CELLS) + "\r\n" for r in lines)
 
 
@@ -40,9 +73,11 @@ def json_report(evidence: dict) -> str:
     return canonical(evidence["manifest"])
 
 
-def pdf_report(evidence: dict, entity: str = "", decisions: list[dict] = ()) -> bytes:
+def pdf_report(evidence: dict, entity: str, imported_at: dict[str, str] | None = None, header: str = "") -> bytes:
     """52 lines a page, long ones wrapped; what is not printable ASCII shows as a question mark."""
-    texts = ["".join(c if " " <= c <= "~" else "?" for c in " ".join(str(r[c]) for c in CELLS if r.get(c) not in (None, ""))) for r in rows(evidence, entity, decisions)]
+    told = [*([header] if header else []), f"Evidence {evidence['id']}", f"Manifest SHA-256 {evidence['sha256']}"]
+    told += [" ".join(str(r[c]) for c in CELLS if r.get(c) not in (None, "")) for r in rows(evidence, entity, imported_at)]
+    texts = ["".join(c if " " <= c <= "~" else "?" for c in t) for t in told]
     lines = [("    " if k else "") + t[k : k + LINE] for t in texts for k in range(0, max(1, len(t)), LINE)]
     pages = [lines[k : k + LINES_PER_PAGE] for k in range(0, len(lines), LINES_PER_PAGE)] or [[]]
     escape = lambda t: t.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)")

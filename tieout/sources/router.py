@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tieout.model import BALANCES, TRANSACTIONS, Period, UnsupportedFormat
+from tieout.plans.reconcile import Source
+from tieout.session import cut, ship_package
 from tieout.sources import bai2, camt, delimited, mt940, ofx, qif, xlsx
 from tieout.sources.detect import detect
 from tieout.sources.records import Limits, Profile, Statement
@@ -32,17 +34,26 @@ class Replay:
     parser_version: int = PARSER_VERSION
 
 
-def parse(data: bytes, filename: str, period: Period, replay: Replay = Replay(), limits: Limits = Limits()) -> Statement:
+def planned(data: bytes, filename: str, replay: Replay = Replay(), limits: Limits = Limits()) -> Replay:
+    """The replay with all that is inferred from the file stated: format, delimiter and columns, worksheet."""
     kind = replay.format or detect(data, filename)
+    if kind in ("csv", "tsv"):
+        delimiter, mapping = (replay.delimiter or ("\t" if kind == "tsv" else ","), replay.mapping) if replay.mapping else delimited.infer_mapping(data, tab=kind == "tsv")
+        return replace(replay, format=kind, delimiter=delimiter, mapping=mapping)
+    if kind == "xlsx":
+        return replace(replay, format=kind, worksheet=replay.worksheet or xlsx.worksheet_names(data, limits)[0], mapping=replay.mapping or delimited.Mapping(0, 1, 2, 3))
+    return replace(replay, format=kind)
+
+
+def parse(data: bytes, filename: str, period: Period, replay: Replay = Replay(), limits: Limits = Limits()) -> Statement:
+    replay = planned(data, filename, replay, limits)
     if replay.parser_version != PARSER_VERSION:
         raise UnsupportedFormat(f"parser version {replay.parser_version}")
-    rest = {"balances": replay.balances, "limits": limits}
+    kind, rest = replay.format, {"balances": replay.balances, "limits": limits}
     if kind in ("csv", "tsv"):
-        delimiter, mapping = (replay.delimiter or ("\t" if kind == "tsv" else ","), replay.mapping) if replay.mapping else delimited.infer_mapping(data, tab=kind == "tsv")
-        return delimited.parse(data, period, mapping, delimiter=delimiter, **rest)
+        return delimited.parse(data, period, replay.mapping, delimiter=replay.delimiter, **rest)
     if kind == "xlsx":
-        name = replay.worksheet or xlsx.worksheet_names(data, limits)[0]
-        return xlsx.parse(data, period, replay.mapping or delimited.Mapping(0, 1, 2, 3), name, **rest)
+        return xlsx.parse(data, period, replay.mapping, replay.worksheet, **rest)
     if kind in ("ofx", "qfx", "qbo"):
         return ofx.parse(data, period, replay.profile, **rest)
     if kind in ("qif", "qmtf"):
@@ -77,5 +88,33 @@ def read_files(spark: SparkSession, path: str, period: Period, replay: Replay =
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: list(r[n].items()) if n == "original_values" else r.get(n) for n in arrow.names} for r in rows], schema=arrow)
 
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select(F.col("path"), F.col("content"))
     return files.mapInArrow(run, schema)
+
+
+def read_source(spark: SparkSession, role: str, path: str, period: Period, replay: Replay = Replay()) -> Source:
+    """All files under ``path`` as one side of a job: rows, balances and completeness, each file parsed once and written as a table.
+
+    With several files, locators carry the file's name (``name#locator``), so they stay unique; rows are numbered within their file.
+    No file or no row gives an empty side that is ``incomplete``; names under ``path`` that occur twice are refused by the engine's own check.
+    """
+    rows, held = StructType.fromDDL(TRANSACTIONS), StructType.fromDDL(BALANCES)
+    schema = StructType().add("file", "string").add("completeness", "string").add("warnings", ArrayType(StringType())).add("rows", ArrayType(rows)).add("held", ArrayType(held))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = at.rpartition("/")[2]
+                s = parse(data, name, period, replay)
+                made = [{n: list(r[n].items()) if n == "original_values" else r.get(n) for n in rows.names} for r in s.transactions]
+                one = {"file": name, "completeness": s.completeness, "warnings": s.warnings, "rows": made, "held": [{n: b.get(n) for n in held.names} for b in s.balances]}
+                yield pa.RecordBatch.from_pylist([one], schema=arrow)
+
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    parsed = cut(files.mapInArrow(run, schema), f"files-{role}")
+    n, complete = parsed.agg(F.count("*"), F.count_if(F.col("completeness") == "complete")).first()
+    own = lambda df: df.withColumn("locator", F.concat_ws("#", "file", "locator")).drop("file") if n > 1 else df.drop("file")
+    return Source(role, own(parsed.select("file", F.inline("rows"))), own(parsed.select("file", F.inline("held"))), "complete" if n and n == complete else "incomplete")
