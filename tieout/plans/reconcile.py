@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,17 +57,19 @@ def _sided(df: DataFrame, kind, locators: Column, detail, left: bool) -> DataFra
 
 
 def _validated(job: Job) -> list[Source]:
-    """Sources in the order of the mode's roles; every check is an action, as a lazy one could be pruned away."""
+    """Sources in the order of the mode's roles, each read once: all that follows starts from their tables in the shared folder.
+    Every check is an action, as a lazy one could be pruned away."""
     roles = MODES.get(job.mode)
     if roles is None or sorted(s.role for s in job.sources) != sorted(roles):
         raise RoleMismatch(f"{job.mode} with {[s.role for s in job.sources]}")
     if job.mode == "singleStatement" and job.manual_matches is not None and job.manual_matches.limit(1).count():
         raise InvalidConfiguration("one statement has nothing to match by hand")
-    for s in job.sources:
+    held = [replace(s, transactions=cut(s.transactions.select(*ROW), f"rows-{s.role}"), balances=cut(s.balances, f"balances-{s.role}")) for s in job.sources]
+    for s in held:
         bad = [r["check"] for r in checks.validation(s.transactions, s.balances, job.period.start, job.period.end).filter("violations <> 0").collect()]
         if bad:
             raise IntegrityFailure(f"{s.role}: {', '.join(bad)}")
-    return sorted(job.sources, key=lambda s: roles.index(s.role))
+    return sorted(held, key=lambda s: roles.index(s.role))
 
 
 def _structural(spark: SparkSession, s: Source, left: bool) -> DataFrame:
@@ -122,7 +124,7 @@ def run(job: Job) -> Result:
     """State, matches, exceptions with fingerprints, and totals. Nothing ambiguous is ever resolved."""
     sources = _validated(job)
     spark = sources[0].transactions.sparkSession
-    rows = [cut(s.transactions.select(*ROW), f"rows-{s.role}") for s in sources]
+    rows = [s.transactions for s in sources]
     single = job.mode == "singleStatement"
     found = []
     for k, (s, df) in enumerate(zip(sources, rows, strict=True)):
@@ -188,18 +190,20 @@ class Tiers:
     def rest2(self) -> tuple[DataFrame, DataFrame]:
         return self._less(self.rest1, self.composite, "rest2")
 
-    def _texts(self, rest: DataFrame, whole: DataFrame) -> DataFrame:
-        """What is left with the text to compare; only texts beyond ASCII go through Python."""
+    def _texts(self, side: str) -> DataFrame:
+        """What is left of a side with the text to compare; only texts beyond ASCII go through Python, and where there are none no
+        worker starts."""
         parts = ("reference", "description", "payee", "memo")
-        full = rest.drop("reference").join(whole.select("locator", *parts), "locator")
+        whole = (self.left if side == "left" else self.right).select("locator", *parts)
         plain = F.concat_ws("", *parts).rlike(r"\A[\x00-\x7F]*\z")
-        made = [df.withColumn("text", C.comparison_text(*(F.col(n) for n in parts), self.policy.maximum_text_scalars, ascii_only=k)) for k, df in ((True, full.filter(plain)), (False, full.filter(~plain)))]
-        return made[0].unionByName(made[1])
+        full = cut(self.rest2[side == "right"].drop("reference").join(whole, "locator").withColumn("plain", plain), f"texts-{side}")
+        folded = [True, False] if full.filter(~F.col("plain")).limit(1).count() else [True]
+        made = [full.filter(F.col("plain") == k).withColumn("text", C.comparison_text(*(F.col(n) for n in parts), self.policy.maximum_text_scalars, ascii_only=k)) for k in folded]
+        return reduce(DataFrame.unionByName, made)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        sides = [self._texts(df, whole) for df, whole in zip(self.rest2, (self.left, self.right), strict=True)]
-        found = cut(matching.fuzzy_candidates(*sides, self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
+        found = cut(matching.fuzzy_candidates(self._texts("left"), self._texts("right"), self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
         if found.limit(self.policy.maximum_fuzzy_candidate_pairs + 1).count() > self.policy.maximum_fuzzy_candidate_pairs:
             raise ResourceLimit("fuzzy candidate pairs")
         return found
@@ -275,8 +279,8 @@ class Tiers:
 
 
 def _bound(exceptions: DataFrame, rows: list[DataFrame]) -> DataFrame:
-    """Exceptions with the fingerprints of the rows they name; balances have none."""
-    tagged = exceptions.withColumn("n", F.sha2(F.to_json(F.struct("kind", "left_locators", "right_locators", "detail")), 256))
+    """Exceptions with the fingerprints of the rows they name; balances have none. Three readers meet here, so what was found is cut first."""
+    tagged = cut(exceptions, "found").withColumn("n", F.sha2(F.to_json(F.struct("kind", "left_locators", "right_locators", "detail")), 256))
     parts = []
     for k, (df, letter) in enumerate(zip(rows, "LR")):
         prints = df.select(F.col("locator").alias("at"), C.fingerprint({n: df[n] for n in ROW}).alias("print"))
