@@ -282,7 +282,9 @@ def _components(docs: DataFrame, profile: DataFrame, threshold: int, size: int,
     every = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     company = written(every.join(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"), "neardup-company")
     nodes = company.select("id").distinct()
-    own = _own_counts(with_ids(base, nodes, "id", "left_semi"), size)
+    # an id that several sets share has no bound: the shingles of its own are those of all its texts
+    several = reps.groupBy("id").agg(F.count("*").alias("sets")).filter("sets > 1").select("id")
+    own = _own_counts(with_ids(base, nodes, "id", "left_semi"), size).join(several, "id", "left_anti")
     able = company.join(own, "id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("own", F.lit(0))).filter(f"100 * shared >= {threshold} * n_shingles")
     able = written(able.select("id", "n_shingles", "shared", "band", "key"), "neardup-able")
     verifier = _Verifier(base, reps, threshold, miss_probability, size)
