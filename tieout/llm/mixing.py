@@ -17,7 +17,7 @@ from fractions import Fraction
 from heapq import merge
 from itertools import count, islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieout.llm import ordering
@@ -120,13 +120,17 @@ def schedule(spark: SparkSession, due: list[tuple]) -> DataFrame:
     return ranked.filter("rank < due").select("__mx_src", "rank", "slot").unionByName(spark.createDataFrame(late, kind))
 
 
+def _digest(text_column: str) -> Column:
+    return F.crc32(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")))
+
+
 def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
     return written(
         docs.select(
             F.col(f"`{id_column}`").alias("id"),
             ordering.stratum(source_column).alias("__mx_src"),
             F.coalesce(F.regexp_count(F.col(f"`{text_column}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.crc32(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))).alias("digest"),
+            _digest(text_column).alias("digest"),
         ),
         "mix-sizes",
     )
@@ -146,8 +150,8 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, b
     """The mixed stream: ``(pieces, documents)``.
 
     ``pieces``: one row for each part of a document that a slot takes: ``slot``, ``epoch``, ``__mx_src``, ``at`` (position of the
-    document in its source), ``id``, ``size``, ``first`` (word within the document) and ``words``. ``documents``: one row per input row
-    with ``id``, ``size``, ``__mx_src``, ``at``, ``source_size`` and ``target``. Both join on (``__mx_src``, ``at``, ``id``, ``size``).
+    document in its source), ``id``, ``size``, ``digest`` (checksum of the text), ``first`` (word within the document) and ``words``.
+    ``documents``: one row per input row with ``id``, ``size``, ``digest``, ``__mx_src``, ``at``, ``source_size`` and ``target``. Both join on (``__mx_src``, ``at``, ``id``, ``size``).
 
     Sizes are words. Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in
     order. Null and repeated ids are kept; rows that are equal in id, source and size are interchangeable. Other columns
@@ -167,7 +171,7 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, b
         keyed.withColumn("__mx_w", F.coalesce(F.sum("size").over(so_far), F.lit(0)))
         .join(offsets, ["__mx_src", "__mx_b"])
         .join(facts, "__mx_src")
-        .select("id", "size", "__mx_src", (F.col("__mx_off") + F.col("__mx_w")).alias("at"), "source_size", "target", "blocks", "due")
+        .select("id", "size", "digest", "__mx_src", (F.col("__mx_off") + F.col("__mx_w")).alias("at"), "source_size", "target", "blocks", "due")
     )
     documents = written(documents, "mix-places")
 
@@ -177,24 +181,28 @@ def mixture(docs: DataFrame, *, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, b
         .withColumn("block", F.explode(F.expr("sequence(((at + 1) * blocks - 1) div source_size, ((at + size) * blocks - 1) div source_size)")))
         .withColumn("from", F.expr("greatest(at, block * source_size div blocks)"))
         .withColumn("to", F.expr("least(at + size, (block + 1) * source_size div blocks)"))
-        .select("__mx_src", "block", "at", "id", "size", (F.col("from") - F.col("at")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
+        .select("__mx_src", "block", "at", "id", "size", "digest", (F.col("from") - F.col("at")).alias("first"), (F.col("to") - F.col("from")).alias("words"))
     )
     turns = schedule(spark, [(s, due[s]) for s in order]).join(facts.select("__mx_src", "blocks"), "__mx_src").select("__mx_src", "slot", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("epoch"))
-    return turns.join(pieces, ["__mx_src", "block"]).select("slot", "epoch", "__mx_src", "at", "id", "size", "first", "words"), documents
+    return turns.join(pieces, ["__mx_src", "block"]).select("slot", "epoch", "__mx_src", "at", "id", "size", "digest", "first", "words"), documents
 
 
-def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """``docs`` with a row for each epoch in which the mix takes at least half of the document's words; the others go.
 
-    Rows are found again by their ids: rows that share an id (or have none) get as many copies as epochs take any of them.
+    Rows are found again by source, id and the text's checksum, so rows that share only an id, or have none, go or stay each by their
+    own text; rows that are equal in all three get as many copies each as epochs take any of them.
     Documents without words (null, empty, white space) have nothing to take and go. Very long texts are one row as any other.
     A null source is a source of its own. Ties and repeated rows are kept apart by the order of :func:`mixture`. Columns may have
     any name. An empty table gives an empty result.
     """
-    pieces, _ = mixture(docs, id_column=id_column, source_column=source_column, **options)
-    own, times, turn = ordering.spare(docs.columns, "__mx_own", "__mx_times", "__mx_turn")
-    epochs = pieces.groupBy("__mx_src", "at", "id", "size", "epoch").agg(F.sum("words").alias("w")).filter("2 * w >= size").groupBy(F.col("id").alias(own)).agg(F.count_distinct("epoch").cast("int").alias(times))
-    joined = docs.join(epochs, docs[f"`{id_column}`"].eqNullSafe(epochs[own]))
+    pieces, _ = mixture(docs, id_column=id_column, text_column=text_column, source_column=source_column, **options)
+    times, turn = ordering.spare(docs.columns, "__mx_times", "__mx_turn")
+    epochs = pieces.groupBy("__mx_src", "at", "id", "size", "digest", "epoch").agg(F.sum("words").alias("w")).filter("2 * w >= size")
+    epochs = epochs.groupBy("__mx_src", "id", "digest").agg(F.count_distinct("epoch").cast("int").alias(times))
+    source, own, digest = ordering.spare([*docs.columns, times, turn], "__mx_source", "__mx_own", "__mx_digest")
+    epochs = epochs.select(F.col("__mx_src").alias(source), F.col("id").alias(own), F.col("digest").alias(digest), times)
+    joined = docs.join(epochs, (ordering.stratum(source_column) == F.col(source)) & F.col(f"`{id_column}`").eqNullSafe(F.col(own)) & (_digest(text_column) == F.col(digest)))
     return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
