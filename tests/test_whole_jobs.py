@@ -42,6 +42,6 @@ def alike(made):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["ambiguous_fuzzy", "match_fuzzy"])
+@pytest.mark.parametrize("name", ["ambiguous_fuzzy", "match_fuzzy", "fuzzy_candidates"])
 def test_more_pairs_than_a_policy_allows(spark, alike, name):
     assert _check(spark, *alike, name) > 0
