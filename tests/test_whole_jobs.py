@@ -9,6 +9,8 @@ from tieout.plans import catalogue
 
 #: 600 orders of one account, day and amount: over 100 000 pairs of texts alike
 ALIKE = """select (2 + 4*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, 1234.5::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(600) r(i)"""
+#: 40 orders of one account and day that match nothing: over a million combinations each way, some of which sum up
+SUMS = """select (14 + 28*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, (i+1)::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(40) r(i)"""
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +47,38 @@ def alike(made):
 @pytest.mark.parametrize("name", ["ambiguous_fuzzy", "match_fuzzy", "fuzzy_candidates"])
 def test_more_pairs_than_a_policy_allows(spark, alike, name):
     assert _check(spark, *alike, name) > 0
+
+
+@pytest.fixture(scope="module")
+def sums(made):
+    folder, duck = made(SUMS)
+    assert duck.sql(catalogue.ORACLE_SQL["split_merge_budget"]).fetchall()[0][0] > catalogue.POLICY.maximum_split_merge_evaluations
+    return folder, duck
+
+
+@pytest.mark.parametrize("name", ["split_merge"])
+def test_more_combinations_than_a_policy_allows(spark, sums, name):
+    assert _check(spark, *sums, name) > 0
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 5, 6])
+def test_halves_make_every_combination(spark, size):
+    """Sums of up to ``size``, also of equal amounts, zeros and negative ones."""
+    import itertools
+    from datetime import date
+
+    from tieout.operators.matching import split_merge
+
+    amounts = [1, 1, 2, 3, 0, -1, -2, -4, 0, 5, 2]
+    left = [("s1", 7), ("s2", -5), ("s3", 14), ("s4", 0)]
+    right = [(f"c{k:02d}", a) for k, a in enumerate(amounts)]
+    want = set()
+    for singles, components, flip in ((left, right, False), (right, left, True)):
+        for s, whole in singles:
+            near = [c for c in components if whole and (c[1] > 0) == (whole > 0)]
+            for k in range(2, size + 1):
+                made = [sorted(x[0] for x in c) for c in itertools.combinations(near, k) if sum(x[1] for x in c) == whole]
+                want |= {(tuple(m), (s,)) if flip else ((s,), tuple(m)) for m in made}
+    tables = [spark.createDataFrame([(n, "A", "USD", date(2026, 1, 5), a) for n, a in side], "locator string, account string, currency string, booking_date date, amount long") for side in (left, right)]
+    found = [(tuple(r[0]), tuple(r[1])) for r in split_merge(*tables, 3, size).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
