@@ -7,10 +7,12 @@ import pytest
 
 from tieout.plans import catalogue
 
-#: 600 orders of one account, day and amount: over 100 000 pairs of texts alike
-ALIKE = """select (2 + 4*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, 1234.5::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(600) r(i)"""
-#: 40 orders of one account and day that match nothing: over a million combinations each way, some of which sum up
-SUMS = """select (14 + 28*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, (i+1)::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(40) r(i)"""
+#: 600 orders of one account, day and amount: over 100 000 pairs of texts alike; and one that the ledger has in another account
+ALIKE = """select (2 + 4*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, 1234.5::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(600) r(i)
+ union all select 92, 1, 'O', 99.5, timestamp '1996-05-01', '1-URGENT'"""
+#: 40 orders of one account and day that match nothing: over a million combinations each way, some of which sum up; and one on its own
+SUMS = """select (14 + 28*i)::bigint o_orderkey, 1::bigint o_custkey, 'O' o_orderstatus, (i+1)::double o_totalprice, timestamp '1996-05-01' o_orderdate, '1-URGENT' o_orderpriority from range(40) r(i)
+ union all select 34, 1, 'O', 7.5, timestamp '1997-05-01', '1-URGENT'"""
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +58,7 @@ def sums(made):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["split_merge"])
+@pytest.mark.parametrize("name", ["split_merge", "exception_keys"])
 def test_more_combinations_than_a_policy_allows(spark, sums, name):
     assert _check(spark, *sums, name) > 0
 
