@@ -46,7 +46,7 @@ def alike(made):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["ambiguous_fuzzy", "match_fuzzy", "fuzzy_candidates", "split_merge_budget", "cross_partition_ids"])
+@pytest.mark.parametrize("name", ["ambiguous_fuzzy", "match_fuzzy", "fuzzy_candidates", "split_merge_budget", "cross_partition_ids", "mutations"])
 def test_more_pairs_than_a_policy_allows(spark, alike, name):
     assert _check(spark, *alike, name) > 0
 
