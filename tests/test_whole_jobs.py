@@ -58,7 +58,7 @@ def sums(made):
     return folder, duck
 
 
-@pytest.mark.parametrize("name", ["split_merge", "exception_keys", "reconcile_summary", "comparison_rows", "exceptions_summary", "missing_rows", "report_rows", "result_state"])
+@pytest.mark.parametrize("name", ["split_merge", "exception_keys", "reconcile_summary", "comparison_rows", "exceptions_summary", "missing_rows", "report_rows", "result_state", "unexpected_rows"])
 def test_more_combinations_than_a_policy_allows(spark, sums, name):
     assert _check(spark, *sums, name) > 0
 
