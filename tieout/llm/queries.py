@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, kneser_ney, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
+from tieout.llm import decontaminate, kneser_ney, linededup, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,5 +35,6 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_webp": shipped(webp.op9_webp),
     "op10_toxicity": shipped(toxicity.op10_toxicity),
+    "op11_line_dedup": linededup.op11_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": linededup.ORACLE_SQL}
