@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieout.llm import decontaminate, kneser_ney, linededup, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
+from tieout.llm import decontaminate, divergence, hardnegatives, kneser_ney, linededup, mixing, neardup, pii, quality, sharding, tokenstore, toxicity, webp
 from tieout.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,5 +36,7 @@ QUERIES: dict[str, Query] = {
     "op9_webp": shipped(webp.op9_webp),
     "op10_toxicity": shipped(toxicity.op10_toxicity),
     "op11_line_dedup": linededup.op11_line_dedup,
+    "op12_hard_negatives": shipped(hardnegatives.op12_hard_negatives),
+    "op13_divergence": shipped(divergence.op13_divergence),
 }
-ORACLE_SQL: dict[str, str] = {"op11_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": linededup.ORACLE_SQL, "op12_hard_negatives": hardnegatives.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
