@@ -10,7 +10,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql.types import StructType
 
-from tieout.model import BALANCES, TRANSACTIONS, IntegrityFailure, InvalidConfiguration, MatchingPolicy, Period, ResourceLimit, RoleMismatch
+from tieout.model import BALANCES, TRANSACTIONS, IntegrityFailure, InvalidConfiguration, MatchingPolicy, Period, PeriodViolation, ResourceLimit, RoleMismatch
 from tieout.plans.reconcile import Job, Source, run, with_keys
 
 PERIOD = Period(date(2026, 1, 1), date(2026, 1, 31))
@@ -128,7 +128,7 @@ def test_refusals(spark):
         run(Job("singleStatement", PERIOD, [source(spark, "bank", []), source(spark, "ledger", [])]))
     with pytest.raises(IntegrityFailure):
         pair(spark, [row("L1", 1, 1), row("L1", 1, 1)], [])
-    with pytest.raises(IntegrityFailure):
+    with pytest.raises(PeriodViolation):
         pair(spark, [{**row("L1", 1, 1), "booking_date": date(2026, 2, 1)}], [])
     with pytest.raises(InvalidConfiguration):
         MatchingPolicy(maximum_date_distance_days=32)

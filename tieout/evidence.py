@@ -93,7 +93,7 @@ def job_of(spark: SparkSession, value: dict, blobs: dict[str, bytes]) -> Job:
     period, sources = Period(*(date.fromisoformat(x) for x in value["period"])), []
     for s in value["sources"]:
         parsed = parse(blobs[s["sha256"]], s["filename"], period, _replay_of(s["replay"]))
-        sources.append(Source(s["role"], *frames(spark, parsed), parsed.completeness))
+        sources.append(Source(s["role"], *frames(spark, parsed), parsed.completeness, source_ids=(s["source_id"],), period=period))
 
     def table(rows: list[dict], ddl: str):
         names = [c.split()[0] for c in ddl.split(", ")]

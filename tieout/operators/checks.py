@@ -117,16 +117,28 @@ def balance_comparison(left: DataFrame, right: DataFrame) -> DataFrame:
     return j.withColumn("outcome", F.when(several, "periodGapOrOverlap").when(differ, "balanceDifference")).filter("outcome is not null")
 
 
-def validation(rows: DataFrame, balances: DataFrame, start: date, end: date, source_id: str | None = None) -> DataFrame:
-    """``check`` and ``violations``; all must be 0. One aggregate over each table."""
+#: What lies outside the period is a violation of it; every other check is one of integrity.
+PERIOD_CHECKS = ("rows_in_period", "balances_in_period")
+
+
+def validation(rows: DataFrame, balances: DataFrame, start: date, end: date, source_ids: tuple[str, ...] | None = None) -> DataFrame:
+    """``check`` and ``violations``; all must be 0. One aggregate over each table.
+
+    Rows must name one of ``source_ids``, or, where these are not known, all the same source.
+    """
     inside = lambda c: F.col(c).between(F.lit(start), F.lit(end))
     row_checks = {
-        "locators_unique": F.count("*") - F.count_distinct("locator"), "ordinals_unique": F.count("*") - F.count_distinct("source_ordinal"), "rows_in_period": F.count_if(~inside("booking_date")),
+        "locators_unique": F.count("*") - F.count_distinct("locator"), "ordinals_unique": F.count("*") - F.count_distinct("source_ordinal"), "rows_in_period": F.count_if(~F.coalesce(inside("booking_date"), F.lit(False))),
         "locators_not_blank": F.count_if(C.cleaned(F.col("locator")).isNull()), "accounts_not_blank": F.count_if(C.cleaned(F.col("account")).isNull()), "ordinals_not_negative": F.count_if(F.col("source_ordinal") < 0),
     }
-    if source_id is not None:
-        row_checks["source_ids_equal"] = F.count_if(~F.col("source_id").eqNullSafe(F.lit(source_id)))
-    balance_checks = {"balance_locators_unique": F.count("*") - F.count_distinct("locator"), "balances_in_period": F.count_if(~inside("date"))}
+    if source_ids is not None:
+        row_checks["source_ids_known"] = F.count_if(F.col("source_id").isNull() | ~F.col("source_id").isin(*source_ids))
+    else:
+        row_checks["source_ids_equal"] = F.greatest(F.count_distinct("source_id") - 1, F.lit(0)) + F.count_if(F.col("source_id").isNull())
+    balance_checks = {
+        "balance_locators_unique": F.count("*") - F.count_distinct("locator"), "balances_in_period": F.count_if(~F.coalesce(inside("date"), F.lit(False))),
+        "balance_accounts_not_blank": F.count_if(C.cleaned(F.col("account")).isNull()), "balance_locators_not_blank": F.count_if(C.cleaned(F.col("locator")).isNull()),
+    }
     out = None
     for df, checks in ((rows, row_checks), (balances, balance_checks)):
         wide = df.agg(*[c.cast("long").alias(k) for k, c in checks.items()])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
 from tieout.model import BALANCES, MatchingPolicy, Period
-from tieout.operators import checks, matching
+from tieout.operators import checks, matching, sums
 from tieout.plans import derive, reconcile
 
 DAYS, PERMILLE, TEXT, GROUP = 3, 850, 256, 4
@@ -118,16 +119,18 @@ _CASCADE = [
     ("bcmp", """select part, kind, coalesce(ln,0)>1 or coalesce(rn,0)>1 several, ll, rl from (select coalesce(a.account,b.account)||'|'||coalesce(a.currency,b.currency) part, coalesce(a.kind,b.kind) kind, a.n ln, b.n rn, a.amount la, b.amount ra, a.d ld, b.d rd, a.l ll, b.l rl from
  (select account, currency, kind, count(*) n, min(amount) amount, min(date) d, list(locator order by locator) l from balances group by all) a full join (select account, currency, kind, count(*) n, min(amount) amount, min(date) d, list(locator order by locator) l from other_balances group by all) b
  on a.account=b.account and a.currency=b.currency and a.kind=b.kind) where coalesce(ln,0)>1 or coalesce(rn,0)>1 or la is distinct from ra or ld is distinct from rd"""),
+    ("sa", """select account, currency, strong_id, list(locator order by locator) filter (s='l') ls, list(locator order by locator) filter (s='r') rs from (select 'l' s, locator, account, currency, strong_id from l0
+ union all select 'r', locator, account, currency, strong_id from r0) x join (select account, currency, strong_id from sk where n_l>1 or n_r>1) k using (account, currency, strong_id) group by all"""),
+    ("ca", """select account, currency, booking_date, amount, reference, list(locator order by locator) filter (s='l') ls, list(locator order by locator) filter (s='r') rs from
+ (select 'l' s, locator, account, currency, booking_date, amount, reference from l1 union all select 'r', locator, account, currency, booking_date, amount, reference from r1) x
+ join (select account, currency, booking_date, amount, reference from ck where n_l>1 or n_r>1) k using (account, currency, booking_date, amount, reference) group by all"""),
     ("ex", """select case side when 'l' then 'duplicateInLeft' else 'duplicateInRight' end kind, case side when 'l' then string_split(locators, ',') else [] end ls, case side when 'r' then string_split(locators, ',') else [] end rs, detail from dup
  union all select 'runningBalanceBreak', list_sort(list_append(list(w.locator), b.anchor)), [], b.account||'|'||b.currency||': expected '||b.expected||', found '||b.found from breaks b join walk w using (account, currency, isl) group by b.account, b.currency, b.isl, b.anchor, b.expected, b.found
  union all select case reason when 'sum' then 'balanceDifference' else 'periodGapOrOverlap' end, case when reason<>'count' and side='l' then list_sort([ol, cl]) else [] end, case when reason<>'count' and side='r' then list_sort([ol, cl]) else [] end,
  part||case reason when 'count' then ': expected exactly one opening and one closing balance' when 'dates' then ': balance dates do not bound the selected period' else ': opening '||o||' + activity '||activity||' = '||(o+activity)||', not '||c end from arith where reason is not null
  union all select case when several then 'periodGapOrOverlap' else 'balanceDifference' end, case when several then [] else coalesce(ll, []) end, case when several then [] else coalesce(rl, []) end, case when several then 'Multiple balance markers for ' else 'Balance amount or date differs for ' end||part||' '||kind from bcmp
- union all select 'ambiguousCandidate', (select list(locator order by locator) from l0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id), (select list(locator order by locator) from r0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id),
- 'Strong identifier has multiple candidates: '||account||'|'||currency||' strong-id['||strlen(strong_id)||']' from sk where n_l>1 or n_r>1
- union all select 'ambiguousCandidate', (select list(locator order by locator) from l1 x where x.account=ck.account and x.currency=ck.currency and x.booking_date=ck.booking_date and x.amount=ck.amount and x.reference=ck.reference),
- (select list(locator order by locator) from r1 x where x.account=ck.account and x.currency=ck.currency and x.booking_date=ck.booking_date and x.amount=ck.amount and x.reference=ck.reference),
- 'Composite identity has multiple candidates: '||account||'|'||currency||' '||booking_date||' '||amount||' reference['||strlen(reference)||']' from ck where n_l>1 or n_r>1
+ union all select 'ambiguousCandidate', ls, rs, 'Strong identifier has multiple candidates: '||account||'|'||currency||' strong-id['||strlen(strong_id)||']' from sa
+ union all select 'ambiguousCandidate', ls, rs, 'Composite identity has multiple candidates: '||account||'|'||currency||' '||booking_date||' '||amount||' reference['||strlen(reference)||']' from ca
  union all select 'ambiguousCandidate', [l], list(r order by r), 'Fuzzy candidates tie at '||min(permille)||'/1000 similarity and '||min(days)||' day distance' from fr where lr=1 and lt>1 group by l
  union all select 'ambiguousCandidate', list(l order by l), [r], 'Fuzzy candidates tie at '||min(permille)||'/1000 similarity and '||min(days)||' day distance' from fr where rr=1 and rt>1 group by r
  union all select what.kind, [l], [r], what.detail from mut
@@ -135,9 +138,9 @@ _CASCADE = [
  union all select 'currencyOrAccountMismatch', string_split(left_locators, ','), string_split(right_locators, ','), 'Strong identifier appears only in different account/currency partitions: '||strong_id from xp
  union all select 'missingFromLedger', [locator], [], 'No deterministic counterpart' from miss union all select 'unexpectedLedgerItem', [], [locator], 'No deterministic counterpart' from unexp"""),
     ("prints", "select 'L' side, locator, sha256(%s) fp from (select *, 'source-bank_rb' source_id from bank_rb) union all select 'R', locator, sha256(%s) from (select *, null running_balance, 'source-ledger' source_id from ledger)"),
-    ("exid", "select md5(kind||'|'||array_to_string(ls, ',')||'|'||array_to_string(rs, ',')||'|'||detail) id, * from ex"),
-    ("exfp", """select id, string_agg(x, ',' order by x) fps from (select id, n.side||':'||n.locator||':'||fp x from (select distinct id, 'L' side, unnest(ls) locator from exid union all select distinct id, 'R', unnest(rs) from exid) n
- join prints p on p.side=n.side and p.locator=n.locator) group by id"""),
+    ("exid", "select md5(kind||'|'||array_to_string(ls, ',')||'|'||array_to_string(rs, ',')||'|'||detail) id, kind, ls, rs, detail from ex"),
+    ("named", "select id, 'L' side, unnest(ls) locator from exid union select id, 'R', unnest(rs) from exid"),
+    ("exfp", "select id, string_agg(side||':'||locator||':'||fp, ',' order by side||':'||locator||':'||fp) fps from named join prints using (side, locator) group by id"),
     ("exk", """select kind, array_to_string(ls, ',') left_locators, array_to_string(rs, ',') right_locators, ls, rs, detail, sha256(kind||'|'||array_to_string(ls, ',')||'|'||array_to_string(rs, ',')||'|'||coalesce(fps, '')||'|'||detail) exception_key from exid left join exfp using (id)"""),
 ]
 
@@ -187,8 +190,7 @@ for _name, _tier in (("match_strong", "strong"), ("match_composite", "composite"
     _register(_name, f"select l left_locator, r right_locator from {_tier}")(_pairs(_tier))
 
 
-@_register("ambiguous_strong", """select account, currency, strong_id, (select string_agg(locator, ',' order by locator) from l0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) left_locators,
- (select string_agg(locator, ',' order by locator) from r0 x where x.account=sk.account and x.currency=sk.currency and x.strong_id=sk.strong_id) right_locators from sk where n_l>1 or n_r>1""")
+@_register("ambiguous_strong", "select account, currency, strong_id, array_to_string(ls, ',') left_locators, array_to_string(rs, ',') right_locators from sa")
 def ambiguous_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiers(spark, sf_dir).ambiguous("strong").select("account", "currency", "strong_id", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"))
 
@@ -275,12 +277,45 @@ def balance_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.balance_comparison(*(derive.spark_view(spark, sf_dir, n) for n in ("balances", "other_balances"))).select("account", "currency", "kind", "outcome")
 
 
-@_register("validation_report", """select 'locators_unique' "check", count(*)-count(distinct locator) violations from bank union all select 'ordinals_unique', count(*)-count(distinct source_ordinal) from bank
- union all select 'rows_in_period', count(*) filter (booking_date not between date '1995-01-01' and date '2001-12-31') from bank union all select 'locators_not_blank', count(*) filter (trim(locator)='') from bank
- union all select 'accounts_not_blank', count(*) filter (trim(account)='') from bank union all select 'ordinals_not_negative', count(*) filter (source_ordinal<0) from bank
- union all select 'balance_locators_unique', count(*)-count(distinct locator) from balances union all select 'balances_in_period', count(*) filter (date not between date '1995-01-01' and date '2001-12-31') from balances""")
+_FAULTY = (
+    ("b", """select *, case when source_ordinal%10=0 then '' else locator end loc, case when source_ordinal%500=6 then -source_ordinal else source_ordinal end so from bank"""),
+    ("c", """select *, case when kind='opening' and account like '%3' then ' ' else locator end loc from balances"""),
+)
+
+
+@_register("validation_report", derive.duck_ctes(*_FAULTY) + """select 'locators_unique' "check", count(*)-count(distinct loc) violations from b union all select 'ordinals_unique', count(*)-count(distinct so) from b
+ union all select 'rows_in_period', count(*) filter (booking_date not between date '1995-01-01' and date '1999-12-31') from b union all select 'locators_not_blank', count(*) filter (loc='') from b
+ union all select 'accounts_not_blank', count(*) filter (source_ordinal%50=4) from b union all select 'ordinals_not_negative', count(*) filter (so<0) from b
+ union all select 'balance_locators_unique', count(*)-count(distinct loc) from c union all select 'balances_in_period', count(*) filter (date not between date '1995-01-01' and date '1999-12-31') from balances
+ union all select 'source_ids_known', count(*) filter (source_ordinal%1000=0) from bank union all select 'balance_accounts_not_blank', count(*) filter (account like '%7') from balances
+ union all select 'balance_locators_not_blank', count(*) filter (kind='opening' and account like '%3') from balances""", cascade=False)
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.validation(*(derive.spark_view(spark, sf_dir, n) for n in ("bank", "balances")), derive.START, derive.END)
+    """Both tables with planted faults: a shorter period, rows of a file that is not the side's, and blank accounts, locators and balances."""
+    rows, balances = derive.spark_view(spark, sf_dir, "bank"), derive.spark_view(spark, sf_dir, "balances")
+    ordinal, account = F.col("source_ordinal"), F.col("account")
+    rows = rows.select(
+        F.when(ordinal % 10 == 0, "\u2003").otherwise(F.col("locator")).alias("locator"), F.when(ordinal % 50 == 4, "").otherwise(account).alias("account"),
+        F.when(ordinal % 500 == 6, -ordinal).otherwise(ordinal).alias("source_ordinal"), "booking_date", F.when(ordinal % 1000 == 0, "source-other").otherwise(F.when(ordinal % 3 == 0, "source-a").otherwise("source-b")).alias("source_id"),
+    )
+    balances = balances.select("date", F.when(account.endswith("7"), "\t").otherwise(account).alias("account"), F.when((F.col("kind") == "opening") & account.endswith("3"), " ").otherwise(F.col("locator")).alias("locator"))
+    return checks.validation(rows, balances, derive.START, date(1999, 12, 31), ("source-a", "source-b"))
+
+
+@_register("checked_sums", """with x as (select 'C'||o_custkey account, case o_custkey%3 when 0 then 'USD' when 1 then 'EUR' else 'GBP' end currency, o_orderkey k,
+ cast((cast(round(o_totalprice*100) as bigint) * 1000000000::hugeint * case when o_orderkey%3=0 then -1 else 1 end) as decimal(38,6)) + case when o_orderkey%16=0 then 0.25 when o_orderkey%16=1 then 0.5 else 0 end a from orders),
+ p as (select *, cast(sum(a) over (partition by account, currency order by k rows unbounded preceding) as decimal(38,6)) s from x),
+ sc as (select *, greatest(case when a%1=0 then 0 when (a*10)%1=0 then 1 else 2 end, case when (s-a)%1=0 then 0 when ((s-a)*10)%1=0 then 1 else 2 end) t from p),
+ o as (select *, greatest(abs(a), abs(s-a), abs(s)) > case t when 0 then 9223372036854775807 when 1 then 922337203685477580.7 else 92233720368547758.07 end bad from sc)
+ select account, currency, cast(arg_max(s, k)*100 as hugeint)::varchar total_hundredths, cast(min(s)*100 as hugeint)::varchar least_hundredths, cast(max(s)*100 as hugeint)::varchar greatest_hundredths, bool_or(bad) overflows from o group by all""", cascade=False)
+def checked_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of each account in the order of its orders, large enough that a prefix of some leaves 64 bits: by its size, or by the scale of one amount."""
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint").cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)")
+    amount = (F.when(k % 3 == 0, -cents).otherwise(cents).cast("decimal(31,6)") + F.when(k % 16 == 0, F.lit("0.25")).when(k % 16 == 1, F.lit("0.5")).otherwise(F.lit("0")).cast("decimal(31,6)")).cast("decimal(31,6)")
+    c = F.col("o_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("C"), c.cast("string")).alias("account"), F.when(c % 3 == 0, "USD").when(c % 3 == 1, "EUR").otherwise("GBP").alias("currency"), k.alias("source_ordinal"), amount.alias("amount"))
+    hundredths = lambda n: (F.col(n) * 100).cast("decimal(38,0)").cast("string").alias(f"{n}_hundredths")
+    return sums.checked_sums(rows, chunk=4096).select("account", "currency", hundredths("total"), hundredths("least"), hundredths("greatest"), "overflows")
 
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,5 +51,6 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def duck_ctes(*more: tuple[str, str]) -> str:
-    ctes = [f"{n} as ({q})" for n, q in [*VIEWS.items(), *more]]
+    """The views and further ones, each made once however often it is read."""
+    ctes = [f"{n} as materialized ({q})" for n, q in [*VIEWS.items(), *more]]
     return "with " + ",\n".join(ctes).replace("{div}", "//") + "\n"

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
-from tieout.model import DECISIONS, INCONCLUSIVE_KINDS, MANUAL_MATCHES, MATCHES, MODES, IntegrityFailure, InvalidConfiguration, MatchingPolicy, Period, ResourceLimit, RoleMismatch
-from tieout.operators import checks, matching
+from tieout.model import DECISIONS, INCONCLUSIVE_KINDS, MANUAL_MATCHES, MATCHES, MODES, ArithmeticOverflow, IntegrityFailure, MatchingPolicy, Period, PeriodViolation, ResourceLimit, RoleMismatch
+from tieout.operators import checks, matching, sums
 from tieout.session import cut
 
 ROW = ("source_id", "locator", "source_ordinal", "account", "currency", "booking_date", "value_date", "amount", "running_balance", "strong_id", "reference", "payee", "description", "memo", "transaction_code", "cleared_status", "category", "original_values", "derived_fields")
@@ -25,6 +25,10 @@ class Source:
     balances: DataFrame
     completeness: str = "complete"
     invalid_locators: tuple = ()
+    #: the files that its rows may come from; None: one, whichever it is
+    source_ids: tuple[str, ...] | None = None
+    #: what it was parsed for; None: not stated
+    period: Period | None = None
 
 
 @dataclass
@@ -64,13 +68,22 @@ def _validated(job: Job) -> list[Source]:
     roles = MODES.get(job.mode)
     if roles is None or sorted(s.role for s in job.sources) != sorted(roles):
         raise RoleMismatch(f"{job.mode} with {[s.role for s in job.sources]}")
+    for s in job.sources:
+        if s.period is not None and s.period != job.period:
+            raise PeriodViolation(f"{s.role} was read for another period")
+    if job.decisions is not None:
+        n, keys = job.decisions.agg(F.count("*"), F.count_distinct("exception_key")).first()
+        if n != keys:
+            raise IntegrityFailure("two decisions on one exception, or one on none")
     if job.mode == "singleStatement" and job.manual_matches is not None and job.manual_matches.limit(1).count():
-        raise InvalidConfiguration("one statement has nothing to match by hand")
+        raise IntegrityFailure("one statement has nothing to match by hand")
     held = [replace(s, transactions=cut(s.transactions.select(*ROW), f"rows-{s.role}"), balances=cut(s.balances, f"balances-{s.role}")) for s in job.sources]
     for s in held:
-        bad = [r["check"] for r in checks.validation(s.transactions, s.balances, job.period.start, job.period.end).filter("violations <> 0").collect()]
+        bad = [r["check"] for r in checks.validation(s.transactions, s.balances, job.period.start, job.period.end, s.source_ids).filter("violations <> 0").collect()]
         if bad:
-            raise IntegrityFailure(f"{s.role}: {', '.join(bad)}")
+            raise (PeriodViolation if set(bad) <= set(checks.PERIOD_CHECKS) else IntegrityFailure)(f"{s.role}: {', '.join(bad)}")
+        if over := sums.overflowing(s.transactions).select(*checks.PARTITION).limit(1).collect():
+            raise ArithmeticOverflow(f"{s.role}: the sum of {over[0]['account']} {over[0]['currency']} leaves 64 bits")
     return sorted(held, key=lambda s: roles.index(s.role))
 
 
@@ -144,7 +157,9 @@ def run(job: Job) -> Result:
         matches = tiers.checked
         found += tiers.exceptions(job.mode)
         totals, kind = checks.partition_totals(*rows), "sourceActivityComparison"
-    totals = totals.withColumn("kind", F.lit(kind))
+    totals = cut(totals.withColumn("kind", F.lit(kind)), "totals")
+    if over := sums.unfit(totals).limit(1).collect():
+        raise ArithmeticOverflow(f"the total of {over[0]['account']} {over[0]['currency']} leaves 64 bits")
     exceptions = cut(_bound(reduce(DataFrame.unionByName, found), rows), "exceptions")
     incomplete = any(s.completeness != "complete" for s in sources) or (single and not sources[0].balances.limit(1).count())
     return Result(_state(job, exceptions, totals, incomplete, single), matches.orderBy("left_locator", "right_locator", "kind"), ordered(exceptions), totals.orderBy("account", "currency"))
@@ -309,7 +324,7 @@ def _state(job: Job, exceptions: DataFrame, totals: DataFrame, incomplete: bool,
     """Nothing that is inconclusive can be explained away; explained differences also need arithmetic that closes."""
     keyed = with_keys(exceptions)
     if job.decisions is not None:
-        explained = approved(job.decisions).select("exception_key", F.lit(True).alias("explained")).distinct()
+        explained = approved(job.decisions).select("exception_key", F.lit(True).alias("explained"))  # keys are unique: see _validated
         keyed = keyed.join(explained, "exception_key", "left")
     else:
         keyed = keyed.withColumn("explained", F.lit(None).cast("boolean"))

@@ -24,7 +24,7 @@ def _day(e):
 
 def parse(data: bytes, period: Period, profile: Profile = Profile(), *, balances: tuple = (), limits: Limits = Limits()) -> Statement:
     limits.check_size(data)
-    root, out = X.parse(data, limits), Statement(source_id(data), period)
+    root, out = X.parse(data, limits), Statement(source_id(data), period, limits=limits)
     m = re.match(r"\{urn:iso:std:iso:20022:tech:xsd:camt\.05([34])\.001\.0([2-8])\}", root.tag)
     if not m:
         raise MalformedInput("no CAMT document of a known version")

@@ -112,7 +112,7 @@ def parse(data: bytes, period: Period, mapping: Mapping, *, delimiter: str = ","
     """The rows of a file. Blank lines are skipped before widths are compared and take no ordinal; the first row is the header,
     if there is one, and says how wide all rows are."""
     limits.check_size(data)
-    out = Statement(source_id(data), period)
+    out = Statement(source_id(data), period, limits=limits)
     rows = [(line, cells) for line, cells in tokenize(decoded(data, "the file"), delimiter, limits) if any(c.strip() for c in cells)]
     if not rows:
         raise MalformedInput("no rows")
@@ -156,7 +156,8 @@ def normalized(header: str) -> str:
 
 
 def infer_mapping(data: bytes, *, tab: bool = False, account: str = "Primary", currency: str = "USD") -> tuple[str, Mapping]:
-    """Delimiter and mapping from the first record; a file without a date or amount column is refused."""
+    """Delimiter and mapping from the first record; a file without a date or amount column is refused. A default account or currency stands
+    in for a column that the file does not have, never for an empty cell of one that it has."""
     head = decoded(data, "the file").split("\n", 1)[0]
     bare = re.sub(r'"(?:[^"]|"")*"', "", head)
     counts = Counter({d: bare.count(d) for d in ",;\t|"})
@@ -164,5 +165,6 @@ def infer_mapping(data: bytes, *, tab: bool = False, account: str = "Primary", c
     names = [normalized(c) for c in next(iter(tokenize(head.rstrip("\r"), delimiter)))[1]]
     found = {f: next((k for k, n in enumerate(names) if n in a), None) for f, a in ALIASES.items()}
     if found["date"] is None or found["amount"] is None:
-        raise MalformedInput("no date or amount column")
-    return delimiter, Mapping(**found, default_account=account, default_currency=currency)
+        raise InvalidConfiguration("date and amount columns were not recognised; state a mapping")
+    absent = lambda name, default: default if found[name] is None else None
+    return delimiter, Mapping(**found, default_account=absent("account", account), default_currency=absent("currency", currency))

@@ -45,8 +45,8 @@ def _balance(text: str):
 def parse(data: bytes, period: Period, *, balances: tuple = (), limits: Limits = Limits()) -> Statement:
     """The booking date is the value date; text before ``//`` is the reference, after it the strong id."""
     limits.check_size(data)
-    out, segments = Statement(source_id(data), period), []
-    for tag, value in tagged(decoded(data, "the statement")):
+    out, segments = Statement(source_id(data), period, limits=limits), []
+    for tag, value in tagged(decoded(data, "the statement", limits)):
         if tag == "20":
             segments.append([])
         elif not segments:

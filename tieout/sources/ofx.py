@@ -74,7 +74,7 @@ def _required(e: Element, name: str, fallback: str | None = None) -> str:
 def parse(data: bytes, period: Period, profile: Profile = Profile(), *, balances: tuple = (), limits: Limits = Limits()) -> Statement:
     """Bank and card statements. Only a closing balance is in the format; a range short of the period is incomplete."""
     limits.check_size(data)
-    out = Statement(source_id(data), period)
+    out = Statement(source_id(data), period, limits=limits)
     begin = re.search(rb"<OFX", data, re.I)
     if not begin:
         raise MalformedInput("no OFX")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tieout.model import InvalidConfiguration, MalformedInput, Period
-from tieout.sources.records import Limits, Profile, Statement, amount_of, clean, currency_of, lenient_date, source_id
+from tieout.sources.records import Limits, Profile, Statement, amount_of, bounded, clean, currency_of, lenient_date, source_id
 
 SECTIONS = ("BANK", "CASH", "CCARD", "OTHA", "OTHL")
 
@@ -13,12 +13,13 @@ def parse(data: bytes, period: Period, profile: Profile, *, balances: tuple = ()
     limits.check_size(data)
     if profile.currency is None:
         raise InvalidConfiguration("QIF needs a currency")
-    out, account, section, record, began = Statement(source_id(data), period), profile.account, None, {}, 0
+    out, account, section, record, began = Statement(source_id(data), period, limits=limits), profile.account, None, {}, 0
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         text = data.decode("cp1252", "replace")
         out.warnings.append("read as Windows-1252")
+    bounded(text, limits)
     for number, line in enumerate(text.removeprefix("﻿").replace("\r\n", "\n").split("\n"), start=1):
         if not line.strip():
             if record:

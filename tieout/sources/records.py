@@ -56,8 +56,14 @@ class Statement:
     balances: list[dict] = field(default_factory=list)
     completeness: str = "complete"
     warnings: list[str] = field(default_factory=list)
+    limits: Limits = Limits()
 
     def add(self, **values) -> None:
+        if len(self.transactions) >= self.limits.records:
+            raise ResourceLimit(f"more than {self.limits.records} records")
+        for name, value in values.items():
+            if isinstance(value, str) and len(value.encode()) > self.limits.field_bytes:
+                raise ResourceLimit(f"{name} of {values['locator'][:80]}")
         if not self.period.start <= values["booking_date"] <= self.period.end:
             raise PeriodViolation(f"{values['locator']} is booked on {values['booking_date']}")
         row = {"source_id": self.source_id, "source_ordinal": len(self.transactions), "original_values": {}, "derived_fields": []}
@@ -153,8 +159,15 @@ def compact_date(text: str) -> date:
     return _date(str(short_year(text[:2])), text[2:4], text[4:], text)
 
 
-def decoded(data: bytes, what: str) -> str:
+def bounded(text: str, limits: Limits) -> str:
+    """The text, unless it has more characters than a file may have."""
+    if len(text) > limits.scalars:
+        raise ResourceLimit(f"{len(text)} characters")
+    return text
+
+
+def decoded(data: bytes, what: str, limits: Limits = Limits()) -> str:
     try:
-        return data.decode("utf-8")
+        return bounded(data.decode("utf-8"), limits)
     except UnicodeDecodeError as e:
         raise MalformedInput(f"{what} is not UTF-8") from e

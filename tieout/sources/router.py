@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from tieout.model import BALANCES, TRANSACTIONS, Period, UnsupportedFormat
+from tieout.model import BALANCES, TRANSACTIONS, InvalidConfiguration, Period, UnsupportedFormat
 from tieout.plans.reconcile import Source
 from tieout.session import cut, ship_package
 from tieout.sources import bai2, camt, delimited, mt940, ofx, qif, xlsx
@@ -34,17 +34,45 @@ class Replay:
     parser_version: int = PARSER_VERSION
 
 
-def planned(data: bytes, filename: str, replay: Replay = Replay(), limits: Limits = Limits()) -> Replay:
-    """The replay with all that is inferred from the file stated: format, delimiter and columns, worksheet."""
+#: Columns of a worksheet without a saved mapping: date, amount, account, currency, strong id, reference, description, balance.
+WORKSHEET = delimited.Mapping(date=0, amount=1, account=2, currency=3, strong_id=4, reference=5, description=6, balance=7)
+
+
+def planned(data: bytes, filename: str, replay: Replay = Replay(), limits: Limits = Limits(), *, account: str = "Primary", currency: str = "USD") -> Replay:
+    """The replay with all that is inferred from the file stated: format, delimiter and columns, worksheet, defaults. Of several worksheets
+    one must be chosen."""
     kind = replay.format or detect(data, filename)
     if kind in ("csv", "tsv"):
-        delimiter, mapping = (replay.delimiter or ("\t" if kind == "tsv" else ","), replay.mapping) if replay.mapping else delimited.infer_mapping(data, tab=kind == "tsv")
+        defaults = {"account": account, "currency": replay.profile.currency or currency}
+        delimiter, mapping = (replay.delimiter or ("\t" if kind == "tsv" else ","), replay.mapping) if replay.mapping else delimited.infer_mapping(data, tab=kind == "tsv", **defaults)
         return replace(replay, format=kind, delimiter=delimiter, mapping=mapping)
     if kind == "xlsx":
-        return replace(replay, format=kind, worksheet=replay.worksheet or xlsx.worksheet_names(data, limits)[0], mapping=replay.mapping or delimited.Mapping(0, 1, 2, 3))
+        sheet = replay.worksheet
+        if sheet is None:
+            names = xlsx.worksheet_names(data, limits)
+            if len(names) != 1:
+                raise InvalidConfiguration(f"choose one worksheet: {', '.join(names)}")
+            sheet = names[0]
+        columns = replay.mapping or replace(WORKSHEET, default_account=account, default_currency=replay.profile.currency or currency)
+        return replace(replay, format=kind, worksheet=sheet, mapping=columns)
     return replace(replay, format=kind)
 
 
+def plan_import(data: bytes, filename: str, saved: Replay | None = None, *, worksheet: str | None = None, account: str = "Primary", currency: str = "USD", date_order: str = "ymd", limits: Limits = Limits()) -> Replay:
+    """How a new file is to be read. A saved profile must be one of the file's format; without one, structured formats fall back to ``account``,
+    ``currency`` and ``date_order``, tables to the columns that their header names, worksheets to eight columns in order."""
+    found = detect(data, filename)
+    if found is None:
+        raise UnsupportedFormat(filename)
+    if saved is not None and saved.format not in (None, found):
+        raise InvalidConfiguration(f"the saved profile is for {saved.format}, the file is {found}")
+    replay = saved or Replay(profile=Profile(date_order=date_order, account=account, currency=currency))
+    made = planned(data, filename, replace(replay, format=found, worksheet=worksheet or replay.worksheet), limits, account=account, currency=currency)
+    if saved is None and made.mapping is not None:
+        made = replace(made, mapping=replace(made.mapping, date_order=date_order))
+    return made
+
+
 def parse(data: bytes, filename: str, period: Period, replay: Replay = Replay(), limits: Limits = Limits()) -> Statement:
     replay = planned(data, filename, replay, limits)
     if replay.parser_version != PARSER_VERSION:
@@ -100,7 +128,7 @@ def read_source(spark: SparkSession, role: str, path: str, period: Period, repla
     No file or no row gives an empty side that is ``incomplete``; names under ``path`` that occur twice are refused by the engine's own check.
     """
     rows, held = StructType.fromDDL(TRANSACTIONS), StructType.fromDDL(BALANCES)
-    schema = StructType().add("file", "string").add("completeness", "string").add("warnings", ArrayType(StringType())).add("rows", ArrayType(rows)).add("held", ArrayType(held))
+    schema = StructType().add("file", "string").add("source_id", "string").add("completeness", "string").add("warnings", ArrayType(StringType())).add("rows", ArrayType(rows)).add("held", ArrayType(held))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +137,14 @@ def read_source(spark: SparkSession, role: str, path: str, period: Period, repla
                 name = at.rpartition("/")[2]
                 s = parse(data, name, period, replay)
                 made = [{n: list(r[n].items()) if n == "original_values" else r.get(n) for n in rows.names} for r in s.transactions]
-                one = {"file": name, "completeness": s.completeness, "warnings": s.warnings, "rows": made, "held": [{n: b.get(n) for n in held.names} for b in s.balances]}
+                one = {"file": name, "source_id": s.source_id, "completeness": s.completeness, "warnings": s.warnings, "rows": made, "held": [{n: b.get(n) for n in held.names} for b in s.balances]}
                 yield pa.RecordBatch.from_pylist([one], schema=arrow)
 
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     parsed = cut(files.mapInArrow(run, schema), f"files-{role}")
     n, complete = parsed.agg(F.count("*"), F.count_if(F.col("completeness") == "complete")).first()
+    # one short text a file that was listed on the driver anyway
+    ids = tuple(r[0] for r in parsed.select("source_id").distinct().collect())
     own = lambda df: df.withColumn("locator", F.concat_ws("#", "file", "locator")).drop("file") if n > 1 else df.drop("file")
-    return Source(role, own(parsed.select("file", F.inline("rows"))), own(parsed.select("file", F.inline("held"))), "complete" if n and n == complete else "incomplete")
+    return Source(role, own(parsed.select("file", F.inline("rows"))), own(parsed.select("file", F.inline("held"))), "complete" if n and n == complete else "incomplete", source_ids=ids, period=period)

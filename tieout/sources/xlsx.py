@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from datetime import date, timedelta
 
@@ -19,6 +20,12 @@ class Archive:
     """A ZIP within limits: no encryption, links, parent paths, repeated names, extreme ratios or wrong checksums."""
 
     def __init__(self, data: bytes, limits: Limits = Limits()):
+        end = data.rfind(b"PK\5\6")
+        # this disk, the directory's disk, entries here and in all; 0xFFFF and 0xFFFFFFFF point to a 64-bit record
+        if end >= 0 and len(data) >= end + 22:
+            disk, first, here, total, size, offset = struct.unpack("<HHHHII", data[end + 4 : end + 20])
+            if disk or first or here != total or 0xFFFF in (here, total) or 0xFFFFFFFF in (size, offset) or data[max(0, end - 20) : end].startswith(b"PK\6\7"):
+                raise MalformedInput("an archive of several disks or of 64 bits")
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
         except zipfile.BadZipFile as e:
@@ -104,7 +111,7 @@ def _date_styles(archive: Archive, limits: Limits) -> set[int]:
 def parse(data: bytes, period: Period, mapping: Mapping, worksheet: str, *, balances: tuple = (), limits: Limits = Limits()) -> Statement:
     """Rows of the named worksheet below its first; every mapped cell must be there, plain, and not a formula."""
     limits.check_size(data)
-    archive, out = Archive(data, limits), Statement(source_id(data), period)
+    archive, out = Archive(data, limits), Statement(source_id(data), period, limits=limits)
     paths, date1904 = _sheets(archive, limits)
     if worksheet not in paths:
         raise MalformedInput(f"no worksheet {worksheet}")
