@@ -1,8 +1,8 @@
 """How far the sources of a language are from each other and from the language, by sorted streams of (lang, term, source, document).
 
-Tasks count the terms of their documents and let a part of so many documents go as sorted partial rows: lang, term, source, part, the documents
-of the part that hold the term and its occurrences. Parts are then dealt by (lang, term) and sorted by (lang, term, source, part), and one
-scan over the sorted stream adds up the run of each source and the run of each term, whose documents decide whether it stays. Where a term
+Tasks count the terms of their documents and let a part of so many documents go as partial rows: lang, term, source, part, the documents
+of the part that hold the term and its occurrences. Parts are then dealt by (lang, term) and sorted by (lang, term, source, part), ahead of them by
+a hash of (lang, term), which costs a sort far less than texts do; one scan over the sorted stream adds up the run of each source and the run of each term, whose documents decide whether it stays. Where a term
 is frequent within parts, its rows are first dealt by their part too, and added up there, so no task meets all rows of one word.
 
 A last sorted stream has the sources of each language, with their totals, ahead of its terms: sources are dealt to every slot, terms to one.
@@ -26,9 +26,11 @@ from tieout.llm.storage import written
 
 DOCUMENTS, TERMS, SCALE = 10, 10, 1_000_000_000
 #: Terms that a task holds before it lets a part go.
-HELD = 250_000
+HELD = 700_000
 #: A term that so many documents of a part hold is frequent there; its rows are dealt to so many places first.
 FREQUENT, PLACES = 32, 64
+#: Rows of kept terms that one slot of the last stream has about.
+SLOT_ROWS = 60_000
 #: Numbers that one step of the last scan works on at a time.
 STEP = 1_000_000
 
@@ -43,17 +45,19 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 def _parts(held: int):
-    """Documents (lang, source, text as bytes) to sorted partial rows; a row without a term says that the source occurs."""
+    """Documents (lang, source, text as bytes) to partial rows; a row without a term says that the source occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, groups, size = (context.partitionId() if context else 0) << 32, {}, 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, df) in sorted(groups.items()):
-                words = [b"", *sorted(n)]
+            for (lang, source), (n, df) in groups.items():
+                words = [b"", *n]
                 made = [pa.array([x] * len(words), pa.string()) for x in (lang, source)]
-                table = pa.table([made[0], pa.array(words, pa.binary()).cast(pa.string()), made[1], pa.array([part] * len(words), pa.int64()), pa.array([df[w] for w in words], pa.int64()), pa.array([n[w] for w in words], pa.int64())], schema=_PARTIAL_TYPES)
+                raw = pa.array(words, pa.binary())
+                term = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # cut at ASCII, so as valid as the text
+                table = pa.table([made[0], term, made[1], pa.array(np.full(len(words), part)), pa.array([0, *map(df.__getitem__, n)], pa.int64()), pa.array([0, *n.values()], pa.int64())], schema=_PARTIAL_TYPES)
                 yield from table.to_batches(20_000)
 
         for batch in batches:
@@ -275,17 +279,19 @@ def divergence(docs: DataFrame, *, documents: int = DOCUMENTS, first: int = TERM
     slim = docs.select(text(lang_column).alias("lang"), text(source_column).alias("source"), text(text_column).cast("binary").alias("text"))
     parts = written(slim.mapInArrow(_parts(held), _PARTIAL), "term-parts")
 
-    order = ("lang", "term", "source", "part")
-    frequent = parts.filter(F.col("df") >= FREQUENT)
-    frequent = frequent.repartition("lang", "term", F.pmod(F.xxhash64("part"), F.lit(PLACES))).sortWithinPartitions(*order).mapInArrow(_summed_runs, _PARTIAL)
+    columns = ("lang", "term", "source", "part", "df", "n")
+    run = lambda df: df.sortWithinPartitions("hash", *columns[:4]).select(*columns)
+    hashed = lambda df: df.withColumn("hash", F.xxhash64("lang", "term"))
+    frequent = hashed(parts.filter(F.col("df") >= FREQUENT))
+    frequent = run(frequent.repartition("lang", "term", F.pmod(F.xxhash64("part"), F.lit(PLACES)))).mapInArrow(_summed_runs, _PARTIAL)
     runs = frequent.unionByName(parts.filter(F.col("df") < FREQUENT))
     # a source's row without a term is one of its own, however many parts it has
     dealt = F.when(F.col("term") == "", F.col("source")).otherwise(F.lit(""))
-    kept = written(runs.repartition("lang", "term", dealt).sortWithinPartitions(*order).mapInArrow(_kept_runs(documents), _KEPT), "kept-terms")
+    kept = written(run(hashed(runs).repartition("lang", "term", dealt)).mapInArrow(_kept_runs(documents), _KEPT), "kept-terms")
 
     per_source = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     per_lang = kept.groupBy("lang").agg(F.sum("first").alias("kept"), F.sum("n").alias("total"))
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // SLOT_ROWS)))
     none = lambda kind: F.lit(None).cast(kind)
     every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))
     heads = per_source.join(per_lang, "lang").select(every.alias("slot"), "lang", F.lit(0).alias("kind"), none("string").alias("term"), "source", "n", "kept", "total")
