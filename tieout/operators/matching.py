@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
+from tieout.session import cut
 
 STRONG_KEY = ("account", "currency", "strong_id")
 COMPOSITE_KEY = ("account", "currency", "booking_date", "amount", "reference")
@@ -156,34 +157,41 @@ def split_merge(left: DataFrame, right: DataFrame, days: int, size: int) -> Data
     the partition and the ``whole`` amount.
 
     A combination is put together from two halves, the second by an equi-join on the amount that the first leaves missing, so no more
-    than half of a combination is ever enumerated. All components have the sign of the whole: none, and no half, exceeds it.
+    than half of a combination is ever enumerated. All components have the sign of the whole: none, and no half, exceeds it. Both
+    directions go through the same joins; the components of singles, and each size of half, are written once for all their readers.
     """
-    out = []
+    fits = lambda c: F.abs(c) <= F.abs(F.col("whole"))
+    pools = []
     for singles, components, single_left in ((left, right, True), (right, left, False)):
-        fits = lambda c: F.abs(c) <= F.abs(F.col("whole"))
-        pool = _eligible(singles, components, days).filter(fits(F.col("amount"))).select("single", F.struct("account", "currency", "whole").alias("of"), "whole", "locator", "amount")
-        nxt = pool.select(F.col("single").alias("s"), F.col("locator").alias("n_locator"), F.col("amount").alias("n_amount"))
-        halves = [pool.select("single", "of", "whole", F.array("locator").alias("parts"), F.col("locator").alias("first"), F.col("locator").alias("last"), F.col("amount").alias("sum"))]
-        for _ in range(1, (size + 1) // 2):
-            longer = halves[-1].join(nxt, (F.col("single") == F.col("s")) & (F.col("n_locator") > F.col("last")) & fits(F.col("sum") + F.col("n_amount")))
-            halves.append(longer.select("single", "of", "whole", F.array_append("parts", F.col("n_locator")).alias("parts"), "first", F.col("n_locator").alias("last"), (F.col("sum") + F.col("n_amount")).alias("sum")))
-        for k in range(2, size + 1):
-            rest = halves[k // 2 - 1].select(F.col("single").alias("s"), F.col("parts").alias("r_parts"), F.col("first").alias("r_first"), F.col("sum").alias("r_sum"))
-            done = halves[(k + 1) // 2 - 1].join(rest, (F.col("single") == F.col("s")) & (F.col("r_sum") == F.col("whole") - F.col("sum")) & (F.col("r_first") > F.col("last")))
-            out.append(done.select("single", "of", F.concat("parts", "r_parts").alias("parts"), F.lit(single_left).alias("single_left")))
+        near = _eligible(singles, components, days).filter(fits(F.col("amount")))
+        # singles of both sides may share a locator
+        pools.append(near.select(F.struct(F.lit(single_left).alias("left"), F.col("single").alias("locator")).alias("single"), F.struct("account", "currency", "whole").alias("of"), "whole", "locator", "amount"))
+    pool = cut(pools[0].unionByName(pools[1]), "components")
+    halves = [pool.select("single", "of", "whole", F.array("locator").alias("parts"), F.col("locator").alias("first"), F.col("locator").alias("last"), F.col("amount").alias("sum"))]
+    nxt = pool.select(F.col("single").alias("s"), F.col("locator").alias("n_locator"), F.col("amount").alias("n_amount"))
+    for _ in range(1, (size + 1) // 2):
+        longer = halves[-1].join(nxt, (F.col("single") == F.col("s")) & (F.col("n_locator") > F.col("last")) & fits(F.col("sum") + F.col("n_amount")))
+        halves.append(cut(longer.select("single", "of", "whole", F.array_append("parts", F.col("n_locator")).alias("parts"), "first", F.col("n_locator").alias("last"), (F.col("sum") + F.col("n_amount")).alias("sum")), "halves"))
+    out = []
+    for k in range(2, size + 1):
+        rest = halves[k // 2 - 1].select(F.col("single").alias("s"), F.col("parts").alias("r_parts"), F.col("first").alias("r_first"), F.col("sum").alias("r_sum"))
+        done = halves[(k + 1) // 2 - 1].join(rest, (F.col("single") == F.col("s")) & (F.col("r_sum") == F.col("whole") - F.col("sum")) & (F.col("r_first") > F.col("last")))
+        out.append(done.select("single", "of", F.concat("parts", "r_parts").alias("parts")))
     found = reduce(DataFrame.unionByName, out)
-    one, many = F.array("single"), F.array_sort("parts")
-    return found.select(F.when(F.col("single_left"), one).otherwise(many).alias("left_locators"), F.when(F.col("single_left"), many).otherwise(one).alias("right_locators"), "of.*").distinct()
+    at_left, one, many = F.col("single.left"), F.array("single.locator"), F.array_sort("parts")
+    return found.select(F.when(at_left, one).otherwise(many).alias("left_locators"), F.when(at_left, many).otherwise(one).alias("right_locators"), "of.*").distinct()
 
 
 def cross_partition(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Strong ids on both sides, in no partition of both: the id and the locators."""
-    def side(df: DataFrame, p: str) -> DataFrame:
-        part = F.to_json(F.struct("account", "currency"))
-        return df.select("locator", "account", "currency", C.cleaned(F.col("strong_id")).alias("strong_id")).filter("strong_id is not null").groupBy("strong_id").agg(F.array_sort(F.collect_list("locator")).alias(f"{p}_locators"), F.collect_set(part).alias(f"{p}_parts"))
-
-    both = side(left, "left").join(side(right, "right"), "strong_id")
-    return both.filter(~F.arrays_overlap("left_parts", "right_parts")).select("strong_id", "left_locators", "right_locators")
+    """Strong ids on both sides, in no partition of both: the id and the locators. Locators are collected for these ids only; whether a partition has
+    an id on both sides is seen from one row for each id and partition."""
+    id_ = C.cleaned(F.col("strong_id"))
+    named = lambda df: df.select("locator", "account", "currency", id_.alias("strong_id")).filter("strong_id is not null")
+    sides = [named(df) for df in (left, right)]
+    each = sides[0].withColumn("at", F.lit(1)).unionByName(sides[1].withColumn("at", F.lit(2))).groupBy("strong_id", "account", "currency").agg(F.bit_or("at").alias("at"))
+    apart = each.groupBy("strong_id").agg(F.bit_or("at").alias("all"), F.max("at").alias("most")).filter("all = 3 and most < 3").select("strong_id")
+    own = [df.join(apart, "strong_id").groupBy("strong_id").agg(F.array_sort(F.collect_list("locator")).alias(f"{p}_locators")) for df, p in zip(sides, ("left", "right"), strict=True)]
+    return own[0].join(own[1], "strong_id")
 
 
 def mutations(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -23,26 +23,25 @@ LEAST, GREATEST, SCALES = -(2**63), 2**63 - 1, 6
 CHUNK = 1 << 16
 
 
-def _decimal(value: int, scale: int) -> Column:
-    return F.lit(Decimal(value).scaleb(-scale)).cast("decimal(25,6)")
+def _decimal(value: int, scale: int) -> str:
+    return f"cast('{Decimal(value).scaleb(-scale)}' as decimal(25,6))"
 
 
-def scale_of(c: Column) -> Column:
-    """The digits behind the point that an amount needs."""
-    whole = lambda k: (c * F.lit(10**k)) % 1 == 0
-    return reduce(lambda rest, k: F.when(whole(k), k).otherwise(rest), range(SCALES - 1, -1, -1), F.lit(SCALES))
+def scale_of(c: str) -> str:
+    """SQL of the digits behind the point that an amount, a decimal with six, needs."""
+    return f"length(trim(trailing '0' from substring_index(cast({c} as string), '.', -1)))"
 
 
-def fits(c: Column, scale: Column) -> Column:
-    """Whether an amount at ``scale`` is a 64-bit whole number."""
-    inside = lambda k: c.between(_decimal(LEAST, k), _decimal(GREATEST, k))
-    return reduce(lambda rest, k: F.when(scale == k, inside(k)).otherwise(rest), range(SCALES), inside(SCALES))
+def fits(c: str, scale: str) -> str:
+    """SQL of whether an amount at ``scale`` is a 64-bit whole number."""
+    bounds = lambda value: f"element_at(array({', '.join(_decimal(value, k) for k in range(SCALES + 1))}), {scale} + 1)"
+    return f"{c} between {bounds(LEAST)} and {bounds(GREATEST)}"
 
 
-def added(a: Column, b: Column, total: Column) -> Column:
-    """Whether ``a + b = total`` is an addition that 64 bits allow."""
-    scale = F.greatest(scale_of(a), scale_of(b))
-    return fits(a, scale) & fits(b, scale) & fits(total, scale)
+def added(a: str, b: str, total: str) -> Column:
+    """Whether ``a + b = total`` (expressions) is an addition that 64 bits allow."""
+    scale = f"greatest({scale_of(a)}, {scale_of(b)})"
+    return F.expr(" and ".join(f"({fits(x, scale)})" for x in (a, b, total)))
 
 
 def _prefixes(rows: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +61,8 @@ def checked_sums(rows: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """
     chunks, inner = _prefixes(rows, chunk)
     whole = chunks.groupBy(*PARTITION).agg(F.sum("total").cast("decimal(38,6)").alias("total"), F.min(F.col("off") + F.col("least")).cast("decimal(38,6)").alias("least"), F.max(F.col("off") + F.col("greatest")).cast("decimal(38,6)").alias("greatest"))
-    now = (F.col("off") + F.col("inner")).cast("decimal(38,6)")
-    steps = inner.join(chunks.select(*PARTITION, "chunk", "off"), [*PARTITION, "chunk"]).select(*PARTITION, (~added((now - F.col("amount")).cast("decimal(38,6)"), F.col("amount"), now)).alias("over"))
+    moved = inner.join(chunks.select(*PARTITION, "chunk", "off"), [*PARTITION, "chunk"]).selectExpr(*PARTITION, "amount", "cast(off + inner as decimal(38,6)) now")
+    steps = moved.selectExpr(*PARTITION, "amount", "now", "cast(now - amount as decimal(38,6)) before").select(*PARTITION, (~added("before", "amount", "now")).alias("over"))
     return whole.join(steps.groupBy(*PARTITION).agg(F.bool_or("over").alias("overflows")), list(PARTITION))
 
 
@@ -72,7 +71,9 @@ def overflowing(rows: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     in all others the sum of the magnitudes says that none can."""
     kind = rows.schema["amount"].dataType
     scale = kind.scale if isinstance(kind, DecimalType) else 0
-    mass = rows.groupBy(*PARTITION).agg(F.sum(F.abs(F.col("amount").cast("decimal(31,6)"))).alias("mass")).filter(F.col("mass") > _decimal(GREATEST, scale))
+    mass = rows.groupBy(*PARTITION).agg(F.sum(F.abs(F.col("amount").cast("decimal(31,6)"))).alias("mass")).filter(f"mass > {_decimal(GREATEST, scale)}")
+    if not mass.limit(1).count():
+        return rows.select(*PARTITION).limit(0)
     could = rows.alias("r").join(mass.alias("m"), reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in PARTITION]), "left_semi")
     return checked_sums(could, chunk=chunk).filter("overflows")
 
@@ -80,4 +81,4 @@ def overflowing(rows: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
 def unfit(totals: DataFrame) -> DataFrame:
     """Totals (``left``, ``right``, ``difference``) that 64 bits cannot hold."""
     exact = totals.select("*", *[F.col(c).cast("decimal(38,6)").alias(f"{c}_") for c in ("left", "right", "difference")])
-    return exact.filter(~added(F.col("left_"), F.col("right_"), F.col("difference_"))).drop("left_", "right_", "difference_")
+    return exact.filter(~added("left_", "right_", "difference_")).drop("left_", "right_", "difference_")

@@ -41,10 +41,10 @@ def _tiers(spark: SparkSession, sf_dir: str) -> reconcile.Tiers:
     return reconcile.Tiers(_rows(spark, sf_dir, "bank_rb"), _rows(spark, sf_dir, "ledger"), POLICY, limited=False)
 
 
-def _result(spark: SparkSession, sf_dir: str) -> reconcile.Result:
-    """Mode A over the views: validation, both sides' proofs, all tiers, whatever work they are, fingerprints and the conclusion."""
+def _result(spark: SparkSession, sf_dir: str, bound: bool = True) -> reconcile.Result:
+    """Mode A over the views: validation, both sides' proofs, all tiers, whatever work they are, fingerprints (if ``bound``) and the conclusion."""
     sources = [reconcile.Source(role, _rows(spark, sf_dir, rows), derive.spark_view(spark, sf_dir, balances)) for role, rows, balances in (("bank", "bank_rb", "balances"), ("ledger", "ledger", "other_balances"))]
-    return reconcile.run(reconcile.Job("bankVsLedger", Period(derive.START, derive.END), sources, POLICY, limited=False))
+    return reconcile.run(reconcile.Job("bankVsLedger", Period(derive.START, derive.END), sources, POLICY, limited=False), bound=bound)
 
 
 # ---- the same tiers in DuckDB ----
@@ -341,20 +341,20 @@ def exception_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("exceptions_summary", "select kind, count(*) n from ex group by 1")
 def exceptions_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(spark, sf_dir).exceptions.groupBy("kind").agg(F.count("*").alias("n"))
+    return _result(spark, sf_dir, bound=False).exceptions.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @_register("result_state", """select case when count(*) filter (kind in ('invalidRow','periodGapOrOverlap','ambiguousCandidate'))>0 then 'cannotConclude' when count(*)=0 then 'reconciled' else 'differenceFound' end state, count(*) exceptions,
  (select count(*) from matches) matches, (select count(*) from (select distinct account, currency from (select account, currency from bank union all select account, currency from ledger))) partitions from ex""")
 def result_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conclusion and its metrics."""
-    r = _result(spark, sf_dir)
+    r = _result(spark, sf_dir, bound=False)
     return spark.createDataFrame([(r.state, r.exceptions.count(), r.matches.count(), r.totals.count())], "state string, exceptions long, matches long, partitions long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and exceptions by kind: the whole run."""
-    r = _result(spark, sf_dir)
+    r = _result(spark, sf_dir, bound=False)
     return r.matches.select("kind").unionByName(r.exceptions.select("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -393,7 +393,7 @@ def explained_state(spark: SparkSession, sf_dir: str) -> DataFrame:
  left join l0 a on a.locator=x.l left join r0 b on b.locator=x.r where a.locator is not null or b.locator is not null""")
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches as pairs, then the rows that exceptions name, side by side."""
-    r = _result(spark, sf_dir)
+    r = _result(spark, sf_dir, bound=False)
     zipped = r.exceptions.select("kind", F.explode(F.arrays_zip("left_locators", "right_locators")).alias("x")).select("kind", F.col("x.left_locators").alias("left_locator"), F.col("x.right_locators").alias("right_locator"))
     shown = r.matches.select("kind", "left_locator", "right_locator").unionByName(zipped)
     of = lambda view, s: _rows(spark, sf_dir, view).select(F.col("locator").alias(f"{s}_locator"), F.lit(True).alias(f"{s}_there"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text"))
@@ -401,25 +401,114 @@ def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("kind", "left_locator", "right_locator", "left_amount", "right_amount", "left_text", "right_text")
 
 
-_CELLS = ("section", "type", "account", "currency", "left", "right", "difference", "details")
+_DECIDED = "select exception_key, 'seen: '||kind explanation, kind='dateChanged' approved from exk where kind in ('dateChanged', 'statusOrCategoryChanged')"
+_FACTS = {"job": "job-1", "mode": "bankVsLedger", "period": "1995-01-01 to 2001-12-31", "limitation": "Rows, balances and decisions of these \"views\" only"}
+_FILES = [{"role": "ledger", "filename": "ledger.csv", "details": "orders"}, {"role": "bank", "filename": "bank.csv", "details": "orders | twice"}]
+
+
+def _decided(found: DataFrame) -> DataFrame:
+    """Decisions that a reviewer made on two kinds of exceptions, one of them not approved."""
+    kinds = reconcile.with_keys(found).filter(F.col("kind").isin("dateChanged", "statusOrCategoryChanged"))
+    return kinds.select("exception_key", F.concat(F.lit("seen: "), "kind").alias("explanation"), (F.col("kind") == "dateChanged").alias("approved"))
+
+
+def _quoted(cells: list[str]) -> str:
+    return "['" + "','".join(c.replace("'", "''") for c in cells) + "']"
+
 
+_REPORT = " union all ".join([
+    "select 0 rank, '' k0, '' k1, '' k2, '' k3, '' k4, ['section','type','account','currency','left','right','difference','details'] cells",
+    "select 1, '000', '', '', '', '', ['summary', state, '', '', '', '', '', 'Mill'] from (select case when count(*) filter (kind in ('invalidRow','periodGapOrOverlap','ambiguousCandidate'))>0 then 'cannotConclude' when count(*)=0 then 'reconciled' else 'differenceFound' end state from ex)",
+    *[f"select 2, '{k:03d}', '', '', '', '', " + _quoted(["metadata", n, "", "", "", "", "", v]) for k, (n, v) in enumerate(_FACTS.items())],
+    *[f"select 3, '{f['filename']}', '{f['role']}', '', '', '', " + _quoted(["source", f["role"], "", "", "", "", "", f"{f['filename']} | {f['details']}"]) for f in _FILES],
+    "select 4, account, currency, '', '', '', ['total', 'sourceActivityComparison', account, currency, l::varchar, r::varchar, (l-r)::varchar, ''] from (select account, currency, cast(sum(l) as bigint) l, cast(sum(r) as bigint) r from (select account, currency, amount l, 0 r from bank union all select account, currency, 0, amount from ledger) group by all)",
+    "select 5, l, r, kind, '', '', ['match', kind, '', '', l, r, '', ''] from matches",
+    "select 6, kind, array_to_string(ls, ''), array_to_string(rs, ''), '', detail, ['exception', kind, '', '', array_to_string(ls, ' | '), array_to_string(rs, ' | '), '', detail] from ex",
+    f"select 7, exception_key, '', '', '', '', ['decision', case when approved then 'approved' else 'unresolved' end, '', '', '', '', '', exception_key||' | '||explanation] from ({_DECIDED})",
+])
 
-@_register("report_rows", """select section, type, array_to_string(list_transform(cells, lambda x: '"'||replace(x, '"', '""')||'"'), ',') line from (
- select 'match' section, kind as type, ['match', kind, '', '', l, r, '', ''] cells from matches
- union all select 'exception', kind, ['exception', kind, '', '', array_to_string(ls, ' | '), array_to_string(rs, ' | '), '', detail] from ex
- union all select 'total', 'sourceActivityComparison', ['total', 'sourceActivityComparison', account, currency, l::varchar, r::varchar, (l-r)::varchar, ''] from (select account, currency, cast(sum(l) as bigint) l, cast(sum(r) as bigint) r from (select account, currency, amount l, 0 r from bank union all select account, currency, 0, amount from ledger) group by all))""")
+
+@_register("report_rows", f"""select row_number() over (order by rank, k0, k1, k2, k3, k4, line) - 1 seq, cells[1] section, cells[2] as type, line from (select *, array_to_string(list_transform(cells, lambda x: '"'||replace(x, '"', '""')||'"'), ',') line from ({_REPORT}))""")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's lines of totals, matches and exceptions, eight quoted cells each."""
-    r, empty = _result(spark, sf_dir), F.lit("")
-    row = lambda df, section, **cells: df.select(*[cells.get(c, F.lit(section) if c == "section" else empty).alias(c) for c in _CELLS])
-    money, shown = (lambda c: C.amount_text(F.col(c))), (lambda c: F.array_join(c, " | "))
-    parts = [
-        row(r.totals, "total", type=F.col("kind"), account=F.col("account"), currency=F.col("currency"), left=money("left"), right=money("right"), difference=money("difference")),
-        row(r.matches, "match", type=F.col("kind"), left=F.col("left_locator"), right=F.col("right_locator")),
-        row(r.exceptions, "exception", type=F.col("kind"), left=shown("left_locators"), right=shown("right_locators"), details=F.col("detail")),
-    ]
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
-    return reduce(DataFrame.unionByName, parts).select("section", "type", F.concat_ws(",", *map(quote, _CELLS)).alias("line"))
+    """The report of the whole run, all sections in their order, with the number of each line and its eight quoted cells."""
+    from tieout.report import report_table
+
+    r = _result(spark, sf_dir)
+    return report_table(spark, r, "Mill", _FACTS, _FILES, _decided(r.exceptions))
+
+
+@_register("decision_lookup", f"select e.kind, e.left_locators, e.right_locators, e.exception_key, d.explanation, case when d.approved then 'approved' when not d.approved then 'unresolved' end decision from exk e left join ({_DECIDED}) d on d.exception_key=e.exception_key")
+def decision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exception with the decision on it, where there is one."""
+    from tieout.report import explained
+
+    found = _result(spark, sf_dir).exceptions
+    return explained(found, _decided(found)).select("kind", _joined("left_locators").alias("left_locators"), _joined("right_locators").alias("right_locators"), "exception_key", "explanation", F.when(F.col("approved"), "approved").when(~F.col("approved"), "unresolved").alias("decision"))
+
+
+def _list_json(c: str) -> str:
+    return f"'['||array_to_string(list_transform({c}, lambda x: '\"'||x||'\"'), ',')||']'"
+
+
+_LEAVES = " union all ".join([
+    """select 'matches' part, row_number() over (order by l, r, kind) - 1 seq, sha256('{"kind":"'||kind||'","left_locator":"'||l||'","right_locator":"'||r||'"}') leaf from matches""",
+    """select 'totals', row_number() over (order by account, currency) - 1, sha256('{"account":"'||account||'","currency":"'||currency||'","difference":'||(l-r)||',"kind":"sourceActivityComparison","left":'||l||',"right":'||r||'}')
+ from (select account, currency, cast(sum(l) as bigint) l, cast(sum(r) as bigint) r from (select account, currency, amount l, 0 r from bank union all select account, currency, 0, amount from ledger) group by all)""",
+    """select 'exceptions', row_number() over (order by kind, array_to_string(ls, ''), array_to_string(rs, ''), detail) - 1, sha256('{"detail":"'||detail||'","kind":"'||kind||'","left_locators":'||%s||',"right_locators":'||%s||',"source_fingerprints":'||%s||'}')
+ from (select e.*, case when fps is null then [] else string_split(fps, ',') end f from exid e left join exfp using (id))""" % (_list_json("ls"), _list_json("rs"), _list_json("f")),
+])
+_FOLDED = "select part, seq//1024 seq, sha256(string_agg(leaf, '' order by seq)) leaf from {} group by part, seq//1024"
+
+
+@_register("result_digest", f"""select n.part, n.n as "rows", case when n.n=0 then sha256('') when n.n=1 then (select leaf from leaves x where x.part=n.part and x.seq=0) when n.n<=1024 then (select leaf from up1 x where x.part=n.part and x.seq=0)
+ when n.n<=1048576 then (select leaf from up2 x where x.part=n.part and x.seq=0) else (select leaf from up3 x where x.part=n.part and x.seq=0) end sha256
+ from (select p.part, count(x.seq) n from (values ('matches'), ('exceptions'), ('totals')) p(part) left join leaves x on x.part=p.part group by p.part) n""", cascade=False)
+def result_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seal of the whole run: rows and root of the digest tree of its matches, exceptions and totals."""
+    from tieout.evidence import result_seal
+
+    found = result_seal(_result(spark, sf_dir))["parts"]
+    return spark.createDataFrame([(n, p["rows"], p["sha256"]) for n, p in found.items()], "part string, rows long, sha256 string")
+
+
+ORACLE_SQL["result_digest"] = derive.duck_ctes(*_CASCADE, ("leaves", _LEAVES), *((f"up{k}", _FOLDED.format("leaves" if k == 1 else f"up{k - 1}")) for k in (1, 2, 3))) + ORACLE_SQL["result_digest"]
+
+
+@_register("verify_tables", """with a as (select k, 'B'||k as loc, amount, st from o where k%61<>0), b as (select k, 'B'||k as loc, amount + case when k%53=0 then 1 else 0 end amount, st from o where k%59<>0 union all select k, 'N'||k, amount, null from o where k%67=0
+ union all select k, 'B'||k, amount, st from o where k%71=0)
+ select '{"locator":"'||coalesce(x.loc, y.loc)||'"}' as key, case when x.loc is null then 'added' when y.loc is null then 'removed' else 'changed' end change from (select loc, list(row(amount, st) order by amount, st) r from a group by loc) x
+ full join (select loc, list(row(amount, st) order by amount, st) r from b group by loc) y on y.loc=x.loc where x.r is distinct from y.r""", cascade=False)
+def verify_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports of the same orders, one with rows that are gone, new, changed and repeated: the keys in which they differ."""
+    from tieout.operators.sealing import verify_tables as verified
+
+    o = _orders(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")), "k")
+    k, rows = F.col("k"), o.select("k", F.concat(F.lit("B"), F.col("k").cast("string")).alias("locator"), F.col("cents").alias("amount"), "status")
+    new = rows.withColumn("amount", F.col("amount") + F.when(k % 53 == 0, 1).otherwise(0)).filter(k % 59 != 0)
+    more = rows.filter(k % 67 == 0).select("k", F.concat(F.lit("N"), k.cast("string")).alias("locator"), "amount", F.lit(None).cast("string").alias("status"))
+    twice = rows.filter(k % 71 == 0)
+    return verified(rows.filter(k % 61 != 0).drop("k"), reduce(DataFrame.unionByName, [new, more, twice]).drop("k"), ["locator"], bucket=50)
+
+
+ORACLE_SQL["verify_tables"] = ORACLE_SQL["verify_tables"].replace("with a as", derive.duck_ctes().rstrip() + ", a as", 1)
+
+
+@_register("canonical_rows", r"""select k, '{"amount":{"canonical":"'||regexp_replace(regexp_replace((case when k%3=0 then '-' else '' end)||(c//100)||'.'||lpad((c%100)::varchar,2,'0'),'0+$',''),'\.$','')||'","mantissa":'||(case when k%3=0 then '-' else '' end)||(case when c%100=0 then c//100 when c%10=0 then c//10 else c end)||
+ ',"scale":'||(case when c%100=0 then 0 when c%10=0 then 1 else 2 end)||'},"booking_date":"'||d||'","cells":{"a\"b":'||(case when k%7=0 then 'null' else '"'||st||'"' end)||',"z":"'||p||'"},"flags":'||(case when k%5=0 then '[]' when k%5=1 then 'null' else '["'||st||'",null]' end)||
+ ',"locked":'||(case when k%2=0 then 'true' else 'false' end)||',"number":'||k||',"row":{"memo":'||(case when k%4=0 then 'null' else '"é\\\"'||p||'\n\u0001"' end)||',"none":null}}' as text
+ from (select o_orderkey k, cast(round(o_totalprice*100) as bigint) c, cast(o_orderdate as date) d, o_orderpriority p, o_orderstatus st from orders)""", cascade=False)
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every kind of value as canonical JSON: amounts, dates, lists, maps, structs, nulls and texts that need escapes."""
+    from tieout.functions.canonical import canonical_row
+
+    o = _orders(spark, sf_dir).join(_texts(spark, sf_dir).select("k", "p", "st"), "k")
+    k, none = F.col("k"), F.lit(None).cast("string")
+    amount = (F.when(k % 3 == 0, -F.col("cents")).otherwise(F.col("cents")).cast("decimal(25,6)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(25,6)")
+    memo = F.when(k % 4 != 0, F.concat(F.lit('é\\"'), "p", F.lit("\n\u0001")))
+    flags = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 != 1, F.array("st", none))
+    cells = F.create_map(F.lit("z"), "p", F.lit('a"b'), F.when(k % 7 != 0, F.col("st")))
+    rows = o.select("k", F.struct(k.alias("number"), amount.alias("amount"), F.col("d").alias("booking_date"), (k % 2 == 0).alias("locked"), flags.alias("flags"), cells.alias("cells"), F.struct(memo.alias("memo"), none.alias("none")).alias("row")).alias("x"))
+    return rows.select("k", "x.*").withColumn("text", canonical_row(rows.select("x.*"))).select("k", "text")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

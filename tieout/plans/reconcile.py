@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tieout.functions import columns as C
 from tieout.model import DECISIONS, INCONCLUSIVE_KINDS, MANUAL_MATCHES, MATCHES, MODES, ArithmeticOverflow, IntegrityFailure, MatchingPolicy, Period, PeriodViolation, ResourceLimit, RoleMismatch
 from tieout.operators import checks, matching, sums
-from tieout.session import cut
+from tieout.session import cut, together
 
 ROW = ("source_id", "locator", "source_ordinal", "account", "currency", "booking_date", "value_date", "amount", "running_balance", "strong_id", "reference", "payee", "description", "memo", "transaction_code", "cleared_status", "category", "original_values", "derived_fields")
 
@@ -77,13 +77,17 @@ def _validated(job: Job) -> list[Source]:
             raise IntegrityFailure("two decisions on one exception, or one on none")
     if job.mode == "singleStatement" and job.manual_matches is not None and job.manual_matches.limit(1).count():
         raise IntegrityFailure("one statement has nothing to match by hand")
-    held = [replace(s, transactions=cut(s.transactions.select(*ROW), f"rows-{s.role}"), balances=cut(s.balances, f"balances-{s.role}")) for s in job.sources]
-    for s in held:
+    tables = together(*[partial(cut, df, f"{what}-{s.role}") for s in job.sources for what, df in (("rows", s.transactions.select(*ROW)), ("balances", s.balances))])
+    held = [replace(s, transactions=tables[2 * k], balances=tables[2 * k + 1]) for k, s in enumerate(job.sources)]
+
+    def looked_at(s: Source) -> None:
         bad = [r["check"] for r in checks.validation(s.transactions, s.balances, job.period.start, job.period.end, s.source_ids).filter("violations <> 0").collect()]
         if bad:
             raise (PeriodViolation if set(bad) <= set(checks.PERIOD_CHECKS) else IntegrityFailure)(f"{s.role}: {', '.join(bad)}")
         if over := sums.overflowing(s.transactions).select(*checks.PARTITION).limit(1).collect():
             raise ArithmeticOverflow(f"{s.role}: the sum of {over[0]['account']} {over[0]['currency']} leaves 64 bits")
+
+    together(*[partial(looked_at, s) for s in held])
     return sorted(held, key=lambda s: roles.index(s.role))
 
 
@@ -135,34 +139,55 @@ def _manual(job: Job, left: DataFrame, right: DataFrame) -> DataFrame:
     return m.select("left_locator", "right_locator", F.lit("manual").alias("kind"))
 
 
-def run(job: Job) -> Result:
-    """State, matches, exceptions with fingerprints, and totals. Nothing ambiguous is ever resolved."""
+def run(job: Job, *, bound: bool = True) -> Result:
+    """State, matches, exceptions with fingerprints, and totals. Nothing ambiguous is ever resolved. What proves each side, what is
+    matched and what is summed up do not depend on each other and are made at the same time.
+
+    Where ``bound`` is false and the job has no decisions, exceptions have no fingerprints: for readers of kinds and numbers only.
+    """
     sources = _validated(job)
     spark = sources[0].transactions.sparkSession
     rows = [s.transactions for s in sources]
     single = job.mode == "singleStatement"
-    found = []
-    for k, (s, df) in enumerate(zip(sources, rows, strict=True)):
-        found += _side_checks(spark, s, df, k == 0, job.period, single or bool(s.balances.limit(1).count()))
-    if single:
-        matches, totals = spark.createDataFrame([], MATCHES), checks.statement_totals(rows[0], sources[0].balances)
-        kind = "statementBalanceEquation"
-    else:
-        compared = checks.balance_comparison(*(s.balances for s in sources))
-        none, key = F.array().cast("array<string>"), F.concat(_part(), F.lit(" "), F.col("kind"))
-        several = F.col("outcome") == "periodGapOrOverlap"
-        sides = [F.when(several, none).otherwise(F.coalesce(f"{side}_locators", none)) for side in ("left", "right")]
-        found.append(_exception(compared, F.col("outcome"), *sides, F.concat(F.when(several, "Multiple balance markers for ").otherwise("Balance amount or date differs for "), key)))
+
+    def proven() -> DataFrame:
+        found = []
+        for k, (s, df) in enumerate(zip(sources, rows, strict=True)):
+            found += _side_checks(spark, s, df, k == 0, job.period, single or bool(s.balances.limit(1).count()))
+        if not single:
+            found.append(_compared(sources))
+        return cut(reduce(DataFrame.unionByName, found), "proven")
+
+    def summed() -> DataFrame:
+        totals = checks.statement_totals(rows[0], sources[0].balances) if single else checks.partition_totals(*rows)
+        totals = cut(totals.withColumn("kind", F.lit("statementBalanceEquation" if single else "sourceActivityComparison")), "totals")
+        if over := sums.unfit(totals).limit(1).collect():
+            raise ArithmeticOverflow(f"the total of {over[0]['account']} {over[0]['currency']} leaves 64 bits")
+        return totals
+
+    def matched() -> tuple[DataFrame, DataFrame | None]:
+        if single:
+            return spark.createDataFrame([], MATCHES), None
         tiers = Tiers(*rows, job.policy, _manual(job, *rows) if job.manual_matches is not None else None, job.limited)
-        matches = tiers.checked
-        found += tiers.exceptions(job.mode)
-        totals, kind = checks.partition_totals(*rows), "sourceActivityComparison"
-    totals = cut(totals.withColumn("kind", F.lit(kind)), "totals")
-    if over := sums.unfit(totals).limit(1).collect():
-        raise ArithmeticOverflow(f"the total of {over[0]['account']} {over[0]['currency']} leaves 64 bits")
-    exceptions = cut(_bound(reduce(DataFrame.unionByName, found), rows), "exceptions")
+        open_ = lambda: cut(reduce(DataFrame.unionByName, tiers.exceptions(job.mode)), "open")
+        tiers.matches, tiers.splits if job.policy.split_merge else None  # once, before both steps ask for them  # noqa: B018
+        return tuple(together(lambda: tiers.checked, open_))
+
+    held, totals, (matches, open_) = together(proven, summed, matched)
+    found = held if open_ is None else held.unionByName(open_)
+    exceptions = cut(_bound(found, rows), "exceptions") if bound or job.decisions is not None else found
     incomplete = any(s.completeness != "complete" for s in sources) or (single and not sources[0].balances.limit(1).count())
-    return Result(_state(job, exceptions, totals, incomplete, single), matches.orderBy("left_locator", "right_locator", "kind"), ordered(exceptions), totals.orderBy("account", "currency"))
+    state = _state(job, exceptions, totals, incomplete, single)
+    return Result(state, matches.orderBy("left_locator", "right_locator", "kind"), ordered(exceptions), totals.orderBy("account", "currency"))
+
+
+def _compared(sources: list[Source]) -> DataFrame:
+    """Balances in which the sides do not agree."""
+    compared = checks.balance_comparison(*(s.balances for s in sources))
+    none, key = F.array().cast("array<string>"), F.concat(_part(), F.lit(" "), F.col("kind"))
+    several = F.col("outcome") == "periodGapOrOverlap"
+    sides = [F.when(several, none).otherwise(F.coalesce(f"{side}_locators", none)) for side in ("left", "right")]
+    return _exception(compared, F.col("outcome"), *sides, F.concat(F.when(several, "Multiple balance markers for ").otherwise("Balance amount or date differs for "), key))
 
 
 class Tiers:
@@ -176,7 +201,7 @@ class Tiers:
         self.left, self.right, self.policy, self.manual, self.limited = left, right, policy, manual, limited
 
     def _less(self, sides: tuple[DataFrame, DataFrame], pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(cut(matching.without(df, pairs, f"{s}_locator"), f"{name}-{s}") for df, s in zip(sides, ("left", "right"), strict=True))
+        return tuple(together(*[partial(cut, matching.without(df, pairs, f"{s}_locator"), f"{name}-{s}") for df, s in zip(sides, ("left", "right"), strict=True)]))
 
     @cached_property
     def rest0(self) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +245,8 @@ class Tiers:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        found = cut(matching.fuzzy_candidates(self._texts("left"), self._texts("right"), self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
+        self.rest2  # once, before both sides ask for it  # noqa: B018
+        found = cut(matching.fuzzy_candidates(*together(partial(self._texts, "left"), partial(self._texts, "right")), self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
         if self.limited and found.limit(self.policy.maximum_fuzzy_candidate_pairs + 1).count() > self.policy.maximum_fuzzy_candidate_pairs:
             raise ResourceLimit("fuzzy candidate pairs")
         return found
@@ -296,19 +322,20 @@ class Tiers:
 
 
 def _bound(exceptions: DataFrame, rows: list[DataFrame]) -> DataFrame:
-    """Exceptions with the fingerprints of the rows they name; balances have none. Three readers meet here, so what was found is cut first."""
-    tagged = cut(exceptions, "found").withColumn("n", F.sha2(F.to_json(F.struct("kind", "left_locators", "right_locators", "detail")), 256))
-    parts = []
-    for k, (df, letter) in enumerate(zip(rows, "LR")):
-        prints = df.select(F.col("locator").alias("at"), C.fingerprint({n: df[n] for n in ROW}).alias("print"))
-        named = tagged.select("n", F.explode("left_locators" if k == 0 else "right_locators").alias("at")).distinct()
-        parts.append(named.join(prints, "at").select("n", F.concat_ws(":", F.lit(letter), "at", "print").alias("one")))
-    prints = reduce(DataFrame.unionByName, parts).groupBy("n").agg(F.array_sort(F.collect_list("one")).alias("source_fingerprints"))
+    """Exceptions (a table: it has three readers) with the fingerprints of the rows they name; balances have none. Only named rows are printed."""
+    tagged = exceptions.withColumn("n", F.sha2(F.to_json(F.struct("kind", "left_locators", "right_locators", "detail")), 256))
+    # rows are printed where they lie, and only prints are shuffled; both sides go through one join
+    prints = lambda df, letter: df.select(F.lit(letter).alias("side"), "locator", C.fingerprint({c: df[c] for c in ROW}).alias("print"))
+    both = reduce(DataFrame.unionByName, [prints(df, letter) for df, letter in zip(rows, "LR", strict=False)])
+    named = [tagged.select("n", F.lit(letter).alias("side"), F.explode(c).alias("locator")) for letter, c in (("L", "left_locators"), ("R", "right_locators"))]
+    met = named[0].unionByName(named[1]).distinct().join(both, ["side", "locator"])
+    prints = met.select("n", F.concat_ws(":", "side", "locator", "print").alias("one")).groupBy("n").agg(F.array_sort(F.collect_list("one")).alias("source_fingerprints"))
     return tagged.join(prints, "n", "left").select("kind", "left_locators", "right_locators", F.coalesce("source_fingerprints", F.array().cast("array<string>")).alias("source_fingerprints"), "detail")
 
 
 def ordered(exceptions: DataFrame) -> DataFrame:
-    return exceptions.orderBy("kind", *[F.array_join(c, "") for c in ("left_locators", "right_locators", "source_fingerprints")], "detail")
+    joined = [F.array_join(c, "") for c in ("left_locators", "right_locators", "source_fingerprints") if c in exceptions.columns]
+    return exceptions.orderBy("kind", *joined, "detail")
 
 
 def with_keys(exceptions: DataFrame) -> DataFrame:
@@ -322,8 +349,9 @@ def approved(decisions: DataFrame) -> DataFrame:
 
 def _state(job: Job, exceptions: DataFrame, totals: DataFrame, incomplete: bool, single: bool) -> str:
     """Nothing that is inconclusive can be explained away; explained differences also need arithmetic that closes."""
-    keyed = with_keys(exceptions)
+    keyed = exceptions
     if job.decisions is not None:
+        keyed = with_keys(exceptions)
         explained = approved(job.decisions).select("exception_key", F.lit(True).alias("explained"))  # keys are unique: see _validated
         keyed = keyed.join(explained, "exception_key", "left")
     else:

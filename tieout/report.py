@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tieout.evidence import canonical
+from tieout.functions import columns as C
 from tieout.model import EntitlementRequired, InvalidConfiguration, ResourceLimit
+from tieout.operators.numbering import numbered
+from tieout.plans.reconcile import Result, with_keys
 
 LINES_PER_PAGE, PDF_BYTES = 52, 32 << 20
 
@@ -43,13 +51,65 @@ def rows(evidence: dict, entity: str, imported_at: dict[str, str] | None = None)
     for s in sorted(job["sources"], key=lambda s: s["filename"]):
         told = [s["filename"], s["sha256"], f"{s['bytes']} bytes", mapping_text(s["replay"]), when.get(s["source_id"], "not recorded")]
         out.append({"section": "source", "type": s["role"], "details": many(told)})
-    out += [{"section": "total", "type": t["kind"], **{k: t[k] for k in ("account", "currency", "left", "right", "difference")}} for t in result["totals"]]
+    shown = lambda x: x["canonical"] if isinstance(x, dict) else x
+    out += [{"section": "total", "type": t["kind"], **{k: shown(t[k]) for k in ("account", "currency", "left", "right", "difference")}} for t in result["totals"]]
     out += [{"section": "match", "type": x["kind"], "left": x["left_locator"], "right": x["right_locator"]} for x in result["matches"]]
     out += [{"section": "exception", "type": x["kind"], "left": many(x["left_locators"]), "right": many(x["right_locators"]), "details": x["detail"]} for x in result["exceptions"]]
     out += [{"section": "decision", "type": "approved" if d["approved"] else "unresolved", "details": many([d["exception_key"], d["explanation"]])} for d in job["decisions"]]
     return out
 
 
+_BETWEEN = " | "
+
+
+def report_table(spark: SparkSession, result: Result, entity: str, facts: dict[str, str], sources: list[dict[str, str]] = (), decisions: DataFrame | None = None) -> DataFrame:
+    """``seq`` (from 0, without holes), ``section``, ``type`` and ``line`` (eight quoted cells) of the report of a result of any size: the header, then
+    summary, metadata, sources (``role``, ``filename``, ``details``), totals, matches, exceptions and decisions, each in its order.
+
+    Lines are numbered from counts of ranges; what orders them names all their cells, so the numbers follow from the rows alone.
+    """
+    empty, text = F.lit(""), lambda c: F.coalesce(C.amount_text(F.col(c)), F.lit(""))
+
+    def part(df: DataFrame, section: str, order: list[Column], /, **cells: Column) -> DataFrame:
+        made = {"section": F.lit(section)} | cells
+        keys = [k.cast("string") for k in order] + [empty] * (5 - len(order))
+        return df.select(F.lit(list(_SECTIONS).index(section)).alias("rank"), *[k.alias(f"k{n}") for n, k in enumerate(keys)], *[F.coalesce(made.get(c, empty), empty).alias(c) for c in CELLS])
+
+    told = [("summary", 0, result.state, entity), *(("metadata", k, name, value) for k, (name, value) in enumerate(facts.items()))]
+    few = spark.createDataFrame(told, "section string, k int, type string, details string")
+    files = spark.createDataFrame([(s["filename"], s["role"], s["details"]) for s in sources], "filename string, role string, details string")
+    joined = lambda c: F.array_join(c, _BETWEEN)
+    parts = [
+        part(spark.range(1), "section", [], **{c: F.lit(c) for c in CELLS}),
+        *[part(few.filter(F.col("section") == s), s, [F.format_string("%03d", "k")], type=F.col("type"), details=F.col("details")) for s in ("summary", "metadata")],
+        part(files, "source", [F.col("filename"), F.col("role")], type=F.col("role"), details=F.concat_ws(_BETWEEN, "filename", "details")),
+        part(result.totals, "total", [F.col("account"), F.col("currency")], type=F.col("kind"), account=F.col("account"), currency=F.col("currency"), left=text("left"), right=text("right"), difference=text("difference")),
+        part(result.matches, "match", [F.col("left_locator"), F.col("right_locator"), F.col("kind")], type=F.col("kind"), left=F.col("left_locator"), right=F.col("right_locator")),
+        part(result.exceptions, "exception", [F.col("kind"), *[F.array_join(c, "") for c in ("left_locators", "right_locators", "source_fingerprints")], F.col("detail")], type=F.col("kind"), left=joined("left_locators"), right=joined("right_locators"), details=F.col("detail")),
+    ]
+    if decisions is not None:
+        parts.append(part(decisions, "decision", [F.col("exception_key")], type=F.when(F.col("approved"), "approved").otherwise("unresolved"), details=F.concat_ws(_BETWEEN, "exception_key", "explanation")))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = reduce(DataFrame.unionByName, parts).withColumn("line", F.concat_ws(",", *map(quote, CELLS)))
+    slim = lines.select("rank", *[f"k{n}" for n in range(5)], "section", "type", "line")
+    return numbered(slim, "rank", *[f"k{n}" for n in range(5)], "line").select("seq", "section", "type", "line")
+
+
+#: In the order of the report; the header's line has their column's name.
+_SECTIONS = ("section", "summary", "metadata", "source", "total", "match", "exception", "decision")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines as text files under ``path`` whose names are in the order of their lines, so that they read as one report one after the other."""
+    ordered = lines.repartitionByRange("seq").sortWithinPartitions("seq").select("line")
+    ordered.write.option("lineSep", "\r\n").mode("errorifexists").text(path)
+
+
+def explained(exceptions: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Exceptions with their key and, where there is a decision on it, its ``explanation`` and whether it is ``approved``."""
+    return with_keys(exceptions).join(decisions.select("exception_key", "explanation", "approved"), "exception_key", "left")
+
+
 def pack(record: dict, entity: str, imported_at: dict[str, str] | None = None, header: str | None = None, tier: str = "free") -> dict[str, object]:
     """The reports of a locked revision of the store; a header of one's own needs the tier ``accountant``."""
     entity, header = entity.strip(), (header or "").strip()

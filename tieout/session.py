@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tieout.model import InvalidConfiguration
 
 _SHIPPED: set[str] = set()
+T = TypeVar("T")
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -51,6 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def together(*steps: Callable[[], T]) -> list[T]:
+    """What independent steps give, made at the same time: each is jobs of its own, which wait for planning more than for tasks where
+    tables are small and fill what the others leave free where they are not. The first error is raised after all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: what follows neither recomputes it nor plans it again, and survives lost executors."""
     spark = df.sparkSession
