@@ -106,3 +106,19 @@ def test_partitioning_does_not_matter(spark, monkeypatch, most):
     assert both[0] == both[1]
     with pytest.raises(ValueError):
         sharding.interleave(docs.withColumnRenamed("extra", "__il_x"), 3)
+
+
+def test_near_copies_with_maps_anywhere(spark):
+    """Rows that tie in id and text, with maps in structs and lists: one stays."""
+    rows = [(1, ROWS[0][1], {"a": 1}, ({"b": 2},), [{"c": k}]) for k in range(3)] + [(2, "other words than those of the rest, all of them", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, s struct<m: map<string,int>>, l array<map<string,int>>")
+    assert sorted(r["doc_id"] for r in neardup.one_of_each(docs).collect()) == [1, 2]
+
+
+def test_sharding_names_in_any_case(spark):
+    docs = spark.createDataFrame([(k, f"t{k}", "s", k, k) for k in range(30)], "doc_id long, text string, source string, Shard int, SLOT int")
+    placed = sharding.interleave(docs, 3)
+    assert placed.columns == ["doc_id", "text", "source", "shard", "slot"] and {r["shard"] for r in placed.collect()} == {0, 1, 2}
+    for name in ("__il_key", "__IL_key"):
+        with pytest.raises(ValueError):
+            sharding.interleave(docs.withColumn(name, F.lit(1)))

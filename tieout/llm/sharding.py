@@ -25,6 +25,12 @@ SEED = 17
 EQUAL_ROWS = 1_000
 
 
+def refuse_reserved(columns: list[str]) -> None:
+    """Raises where a table has names that :func:`interleave` uses within; Spark does not tell names apart by case."""
+    if taken := [c for c in columns if c.lower().startswith("__il_")]:
+        raise ValueError(f"reserved column names: {taken}")
+
+
 def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_column: str = "doc_id", source_column: str = "source", range_rows: int | None = None) -> DataFrame:
     """``docs`` with ``shard`` (int, 0 to ``shards - 1``) and ``slot`` (long, gapless from 0 within the shard).
 
@@ -32,11 +38,10 @@ def interleave(docs: DataFrame, shards: int = SHARDS, *, seed: int = SEED, id_co
     partitioned. Null sources are a stratum of their own; null and repeated ids, null, empty and very long texts are rows
     as any other. The order of rows follows from their ids and a hash of their other plain columns, so rows that share an id, or
     have none, are dealt as evenly as others; rows that are equal in all of them take neighbouring slots in any order. An empty table gives an empty
-    result. Columns ``shard`` and ``slot`` of the input are replaced; names beginning with ``__il_`` are reserved and refused.
+    result. Columns ``shard`` and ``slot`` of the input are replaced; names beginning with ``__il_`` are reserved and refused, both in any case of letters.
     """
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    if taken := [c for c in kept if c.startswith("__il_")]:
-        raise ValueError(f"reserved column names: {taken}")
+    refuse_reserved(docs.columns)
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     plain = {"string", "bigint", "int", "double", "float", "boolean", "date", "timestamp"}
     ties = [F.col(f"`{c}`") for c, kind in docs.select(*[f"`{c}`" for c in kept]).dtypes if kind in plain and c not in (id_column, source_column)]
 
