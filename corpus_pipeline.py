@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept a
 stage as Parquet in the shared folder. Every stage but the last returns the columns of ``documents``.
 
 In every stage a row is decided by its own text, source and id, so rows that share an id, or have none, do not decide for each other.
-Null texts count as empty. Columns beyond those of ``documents`` go through, whatever their names, but ``sharding`` refuses names
-that begin with ``__il_``. Very long texts are read whole. Empty tables give empty results.
+Null texts count as empty. Columns beyond those of ``documents`` go through, whatever their names, but names that begin
+with ``__il_`` are refused before the first stage. Very long texts are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -75,6 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sharding.refuse_reserved(docs.columns)  # before the first stage, not in the last
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
