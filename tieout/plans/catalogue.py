@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tieout.functions import columns as C
 from tieout.model import BALANCES, MatchingPolicy, Period
 from tieout.operators import checks, matching, sums
-from tieout.plans import derive, reconcile
+from tieout.plans import derive, line_queries, reconcile
 
 DAYS, PERMILLE, TEXT, GROUP = 3, 850, 256, 4
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,15 +551,8 @@ def signed_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("k", C.signed(F.col("cents"), ind, F.col("k") % 3 == 0).alias("signed_cents"))
 
 
-@_register("control_totals", """select level, g, cast(sum(c) as bigint) total, count(*) records from (select l_orderkey, o_custkey, cast(round(l_extendedprice*100) as bigint) c from lineitem join orders on l_orderkey=o_orderkey) t,
- (values ('account'),('group'),('file')) v(level), lateral (select case level when 'account' then l_orderkey when 'group' then o_custkey end g) group by all""", cascade=False)
-def control_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums and record counts of three nested levels in one rollup: account (order) in group (customer) in file."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    rolled = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).rollup("o_custkey", "l_orderkey").agg(F.sum("c").alias("total"), F.count("*").alias("records"), F.grouping_id().alias("gid"))
-    level = F.when(F.col("gid") == 0, "account").when(F.col("gid") == 1, "group").otherwise("file")
-    return rolled.select(level.alias("level"), F.when(F.col("gid") == 0, F.col("l_orderkey")).when(F.col("gid") == 1, F.col("o_custkey")).alias("g"), "total", "records")
+QUERIES.update(line_queries.QUERIES)
+ORACLE_SQL.update(line_queries.ORACLE_SQL)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
