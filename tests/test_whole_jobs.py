@@ -84,3 +84,24 @@ def test_halves_make_every_combination(spark, size):
     tables = [spark.createDataFrame([(n, "A", "USD", date(2026, 1, 5), a) for n, a in side], "locator string, account string, currency string, booking_date date, amount long") for side in (left, right)]
     found = [(tuple(r[0]), tuple(r[1])) for r in split_merge(*tables, 3, size).collect()]
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_equal_rows_are_one_class(spark):
+    """50 000 equal rows a side make one pair of classes; they tie with each other, and what matches beside them still does."""
+    from pyspark.sql import functions as F
+
+    from tieout.model import MatchingPolicy
+    from tieout.plans.reconcile import Tiers
+
+    def side(p: str):
+        n = F.col("id")
+        equal = spark.range(50_000).select(F.concat(F.lit(p), n.cast("string")).alias("locator"), F.lit("same text of all").alias("description"), F.lit(500).cast("long").alias("amount"))
+        own = spark.range(20).select(F.concat(F.lit(p + "x"), n.cast("string")).alias("locator"), F.concat(F.lit("own text no "), n.cast("string"), F.lit("" if p == "l" else "!")).alias("description"), (900 + n).alias("amount"))
+        none = F.lit(None).cast("string")
+        return equal.unionByName(own).select("locator", F.lit("A").alias("account"), F.lit("USD").alias("currency"), F.lit("1996-05-01").cast("date").alias("booking_date"), "amount", none.alias("strong_id"), none.alias("reference"), "description", none.alias("payee"), none.alias("memo"))
+
+    tiers = Tiers(side("l"), side("r"), MatchingPolicy(), limited=False)
+    assert tiers.class_pairs.count() == 21 and tiers.class_pairs.agg(F.sum(F.col("n_l") * F.col("n_r"))).first()[0] == 50_000**2 + 20
+    assert sorted(r["left_locator"] for r in tiers.fuzzy.collect()) == sorted(f"lx{k}" for k in range(20))
+    ties = tiers.ranks.filter("left_rank = 1 and left_ties > 1").collect()
+    assert [(r["left_ties"], r["right_ties"]) for r in ties] == [(50_000, 50_000)]

@@ -61,17 +61,37 @@ def composite(left: DataFrame, right: DataFrame) -> DataFrame:
     return keyed_groups(left, right, COMPOSITE_KEY, "reference")
 
 
-def fuzzy_candidates(left: DataFrame, right: DataFrame, days: int, permille: int) -> DataFrame:
-    """Pairs of equal account, currency and amount, at most ``days`` apart, without two different strong ids, whose texts are alike.
+#: Rows that agree in all of these are one class: what one of them may match, each may.
+CLASS = ("account", "currency", "amount", "booking_date", "strong_id", "text")
+
+
+def text_classes(rows: DataFrame) -> DataFrame:
+    """The classes of a side's rows that have a text: ``locator`` (the smallest, which stands for the class), ``n`` rows, and what they agree in.
+
+    Equal rows are counted before they are shuffled, so however many there are, a task gets one row of them from each other.
+    """
+    return rows.filter("text is not null").groupBy(*CLASS).agg(F.count("*").alias("n"), F.min("locator").alias("locator"))
+
+
+def class_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``locator`` of each row of these classes and ``of``, the locator that stands for its class."""
+    r, c = rows.alias("r"), classes.alias("c")
+    same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in CLASS])
+    return r.join(c, same).select("r.locator", F.col("c.locator").alias("of"))
+
 
-    The hard gates are an equi-join, on a date bucket too: each left row looks into three buckets, each right row is in one, so
-    a frequent amount is spread by date. Lengths bound the similarity before the edit distance is computed.
+def class_pairs(left: DataFrame, right: DataFrame, days: int, permille: int) -> DataFrame:
+    """Pairs of classes of equal account, currency and amount, at most ``days`` apart, without two different strong ids, whose texts are alike:
+    the locators that stand for them, ``n_l`` and ``n_r`` rows, ``permille`` and ``days``.
+
+    The hard gates are an equi-join, on a date bucket too: each left class looks into three buckets, each right class is in one, so
+    a frequent amount is spread by date. Lengths bound the similarity before the edit distance is computed, which runs once for a pair of
+    classes and not for each pair of their rows.
     """
     width = days + 1
     day = lambda c: F.unix_date(c)
-    keep = ["locator", "account", "currency", "amount", "booking_date", "strong_id", "text"]
-    l = left.filter("text is not null").select(*keep).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(day(F.col("booking_date")) / width) + k))).alias("l")
-    r = right.filter("text is not null").select(*keep).withColumn("bucket", F.floor(day(F.col("booking_date")) / width)).alias("r")
+    l = left.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(day(F.col("booking_date")) / width) + k))).alias("l")
+    r = right.withColumn("bucket", F.floor(day(F.col("booking_date")) / width)).alias("r")
     a, b = F.col("l.text"), F.col("r.text")
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     gates = reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("account", "currency", "amount", "bucket")])
@@ -79,32 +99,50 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, days: int, permille: int
     near = C.date_distance(F.col("l.booking_date"), F.col("r.booking_date")) <= days
     could = shortest * 1000 >= permille * longest
     pairs = l.join(r, gates & near & ids & could).select(
-        F.col("l.locator").alias("left_locator"), F.col("r.locator").alias("right_locator"), C.similarity_permille(a, b).alias("permille"), C.date_distance(F.col("l.booking_date"), F.col("r.booking_date")).cast("long").alias("days")
-    )
+        F.col("l.locator").alias("left_locator"), F.col("r.locator").alias("right_locator"), F.col("l.n").alias("n_l"), F.col("r.n").alias("n_r"),
+        C.similarity_permille(a, b).alias("permille"), C.date_distance(F.col("l.booking_date"), F.col("r.booking_date")).cast("long").alias("days"),
+    )
     return pairs.filter(F.col("permille") >= permille)
 
 
-def ranked(candidates: DataFrame) -> DataFrame:
-    """Per side: the rank of each candidate (similarity, then distance) and how many tie with it."""
-    out = candidates
-    for side in ("left", "right"):
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of rows of the pairs of classes; ``left`` and ``right`` are :func:`class_members`. Its size is that of its result."""
+    l, r = (df.select(F.col("of").alias(f"{s}_of"), F.col("locator").alias(f"{s}_own")) for df, s in ((left, "l"), (right, "r")))
+    both = pairs.join(l, F.col("left_locator") == F.col("l_of")).join(r, F.col("right_locator") == F.col("r_of"))
+    return both.select(F.col("l_own").alias("left_locator"), F.col("r_own").alias("right_locator"), "permille", "days")
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, days: int, permille: int) -> DataFrame:
+    """Pairs of rows that may match, with ``permille`` and ``days``."""
+    classes = [text_classes(df) for df in (left, right)]
+    return expanded(class_pairs(*classes, days, permille), class_members(left, classes[0]), class_members(right, classes[1]))
+
+
+def ranked(pairs: DataFrame) -> DataFrame:
+    """Per side: the rank of each pair of classes (similarity, then distance) for each row of the class, and how many rows tie with it."""
+    out = pairs
+    for side, other in (("left", "n_r"), ("right", "n_l")):
         best = Window.partitionBy(f"{side}_locator").orderBy(F.desc("permille"), "days")
         same = Window.partitionBy(f"{side}_locator", "permille", "days")
-        out = out.withColumn(f"{side}_rank", F.rank().over(best)).withColumn(f"{side}_ties", F.count("*").over(same))
+        out = out.withColumn(f"{side}_rank", F.rank().over(best)).withColumn(f"{side}_ties", F.sum(other).over(same))
     return out
 
 
 def mutual_best(ranks: DataFrame) -> DataFrame:
-    """Pairs that are each other's only best."""
+    """Pairs that are each other's only best; their classes have one row each."""
     return ranks.filter("left_rank = 1 and left_ties = 1 and right_rank = 1 and right_ties = 1").select("left_locator", "right_locator", F.lit("fuzzy").alias("kind"))
 
 
-def fuzzy_ties(ranks: DataFrame) -> DataFrame:
-    """One row per row with several best candidates: ``side``, its locator, those of the candidates, and what they tie at."""
-    out = []
+def fuzzy_ties(ranks: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row per row with several best candidates: ``side``, its locator, those of the candidates, and what they tie at. ``left`` and ``right`` are
+    :func:`class_members`; candidates are listed once for a class and then told to each of its rows."""
+    out, members = [], {"left": left, "right": right}
     for side, other in (("left", "right"), ("right", "left")):
-        tied = ranks.filter(f"{side}_rank = 1 and {side}_ties > 1").groupBy(f"{side}_locator").agg(F.array_sort(F.collect_list(f"{other}_locator")).alias("candidates"), F.min("permille").alias("permille"), F.min("days").alias("days"))
-        out.append(tied.select(F.lit(side).alias("side"), F.col(f"{side}_locator").alias("locator"), "candidates", "permille", "days"))
+        tied = ranks.filter(f"{side}_rank = 1 and {side}_ties > 1")
+        theirs = members[other].select(F.col("of").alias(f"{other}_locator"), F.col("locator").alias("candidate"))
+        listed = tied.join(theirs, f"{other}_locator").groupBy(f"{side}_locator").agg(F.array_sort(F.collect_list("candidate")).alias("candidates"), F.min("permille").alias("permille"), F.min("days").alias("days"))
+        own = members[side].join(listed, F.col("of") == F.col(f"{side}_locator"))
+        out.append(own.select(F.lit(side).alias("side"), "locator", "candidates", "permille", "days"))
     return out[0].unionByName(out[1])
 
 

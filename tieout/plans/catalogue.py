@@ -207,7 +207,8 @@ def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("ambiguous_fuzzy", """select 'left' side, l locator, string_agg(r, ',' order by r) candidates from fr where lr=1 and lt>1 group by l union all select 'right', r, string_agg(l, ',' order by l) from fr where rr=1 and rt>1 group by r""")
 def ambiguous_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.fuzzy_ties(_tiers(spark, sf_dir).ranks).select("side", "locator", _joined("candidates").alias("candidates"))
+    c = _tiers(spark, sf_dir)
+    return matching.fuzzy_ties(c.ranks, *c.members).select("side", "locator", _joined("candidates").alias("candidates"))
 
 
 @_register("mutations", "select l left_locator, r right_locator, what.kind kind, what.detail detail from mut")
@@ -591,6 +592,30 @@ def revision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_revisions(revised, "user_id", ["ts", "event_id"], "revision").select("user_id", "event_id", "problem")
 
 
+@_register("history_validation", """with e as (select user_id, event_id, cast(round(value*100) as bigint) cents, event_type, props, row_number() over (partition by user_id order by ts, event_id) rn from events),
+ d as (select *, sha256('{"cents":'||cents||',"event_type":"'||event_type||'","props":"'||replace(props, '"', '\\"')||'"}') own from e),
+ p as (select *, lag(own) over (partition by user_id order by rn) b_own, lag(event_id) over (partition by user_id order by rn) b_id from d),
+ r as (select user_id, rn, event_id, b_id, event_id%97=0 moved, coalesce(b_id%97=0, false) b_moved, event_id%89=0 false_hash, coalesce(b_id%53=0, false) b_locked from p where event_id%101<>0 or rn=1)
+ select user_id job, rn "revision", problem from (
+ select user_id, rn, 'gap' problem from r where rn>1 and b_id%101=0 and rn>2 union all select user_id, rn, 'hash' from r where rn=1 and false_hash union all select user_id, rn, 'hash' from r where rn>1 and not (b_id%101=0 and rn>2) and false_hash
+ union all select user_id, rn, 'afterLock' from r where rn>1 and not (b_id%101=0 and rn>2) and b_locked union all select user_id, rn, 'repeated' from r where moved union all select user_id, rn, 'repeated' from r where moved
+ union all select user_id, rn, 'hash' from r where moved and rn=1 and false_hash union all select user_id, rn, 'hash' from r where moved and rn>1 and not (b_id%101=0 and rn>2) and false_hash
+ union all select user_id, rn, 'gap' from r where moved and rn>1 and b_id%101=0 and rn>2 union all select user_id, rn, 'afterLock' from r where moved and rn>1 and not (b_id%101=0 and rn>2) and b_locked)""", cascade=False)
+def history_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as revisions of one job a user, each with the digest that it states for the one before: revisions that are gone, there twice, follow a
+    lock, or state another digest than the content before has."""
+    from tieout.operators import revisions
+
+    content = ["cents", "event_type", "props"]
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    order, id_ = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("event_id")
+    rows = e.select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"), "event_type", "props", F.row_number().over(order).cast("long").alias("revision"))
+    rows = rows.withColumn("own", revisions.content_digest(rows, content))
+    stated = rows.withColumn("previous", F.when(id_ % 89 == 0, "false").otherwise(F.lag("own").over(order))).withColumn("state", F.when(id_ % 53 == 0, "locked").otherwise("draft"))
+    stated = stated.filter((id_ % 101 != 0) | (F.col("revision") == 1))
+    return revisions.history_problems(stated.unionByName(stated.filter(id_ % 97 == 0)), "user_id", "revision", "previous", "state", content)
+
+
 # ---- functions and job tables over texts made of keys ----
 
 

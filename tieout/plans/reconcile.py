@@ -238,22 +238,41 @@ class Tiers:
         parts = ("reference", "description", "payee", "memo")
         whole = (self.left if side == "left" else self.right).select("locator", *parts)
         plain = F.concat_ws("", *parts).rlike(r"\A[\x00-\x7F]*\z")
-        full = cut(self.rest2[side == "right"].drop("reference").join(whole, "locator").withColumn("plain", plain), f"texts-{side}")
+        rest = self.rest2[side == "right"].drop("reference").withColumn("strong_id", C.cleaned(F.col("strong_id")))
+        full = cut(rest.join(whole, "locator").withColumn("plain", plain), f"texts-{side}")
         folded = [True, False] if full.filter(~F.col("plain")).limit(1).count() else [True]
         made = [full.filter(F.col("plain") == k).withColumn("text", C.comparison_text(*(F.col(n) for n in parts), self.policy.maximum_text_scalars, ascii_only=k)) for k in folded]
         return reduce(DataFrame.unionByName, made)
 
     @cached_property
     def candidates(self) -> DataFrame:
+        """All pairs of rows; the tiers themselves only need the pairs of their classes."""
+        pairs = self.class_pairs
+        return matching.expanded(pairs, *self.members)
+
+    @cached_property
+    def texts(self) -> tuple[DataFrame, DataFrame]:
         self.rest2  # once, before both sides ask for it  # noqa: B018
-        found = cut(matching.fuzzy_candidates(*together(partial(self._texts, "left"), partial(self._texts, "right")), self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
-        if self.limited and found.limit(self.policy.maximum_fuzzy_candidate_pairs + 1).count() > self.policy.maximum_fuzzy_candidate_pairs:
+        return tuple(together(partial(self._texts, "left"), partial(self._texts, "right")))
+
+    @cached_property
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(together(*[partial(cut, matching.text_classes(df), f"classes-{s}") for df, s in zip(self.texts, ("left", "right"), strict=True)]))
+
+    @cached_property
+    def members(self) -> tuple[DataFrame, DataFrame]:
+        return tuple(matching.class_members(df, c) for df, c in zip(self.texts, self.classes, strict=True))
+
+    @cached_property
+    def class_pairs(self) -> DataFrame:
+        found = cut(matching.class_pairs(*self.classes, self.policy.maximum_date_distance_days, self.policy.minimum_similarity_permille), "candidates")
+        if self.limited and (found.agg(F.sum(F.col("n_l") * F.col("n_r"))).first()[0] or 0) > self.policy.maximum_fuzzy_candidate_pairs:
             raise ResourceLimit("fuzzy candidate pairs")
         return found
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return cut(matching.ranked(self.candidates), "ranks")
+        return cut(matching.ranked(self.class_pairs), "ranks")
 
     @cached_property
     def fuzzy(self) -> DataFrame:
@@ -311,7 +330,7 @@ class Tiers:
             _exception(matching.cross_partition(*self.rest3), "currencyOrAccountMismatch", l, r, F.concat(F.lit("Strong identifier appears only in different account/currency partitions: "), F.col("strong_id"))),
         ]
         if self.policy.fuzzy:
-            ties, at_left, own = matching.fuzzy_ties(self.ranks), F.col("side") == "left", F.array("locator")
+            ties, at_left, own = matching.fuzzy_ties(self.ranks, *self.members), F.col("side") == "left", F.array("locator")
             told = F.concat(F.lit("Fuzzy candidates tie at "), F.col("permille").cast("string"), F.lit("/1000 similarity and "), F.col("days").cast("string"), F.lit(" day distance"))
             out.append(_exception(ties, "ambiguousCandidate", F.when(at_left, own).otherwise(F.col("candidates")), F.when(at_left, F.col("candidates")).otherwise(own), told))
         if self.policy.split_merge:
