@@ -394,12 +394,26 @@ def explained_state(spark: SparkSession, sf_dir: str) -> DataFrame:
  left join l0 a on a.locator=x.l left join r0 b on b.locator=x.r where a.locator is not null or b.locator is not null""")
 def comparison_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches as pairs, then the rows that exceptions name, side by side."""
-    r = _result(spark, sf_dir, bound=False)
-    zipped = r.exceptions.select("kind", F.explode(F.arrays_zip("left_locators", "right_locators")).alias("x")).select("kind", F.col("x.left_locators").alias("left_locator"), F.col("x.right_locators").alias("right_locator"))
-    shown = r.matches.select("kind", "left_locator", "right_locator").unionByName(zipped)
-    of = lambda view, s: _rows(spark, sf_dir, view).select(F.col("locator").alias(f"{s}_locator"), F.lit(True).alias(f"{s}_there"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text"))
-    joined = shown.join(of("bank_rb", "left"), "left_locator", "left").join(of("ledger", "right"), "right_locator", "left").filter("left_there or right_there")
-    return joined.select("kind", "left_locator", "right_locator", "left_amount", "right_amount", "left_text", "right_text")
+    from tieout.report import comparison
+
+    return comparison(_result(spark, sf_dir, bound=False), _rows(spark, sf_dir, "bank_rb"), _rows(spark, sf_dir, "ledger"))
+
+
+@_register("statement_comparison", """select 'faulty' job, kind, l.locator left_locator, l.amount left_amount, l.description left_text from (select kind, unnest(ls) x from ex where kind in ('duplicateInLeft','runningBalanceBreak')) e join l0 l on l.locator=e.x
+ union all select 'proven', 'statement', locator, amount, description from bank where locator not like '%D'""")
+def statement_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single statement (mode C): the rows that its exceptions name, and, where everything proves, all its rows."""
+    from tieout.report import comparison
+
+    period = Period(derive.START, derive.END)
+    run = lambda rows, balances: reconcile.run(reconcile.Job("singleStatement", period, [reconcile.Source("statement", rows, balances)]), bound=False)
+    faulty = _rows(spark, sf_dir, "bank_rb")
+    proven = _rows(spark, sf_dir, "bank").filter(~F.col("locator").endswith("D"))
+    sums = proven.groupBy("account", "currency").agg(F.sum("amount").alias("sum"))
+    balance = lambda kind, day, amount: sums.select(F.lit(kind).alias("kind"), "account", "currency", F.lit(day).alias("date"), amount.cast("bigint").alias("amount"), F.concat(F.lit(kind), "account", "currency").alias("locator"))
+    balances = balance("opening", derive.START, F.lit(0)).unionByName(balance("closing", derive.END, F.col("sum")))
+    parts = [comparison(run(rows, held), rows).select(F.lit(job).alias("job"), "kind", "left_locator", "left_amount", "left_text") for job, rows, held in (("faulty", faulty, derive.spark_view(spark, sf_dir, "balances")), ("proven", proven, balances))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _DECIDED = "select exception_key, 'seen: '||kind explanation, kind='dateChanged' approved from exk where kind in ('dateChanged', 'statusOrCategoryChanged')"
@@ -632,10 +646,11 @@ def ofx_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("k", C.ofx_date(shown).alias("found"))
 
 
-@_register("compact_dates", f"select k, case when k%5=4 then null else make_date(case when k%100>=70 then 1900 else 2000 end + (k%100)::int, month(d), day(d)) end found from (select * from {_TEXTS} where day(d)<29)", cascade=False)
+@_register("compact_dates", f"select k, case when k%5<>4 then try_cast((case when k%100>=70 then 1900 else 2000 end + k%100)::varchar||strftime(d, '-%m-%d') as date) end found from {_TEXTS}", cascade=False)
 def compact_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six digits of days that may not be in the year that they name (29 February), and texts of seven."""
     shown = F.concat(F.lpad((F.col("k") % 100).cast("string"), 2, "0"), F.date_format("d", "MMdd"), F.when(F.col("k") % 5 == 4, "x").otherwise(""))
-    return _texts(spark, sf_dir).filter("day(d) < 29").select("k", C.compact_date(shown).alias("found"))
+    return _texts(spark, sf_dir).select("k", C.compact_date(shown).alias("found"))
 
 
 @_register("source_ids", f"select k, 'source-'||sha256('file '||k||' of '||p) source_id from {_TEXTS}", cascade=False)
@@ -651,6 +666,15 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("k", C.cleaned(raw).alias("found"), C.normalized_header(F.concat("p", F.lit(" No. "), "st")).alias("header"))
 
 
+@_register("folded_texts", f"select k, case when k%6<>5 then trim(regexp_replace(lower(strip_accents(case when k%2=0 then 'Réf-'||k||' ' else '' end||'Crème BRÛLÉE '||p||' Ñandú '||st)), '[^a-z0-9]+', ' ', 'g')) end found from {_TEXTS}", cascade=False)
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to compare, with letters beyond ASCII in either case; those that are too long have none."""
+    k = F.col("k")
+    reference, none = F.when(k % 2 == 0, F.concat(F.lit("Réf-"), k.cast("string"))), F.lit(None).cast("string")
+    memo = F.when(k % 6 == 5, F.repeat(F.lit("é"), 300)).otherwise(F.concat(F.lit("\u00a0Ñandú\t"), "st"))
+    return _texts(spark, sf_dir).select("k", C.comparison_text(reference, F.concat(F.lit("Crème BRÛLÉE "), "p"), none, memo, TEXT).alias("found"))
+
+
 @_register("display_names", f"select k, case k%3 when 0 then 'Amount Changed' when 1 then 'Duplicate In Left' else 'Reconciled' end shown from {_TEXTS}", cascade=False)
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("amountChanged"), F.lit("duplicateInLeft"), F.lit("reconciled")), (F.col("k") % 3 + 1).cast("int"))

@@ -28,7 +28,7 @@ def _exploded(df: DataFrame, file: Column, *rows: tuple[Column, Column]) -> Data
 
 _ORDERS = "(select o_orderkey k, o_custkey c, cast(round(o_totalprice*100) as bigint) cents, cast(o_orderdate as date) d, o_orderpriority p, o_orderstatus st from orders)"
 
-DELIMITED_SQL = f"""select file, sum(n) over (partition by file order by k) - n + 1 "first", k||'|'||txt||'|'||st cells from
+DELIMITED_SQL = f"""select file, cast(sum(n) over (partition by file order by k) - n + 1 as bigint) "first", k||'|'||txt||'|'||st cells from
  (select 'f'||(k%9) file, k, st, case when k%7=0 then 2 else 1 end n, case when k%7=0 then 'say "'||p||'"'||chr(10)||'and, more' else p end txt from {_ORDERS})"""
 
 

@@ -105,6 +105,24 @@ def write_report(lines: DataFrame, path: str) -> None:
     ordered.write.option("lineSep", "\r\n").mode("errorifexists").text(path)
 
 
+def comparison(result: Result, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """What a reviewer sees side by side: matches as pairs, then the rows that exceptions name, first with first (``kind``, and ``locator``, ``amount`` and
+    ``text`` of either side). Locators of balances have no row and are left out. With one side and nothing to show, its rows are listed
+    as ``statement``."""
+    zipped = result.exceptions.select("kind", F.explode(F.arrays_zip("left_locators", "right_locators")).alias("x")).select("kind", F.col("x.left_locators").alias("left_locator"), F.col("x.right_locators").alias("right_locator"))
+    shown = result.matches.select("kind", "left_locator", "right_locator").unionByName(zipped)
+    of = lambda df, s: df.select(F.col("locator").alias(f"{s}_locator"), F.lit(True).alias(f"{s}_there"), F.col("amount").alias(f"{s}_amount"), F.col("description").alias(f"{s}_text"))
+    names = ("kind", "left_locator", "right_locator", "left_amount", "right_amount", "left_text", "right_text")
+    if right is not None:
+        both = shown.join(of(left, "left"), "left_locator", "left").join(of(right, "right"), "right_locator", "left")
+        return both.filter("left_there or right_there").select(*names)
+    none = [F.lit(None).cast(left.schema["amount"].dataType).alias("right_amount"), F.lit(None).cast("string").alias("right_text")]
+    held = shown.join(of(left, "left"), "left_locator").select("*", *none).select(*names)
+    if held.limit(1).count():
+        return held
+    return of(left, "left").select("*", F.lit("statement").alias("kind"), F.lit(None).cast("string").alias("right_locator"), *none).select(*names)
+
+
 def explained(exceptions: DataFrame, decisions: DataFrame) -> DataFrame:
     """Exceptions with their key and, where there is a decision on it, its ``explanation`` and whether it is ``approved``."""
     return with_keys(exceptions).join(decisions.select("exception_key", "explanation", "approved"), "exception_key", "left")
