@@ -147,3 +147,9 @@ def test_record_states_are_a_loops(spark, seed):
     for chunk, account in ((4, None), (1 << 16, "given")):
         got = sorted(tuple(r) for r in L.record_states(table(spark, texts), account, chunk=chunk).collect())
         assert got == [(f, *r) for f in sorted(texts) for r in _states(texts[f], account)] or [(a, b) for a, b in zip(got, [(f, *r) for f in sorted(texts) for r in _states(texts[f], account)]) if a != b][:3] == []
+
+
+def test_what_reads_nested_records_reads_no_line_again(spark):
+    records = L.nested_records(table(spark, {"a": BAI}), chunk=3)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "ExistingRDD" not in plan and "collect_list" not in plan

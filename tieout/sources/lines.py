@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import columns as C
 from tieout.model import ResourceLimit
-from tieout.operators.carry import CHUNK, along
+from tieout.operators.carry import CHUNK, along, carried
 from tieout.operators.numbering import numbered
 from tieout.session import cut, ship_package
 from tieout.sources.delimited import tokenize
@@ -123,20 +123,28 @@ def nested_records(lines: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     level where it cannot be, or behind the file's trailer) and ``kind`` (unknown).
     """
     text = F.trim(F.regexp_replace("text", "\r$", ""))
-    kept = lines.select("file", "line", text.alias("text")).filter("text <> ''")
-    body = F.regexp_replace("text", "/$", "")
     more = F.col("text").startswith("88,")
-    at = along(kept.select("file", "line", body.alias("body"), more.alias("more")), ["file"], "line", sums={"record": ~F.col("more")}, chunk=chunk)
-    own = F.when(F.col("more"), F.expr("substring(body, 4)")).otherwise(F.col("body"))
-    joined = at.select("file", "record", "line", "more", own.alias("own")).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line", "own"))).alias("l"), F.count("*").alias("physical"), F.max("more").alias("continued"))
+    own = F.when(more, F.expr("substring(text, 4)")).otherwise(F.col("text"))
+    kept = cut(lines.select("file", "line", text.alias("text")).filter("text <> ''").select("file", "line", more.alias("more"), F.regexp_replace(own, "/$", "").alias("own")), "lines")
+    # a chunk begins where a record does: lines that continue one over its edge go to the chunk of that record, so whole records and
+    # what is counted along them come out of one shuffle of the lines
+    chunked = kept.withColumn("__chunk", F.expr(f"line div {chunk}"))
+    begins = chunked.groupBy("file", "__chunk").agg(F.min("line").alias("least"), F.min(F.when(~F.col("more"), F.col("line"))).alias("begin"))
+    before = Window.partitionBy("file").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = begins.withColumn("earlier", F.last(F.when(F.col("begin").isNotNull(), F.col("__chunk")), ignorenulls=True).over(before)).filter("begin is null or least < begin").drop("least")
+    at_edge = F.col("edge") & (F.col("begin").isNull() | (F.col("line") < F.col("begin")))
+    held = chunked.join(F.broadcast(edges.withColumn("edge", F.lit(True))), ["file", "__chunk"], "left").withColumn("__chunk", F.when(at_edge, F.coalesce("earlier", F.lit(-1 << 62))).otherwise(F.col("__chunk")))
+    inside = Window.partitionBy("file", "__chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = held.select("file", "__chunk", "line", "more", "own", F.sum((~F.col("more")).cast("long")).over(inside).alias("nth"))
+    joined = counted.groupBy("file", "__chunk", "nth").agg(F.array_sort(F.collect_list(F.struct("line", "own"))).alias("l"), F.count("*").alias("physical"), F.max("more").alias("continued"))
     fields = F.split(F.array_join(F.transform("l", lambda x: x["own"]), ","), ",")
-    records = joined.select("file", "record", "physical", "continued", fields.alias("fields")).withColumn("kind", F.when(F.col("record") > 0, F.col("fields")[0]))
+    records = joined.select("file", "__chunk", "nth", "physical", "continued", fields.alias("fields")).withColumn("kind", F.when(F.col("nth") > 0, F.col("fields")[0]))
     kind = F.col("kind")
     step = F.when(kind.isin("01", "02", "03"), 1).when(kind.isin("49", "98", "99"), -1).otherwise(0)
     field = lambda n: F.nullif(F.trim(F.get("fields", F.lit(n))), F.lit(""))
-    placed = along(
-        records, ["file"], "record", sums={"grp": kind == "02", "account": kind == "03", "level": step, "files": kind == "01"},
-        last={"group_currency": F.when(kind == "02", F.coalesce(field(6), F.lit("USD"))), "own_currency": F.when(kind == "03", F.coalesce(field(2), F.lit("-"))).when(kind == "02", F.lit("-"))}, chunk=chunk,
+    placed = carried(
+        records, ["file"], "nth", sums={"record": F.col("nth") > 0, "grp": kind == "02", "account": kind == "03", "level": step, "files": kind == "01"},
+        last={"group_currency": F.when(kind == "02", F.coalesce(field(6), F.lit("USD"))), "own_currency": F.when(kind == "03", F.coalesce(field(2), F.lit("-"))).when(kind == "02", F.lit("-"))},
     )
     expected = reduce(lambda rest, k: F.when(kind == k, DEPTH[k]).otherwise(rest), DEPTH, F.lit(None).cast("int"))
     before = F.col("level") - step
