@@ -132,7 +132,8 @@ def result_value(result: Result) -> dict:
 
 def result_seal(result: Result) -> dict:
     """State, and the number of rows and the root of the digest tree of each part; nothing of a part but these goes to the driver."""
-    seals = {name: seal(getattr(result, name), *_order(name)) for name in ORDERS}
+    found = result.unordered()
+    seals = {name: seal(getattr(found, name), *_order(name)) for name in ORDERS}
     return {"state": result.state, "parts": {name: {"rows": n, "sha256": root} for name, (n, root) in seals.items()}}
 
 

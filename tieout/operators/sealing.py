@@ -30,23 +30,24 @@ BUCKET = 1_000
 
 def leaves(df: DataFrame, *order: str | Column) -> DataFrame:
     """``seq`` and ``leaf``: the place and the digest of every row."""
-    row = F.sha2(canonical_row(df), 256).alias("leaf")
+    # digests travel as their 32 bytes, which sort as their digits do
+    row = F.unhex(F.sha2(canonical_row(df), 256)).alias("leaf")
     keys = [c if isinstance(c, Column) else F.col(c) for c in order]
     # rows that tie in the order are told apart by their digests; equal rows have equal ones
     slim = df.select(*[k.alias(f"o{n}") for n, k in enumerate(keys)], row)
-    return numbered(slim, *[f"o{n}" for n in range(len(keys))], "leaf").select("seq", "leaf")
+    return numbered(slim, *[f"o{n}" for n in range(len(keys))], "leaf", keep=("leaf",)).select("seq", F.lower(F.hex("leaf")).alias("leaf"))
 
 
 def fold(level: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """One level up: ``seq`` and ``leaf`` of the nodes over ``level``."""
-    children = F.array_sort(F.collect_list(F.struct("seq", "leaf")))
+    children = F.array_sort(F.collect_list(F.struct("seq", F.unhex("leaf").alias("leaf"))))
     grouped = level.groupBy(F.expr(f"seq div {fanout}").alias("up")).agg(children.alias("c"))
-    return grouped.select(F.col("up").alias("seq"), F.sha2(F.array_join(F.transform("c", lambda x: x["leaf"]), ""), 256).alias("leaf"))
+    return grouped.select(F.col("up").alias("seq"), F.sha2(F.array_join(F.transform("c", lambda x: F.lower(F.hex(x["leaf"]))), ""), 256).alias("leaf"))
 
 
 def seal(df: DataFrame, *order: str | Column, fanout: int = FANOUT) -> tuple[int, str]:
     """How many rows ``df`` has and the root of its tree; an empty table has the digest of no children."""
-    level = cut(leaves(df, *order), "leaves")
+    level = leaves(df, *order)
     rows = n = level.count()
     while n > 1:
         level = cut(fold(level, fanout), "nodes")
