@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from tieout.model import Period
+from tieout.model import IntegrityFailure, Period
 from tieout.operators.numbering import numbered
 from tieout.plans import catalogue, derive, reconcile
 
@@ -44,3 +46,12 @@ def test_what_only_orders_is_not_written(spark):
     df = spark.range(50).select(F.col("id"), (-F.col("id")).alias("by"), F.lit("long text").alias("more"))
     got = numbered(df, "by", "more", keep=("id",))
     assert got.columns == ["id", "seq"] and {(r["id"], r["seq"]) for r in got.collect()} == {(k, 49 - k) for k in range(50)}
+
+
+def test_decisions_conclude_without_a_run(spark, job, result, monkeypatch):
+    monkeypatch.setattr(reconcile, "_validated", None)
+    keys = reconcile.with_keys(result.exceptions)
+    told = lambda ok: keys.select("exception_key", F.lit("seen").alias("explanation"), F.lit(ok).alias("approved"))
+    assert {reconcile.concluded(replace(job, decisions=d), result) for d in (None, told(True), told(False))} == {result.state}
+    with pytest.raises(IntegrityFailure):
+        reconcile.concluded(replace(job, decisions=told(True).unionByName(told(True))), result)
