@@ -153,3 +153,10 @@ def test_what_reads_nested_records_reads_no_line_again(spark):
     records = L.nested_records(table(spark, {"a": BAI}), chunk=3)
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "parquet" in plan and "ExistingRDD" not in plan and "collect_list" not in plan
+
+
+def test_records_have_chunks_of_their_own(spark, monkeypatch):
+    widths = []
+    monkeypatch.setattr(L, "along", lambda *args, chunk, **named: widths.append(chunk) or along(*args, chunk=chunk, **named))
+    assert L.record_states(table(spark, {"a": "!Account\nNx\n^\n!Type:Bank\nD1\nT2\n^\n"}), chunk=1 << 40).filter("account = 'x'").count() == 2
+    assert widths == [1 << 40, L.CHUNK]

@@ -233,7 +233,7 @@ def record_states(lines: DataFrame, account: str | None = None, *, chunk: int =
         began.alias("began"), stray.alias("stray"), F.max_by("section", "line").alias("section"), F.count_if(F.col("kind") == "end").alias("ends"), of("D").alias("day"), of("T").alias("amount"), of("N").alias("number"), many("D").alias("days"), many("T").alias("amounts"),
     )
     records = records.filter("began is not null or ends > 0")
-    held = along(records, ["file"], "record", last={"account": F.when(F.col("section") == "ACCOUNT", F.col("number"))}, chunk=chunk).withColumn("account", F.coalesce("account", F.lit(account).cast("string")))
+    held = along(records, ["file"], "record", last={"account": F.when(F.col("section") == "ACCOUNT", F.col("number"))}, chunk=min(chunk, CHUNK)).withColumn("account", F.coalesce("account", F.lit(account).cast("string")))
     money = F.col("section").isin(*SECTIONS)
     problem = (
         F.when(F.col("section") == "INVST", "investment").when(F.col("began").isNotNull() & (F.col("stray") > F.col("began")), "inside").when(F.col("ends") == 0, "open")
