@@ -155,6 +155,12 @@ def test_what_reads_nested_records_reads_no_line_again(spark):
     assert "parquet" in plan and "ExistingRDD" not in plan and "collect_list" not in plan
 
 
+def test_segments_shuffle_no_text_twice(spark):
+    fields = L.tagged_fields(table(spark, {"a": ":20:A\n:25:acc\n:61:x\n:86:note\n"}), chunk=3)
+    plan = L.statement_segments(fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "collect_list" not in plan and "regexp_extract" not in plan
+
+
 def test_records_have_chunks_of_their_own(spark, monkeypatch):
     widths = []
     monkeypatch.setattr(L, "along", lambda *args, chunk, **named: widths.append(chunk) or along(*args, chunk=chunk, **named))

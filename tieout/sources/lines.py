@@ -102,10 +102,13 @@ def statement_segments(fields: DataFrame) -> DataFrame:
     """Per segment of :func:`tagged_fields`: the ``account``, ``entries``, ``noted`` (entries with their own ``:86:`` directly behind) and ``problems``, the tags
     of which there is not exactly one; what stands before the first segment is a problem of its own."""
     many = {name: F.count_if(F.col("tag").isin(*tags)) for name, tags in TAGS.items()}
+    # only the account is read as a text: the others go no further than here
+    told = cut(fields.select("file", "segment", "field", "tag", F.when(F.col("tag") == "25", C.cleaned(F.col("value"))).alias("account")), "fields")
+    counted = told.groupBy("file", "segment").agg(F.max("account").alias("account"), F.count_if(F.col("tag") == "61").alias("entries"), *[n.alias(f"n{name}") for name, n in many.items()])
     # a note belongs to an entry where its field is the next one: fields are joined by number, there is no order to walk
-    f, g = fields.alias("f"), fields.filter("tag = '86'").select("file", (F.col("field") - 1).alias("field"), F.lit(1).alias("note")).alias("g")
-    met = f.join(g, (F.col("f.file") == F.col("g.file")) & (F.col("f.field") == F.col("g.field")) & (F.col("f.tag") == "61"), "left").select("f.*", "note")
-    counted = met.groupBy("file", "segment").agg(F.max(F.when(F.col("tag") == "25", C.cleaned(F.col("value")))).alias("account"), F.count_if(F.col("tag") == "61").alias("entries"), F.count("note").alias("noted"), *[n.alias(f"n{name}") for name, n in many.items()])
+    entries, notes = told.filter("tag = '61'").select("file", "segment", "field"), told.filter("tag = '86'").select("file", (F.col("field") - 1).alias("field"))
+    noted = entries.join(notes, ["file", "field"], "left_semi").groupBy("file", "segment").agg(F.count("*").alias("noted"))
+    counted = counted.join(noted, ["file", "segment"], "left").withColumn("noted", F.coalesce("noted", F.lit(0)))
     wrong = F.array_compact(F.array(*[F.when(F.col(f"n{name}") != 1, F.lit(name)) for name in TAGS]))
     return counted.select("file", "segment", "account", "entries", "noted", F.when(F.col("segment") == 0, F.array(F.lit("before"))).otherwise(wrong).alias("problems"))
 
