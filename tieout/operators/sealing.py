@@ -59,15 +59,19 @@ def seal(df: DataFrame, *order: str | Column, fanout: int = FANOUT) -> tuple[int
 def _keyed(df: DataFrame, keys: list[str], depth: int) -> DataFrame:
     """Per key: its canonical text, the digest of all its rows and the bucket it lies in."""
     rows = df.select(canonical_row(df.select(*keys)).alias("key"), F.sha2(canonical_row(df), 256).alias("row"))
-    # the rows of a key as a multiset: their number and the sums of four pieces of their digests, whatever their order and number
-    piece = lambda k: F.sum(F.conv(F.substring("row", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).alias(f"p{k}")
-    same = rows.groupBy("key").agg(F.count("*").alias("n"), *[piece(k) for k in range(4)])
-    return same.select("key", F.sha2(F.concat_ws(",", "n", *[f"p{k}" for k in range(4)]), 256).alias("row"), F.substring(F.sha2("key", 256), 1, depth).alias("bucket"))
+    # the rows of a key as a multiset: their number and the sums of eight pieces of their digests, whatever their order; 2^31 rows of a key fit
+    piece = lambda k: F.sum(F.conv(F.substring("row", 1 + 8 * k, 8), 16, 10).cast("long")).alias(f"p{k}")
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), *[piece(k) for k in range(8)])
+    # digests travel as their 32 bytes
+    return same.select("key", F.unhex(F.sha2(F.concat_ws(",", "n", *[f"p{k}" for k in range(8)]), 256)).alias("row"), F.substring(F.sha2("key", 256), 1, depth).alias("bucket"))
 
 
 def key_tree(keyed: DataFrame, depth: int) -> DataFrame:
     """``prefix`` and ``digest`` of all buckets and of all that lies above them, down from the empty prefix."""
-    level = keyed.groupBy("bucket").agg(F.array_sort(F.collect_list(F.concat_ws("=", F.sha2("key", 256), "row"))).alias("held")).select(F.col("bucket").alias("prefix"), F.sha2(F.array_join("held", ","), 256).alias("digest"))
+    # one digest for a key and its rows, so that a bucket's lists are of 32 bytes a key
+    leaf = F.unhex(F.sha2(F.concat_ws("=", F.sha2("key", 256), F.hex("row")), 256))
+    listed = keyed.select("bucket", leaf.alias("leaf")).groupBy("bucket").agg(F.array_sort(F.collect_list("leaf")).alias("held"))
+    level = listed.select(F.col("bucket").alias("prefix"), F.sha2(F.array_join(F.transform("held", lambda x: F.hex(x)), ","), 256).alias("digest"))
     tree = [cut(level, "buckets")]
     for size in range(depth - STEP, -1, -STEP):
         above = tree[-1].groupBy(F.substring("prefix", 1, size).alias("up")).agg(F.array_sort(F.collect_list(F.concat_ws("=", "prefix", "digest"))).alias("held"))
